@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayline.llm import mixing
-from wayline.llm.common import read
+from wayline.llm import licenses, mixing, toxicity
+from wayline.llm.common import id_remainder, read
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    names = lambda spans: F.concat_ws(",", F.array_sort(F.array_distinct(F.col(spans)["label"])))
+    doubt = F.aggregate(F.array_distinct(F.transform("finds", lambda x: F.struct(x["label"], x["confidence"]))), F.lit(1.0), lambda p, x: p * (1 - x["confidence"]))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.col("base")["first_word"]).alias("first_word"), F.array_max(F.col("base")["first_word"]).alias("last_word"),
+        names("base").alias("base_labels"), names("finds").alias("labels"), (1 - doubt).alias("score"),
+    )
+
+
+def _verdict(scores: DataFrame, divisor: int, held_out: int, least: float) -> DataFrame:
+    return scores.select("doc_id", (id_remainder(F.col("doc_id"), divisor) == held_out).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
+    return _verdict(toxicity.score(docs, model), 5, 0, 0.5)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity}
 
 ORACLE = {
     "op1_mixing": r"""
