@@ -23,7 +23,7 @@ from wayline.llm.samples import labelled
 
 BITS = 20
 #: Bounds of the fitting sample: labelled rows, and characters of one of their texts.
-MOST_ROWS, LONGEST = 6000, 40_000
+MOST_ROWS, LONGEST = 12_000, 40_000
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -46,7 +46,7 @@ class Weights:
     bias: float
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.6, l2: float = 1.0) -> Weights:
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0) -> Weights:
     """FTRL-proximal over rows of distinct coordinates. The last coordinate is the bias, which L1 spares."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
