@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -23,6 +26,17 @@ def joined(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts hold at most so many bytes, or that are one longer text: numpy's temporaries stay small."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalises 64-bit hashes, so that every bit depends on all bits."""
     h = h ^ (h >> np.uint64(32))

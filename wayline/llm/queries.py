@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import licenses, mixing, toxicity
+from wayline.llm import language, licenses, mixing, quality, toxicity
 from wayline.llm.common import id_remainder, read
 
 
@@ -34,7 +34,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(toxicity.score(docs, model), 5, 0, 0.5)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
+    return language.identify(docs, net).select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.learn(docs, read(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
+    return _verdict(quality.score(docs, model), 5, 0, 0.3)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op7_language": op7_language, "op9_quality": op9_quality}
 
 ORACLE = {
     "op1_mixing": r"""

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from wayline.llm.bytetext import joined, mixed, within, word_hashes
+from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
 from wayline.llm.samples import labelled
 
 BITS = 20
@@ -71,7 +71,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 5, alpha: floa
 
 
 def _featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         data, offsets = joined(batch.column("text"))
         text, at = features(data, offsets)
         key = np.unique((text << BITS) | at)
@@ -95,7 +95,7 @@ def score(docs: DataFrame, model: Weights) -> DataFrame:
         m = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[m.at] = m.weight
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = joined(batch.column("text"))
             text, at = features(data, offsets)
             known = np.flatnonzero(dense[at])
