@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import language, licenses, mixing, quality, toxicity
+from wayline.llm import fingerprints, language, licenses, mixing, quality, toxicity
 from wayline.llm.common import id_remainder, read
 
 
@@ -46,7 +46,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(quality.score(docs, model), 5, 0, 0.3)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op7_language": op7_language, "op9_quality": op9_quality}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.text_form("print").alias("fingerprint"), fingerprints.text_form("edited_print").alias("edited_fingerprint"),
+        fingerprints.likeness("print", "edited_print").alias("near_edited"), fingerprints.likeness("print", "next_print").alias("near_next"),
+    )
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op7_language": op7_language, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
 
 ORACLE = {
     "op1_mixing": r"""
