@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import fingerprints, language, licenses, mixing, quality, toxicity
+from wayline.llm import bpe, fingerprints, idfiles, language, licenses, mixing, quality, toxicity
 from wayline.llm.common import id_remainder, read
+from wayline.llm.pieces import path
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(toxicity.score(docs, model), 5, 0, 0.5)
 
 
+def digest(encoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded documents."""
+    return encoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = path("word_bpe_49k.json")
+    return digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), words), words))
+
+
+def op5_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = idfiles.new_folder(spark)
+    return idfiles.read_back(idfiles.write(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), 2, folder))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
@@ -55,7 +73,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op7_language": op7_language, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_idfiles": op5_idfiles, "op7_language": op7_language, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
 
 ORACLE = {
     "op1_mixing": r"""
