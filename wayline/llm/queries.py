@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, fingerprints, idfiles, language, licenses, mixing, quality, toxicity
+from wayline.llm import bpe, fingerprints, idfiles, language, licenses, mixing, quality, toxicity, vectors
 from wayline.llm.common import id_remainder, read
 from wayline.llm.pieces import path
 
@@ -52,6 +52,10 @@ def op5_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_back(idfiles.write(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), 2, folder))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
@@ -73,7 +77,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_idfiles": op5_idfiles, "op7_language": op7_language, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_idfiles": op5_idfiles, "op6_vectors": op6_vectors, "op7_language": op7_language, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
 
 ORACLE = {
     "op1_mixing": r"""
