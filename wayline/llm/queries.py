@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, fingerprints, idfiles, language, licenses, mixing, quality, toxicity, vectors
+from wayline.llm import bpe, fingerprints, idfiles, language, licenses, mixing, neardup, quality, toxicity, vectors
 from wayline.llm.common import id_remainder, read
 from wayline.llm.pieces import path
 
@@ -62,6 +62,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, net).select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.learn(docs, read(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
@@ -77,7 +81,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_idfiles": op5_idfiles, "op6_vectors": op6_vectors, "op7_language": op7_language, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_idfiles": op5_idfiles, "op6_vectors": op6_vectors, "op7_language": op7_language, "op8_neardup": op8_neardup, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
 
 ORACLE = {
     "op1_mixing": r"""
