@@ -15,6 +15,7 @@ of their text, null ids come last; the next of a single row is itself; an empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,17 +100,20 @@ def _ranges(docs: DataFrame, rows_each: int, coarse_most: int = 1000) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * steps + F.least(F.greatest(step, F.lit(0)), F.lit(steps - 1))).cast("long")
 
 
-def with_next(rows: DataFrame, carry: list[str], rows_each: int = 2000) -> DataFrame:
+def with_next(rows: DataFrame, carry: list[str], add: Callable[[DataFrame], DataFrame], rows_each: int = 2000) -> DataFrame:
     """Adds next_<c> for each column c in carry: its value in the next row by descending doc_id, text; after the last comes the first.
 
-    Rows meet in ranges of ids (one shuffle); the last row of a range finds the first of the next range that has rows by a join of
-    one row per range. Those ranges' numbers are put in order in groups of 1024.
+    add makes columns of carry that rows doesn't have. Rows meet in ranges of ids (one shuffle); the last row of a range finds the
+    first of the next range that has rows by a join of one row per range. Those ranges' numbers are put in order in groups of 1024.
+    add runs once for each row, and once more for the first rows of ranges only, which are found before it.
     """
     ranged = rows.withColumn("_range", _ranges(rows, rows_each))
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").asc())
     whole = F.struct(*carry)
-    led = ranged.withColumn("_next", F.lead(whole).over(order)).withColumn("_row", F.row_number().over(order))
-    heads = led.filter("_row = 1").select(F.col("_range").alias("_of"), whole.alias("_head"))
+    made = add(ranged)
+    led = made.withColumn("_next", F.lead(whole).over(order))
+    heads = ranged.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+    heads = add(heads).select(F.col("_range").alias("_of"), whole.alias("_head"))
     ranges = ranged.groupBy("_range").agg(F.lit(1)).select("_range", F.floor(F.col("_range") / 1024).alias("_group"))
     groups = ranges.groupBy("_group").agg(F.max("_range").alias("_top"))
     down = Window.orderBy(F.col("_group").desc())
@@ -118,13 +122,13 @@ def with_next(rows: DataFrame, carry: list[str], rows_each: int = 2000) -> DataF
     follows = ranges.withColumn("_follows", F.lead("_range").over(within)).join(groups, "_group").select("_range", F.coalesce("_follows", "_after").alias("_of"))
     tails = follows.join(heads, "_of").select("_range", "_head")
     met = led.join(tails, "_range").withColumn("_next", F.when(F.col("_next").isNull(), F.col("_head")).otherwise(F.col("_next")))
-    return met.select(*rows.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in carry])
+    return met.select(*[c for c in made.columns if c != "_range"], *[F.col("_next")[c].alias(f"next_{c}") for c in carry])
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its text with the last third replaced by the start of the next document, both fingerprints, and the next one's."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    met = with_next(with_fingerprint(plain, "text", "print"), ["text", "print"])
+    met = with_next(plain, ["text", "print"], lambda rows: with_fingerprint(rows, "text", "print"))
     size = F.char_length("text")
     third = F.floor(size / 3).cast("int")
     edited = met.withColumn("edited", F.concat(F.left("text", size - third), F.left("next_text", third))).drop("next_text")
