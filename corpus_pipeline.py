@@ -1,11 +1,43 @@
-"""The corpus pipeline: toxicity, language, near-duplicates, mixing and tokenisation, one after the other over documents."""
+"""The corpus pipeline: toxicity, language, near-duplicates, mixing and tokenisation, one after the other over documents.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents. Rows that repeat an id
+are judged as one document: what a filter rejects goes with all its rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayline.llm import bpe, language, mixing, neardup, toxicity
+from wayline.llm.common import id_remainder, read, shared_folder
+from wayline.llm.pieces import path
+from wayline.llm.queries import digest
+
+#: A document is rejected from this score for toxicity on, and below this certainty of its language.
+TOXIC, UNSURE = 0.5, 0.3
+
+
+def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is in rejected; rows without an id stay."""
+    return docs.join(rejected.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
 
-from wayline.llm import mixing
-from wayline.llm.common import read, shared_folder
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score as toxic."""
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
+    return _keep(docs, toxicity.score(docs, model).filter(F.col("score") >= TOXIC))
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, or whose language no reading of their bytes makes likely."""
+    net = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
+    return _keep(docs, language.identify(docs, net).filter((F.col("lang_pred") == language.UND) | (F.col("score") < UNSURE)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each group of near-duplicates."""
+    return _keep(docs, neardup.near_duplicates(docs).filter("doc_id != component_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,15 +45,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.materialise(docs)
 
 
-STAGES = [("mixing", mix)]
-ORACLE_SQL = None  # the first stages score with fitted models
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids and decoded text of each document, as digests."""
+    words = path("word_bpe_49k.json")
+    return digest(bpe.decode(bpe.encode(docs, words), words))
+
+
+STAGES = [("toxicity", toxic), ("language", languages), ("near-duplicates", near_duplicates), ("mixing", mix), ("bpe", encode)]
+ORACLE_SQL = None  # the first two stages score with fitted models
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each on what its predecessor wrote."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        folder = shared_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)
