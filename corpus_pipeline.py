@@ -1,7 +1,6 @@
 """The corpus pipeline: toxicity, language, near-duplicates, mixing and tokenisation, one after the other over documents.
 
-Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents. Rows that repeat an id
-are judged as one document: what a filter rejects goes with all its rows.
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import bpe, language, mixing, neardup, toxicity
-from wayline.llm.common import id_remainder, read, shared_folder
+from wayline.llm.common import id_remainder, read, settle, shared_folder
+from wayline.llm.neardup import MOST_BROADCAST
 from wayline.llm.pieces import path
 from wayline.llm.queries import digest
 
@@ -18,26 +18,28 @@ from wayline.llm.queries import digest
 TOXIC, UNSURE = 0.5, 0.3
 
 
-def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without those whose doc_id is in rejected; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the ids in rejected, which are broadcast if they are few; rows without an id stay."""
+    ids = settle(rejected.select("doc_id").filter("doc_id is not null").distinct())
+    ids = F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic."""
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
-    return _keep(docs, toxicity.score(docs, model).filter(F.col("score") >= TOXIC))
+    return toxicity.score(docs, model).filter(F.col("score") < TOXIC).select("row.*")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, or whose language no reading of their bytes makes likely."""
     net = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
-    return _keep(docs, language.identify(docs, net).filter((F.col("lang_pred") == language.UND) | (F.col("score") < UNSURE)))
+    return language.identify(docs, net).filter((F.col("lang_pred") != language.UND) & (F.col("score") >= UNSURE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near-duplicates."""
-    return _keep(docs, neardup.near_duplicates(docs).filter("doc_id != component_id"))
+    return _without(docs, neardup.near_duplicates(docs).filter("doc_id != component_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
