@@ -39,3 +39,8 @@ def word_count(text: Column) -> Column:
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo divisor: the split between learning and held-out rows."""
     return F.crc32(doc_id.cast("string")) % F.lit(divisor)
+
+
+def carrying(docs: DataFrame, *extra: Column) -> DataFrame:
+    """(row, doc_id, text, ...): the whole row as a struct beside what an operator reads, so that names can't clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.bytetext import joined, slices
+from wayline.llm.common import carrying
 from wayline.llm.samples import some_rows
 
 UND = "und"
@@ -169,7 +170,7 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """(doc_id, lang_pred, score, labelled) of every document; labelled counts the bytes given to each language, in the network's order."""
+    """(row, doc_id, lang_pred, score, labelled) of every document; row is all its columns, labelled counts the bytes given to each language, in the network's order."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +184,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                 best, score = np.array(net.languages, object)[prob.argmax(1)], np.clip(prob.max(1), 0, 1)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(speaks) + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.where(speaks, best, UND).tolist(), pa.string()), pa.array(np.where(speaks, score, 0.0)), rows], names=["doc_id", "lang_pred", "score", "labelled"]
+                [batch.column("row"), batch.column("doc_id"), pa.array(np.where(speaks, best, UND).tolist(), pa.string()), pa.array(np.where(speaks, score, 0.0)), rows], names=["row", "doc_id", "lang_pred", "score", "labelled"]
             )
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("speaks"))
-    return plain.mapInArrow(labels, "doc_id bigint, lang_pred string, score double, labelled array<bigint>")
+    given = carrying(docs, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("speaks"))
+    return given.mapInArrow(labels, given.select("row", "doc_id").schema.add("lang_pred", "string").add("score", "double").add("labelled", "array<bigint>"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
+from wayline.llm.common import carrying
 from wayline.llm.samples import labelled
 
 BITS = 20
@@ -88,7 +89,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = MOST_
 
 
 def score(docs: DataFrame, model: Weights) -> DataFrame:
-    """(doc_id, score) of every document; the model's short list of weights is broadcast."""
+    """(row, doc_id, score) of every document, row being all its columns; the model's short list of weights is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +102,7 @@ def score(docs: DataFrame, model: Weights) -> DataFrame:
             known = np.flatnonzero(dense[at])
             key = np.unique((text[known] << BITS) | at[known])
             z = m.bias + np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["row", "doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(scored, "doc_id bigint, score double")
+    given = carrying(docs)
+    return given.mapInArrow(scored, given.select("row", "doc_id").schema.add("score", "double"))
