@@ -188,9 +188,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, least_estimate: float =
     placed = settle(classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "registers", F.coalesce("component", "rep").alias("component")))
     spread = placed.select("component", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
     mixed_ = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "size")
-    wide = placed.select("rep", "n", "registers", "component", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
+    narrow = placed.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
+    dealt = blocks(narrow, settle(mixed_), "rep").join(placed, "rep")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rest = settle(map_groups(blocks(wide, settle(mixed_), "rep"), lambda t: _pairs_of_block(t, percent, least_estimate), "a bigint, b bigint", pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = map_groups(dealt, lambda t: _pairs_of_block(t, percent, least_estimate), "a bigint, b bigint", pair)
+    rest = settle(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     parts = components(first.union(_verified(plain, rest, percent)))
 
     of_class = classes.select("s1", "s2", "n", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
