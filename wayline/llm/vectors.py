@@ -130,7 +130,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     codes = settle(classes.withColumn("label", F.xxhash64("label")).select("rep", "copies", "embedding", "label").mapInArrow(coded, "rep bigint, copies bigint, vector binary, keys binary, in_buckets array<bigint>"))
     members = codes.select(F.explode("in_buckets").alias("key"), "rep")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = blocks(codes.select("rep", "copies", "vector", "keys", F.explode("in_buckets").alias("key")), sizes, "rep")
+    dealt = blocks(members, sizes, "rep").join(codes.select("rep", "copies", "vector", "keys"), "rep")
     found = settle(map_groups(dealt, lambda t: linked(t, least), "rep bigint, links bigint, root bigint", pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])))
     parts = components(found.filter("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
