@@ -320,7 +320,7 @@ def routes(ways: DataFrame, eps: float = 3.0) -> DataFrame:
 
     def thin(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lines = [simplified(np.column_stack([x, y]), eps) for x, y in zip(pdf.xs, pdf.ys, strict=True)]
+            lines = [simplified(np.column_stack([x, y]), eps) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)]
             yield pdf.assign(xs=[p[:, 0] for p in lines], ys=[p[:, 1] for p in lines])
 
     def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,7 +329,7 @@ def routes(ways: DataFrame, eps: float = 3.0) -> DataFrame:
             if (stream, profile) != now:
                 yield shown(now, known)
                 now, known = (stream, profile), []
-            for xs, ys, ts in zip(g.xs, g.ys, g.lost_ts_ms, strict=True):
+            for xs, ys, ts in zip(g["xs"], g["ys"], g["lost_ts_ms"], strict=True):
                 ends = np.array([[xs[0], ys[0]], [xs[-1], ys[-1]]])
                 gap = lambda r, e: np.hypot(*(r["ends"] - e).T).sum()
                 hit = next((r for r in known if min(gap(r, ends), gap(r, ends[::-1])) <= near), None)
