@@ -39,17 +39,18 @@ def source_targets(source_sizes: DataFrame, weights=WEIGHTS, ratio: float = 1.5,
     return levelled.withColumn("target", F.least(F.col("capacity").cast("double"), F.col("weight") * final)).select("source_key", "source_size", "target")
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights=WEIGHTS, ratio: float = 1.5, most_epochs: int = 2, seed: str = "mix", bucket_digits: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document, with the columns named in carry.
+def mix(docs: DataFrame, whole: bool = False, weights=WEIGHTS, ratio: float = 1.5, most_epochs: int = 2, seed: str = "mix", bucket_digits: int = 3) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document, and as row, if whole rows are asked for, all its columns.
 
     Two shuffles by (source, bucket), neither of which a large source can make uneven: one of sums per bucket, and one of the
-    rows themselves, which hold no text unless carry asks for it.
+    rows themselves, which hold no text unless whole rows are asked for.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
     sized = docs.select(
-        "doc_id", *carry, word_count(F.col("text")).alias("_size"), key.alias("_key"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key")
+        "doc_id", *row, word_count(F.col("text")).alias("_size"), key.alias("_key"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key")
     ).withColumn("_bucket", F.substring("_key", 1, bucket_digits))
-    if not carry:
+    if not whole:
         sized = settle(sized)
 
     sums = sized.groupBy("source_key", "_bucket").agg(F.sum("_size").alias("_in_bucket"))
@@ -66,7 +67,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights=WEIGHTS, ratio: fl
     placed = sized.withColumn("_before", F.coalesce(F.sum("_size").over(in_bucket), F.lit(0))).join(buckets, ["source_key", "_bucket"])
     part = F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_before_bucket") - F.col("_before")))
     taken = F.col("_size") * F.col("_epochs") + part
-    return placed.select("doc_id", *carry, F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", *["row"] * whole, F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def materialise(docs: DataFrame, **how) -> DataFrame:
@@ -74,13 +75,11 @@ def materialise(docs: DataFrame, **how) -> DataFrame:
 
     A document of which nothing is taken has no row. Only the one document that holds a source's cut loses words.
     """
-    rest = [c for c in docs.columns if c != "doc_id"]
-    mixed = mix(docs, tuple(rest), **how).filter("taken > 0")
+    mixed = mix(docs, whole=True, **how).filter("taken > 0")
     times = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     words = F.least(F.col("size"), F.col("taken") - F.col("_copy") * F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words), "")
-    text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
-    out = times.withColumn("text", text)
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.col("row.text")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words), "")
+    shown = times.withColumn("_text", F.when(words < F.col("size"), cut).otherwise(text))
+    made = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
+    return shown.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns])
