@@ -5,12 +5,12 @@ Every function takes and returns DataFrames. Observations are unique per (stream
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wayline.functions import geometry as G
 from wayline.functions import rule_json as R
-from wayline.operators.sequence import gated, with_previous, with_running_sum
+from wayline.operators.sequence import SPAN, gated, with_running_sum
 
 P = ["stream_id", "profile"]
 T = [*P, "track_id"]
@@ -19,17 +19,48 @@ ROWS, COLS, HALF_LIFE_S = 36, 64, 900.0
 MOST_RULES = 100_000
 
 
+def track_order() -> WindowSpec:
+    """The observations of a track in order: a track lives for a while only, so it is what windows work on."""
+    return Window.partitionBy(*T).orderBy("frame_id")
+
+
 def broadcast_if_small(small: DataFrame, most: int = MOST_RULES) -> DataFrame:
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
-def frames(obs: DataFrame) -> DataFrame:
-    """One row per frame of a stream, with delta_s: the time since the frame before, by media time, else by clock, within 0 to 1 s."""
+def frames(obs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The frames of each stream with their clock.
+
+    delta_s is the time since the frame before, by media time, else by receive time, within 0 to 1 s; clock_s is its running sum,
+    frame_no counts from 1; prev_frame_id, next_frame_id and next_ts_ms are of the neighbours. A stream's frames are cut into spans of
+    ids: windows work within a span, and one row per span carries over what the next one needs, so a busy stream is no busy task.
+    """
     seen = obs.groupBy(*P, "frame_id").agg(F.max("pts_ns").alias("pts_ns"), F.max("ts_ms").alias("ts_ms"), F.max("width").alias("width"), F.max("height").alias("height"))
-    met = with_previous(seen, P, "frame_id", ["pts_ns", "ts_ms", "frame_id"])
-    pts, ts = F.col("pts_ns") - F.col("prev_pts_ns"), F.col("ts_ms") - F.col("prev_ts_ms")
-    delta = F.when(pts > 0, pts.cast("double") / 1e9).when(ts > 0, ts.cast("double") / 1e3).otherwise(0.0)
-    return met.withColumn("delta_s", F.least(F.greatest(delta, F.lit(0.0)), F.lit(1.0))).drop("prev_pts_ns", "prev_ts_ms")
+    spanned = seen.withColumn("_span", F.floor(F.col("frame_id") / span))
+    order = Window.partitionBy(*P, "_span").orderBy("frame_id")
+    row = F.struct("pts_ns", "ts_ms", "frame_id")
+
+    def delta(now: Column, before: Column) -> Column:
+        pts, ts = now["pts_ns"] - before["pts_ns"], now["ts_ms"] - before["ts_ms"]
+        return F.least(F.when(pts > 0, pts.cast("double") / 1e9).when(ts > 0, ts.cast("double") / 1e3).otherwise(0.0), F.lit(1.0))
+
+    near = spanned.withColumns({"_row": row, "_before": F.lag(row).over(order), "_after": F.lead(row).over(order), "_place": F.row_number().over(order)})
+    near = near.withColumn("_delta", F.when(F.col("_before").isNotNull(), delta(F.col("_row"), F.col("_before"))))
+    near = near.withColumn("_run", F.coalesce(F.sum("_delta").over(order), F.lit(0.0)))
+    spans = near.groupBy(*P, "_span").agg(F.min_by("_row", "frame_id").alias("_first"), F.max_by("_row", "frame_id").alias("_last"), F.max("_place").alias("_n"), F.max("_run").alias("_sum"))
+    across = Window.partitionBy(*P).orderBy("_span")
+    upto = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("_ahead", F.lag("_last").over(across)).withColumn("_gap", F.when(F.col("_ahead").isNotNull(), delta(F.col("_first"), F.col("_ahead"))).otherwise(0.0))
+    carried = carried.select(
+        *P, "_span", "_ahead", "_gap", F.lead("_first").over(across).alias("_behind"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_n0"),
+        (F.coalesce(F.sum(F.col("_sum") + F.col("_gap")).over(upto), F.lit(0.0)) + F.col("_gap")).alias("_s0"),
+    )
+    met = near.join(carried, [*P, "_span"])
+    before, after = F.coalesce("_before", "_ahead"), F.coalesce("_after", "_behind")
+    return met.select(
+        *P, "frame_id", "pts_ns", "ts_ms", "width", "height", before["frame_id"].alias("prev_frame_id"), after["frame_id"].alias("next_frame_id"), after["ts_ms"].alias("next_ts_ms"),
+        F.coalesce("_delta", "_gap").alias("delta_s"), (F.col("_run") + F.col("_s0")).alias("clock_s"), (F.col("_place") + F.col("_n0")).alias("frame_no"),
+    )
 
 
 def with_foot(obs: DataFrame) -> DataFrame:
@@ -40,7 +71,7 @@ def with_foot(obs: DataFrame) -> DataFrame:
 def observations(obs: DataFrame) -> DataFrame:
     """Observations with foot, the frame's delta_s, and the same track's observation before (prev_*)."""
     timed = with_foot(obs).join(frames(obs).select(*P, "frame_id", "delta_s"), [*P, "frame_id"])
-    return with_previous(timed, T, "frame_id", ["foot_x", "foot_y", "ts_ms", "frame_id"])
+    return timed.withColumns({f"prev_{c}": F.lag(c).over(track_order()) for c in ("foot_x", "foot_y", "ts_ms")})
 
 
 def segments(obs: DataFrame) -> DataFrame:
@@ -89,14 +120,11 @@ def line_events(obs: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def numbered(obs: DataFrame) -> DataFrame:
-    """Observations with the frame's number in its stream, the frame after (next_*), and the number of the track's episode."""
-    seen = frames(obs)
-    counted = with_running_sum(seen.select(*P, "frame_id", "ts_ms", "prev_frame_id"), P, "frame_id", F.lit(1), "frame_no")
-    after = counted.filter("prev_frame_id is not null").select(*P, F.col("prev_frame_id").alias("frame_id"), F.col("frame_id").alias("next_frame_id"), F.col("ts_ms").alias("next_ts_ms"))
-    placed = with_foot(obs).join(counted.select(*P, "frame_id", "frame_no").join(after, [*P, "frame_id"], "left"), [*P, "frame_id"])
-    met = with_previous(placed, T, "frame_id", ["frame_no"])
+    """Observations with the frame's number in its stream, the frame after (next_*), the foot before (prev_*) and the number of the track's episode."""
+    placed = with_foot(obs).join(frames(obs).select(*P, "frame_id", "frame_no", "next_frame_id", "next_ts_ms"), [*P, "frame_id"])
+    met = placed.withColumns({f"prev_{c}": F.lag(c).over(track_order()) for c in ("foot_x", "foot_y", "frame_no")})
     opens = F.when(F.col("prev_frame_no").isNull() | (F.col("frame_no") - F.col("prev_frame_no") > 1), 1).otherwise(0)
-    return with_running_sum(met.withColumn("opens", opens), T, "frame_id", F.col("opens"), "episode")
+    return met.withColumn("opens", opens).withColumn("episode", F.sum("opens").over(track_order()))
 
 
 def episodes(obs: DataFrame) -> DataFrame:
@@ -120,28 +148,35 @@ def area_events(obs: DataFrame, rules: DataFrame) -> DataFrame:
     episode; a stay that is open at the end of the data has no exit.
     """
     keys = [*T, "rule_id"]
-    by_track = Window.partitionBy(*keys, "episode").orderBy("frame_id")
-    seen = area_inside(obs, rules).withColumn("was", F.coalesce(F.lag("inside").over(by_track), F.lit(False))).withColumn("is_last", F.lead("frame_id").over(by_track).isNull())
-    seen = seen.withColumn("enters", (F.col("inside") & ~F.col("was")).cast("int"))
-    seen = with_running_sum(seen, keys, "frame_id", F.col("enters"), "stay")
+    episode = Window.partitionBy(*keys, "episode").orderBy("frame_id")
+    seen = area_inside(obs, rules).withColumns({"was": F.coalesce(F.lag("inside").over(episode), F.lit(False)), "is_last": F.lead("frame_id").over(episode).isNull()})
+    enters = F.col("inside") & ~F.col("was")
+    seen = seen.withColumn("stay", F.sum(enters.cast("int")).over(Window.partitionBy(*keys).orderBy("frame_id")))
     stay = Window.partitionBy(*keys, "stay")
-    inside = seen.filter(F.col("inside") | F.col("was")).withColumn("entered", F.min(F.when(F.col("enters") == 1, F.col("ts_ms"))).over(stay))
+    inside = seen.filter(F.col("inside") | F.col("was")).withColumn("entered", F.min(F.when(enters, F.col("ts_ms"))).over(stay))
     spent = lambda ts: F.greatest(F.lit(0.0), (F.col(ts) - F.col("entered")).cast("double") / 1000)
-    base = [*keys, "episode", "stay", "foot_x", "foot_y", "threshold_s"]
-    enter = inside.filter("enters = 1").select(*base, F.lit("area_enter").alias("kind"), "frame_id", "ts_ms", F.lit(None).cast("double").alias("dwell_s"))
-    over = inside.filter("inside and was and threshold_s is not null").withColumn("dwell_s", spent("ts_ms")).filter("dwell_s >= threshold_s")
-    first = over.withColumn("_n", F.row_number().over(stay.orderBy("frame_id"))).filter("_n = 1").select(*base, F.lit("area_dwell_threshold").alias("kind"), "frame_id", "ts_ms", "dwell_s")
-    left = inside.filter("was and not inside").select(*base, F.lit("area_exit").alias("kind"), "frame_id", "ts_ms", spent("ts_ms").alias("dwell_s"))
-    lost = inside.filter("inside and is_last and next_frame_id is not null").select(*base, F.lit("area_exit").alias("kind"), F.col("next_frame_id").alias("frame_id"), F.col("next_ts_ms").alias("ts_ms"), spent("next_ts_ms").alias("dwell_s"))
-    exits = with_running_sum(left.union(lost), keys, "stay", F.col("dwell_s"), "total_dwell_s")
-    none = F.lit(None).cast("double").alias("total_dwell_s")
-    out = enter.select("*", none).union(first.select("*", none)).union(exits)
-    return out.select(*keys, "kind", "frame_id", "ts_ms", "foot_x", "foot_y", F.round("dwell_s", 3).alias("dwell_s"), F.round("total_dwell_s", 3).alias("total_dwell_s"))
+    long = F.col("inside") & F.col("was") & (spent("ts_ms") >= F.col("threshold_s"))
+    left, lost = F.col("was") & ~F.col("inside"), F.col("inside") & F.col("is_last") & F.col("next_frame_id").isNotNull()
+    inside = inside.withColumns({"long_before": F.coalesce(F.max(long.cast("int")).over(stay.orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "exit_s": F.when(left, spent("ts_ms")).when(lost, spent("next_ts_ms"))})
+    inside = inside.withColumn("total", F.sum("exit_s").over(Window.partitionBy(*keys).orderBy("frame_id")))
+    none = F.lit(None).cast("double")
+
+    def event(when: Column, kind: str, frame: str, ts: str, dwell: Column, total: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(frame).alias("frame_id"), F.col(ts).alias("ts_ms"), F.round(dwell, 3).alias("dwell_s"), F.round(total, 3).alias("total_dwell_s")))
+
+    found = F.array(
+        event(enters, "area_enter", "frame_id", "ts_ms", none, none),
+        event(long & (F.col("long_before") == 0), "area_dwell_threshold", "frame_id", "ts_ms", spent("ts_ms"), none),
+        event(left, "area_exit", "frame_id", "ts_ms", F.col("exit_s"), F.col("total")),
+        event(lost, "area_exit", "next_frame_id", "next_ts_ms", F.col("exit_s"), F.col("total")),
+    )
+    out = inside.select(*keys, "foot_x", "foot_y", F.explode(F.array_compact(found)).alias("e"))
+    return out.select(*keys, "e.kind", "e.frame_id", "e.ts_ms", "foot_x", "foot_y", "e.dwell_s", "e.total_dwell_s")
 
 
 def heatmap(obs: DataFrame, rows: int = ROWS, cols: int = COLS, half_life_s: float = HALF_LIFE_S) -> DataFrame:
     """Seconds spent per cell, each halved for every half-life that passed since: a sum of powers instead of a pass over frames."""
-    clock = with_running_sum(frames(obs), P, "frame_id", F.col("delta_s"), "clock_s")
+    clock = frames(obs)
     ends = clock.groupBy(*P).agg(F.max("clock_s").alias("end_s"))
     cell = G.grid_cell(F.col("foot_x"), F.col("foot_y"), F.col("width"), F.col("height"), rows, cols)
     placed = with_foot(obs).select(*P, "frame_id", cell.alias("cell")).join(clock.select(*P, "frame_id", "delta_s", "clock_s"), [*P, "frame_id"]).filter("cell is not null and delta_s > 0")
@@ -188,8 +223,7 @@ def recent_events(events: DataFrame, most: int = 25) -> DataFrame:
 
 def route_points(obs: DataFrame, eps: float = 3.0, most: int = 256) -> DataFrame:
     """The way of each episode: its first foot (or, after a loss, the last one before it), then each foot at least eps from the one before; the last `most`."""
-    n = numbered(obs)
-    met = with_previous(n, T, "frame_id", ["foot_x", "foot_y"])
+    met = numbered(obs)
     far = G.distance(F.col("prev_foot_x"), F.col("prev_foot_y"), F.col("foot_x"), F.col("foot_y")) >= max(1.0, eps)
     pt = lambda x, y, at: F.struct(at.alias("at"), F.col(x).alias("x"), F.col(y).alias("y"))
     first = F.when(F.col("opens") == 1, F.when(F.col("prev_foot_x").isNull(), pt("foot_x", "foot_y", F.col("frame_id") * 2)).otherwise(pt("prev_foot_x", "prev_foot_y", F.col("frame_id") * 2)))

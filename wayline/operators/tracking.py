@@ -324,20 +324,23 @@ def routes(ways: DataFrame, eps: float = 3.0) -> DataFrame:
             yield pdf.assign(xs=[p[:, 0] for p in lines], ys=[p[:, 1] for p in lines])
 
     def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, known = None, []
+        now, known, ends = None, [], np.zeros((64, 4))
         for (stream, profile, _, _), g in runs(batches, ["stream_id", "profile", "lost_frame_id", "track_id"]):
             if (stream, profile) != now:
                 yield shown(now, known)
                 now, known = (stream, profile), []
             for xs, ys, ts in zip(g["xs"], g["ys"], g["lost_ts_ms"], strict=True):
-                ends = np.array([[xs[0], ys[0]], [xs[-1], ys[-1]]])
-                gap = lambda r, e: np.hypot(*(r["ends"] - e).T).sum()
-                hit = next((r for r in known if min(gap(r, ends), gap(r, ends[::-1])) <= near), None)
-                if hit is None:
-                    known.append({"ends": ends, "points": list(zip(xs, ys, strict=True)), "support": 1, "seen": int(ts)})
+                there, back = np.array([xs[0], ys[0], xs[-1], ys[-1]]), np.array([xs[-1], ys[-1], xs[0], ys[0]])
+                off = lambda e: np.hypot(*(ends[: len(known), :2] - e[:2]).T) + np.hypot(*(ends[: len(known), 2:] - e[2:]).T)
+                hits = np.flatnonzero(np.minimum(off(there), off(back)) <= near)
+                if len(hits):
+                    known[hits[0]]["support"] += 1
+                    known[hits[0]]["seen"] = int(ts)
                 else:
-                    hit["support"] += 1
-                    hit["seen"] = int(ts)
+                    if len(known) == len(ends):
+                        ends = np.concatenate([ends, np.zeros_like(ends)])
+                    ends[len(known)] = there
+                    known.append({"points": list(zip(xs, ys, strict=True)), "support": 1, "seen": int(ts)})
         yield shown(now, known)
 
     def shown(now: tuple | None, known: list[dict]) -> pd.DataFrame:

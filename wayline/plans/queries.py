@@ -134,7 +134,7 @@ def route_points(spark, d):
 @query
 def routes_clustered(spark, d):
     routes = tracking.routes(A.route_points(X.track_obs(spark, d)))
-    return routes.filter(F.col("support") >= 3)
+    return routes.withColumn("shown", F.col("support") >= 3)
 
 
 @query
