@@ -44,22 +44,20 @@ def sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     at = within(bounds, width - 1)
     rolled = np.zeros(len(at), np.uint64)
     for k in range(width):
-        rolled = mixed(rolled * np.uint64(0x9FB21C651E98DF25) + h[at + k])
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[at]
-    short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < width))
-    few = np.zeros(len(short), np.uint64)
-    for i, k in enumerate(short):
-        value = np.full(1, 0x51ED270B, np.uint64)
-        for word in h[bounds[k] : bounds[k + 1]]:
-            value = mixed(value * np.uint64(0xA24BAED4963EE407) + word)
-        few[i] = value[0]
-    text, rolled = np.concatenate([text, short]), np.concatenate([rolled, few])
-    order = np.lexsort((rolled, text))
-    text, rolled = text[order], rolled[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (rolled[1:] != rolled[:-1])
-    text, rolled = text[new], rolled[new]
-    return rolled, np.searchsorted(text, np.arange(len(bounds)))
+        rolled = (rolled ^ h[at + k]) * np.uint64(0x9FB21C651E98DF25)
+        rolled ^= rolled >> np.uint64(29)
+    words = np.diff(bounds)
+    upto = np.append(0, np.cumsum(np.maximum(words - width + 1, 0)))
+    out = []
+    for k, n in enumerate(words.tolist()):
+        if n >= width:
+            out.append(np.unique(rolled[upto[k] : upto[k + 1]]))
+        else:
+            value = np.full(min(n, 1), 0x51ED270B, np.uint64)
+            for word in h[bounds[k] : bounds[k + 1]]:
+                value = mixed(value * np.uint64(0xA24BAED4963EE407) + word)
+            out.append(value)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.append(0, np.cumsum([len(x) for x in out])).astype(np.int64)
 
 
 def sketch(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -119,17 +117,29 @@ def _pairs_of_block(table: pa.Table, percent: int, least: float) -> pa.Table | N
     first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
     left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
     registers = matrix(table.column("registers"), "<u2")
-    found = []
+    found: list[np.ndarray] = []
     for i in left:
         j = right[(comps[right] != comps[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
         if first == second:
             j = j[reps[j] > reps[i]]
         if len(j):
-            j = j[(registers[j] == registers[i]).mean(1) >= least - 0.05]
+            equal = (registers[j] == registers[i]).sum(1)
+            j, equal = j[equal >= (least - 0.05) * registers.shape[1]], equal[equal >= (least - 0.05) * registers.shape[1]]
         if len(j):
-            like = likelihood_jaccard(np.broadcast_to(registers[i], (len(j), registers.shape[1])), registers[j], np.full(len(j), float(sizes[i])), sizes[j].astype(float))
-            found += [(reps[i], k) for k in reps[j[like >= least]]]
-    return pa.table({"a": [int(x) for x, _ in found], "b": [int(y) for _, y in found]}) if found else None
+            above = (registers[i] > registers[j]).sum(1)
+            found.append(np.column_stack([np.full(len(j), reps[i]), reps[j], np.full(len(j), sizes[i]), sizes[j], above, equal]))
+    return pa.table(dict(zip(PAIR.names, np.concatenate(found).T.astype(np.int64), strict=True))) if found else None
+
+
+PAIR = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_a", "n_b", "above", "equal")])
+
+
+def _likely_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose likeness by maximum likelihood is at least `least`, a whole batch at once."""
+    for batch in batches:
+        n_a, n_b, above, equal = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "above", "equal"))
+        like = jaccard_of_counts(above, REGISTERS - above - equal, equal, n_a.astype(float), n_b.astype(float))
+        yield batch.select(["a", "b"]).filter(pa.array(like >= least))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -190,9 +200,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, least_estimate: float =
     mixed_ = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "size")
     narrow = placed.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
     dealt = blocks(narrow, settle(mixed_), "rep").join(placed, "rep")
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    found = map_groups(dealt, lambda t: _pairs_of_block(t, percent, least_estimate), "a bigint, b bigint", pair)
-    rest = settle(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = map_groups(dealt, lambda t: _pairs_of_block(t, percent, least_estimate), ", ".join(f"{c} bigint" for c in PAIR.names), PAIR)
+    once = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in PAIR.names[2:]])
+    likely = once.mapInArrow(lambda batches: _likely_pairs(batches, least_estimate), "a bigint, b bigint")
+    rest = settle(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     parts = components(first.union(_verified(plain, rest, percent)))
 
     of_class = classes.select("s1", "s2", "n", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
