@@ -312,6 +312,17 @@ def test_registers_merge_and_estimate():
     assert abs(like - 1200 / 1800) < 0.12
 
 
+def test_counts_and_tests_of_pairs_agree_with_plain_ones():
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(60, size=n, dtype=np.uint64)) for n in (1, 20, 40, 80, 120, 120)]
+    assert (neardup.common(sets[:3], sets[3:], width=7) == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3]]).all()
+    equal = rng.integers(1, neardup.REGISTERS, size=500)
+    above = (rng.random(500) * (neardup.REGISTERS - equal)).astype(np.int64)
+    n_a, n_b = rng.integers(80, 101, size=(2, 500)).astype(float)
+    whole = neardup.jaccard_of_counts(above, neardup.REGISTERS - above - equal, equal, n_a, n_b)
+    assert (neardup.alike_enough(above, equal, n_a, n_b, 0.6) == (whole >= 0.6)).all()
+
+
 # 9
 
 

@@ -7,8 +7,9 @@ give their likeness by maximum likelihood; what that leaves is verified on the f
 
 Equal sets are one class. In a first round every class is compared with one other, the least class that it meets in most bands, which
 joins large groups of copies at a cost that grows with their size only. The second round looks at every bucket whose classes are
-not yet all of one component and compares all its pairs from different components, block by block, so no link between components
-is lost that the bands can show (with 32 bands of 4, sets with 80 of 100 shingles in common share none in one case of 10**7).
+not yet all of one component and compares its classes from different components block by block: those with a likely partner there
+meet again with their full sets, and each leaves with one class that its links reach. Pairs never leave a block, and no link between
+components is lost that the bands can show (with 32 bands of 4, sets with 80 of 100 shingles in common share none in one case of 10**7).
 
 Defined cases: null and empty text, and text without words, has the empty set and links with nothing; a text of fewer than WIDTH
 words has one shingle, the whole of it; rows that repeat an id are one document with several texts; null ids link with nothing; an
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
 from wayline.llm.common import settle, shared_folder
-from wayline.llm.graph import blocks, components, map_groups, matrix
+from wayline.llm.graph import blocks, components, map_groups, matrix, roots
 
 WIDTH, REGISTERS, BAND, BASE = 4, 128, 4, 1.001
 #: A word of the contract: anything but blank, tab, LF, VT, FF, CR.
@@ -36,6 +37,8 @@ _FLIP = _RNG.integers(1 << 32, size=REGISTERS, dtype=np.uint32)
 _TIMES = _RNG.integers(1 << 31, size=REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Ids that may be broadcast, of 8 bytes each.
 MOST_BROADCAST = 1_000_000
+#: A set of more shingles counts as several members when a bucket is cut into blocks, which bounds a block's bytes.
+LONG = 2048
 
 
 def sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +83,18 @@ def likelihood_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return jaccard_of_counts(above, below, a.shape[1] - above - below, n_a, n_b)
 
 
+def _log_likelihood(j: float, above: np.ndarray, below: np.ndarray, equal: np.ndarray, u: np.ndarray) -> np.ndarray:
+    p = lambda x: np.maximum(-np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE), 1e-9)
+    up, down = p(u - (1 - u) * j), p(1 - u - u * j)
+    return above * np.log(up) + below * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-9))
+
+
 def jaccard_of_counts(above: np.ndarray, below: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     u = n_a / (n_a + n_b)
     v = 1 - u
     best, like = np.full(len(u), -np.inf), np.zeros(len(u))
-    p = lambda x: np.maximum(-np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE), 1e-9)
     for j in np.arange(0, 101) / 100:
-        up, down = p(u - v * j), p(v - u * j)
-        score = above * np.log(up) + below * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-9))
-        score = np.where(j <= np.minimum(u / v, v / u) + 0.005, score, -np.inf)
+        score = np.where(j <= np.minimum(u / v, v / u) + 0.005, _log_likelihood(j, above, below, equal, u), -np.inf)
         like = np.where(score > best, j, like)
         best = np.maximum(best, score)
     return like
@@ -110,41 +116,66 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.array(registers, pa.binary())], names=["doc_id", "n", "s1", "s2", "registers"])
 
 
-def _pairs_of_block(table: pa.Table, percent: int, least: float) -> pa.Table | None:
-    """Pairs of a group from different components whose sizes and registers allow a link."""
-    reps, comps, sizes = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
-    part = table.column("part").to_numpy()
-    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+def alike_enough(above: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the most likely likeness of each pair is at least `least`: the likelihood has one top, so it must still rise there."""
+    below, u = REGISTERS - above - equal, n_a / (n_a + n_b)
+    return _log_likelihood(least, above, below, equal, u) >= _log_likelihood(least - 0.01, above, below, equal, u)
+
+
+def _likely_members(table: pa.Table, percent: int, least: float) -> pa.Table | None:
+    """The members of a block that have a likely partner in it, of another component, and no earlier band in common with it."""
+    reps, comps, sizes, part = (table.column(c).to_numpy() for c in ("rep", "component", "n", "part"))
+    first, second, band = (table.column(c)[0].as_py() for c in ("first", "second", "band"))
     left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
-    registers = matrix(table.column("registers"), "<u2")
-    found: list[np.ndarray] = []
+    registers, hit = matrix(table.column("registers"), "<u2"), np.zeros(len(reps), bool)
     for i in left:
         j = right[(comps[right] != comps[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
         if first == second:
             j = j[reps[j] > reps[i]]
-        if len(j):
-            equal = (registers[j] == registers[i]).sum(1)
-            j, equal = j[equal >= (least - 0.05) * registers.shape[1]], equal[equal >= (least - 0.05) * registers.shape[1]]
-        if len(j):
-            above = (registers[i] > registers[j]).sum(1)
-            found.append(np.column_stack([np.full(len(j), reps[i]), reps[j], np.full(len(j), sizes[i]), sizes[j], above, equal]))
-    return pa.table(dict(zip(PAIR.names, np.concatenate(found).T.astype(np.int64), strict=True))) if found else None
-
-
-PAIR = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_a", "n_b", "above", "equal")])
-
-
-def _likely_pairs(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs whose likeness by maximum likelihood is at least `least`, a whole batch at once."""
-    for batch in batches:
-        n_a, n_b, above, equal = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "above", "equal"))
-        like = jaccard_of_counts(above, REGISTERS - above - equal, equal, n_a.astype(float), n_b.astype(float))
-        yield batch.select(["a", "b"]).filter(pa.array(like >= least))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. Sets are made anew from the texts of the documents that occur in pairs."""
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        same = registers[j] == registers[i]
+        ours = same.reshape(len(j), REGISTERS // BAND, BAND).all(2).argmax(1) == band
+        j, equal = j[ours], same[ours].sum(1)
+        j = j[alike_enough((registers[i] > registers[j]).sum(1), equal, sizes[i], sizes[j], least)]
+        hit[j] = True
+        hit[i] |= len(j) > 0
+    return table.select(MEMBER.names).filter(pa.array(hit))
+
+
+MEMBER = pa.schema([("key", pa.int64()), ("first", pa.int32()), ("second", pa.int32()), ("part", pa.int32()), ("rep", pa.int64())])
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, as a matrix; `width` shared elements at a time."""
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, code, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    rows, code = rows[counts[code] > 1], (np.cumsum(counts > 1) - 1)[code[counts[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    rows, code = rows[order], code[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        x, y = np.searchsorted(code, [at, at + width])
+        held = np.zeros((len(left) + len(right), width), np.float32)
+        held[rows[x:y], code[x:y] - at] = 1
+        both += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return both
+
+
+def _links_of_block(table: pa.Table, percent: int) -> pa.Table | None:
+    """(a, b): members of a block, each with one that stands for all that links on full sets reach from it within the block."""
+    reps, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
+    sets_ = [np.frombuffer(x, "<u8") for x in table.column("set").to_pylist()]
+    sizes = np.array([len(x) for x in sets_])
+    left, right = np.flatnonzero(part == table.column("first")[0].as_py()), np.flatnonzero(part == table.column("second")[0].as_py())
+    both = common([sets_[i] for i in left], [sets_[j] for j in right])
+    a, b = np.nonzero(100 * both >= percent * (sizes[left][:, None] + sizes[right] - both))
+    root = roots(len(reps), left[a], right[b])
+    some = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": reps[root[some]], "b": reps[some]})
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, set) of the documents whose ids are given, made anew from their texts."""
+    wanted = settle(ids.distinct())
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
 
@@ -153,7 +184,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             hashes, bounds = sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
 
-    whole = settle(docs.join(wanted, "doc_id", "left_semi").mapInArrow(made, "doc_id bigint, set binary"))
+    return settle(docs.join(wanted, "doc_id", "left_semi").mapInArrow(made, "doc_id bigint, set binary"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
+    whole = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,15 +232,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, least_estimate: float =
     first = _verified(plain, settle(sized.mapInArrow(likely, "a bigint, b bigint")), percent)
     parts = components(first)
     placed = settle(classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "registers", F.coalesce("component", "rep").alias("component")))
-    spread = placed.select("component", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
-    mixed_ = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "size")
-    narrow = placed.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
+    spread = placed.select("component", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"), F.greatest(F.lit(1.0), F.col("n") / LONG).alias("weight"))
+    mixed_ = spread.groupBy("key").agg(F.sum("weight").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "size")
+    narrow = placed.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("band", "key"))
     dealt = blocks(narrow, settle(mixed_), "rep").join(placed, "rep")
-    found = map_groups(dealt, lambda t: _pairs_of_block(t, percent, least_estimate), ", ".join(f"{c} bigint" for c in PAIR.names), PAIR)
-    once = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in PAIR.names[2:]])
-    likely = once.mapInArrow(lambda batches: _likely_pairs(batches, least_estimate), "a bigint, b bigint")
-    rest = settle(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    parts = components(first.union(_verified(plain, rest, percent)))
+    of_blocks = settle(map_groups(dealt, lambda t: _likely_members(t, percent, least_estimate), "key bigint, first int, second int, part int, rep bigint", MEMBER))
+    whole = _full_sets(plain, of_blocks.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    second = map_groups(of_blocks.join(whole, "rep"), lambda t: _links_of_block(t, percent), "a bigint, b bigint", links)
+    parts = components(first.union(second))
 
     of_class = classes.select("s1", "s2", "n", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     whole = sketched.filter("n > 0 and doc_id is not null").select("doc_id", "s1", "s2", "n").join(of_class, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
