@@ -22,10 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from wayline.llm.bytetext import slices
+from wayline.llm.common import small_batches
 from wayline.llm.pieces import PLAIN, library, sent
 
-#: Words whose ids a worker remembers from one batch to the next.
+#: Words whose ids, and pairs of tokens whose stand, a worker remembers from one batch to the next.
 REMEMBERED = 200_000
+#: Bytes of text whose words are in memory at once.
+BATCH_BYTES = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -70,7 +73,7 @@ class Merges:
         """Whether two tokens side by side are what BPE makes of their symbols."""
         pair = (left, right)
         if pair not in self.known:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[pair] = pair not in self.rank and self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
         return self.known[pair]
@@ -171,25 +174,49 @@ class WordEncoder:
 
 def encode(docs: DataFrame, file: str) -> DataFrame:
     """(doc_id, ids) of every document; ids are little-endian unsigned 32-bit integers in a binary column."""
+    small_batches(docs.sparkSession)
     vocabulary = sent(docs.sparkSession, file)
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(vocabulary.value)
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoder.encode(batch.column("text").to_pylist()), pa.binary())], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(encoded, "doc_id bigint, ids binary")
 
 
+def token_names(file_json: str) -> dict[int, str]:
+    spec = json.loads(file_json)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+def text_of_ids(ids: bytes | None, names: dict[int, str]) -> str:
+    """The tokens of the ids with a blank between two, as a vocabulary file without a decoder asks for."""
+    return " ".join(map(names.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def decode(encoded: DataFrame, file: str) -> DataFrame:
-    """Adds text: the tokens of the ids with a blank between two, as a vocabulary file without a decoder asks for."""
+    """Adds text, decoded from the ids."""
     vocabulary = sent(encoded.sparkSession, file)
 
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec = json.loads(vocabulary.value)
-        name = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        names = token_names(vocabulary.value)
         for batch in batches:
-            texts = [" ".join(map(name.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("ids").to_pylist()]
+            texts = [text_of_ids(x, names) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id bigint, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, file: str) -> DataFrame:
+    """(doc_id, ids, text) of every document: decode of encode, by one Python worker a task instead of one for each of the two."""
+    small_batches(docs.sparkSession)
+    vocabulary = sent(docs.sparkSession, file)
+
+    def both(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, names = WordEncoder(vocabulary.value), token_names(vocabulary.value)
+        for batch in slices(batches, BATCH_BYTES):
+            ids = encoder.encode(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([text_of_ids(x, names) for x in ids], pa.string())], names=["doc_id", "ids", "text"])
+
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(both, "doc_id bigint, ids binary, text string")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bounds the session's Arrow batches, which hold whole texts: a batch takes memory in the executor and, some times over, in its Python worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -42,5 +52,12 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def carrying(docs: DataFrame, *extra: Column) -> DataFrame:
-    """(row, doc_id, text, ...): the whole row as a struct beside what an operator reads, so that names can't clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    """(row, doc_id, ...): the whole row as a struct beside what an operator reads, so that names can't clash. The text is in the row only."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *extra)
+
+
+def with_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that are carried, with their text as a column that shares its memory with the row's."""
+    for batch in batches:
+        row = batch.column("row")
+        yield pa.RecordBatch.from_arrays([*batch.columns, row.field("text").cast(pa.string())], names=[*batch.schema.names, "text"])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from wayline.llm.bytetext import slices
-from wayline.llm.common import shared_folder
+from wayline.llm.common import shared_folder, small_batches
 from wayline.llm.pieces import PLAIN, library, sent
 
 MAGIC, VERSION, BLOCK = b"WIDS", 1, 1 << 16
@@ -158,6 +158,7 @@ def write(docs: DataFrame, file: str, end_id: int, folder: str, pattern: str = B
 
     Texts are shuffled once, by ranges of doc_id. The manifest is a table in the folder: reading it doesn't write anew.
     """
+    small_batches(docs.sparkSession)
     vocabulary = sent(docs.sparkSession, file)
 
     def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayline.llm.bytetext import joined, slices
-from wayline.llm.common import carrying
+from wayline.llm.common import carrying, small_batches, with_text
 from wayline.llm.samples import some_rows
 
 UND = "und"
@@ -172,11 +172,12 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """(row, doc_id, lang_pred, score, labelled) of every document; row is all its columns, labelled counts the bytes given to each language, in the network's order."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        for batch in slices(batches):
+        for batch in slices(with_text(batches)):
             speaks = np.array(batch.column("speaks").to_pylist(), bool)
             if net is None:
                 best, score, counts = np.full(len(speaks), UND, object), np.zeros(len(speaks)), np.zeros((len(speaks), 0), np.int64)

@@ -18,6 +18,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wayline.llm.common import small_batches
+
 #: Phrases fixed by the contract, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -307,4 +309,5 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, base, finds) of every document: places of base phrases, and those places with all finds of rules that stay."""
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(_scan, FOUND)

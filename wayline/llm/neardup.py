@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
-from wayline.llm.common import settle, shared_folder
+from wayline.llm.common import settle, shared_folder, small_batches
 from wayline.llm.graph import blocks, components, map_groups, matrix, roots
 
 WIDTH, REGISTERS, BAND, BASE = 4, 128, 4, 1.001
@@ -38,7 +38,7 @@ _TIMES = _RNG.integers(1 << 31, size=REGISTERS, dtype=np.uint32) * np.uint32(2)
 #: Ids that may be broadcast, of 8 bytes each.
 MOST_BROADCAST = 1_000_000
 #: A set of more shingles counts as several members when a bucket is cut into blocks, which bounds a block's bytes.
-LONG = 2048
+LONG = 1024
 
 
 def sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ def common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -
 def _links_of_block(table: pa.Table, percent: int) -> pa.Table | None:
     """(a, b): members of a block, each with one that stands for all that links on full sets reach from it within the block."""
     reps, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
-    sets_ = [np.frombuffer(x, "<u8") for x in table.column("set").to_pylist()]
+    sets_ = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
     sizes = np.array([len(x) for x in sets_])
     left, right = np.flatnonzero(part == table.column("first")[0].as_py()), np.flatnonzero(part == table.column("second")[0].as_py())
     both = common([sets_[i] for i in left], [sets_[j] for j in right])
@@ -194,8 +194,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yes = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 yes.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
@@ -206,6 +206,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, least_estimate: float = 0.6) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of documents."""
+    small_batches(docs.sparkSession)
     plain = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     folder = shared_folder(docs.sparkSession, "sketches")
     plain.mapInArrow(_sketched, "doc_id bigint, n bigint, s1 bigint, s2 bigint, registers binary").write.parquet(folder)

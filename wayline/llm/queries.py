@@ -43,8 +43,7 @@ def digest(encoded: DataFrame) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = path("word_bpe_49k.json")
-    return digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), words), words))
+    return digest(bpe.round_trip(read(spark, sf_dir, "documents"), path("word_bpe_49k.json")))
 
 
 def op5_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
-from wayline.llm.common import carrying
+from wayline.llm.common import carrying, small_batches, with_text
 from wayline.llm.samples import labelled
 
 BITS = 20
@@ -90,13 +90,14 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = MOST_
 
 def score(docs: DataFrame, model: Weights) -> DataFrame:
     """(row, doc_id, score) of every document, row being all its columns; the model's short list of weights is broadcast."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[m.at] = m.weight
-        for batch in slices(batches):
+        for batch in slices(with_text(batches)):
             data, offsets = joined(batch.column("text"))
             text, at = features(data, offsets)
             known = np.flatnonzero(dense[at])
