@@ -49,8 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids and decoded text of each document, as digests."""
-    words = path("word_bpe_49k.json")
-    return digest(bpe.decode(bpe.encode(docs, words), words))
+    return digest(bpe.round_trip(docs, path("word_bpe_49k.json")))
 
 
 STAGES = [("toxicity", toxic), ("language", languages), ("near-duplicates", near_duplicates), ("mixing", mix), ("bpe", encode)]
