@@ -104,6 +104,50 @@ def test_license_suppression():
         assert len(kept) == 1
 
 
+def sentences(parsed):
+    """A sentence for every choice of alternatives and options of a rule, repeats at their least and most (but 2 of an open end)."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts = [chr(arg)]
+        elif name == "IN":
+            parts = ["x"] if arg[0][0].name == "CATEGORY" else [chr(c) for o, a in arg for c in (range(a[0], a[1] + 1) if o.name == "RANGE" else [a])][:3]
+        elif name == "BRANCH":
+            parts = [x for branch in arg[1] for x in sentences(branch)]
+        elif name == "SUBPATTERN":
+            parts = sentences(arg[-1])
+        elif name == "MAX_REPEAT":
+            parts = [x * n for n in sorted({arg[0], min(arg[1], 2)}) for x in sentences(arg[2])]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT")
+            parts = [""]
+        out = [a + b for a in out for b in dict.fromkeys(parts)]
+    return out
+
+
+def test_license_gates_refuse_no_match():
+    rules = licenses.rules()
+    for rule in rules:
+        for x in sentences(re._parser.parse(rule.pattern.pattern.decode())) if rule.priority in (3, 4, 5) else ():
+            for m in rule.pattern.finditer(f" {x} ".encode()):
+                assert rule.gates.intersection(m[0].split()), (rule.label, m[0])
+
+
+def test_license_finds_are_the_same_without_gates():
+    rules = licenses.rules()
+    gates = frozenset().union(*(r.gates for r in rules))
+    open_rules = licenses.rules()
+    for r in open_rules:
+        r.gates = frozenset({b"zz"})
+    for rule in rules:
+        if rule.priority == 4:
+            for x in sentences(re._parser.parse(rule.pattern.pattern.decode())):
+                _, _, found = licenses.find_all(x.encode(), rules, gates)
+                _, _, want = licenses.find_all(f"{x} zz".encode(), open_rules, frozenset({b"zz"}))
+                assert found == want, x
+
+
 # 3
 
 

@@ -1,7 +1,8 @@
 """License scans: ordered signature rules over a text's words, gated by keywords, with overlaps resolved.
 
 A text is lower-cased (A-Z), and its words are put side by side with one blank between them; rules are regular expressions over
-that line. A rule is tried only if its keyword is among the words. Of overlapping finds, one that lies inside the words of a
+that line. A rule is tried only if one of its keywords is among the words,
+and every match holds one. Of overlapping finds, one that lies inside the words of a
 find of higher priority is suppressed; among equals the longer, then the earlier stays. Base phrases stand above all rules and
 are never suppressed.
 
@@ -124,7 +125,8 @@ artistic | artistic | artistic
 !dl-de-by | dl de by 2 0 | datenlizenz deutschland
 """
 
-#: label | keyword | words of a licence's own text; the texts name no licence, so they stand below the names.
+#: label | keywords | words of a licence's own text; the texts name no licence, so they stand below the names. Every match of a text
+#: holds one of its keywords as a whole word: one that all alternatives share, or one for each alternative.
 TEXTS = r"""
 mit | hereby | permission is hereby granted free of charge to any person obtaining a copy
 mit | noninfringement | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
@@ -147,9 +149,9 @@ agpl | redistribute | you can redistribute it and or modify it under the terms o
 gpl | received | you should have received a copy of the gnu general public license
 lgpl | received | you should have received a copy of the gnu lesser general public license
 mpl-2.0 | subject | this source code form is subject to the terms of the mozilla public license
-mpl-2.0 | mozilla | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-2.0 | obtain | if a copy of the mpl was not distributed with this file you can obtain one at
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
-unlicense | dedicate | the authors? dedicates? any and all copyright interest in the software to the public domain
+unlicense | dedicate, dedicates | the authors? dedicates? any and all copyright interest in the software to the public domain
 wtfpl | fuck | you just do what the fuck you want to
 bsl-1.0 | derivative | all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code
 cc0-1.0 | waived | to the extent possible under law (?:\S+ ){1,10}(?:has|have) waived all copyright
@@ -159,8 +161,8 @@ cc-by | reuse | reuse is permitted provided the original (?:author|source|work)
 ofl-1.1 | font | this font software is licensed under the sil open font license
 openssl | openssl | this product includes software developed by the openssl project
 php-3 | php | this product includes php software
-artistic | artistic | you may distribute (?:this|it) under the (?:same )?terms (?:as perl itself|of (?:either )?the artistic license)
-ms-pl | reciprocal | this license governs use of the accompanying software
+artistic | perl, artistic | you may distribute (?:this|it) under the (?:same )?terms (?:as perl itself|of (?:either )?the artistic license)
+ms-pl | accompanying | this license governs use of the accompanying software
 ncsa | deal | to deal with the software without restriction
 public-domain | domain | (?:is|are|been|placed|released|dedicated) (?:in|into|to) the public domain
 public-domain | domain | public domain dedication
@@ -168,22 +170,22 @@ public-domain | copyright | no (?:known )?copyright restrictions
 public-domain | waives | waives all (?:copyright|rights)
 proprietary | rights | all rights reserved
 proprietary | confidential | (?:proprietary and confidential|confidential and proprietary)
-proprietary | unauthori[sz]ed | unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:of this (?:file|software|document|work) )?(?:\S+ ){0,6}(?:is )?(?:strictly )?prohibited
-proprietary | reproduced | (?:may|must) not be (?:reproduced|copied|distributed)(?: \S+){0,8} without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)
+proprietary | unauthorised, unauthorized | unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:of this (?:file|software|document|work) )?(?:\S+ ){0,6}(?:is )?(?:strictly )?prohibited
+proprietary | reproduced, copied, distributed | (?:may|must) not be (?:reproduced|copied|distributed)(?: \S+){0,8} without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)
 proprietary | permission | reproduction (?:in whole or in part )?without (?:written )?permission is prohibited
-proprietary | eula | end user licen[cs]e agreement
+proprietary | agreement | end user licen[cs]e agreement
 proprietary | commercial | (?:a )?commercial licen[cs]e is required
-non-commercial | commercial | (?:for )?non ?commercial (?:use|purposes) only
+non-commercial | commercial, noncommercial | (?:for )?non ?commercial (?:use|purposes) only
 non-commercial | commercial | not (?:be used )?for (?:any )?commercial (?:use|purposes)
 no-derivatives | derivative | no derivative works (?:are )?(?:allowed|permitted)
 attribution | attribution | attribution (?:is )?required
-research-only | research | (?:for )?(?:academic |research |educational )(?:and \S+ )?(?:use|purposes) only
-no-ai-training | training | (?:may|must|shall) not be used (?:for|to) (?:the )?train(?:ing)?
+research-only | academic, research, educational | (?:for )?(?:academic |research |educational )(?:and \S+ )?(?:use|purposes) only
+no-ai-training | train, training | (?:may|must|shall) not be used (?:for|to) (?:the )?train(?:ing)?
 open-source | open | (?:is|as) (?:free and )?open source software
 copyright | copyright | copyright (?:c )?(?:19|20)[0-9][0-9]
 copyright | copyrighted | (?:this|the) (?:work|material|text|article|document) is copyrighted
 copyright | reserved | some rights reserved
-license-link | license | see (?:the )?(?:file )?(?:license|licence|copying)(?: (?:txt|md|file))? for (?:details|more information|the full (?:text|license))
+license-link | license, licence, copying | see (?:the )?(?:file )?(?:license|licence|copying)(?: (?:txt|md|file))? for (?:details|more information|the full (?:text|license))
 license-link | opensource | opensource org licenses
 license-link | gnu | gnu org licenses
 license-link | apache | apache org licenses
@@ -231,9 +233,8 @@ def rules() -> list[Rule]:
         if proof:
             out.append(Rule(label, 5, gates, f"{name}{_OR_LATER}", 0.6))
     for line in TEXTS.strip().splitlines():
-        label, gate, text = (x.strip() for x in line.split(" | ", 2))
-        words = {gate.replace("[sz]", x) for x in "sz"}
-        out.append(Rule(label, 4, frozenset(w.encode() for w in words), text, 0.7))
+        label, gates, text = (x.strip() for x in line.split(" | ", 2))
+        out.append(Rule(label, 4, frozenset(w.encode() for w in gates.split(", ")), text, 0.7))
     return sorted(out, key=lambda r: r.priority)
 
 
