@@ -53,6 +53,65 @@ def test_track_keeps_its_id_over_a_miss_and_a_weak_detection():
     assert first[0][0] == again[0][0] == weak[0][0] == 1
 
 
+AMBIGUOUS = boxes((8, 140, 100, 100), (0, 145, 100, 100))
+
+
+def test_grid_takes_an_ambiguous_match_to_the_same_cell():
+    near = K.SceneGrid(rows=2, cols=2, warmup=0, weight=0.3, far=1.0, rare=0.0, odd=0.0)
+    for grid, width, right in ((near, 640, True), (near, 0, False), (None, 640, False)):
+        t = K.ByteTracker(grid=grid)
+        t.update(1, boxes((0, 140, 100, 100)), np.array([0.9]), width, 480)
+        (first, *_) = t.update(2, AMBIGUOUS, np.array([0.9, 0.9]), width, 480)
+        assert first[0] == 1 and (first[1][0] > 0) == right and (first[1][1] > 140) != right
+    assert near.frames == 0 and not near.used.any()
+
+
+def test_grid_adds_nothing_past_the_overlap_gate():
+    t = K.ByteTracker(grid=K.SceneGrid(warmup=0, weight=0.3, rare=1.0, odd=1.0))
+    t.update(1, boxes((0, 0, 100, 100)), np.array([0.9]), 640, 480)
+    assert [x[0] for x in t.update(2, boxes((5, 0, 100, 100)), np.array([0.9]), 640, 480)] == [1]
+    assert [x[0] for x in t.update(3, boxes((300, 0, 100, 100)), np.array([0.9]), 640, 480)] == [2]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_grid_counts_and_cost_by_plain_loops(weak):
+    rng = np.random.default_rng(5)
+    t, used, moved = K.ByteTracker(iou=0.01, low_iou=0.01), [0.0] * 48, [[0.0] * 48 for _ in range(48)]
+    cell = lambda b: min(int(min(max(b[1] + 0.95 * b[3], 0), 479) / 480 * 6), 5) * 8 + min(int(min(max(b[0] + b[2] / 2, 0), 639) / 640 * 8), 7)
+    box = np.array([300.0, 200.0, 120.0, 160.0])
+    for frame in range(1, 30):
+        expected = None
+        if frame > 1:
+            ahead = K.Moving(0, t.tracks[0].box.copy(), 0, 0, 0, t.tracks[0].lost, t.tracks[0].mean.copy(), t.tracks[0].spread.copy())
+            ahead.predict()
+            expected = ahead.box
+        box = box + np.append(rng.uniform(-25, 25, 2), [0, 0])
+        used, moved = [0.92 * x for x in used], [[0.98 * x for x in row] for row in moved]
+        (shown,) = t.update(frame, box[None], np.array([0.3 if weak and frame > 1 else 0.9]), 640, 480)
+        assert shown[0] == 1
+        used[cell(box)] += 1
+        if expected is not None:
+            moved[cell(expected)][cell(box)] += 1
+        assert np.allclose(t.grid.used, used) and np.allclose(t.grid.moved, moved)
+        a, b = rng.uniform(0, 400, (3, 4)), rng.uniform(0, 400, (4, 4))
+        got = np.broadcast_to(t.grid.extra_cost(a, b, 640, 480), (3, 4))
+        for i, j in itertools.product(range(3), range(4)):
+            p, q = cell(a[i]), cell(b[j])
+            far = ((p // 8 - q // 8) ** 2 + (p % 8 - q % 8) ** 2) ** 0.5 / 74**0.5
+            chance = moved[p][q] / sum(moved[p]) if sum(moved[p]) else 0
+            want = 0.15 * (0.65 * far + 0.15 * (1 - used[q] / max(used)) + 0.2 * (1 - chance)) if frame >= 5 else 0
+            assert got[i, j] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("frames, same_cell", [(3, False), (10, True)])
+def test_tracked_table_uses_the_grid_after_its_warm_up(spark, frames, same_cell):
+    rows = [("cam0", f, 0, 640, 480, 0.0, 140.0, 100.0, 100.0, 0.9) for f in range(1, frames + 1)]
+    rows += [("cam0", frames + 1, d, 640, 480, *map(float, b), 0.9) for d, b in enumerate(AMBIGUOUS)]
+    det = spark.createDataFrame(rows, "stream_id string, frame_id bigint, det_idx int, width int, height int, x double, y double, w double, h double, score double")
+    (first,) = K.track(det).filter(f"frame_id = {frames + 1} AND track_id = 1").collect()
+    assert (first.x > 0.01) == same_cell and (first.y > 140.01) != same_cell
+
+
 def test_track_grows_with_its_detection():
     t = K.ByteTracker(iou=0.1)
     t.update(1, boxes((100, 100, 80, 180)), np.array([0.9]))

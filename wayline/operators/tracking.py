@@ -7,13 +7,16 @@ tracks, its routes), never the stream. Streams are the unit of parallel work, as
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.functions.geometry import FOOT_SHARE
+from wayline.operators.scene_grid import COLS, ROWS
+
 
 def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -160,9 +163,66 @@ class Moving:
         self.box = np.array([cx - w / 2, cy - h / 2, w, h])
 
 
+@dataclass
+class SceneGrid:
+    """A stream's cells, how much tracks use them and move between them, and what that adds to the cost of a match.
+
+    Counts lose a share each frame. Within warmup frames nothing is added, and in a frame without area nothing is added or counted.
+    """
+
+    rows: int = ROWS
+    cols: int = COLS
+    weight: float = 0.15
+    far: float = 0.65
+    rare: float = 0.15
+    odd: float = 0.2
+    most: float = 0.3
+    used_decay: float = 0.92
+    moved_decay: float = 0.98
+    warmup: int = 5
+    frames: int = field(default=0, init=False)
+    used: np.ndarray = field(init=False)
+    moved: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        n = self.rows * self.cols
+        self.used, self.moved = np.zeros(n), np.zeros((n, n))
+
+    def begin_frame(self) -> None:
+        self.frames += 1
+        self.used *= self.used_decay
+        self.moved *= self.moved_decay
+
+    def cells(self, boxes: np.ndarray, width: int, height: int) -> np.ndarray:
+        place = lambda v, size, n: np.clip(np.floor(np.clip(v, 0, size - 1) / size * n), 0, n - 1).astype(int)
+        return place(boxes[:, 1] + boxes[:, 3] * FOOT_SHARE, height, self.rows) * self.cols + place(boxes[:, 0] + boxes[:, 2] / 2, width, self.cols)
+
+    def observe(self, boxes: np.ndarray, width: int, height: int, before: np.ndarray | None = None) -> None:
+        """Counts boxes, and the ways to them from where their tracks were expected."""
+        if width > 0 and height > 0 and len(boxes):
+            cells = self.cells(boxes, width, height)
+            np.add.at(self.used, cells, 1)
+            if before is not None:
+                np.add.at(self.moved, (self.cells(before, width, height), cells), 1)
+
+    def extra_cost(self, tracks: np.ndarray, dets: np.ndarray, width: int, height: int) -> np.ndarray | float:
+        if width <= 0 or height <= 0 or self.frames < self.warmup:
+            return 0.0
+        a, b = self.cells(tracks, width, height)[:, None], self.cells(dets, width, height)[None, :]
+        away = np.hypot(b // self.cols - a // self.cols, b % self.cols - a % self.cols) / max(1.0, np.hypot(self.rows - 1, self.cols - 1))
+        top, ways = self.used.max(), self.moved.sum(1)[a]
+        share = self.used[b] / top if top > 0 else 0.0
+        chance = np.where(ways > 0, self.moved[a, b] / np.where(ways > 0, ways, 1), 0.0)
+        raw = self.far * np.minimum(away, 1) + self.rare * (1 - share) + self.odd * (1 - chance)
+        return np.clip(self.weight * raw, 0, self.most)
+
+
 @dataclass
 class ByteTracker:
-    """Two rounds of matching: sure detections with all tracks, unsure ones with the tracks that are left and were seen in the last frame."""
+    """Two rounds of matching: sure detections with all tracks, unsure ones with the tracks that are left and were seen in the last frame.
+
+    The grid adds to the cost of a match in both rounds; without it (None), or in frames without area, overlap and score decide alone.
+    """
 
     high: float = 0.45
     low: float = 0.2
@@ -172,35 +232,49 @@ class ByteTracker:
     duplicate_iou: float = 0.85
     buffer: int = 100
     least_area: float = 0.0
+    grid: SceneGrid | None = field(default_factory=SceneGrid)
     tracks: list[Moving] = field(default_factory=list)
     frame: int = 0
     next_id: int = 1
 
-    def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[int, np.ndarray, float, bool]]:
+    def __post_init__(self) -> None:
+        """Takes the grid's settings with counts of its own."""
+        self.grid = self.grid and replace(self.grid)
+
+    def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray, width: int = 0, height: int = 0) -> list[tuple[int, np.ndarray, float, bool]]:
         self.frame = frame_id if frame_id > 0 else self.frame + 1
+        if self.grid:
+            self.grid.begin_frame()
         fit = (boxes[:, 2] > 1) & (boxes[:, 3] > 1) & (boxes[:, 2] * boxes[:, 3] >= self.least_area)
         sure, unsure = np.flatnonzero(fit & (scores >= self.high)), np.flatnonzero(fit & (scores >= self.low) & (scores < self.high))
         for t in self.tracks:
             t.predict()
         pool = sorted(self.tracks, key=lambda t: t.lost)
-        rest, left = self._round(pool, sure, boxes, scores, self.iou)
+        rest, left = self._round(pool, sure, boxes, scores, self.iou, width, height)
         again = [t for t in rest if not t.lost]
-        missed, _ = self._round(again, unsure, boxes, scores, self.low_iou)
+        missed, _ = self._round(again, unsure, boxes, scores, self.low_iou, width, height)
         for t in missed:
             t.lost = True
-        for d in left:
-            if scores[d] >= self.new:
-                self.tracks.append(Moving(self.next_id, boxes[d].astype(float), float(scores[d]), self.frame, self.frame).begin())
-                self.next_id += 1
+        new = left[scores[left] >= self.new]
+        for d in new:
+            self.tracks.append(Moving(self.next_id, boxes[d].astype(float), float(scores[d]), self.frame, self.frame).begin())
+            self.next_id += 1
+        if self.grid:
+            self.grid.observe(boxes[new], width, height)
         self.tracks = [t for t in self.tracks if not t.lost or self.frame - t.seen <= self.buffer]
         self._without_duplicates()
         return [(t.id, t.box, t.score, False) for t in self.tracks if not t.lost]
 
-    def _round(self, tracks: list[Moving], dets: np.ndarray, boxes: np.ndarray, scores: np.ndarray, least: float) -> tuple[list[Moving], np.ndarray]:
+    def _round(self, tracks: list[Moving], dets: np.ndarray, boxes: np.ndarray, scores: np.ndarray, least: float, width: int, height: int) -> tuple[list[Moving], np.ndarray]:
         if not tracks or not len(dets):
             return tracks, dets
-        iou = overlap(np.array([t.box for t in tracks]), boxes[dets])
-        pairs, rows, cols = matched(1 - iou * np.clip(scores[dets], 0, 1), iou, least)
+        before = np.array([t.box for t in tracks])
+        iou = overlap(before, boxes[dets])
+        extra = self.grid.extra_cost(before, boxes[dets], width, height) if self.grid else 0.0
+        pairs, rows, cols = matched(1 - iou * np.clip(scores[dets], 0, 1) + extra, iou, least)
+        if self.grid and pairs:
+            i, j = np.array(pairs).T
+            self.grid.observe(boxes[dets[j]], width, height, before[i])
         for i, j in pairs:
             tracks[i].update(boxes[dets[j]], float(scores[dets[j]]), self.frame)
         return [tracks[i] for i in rows], dets[cols]
@@ -229,7 +303,7 @@ class DemoTracker:
     tracks: list[dict] = field(default_factory=list)
     next_id: int = 1
 
-    def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[int, np.ndarray, float, bool]]:
+    def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray, width: int = 0, height: int = 0) -> list[tuple[int, np.ndarray, float, bool]]:
         for t in self.tracks:
             t["missed"] += 1
             t["speed"] = t["speed"] * (0.55 if t["missed"] > 3 else 0.8)
@@ -266,12 +340,17 @@ TRACKED = "stream_id string, frame_id bigint, track_id bigint, x double, y doubl
 
 
 def tracked_rows(tracker, stream: str, frame: int, g: pd.DataFrame) -> list[tuple]:
-    out = tracker.update(int(frame), g[["x", "y", "w", "h"]].to_numpy(float), g.score.to_numpy(float))
+    values = g[["x", "y", "w", "h", "score", "width", "height"]].to_numpy(float)
+    width, height = np.nan_to_num(values[:, 5:]).max(0)
+    out = tracker.update(int(frame), values[:, :4], values[:, 4], int(width), int(height))
     return [(stream, int(frame), i, *map(float, box), score, hidden) for i, box, score, hidden in out]
 
 
 def track(detections: DataFrame, kind: str = "bytetrack", **how) -> DataFrame:
-    """Follows boxes through the frames of each stream. A frame without any row is not seen; ids count from 1 in each stream."""
+    """Follows boxes (stream_id, frame_id, det_idx, x, y, w, h, score) through the frames (width, height) of each stream.
+
+    A frame without any row is not seen; ids count from 1 in each stream.
+    """
 
     def follow(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, tracker, rows = None, None, []
