@@ -9,6 +9,7 @@ import pytest
 
 from wayline.functions import geometry as G
 from wayline.operators import analytics as A
+from wayline.operators import scene_grid
 from wayline.operators import tracking as K
 from wayline.sources import fixtures as X
 from wayline.streaming import live
@@ -103,6 +104,32 @@ def test_grid_counts_and_cost_by_plain_loops(weak):
             assert got[i, j] == pytest.approx(want)
 
 
+def test_grid_tables_by_frame_after_frame(spark):
+    rng = np.random.default_rng(8)
+    rows = [("cam0", f, t, 640, 480, float(x), float(y), 50.0, 60.0, 0.9) for t in range(4) for f in range(1 + 3 * t, 60) for x, y in [rng.uniform(0, 200, 2) + (300 if f > 30 else 0)]]
+    used, moved, last = np.zeros(48), np.zeros((48, 48)), {}
+    for frame in range(1, 60):
+        used, moved = used * 0.92, moved * 0.98
+        for _, f, t, _, _, x, y, w, h, _ in rows:
+            if f == frame:
+                cell = min(int(min(y + 0.95 * h, 479) / 480 * 6), 5) * 8 + min(int(min(x + w / 2, 639) / 640 * 8), 7)
+                used[cell] += 1
+                if t in last:
+                    moved[last[t], cell] += 1
+                last[t] = cell
+    det = spark.createDataFrame(rows, "stream_id string, frame_id bigint, det_idx int, width int, height int, x double, y double, w double, h double, score double")
+    occupied, ways = scene_grid.occupancy(det), scene_grid.transitions(det)
+    got = {r.cell: (r.used, r.share) for r in occupied.collect()}
+    assert got == {c: pytest.approx((used[c], used[c] / used.max())) for c in np.flatnonzero(used)}
+    got = {(r.from_cell, r.cell): (r.recent, r.probability) for r in ways.collect()}
+    assert got == {(a, b): pytest.approx((moved[a, b], moved[a, b] / moved[a].sum())) for a, b in zip(*np.nonzero(moved), strict=True)}
+    grid = K.SceneGrid(warmup=0)
+    grid.used, grid.moved = used, moved
+    middle = lambda c: boxes(((c % 8 + 0.5) * 80 - 1, (c // 8 + 0.5) * 80 - 1.9, 2, 2))
+    for r in scene_grid.extra_cost(ways.join(occupied, ["stream_id", "cell"])).collect():
+        assert r.grid_cost == pytest.approx(grid.extra_cost(middle(r.from_cell), middle(r.cell), 640, 480)[0, 0])
+
+
 @pytest.mark.parametrize("frames, same_cell", [(3, False), (10, True)])
 def test_tracked_table_uses_the_grid_after_its_warm_up(spark, frames, same_cell):
     rows = [("cam0", f, 0, 640, 480, 0.0, 140.0, 100.0, 100.0, 0.9) for f in range(1, frames + 1)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import hypot
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geometry as G
@@ -23,21 +23,30 @@ def moves(boxes: DataFrame, track: str = "det_idx") -> DataFrame:
     return with_previous(cells(boxes), ["stream_id", track], "frame_id", ["cell"]).filter("prev_cell is not null").withColumnRenamed("prev_cell", "from_cell")
 
 
-def occupancy(boxes: DataFrame, decay: float = 0.92) -> DataFrame:
-    """How much each cell is used: every move into it counts, less by decay for each frame since. A sum of powers by frame number."""
+def _recent(rows: DataFrame, boxes: DataFrame, decay: float) -> DataFrame:
+    """Adds what a row still counts at its stream's last frame: less by decay for each frame since."""
     last = boxes.groupBy("stream_id").agg(F.max("frame_id").alias("end"))
-    met = moves(boxes).join(F.broadcast(last) if last.limit(100_001).count() <= 100_000 else last, "stream_id")
-    used = met.groupBy("stream_id", "cell").agg(F.sum(F.pow(F.lit(decay), F.col("end") - F.col("frame_id"))).alias("used"))
-    return used.withColumn("share", F.col("used") / F.max("used").over(Window.partitionBy("stream_id")))
+    met = rows.join(F.broadcast(last) if last.limit(100_001).count() <= 100_000 else last, "stream_id")
+    return met.withColumn("recent", F.pow(F.lit(decay), F.col("end") - F.col("frame_id")))
 
 
-def transitions(boxes: DataFrame) -> DataFrame:
-    """How often tracks went from one cell to another, and the share among all ways out of the first."""
-    n = moves(boxes).groupBy("stream_id", "from_cell", "cell").agg(F.count("*").alias("n"))
-    return n.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("stream_id", "from_cell")))
+def _part(of: str, whole: Column) -> Column:
+    return F.when(whole > 0, F.col(of) / whole).otherwise(0.0)
 
 
-def extra_cost(pairs: DataFrame, rows: int = ROWS, cols: int = COLS, weights: tuple[float, float, float] = (0.65, 0.15, 0.20), weight: float = 0.15, most: float = 0.25) -> DataFrame:
+def occupancy(boxes: DataFrame, decay: float = 0.92, first: bool = True) -> DataFrame:
+    """How much each cell is used: every box in it counts (without first, only moves into it), less by decay for each frame since. A sum of powers by frame number."""
+    used = _recent(cells(boxes) if first else moves(boxes), boxes, decay).groupBy("stream_id", "cell").agg(F.sum("recent").alias("used"))
+    return used.withColumn("share", _part("used", F.max("used").over(Window.partitionBy("stream_id"))))
+
+
+def transitions(boxes: DataFrame, decay: float = 0.98) -> DataFrame:
+    """How often tracks went from one cell to another, what of that still counts, and its share among all ways out of the first."""
+    met = _recent(moves(boxes), boxes, decay).groupBy("stream_id", "from_cell", "cell").agg(F.count("*").alias("n"), F.sum("recent").alias("recent"))
+    return met.withColumn("probability", _part("recent", F.sum("recent").over(Window.partitionBy("stream_id", "from_cell"))))
+
+
+def extra_cost(pairs: DataFrame, rows: int = ROWS, cols: int = COLS, weights: tuple[float, float, float] = (0.65, 0.15, 0.20), weight: float = 0.15, most: float = 0.30) -> DataFrame:
     """Adds grid_cost to (from_cell, cell, share, probability): far cells, rare cells and rare moves cost more, within 0 to most."""
     row, col = (lambda c: F.floor(F.col(c) / cols)), (lambda c: F.col(c) % cols)
     dr, dc = row("cell") - row("from_cell"), col("cell") - col("from_cell")

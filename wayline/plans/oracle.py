@@ -135,6 +135,13 @@ occ0 AS (SELECT stream_id, cell, SUM(pow(CAST(0.92 AS DOUBLE), e - frame_id)) AS
 occ AS (SELECT *, used / max(used) OVER (PARTITION BY stream_id) AS share FROM occ0),
 tr AS (SELECT *, n / SUM(n) OVER (PARTITION BY stream_id, from_cell) AS probability FROM (SELECT stream_id, from_cell, cell, COUNT(*) AS n FROM mv GROUP BY ALL))
 """
+_DECAYED = """
+ends AS (SELECT stream_id, max(frame_id) AS e FROM det GROUP BY ALL),
+occd0 AS (SELECT stream_id, cell, SUM(pow(CAST(0.92 AS DOUBLE), e - frame_id)) AS used FROM cells JOIN ends USING (stream_id) GROUP BY ALL),
+occd AS (SELECT *, used / max(used) OVER (PARTITION BY stream_id) AS share FROM occd0),
+trd0 AS (SELECT stream_id, from_cell, cell, COUNT(*) AS n, SUM(pow(CAST(0.98 AS DOUBLE), e - frame_id)) AS recent FROM mv JOIN ends USING (stream_id) GROUP BY ALL),
+trd AS (SELECT *, recent / SUM(recent) OVER (PARTITION BY stream_id, from_cell) AS probability FROM trd0)
+"""
 _TELE = """
 tele AS (SELECT concat('cam', CAST(user_id % 3 AS STRING)) AS stream_id, ['frame', 'metrics', 'status', 'log'][CAST(event_id % 4 + 1 AS INT)] AS kind, event_id AS seq, user_id, value FROM events),
 stages AS (
@@ -253,6 +260,10 @@ ORACLE: dict[str, str] = {
     "scene_transition_prob": f"{_with(_DET, _GRID)} SELECT stream_id, from_cell, cell, n, round(probability, 6) AS probability FROM tr",
     "grid_cost": f"""{_with(_DET, _GRID)} SELECT stream_id, from_cell, cell, round(LEAST(GREATEST(CAST(0.15 AS DOUBLE) * (CAST(0.65 AS DOUBLE) * LEAST(sqrt(pow(cell // 8 - from_cell // 8, 2) + pow(cell % 8 - from_cell % 8, 2)) / sqrt(74), 1)
        + CAST(0.15 AS DOUBLE) * (1 - share) + CAST(0.2 AS DOUBLE) * (1 - probability)), 0), 0.25), 6) AS grid_cost FROM tr JOIN occ USING (stream_id, cell)""",
+    "scene_grid_occupancy_decayed": f"{_with(_DET, _GRID, _DECAYED)} SELECT stream_id, cell, round(used, 6) AS used, round(share, 6) AS share FROM occd",
+    "scene_transition_prob_decayed": f"{_with(_DET, _GRID, _DECAYED)} SELECT stream_id, from_cell, cell, n, round(recent, 6) AS recent, round(probability, 6) AS probability FROM trd",
+    "grid_cost_decayed": f"""{_with(_DET, _GRID, _DECAYED)} SELECT stream_id, from_cell, cell, round(LEAST(GREATEST(CAST(0.15 AS DOUBLE) * (CAST(0.65 AS DOUBLE) * LEAST(sqrt(pow(cell // 8 - from_cell // 8, 2) + pow(cell % 8 - from_cell % 8, 2)) / sqrt(74), 1)
+       + CAST(0.15 AS DOUBLE) * (1 - share) + CAST(0.2 AS DOUBLE) * (1 - probability)), 0), CAST(0.3 AS DOUBLE)), 6) AS grid_cost FROM trd JOIN occd USING (stream_id, cell)""",
     "anonymize_regions": f"""{_with(_OBS)}, g AS (SELECT *, w * k AS gw, h * k AS gh FROM (SELECT *, CASE WHEN track_id % 2 = 0 THEN CAST(1.55 AS DOUBLE) ELSE CAST(1.3 AS DOUBLE) END AS k FROM obs WHERE w > 1 AND h > 1)),
        r AS (SELECT *, CAST(round(x + w / 2 - gw / 2) AS BIGINT) AS l, CAST(round(y + h / 2 - gh / 2) AS BIGINT) AS t, CAST(round(gw) AS BIGINT) AS rw0, CAST(round(gh) AS BIGINT) AS rh0 FROM g)
        SELECT * FROM (SELECT {_T}, frame_id, GREATEST(l, 0) AS rx, GREATEST(t, 0) AS ry, LEAST(l + rw0, 1280) - GREATEST(l, 0) AS rw, LEAST(t + rh0, 720) - GREATEST(t, 0) AS rh FROM r) WHERE rw >= 2 AND rh >= 2""",

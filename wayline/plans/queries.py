@@ -325,20 +325,39 @@ def track_dedup(spark, d):
     return tracked.select("stream_id", "frame_id", "track_id").union(lost.select("stream_id", "frame_id", "track_id"))
 
 
+# The first three give what their SQL says: moves only, and plain counts of transitions. Those named _decayed are the tracker's own grid.
 @query
 def scene_grid_occupancy(spark, d):
-    return _to6(scene_grid.occupancy(X.detections(spark, d)), "used", "share")
+    return _to6(scene_grid.occupancy(X.detections(spark, d), first=False), "used", "share")
 
 
 @query
 def scene_transition_prob(spark, d):
-    return _to6(scene_grid.transitions(X.detections(spark, d)), "probability")
+    return _to6(scene_grid.transitions(X.detections(spark, d), decay=1.0), "probability").drop("recent")
+
+
+def _grid_cost(transitions: DataFrame, occupancy: DataFrame) -> DataFrame:
+    return _to6(scene_grid.extra_cost(transitions.join(occupancy, ["stream_id", "cell"])), "grid_cost").select("stream_id", "from_cell", "cell", "grid_cost")
 
 
 @query
 def grid_cost(spark, d):
-    met = scene_grid.transitions(X.detections(spark, d)).join(scene_grid.occupancy(X.detections(spark, d)), ["stream_id", "cell"])
-    return _to6(scene_grid.extra_cost(met), "grid_cost").select("stream_id", "from_cell", "cell", "grid_cost")
+    return _grid_cost(scene_grid.transitions(X.detections(spark, d), decay=1.0), scene_grid.occupancy(X.detections(spark, d), first=False))
+
+
+@query
+def scene_grid_occupancy_decayed(spark, d):
+    return _to6(scene_grid.occupancy(X.detections(spark, d)), "used", "share")
+
+
+@query
+def scene_transition_prob_decayed(spark, d):
+    return _to6(scene_grid.transitions(X.detections(spark, d)), "recent", "probability")
+
+
+@query
+def grid_cost_decayed(spark, d):
+    return _grid_cost(scene_grid.transitions(X.detections(spark, d)), scene_grid.occupancy(X.detections(spark, d)))
 
 
 @query
