@@ -38,8 +38,16 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates."""
-    return _without(docs, neardup.near_duplicates(docs).filter("doc_id != component_id"))
+    """Keeps the document of least id of each group of near-duplicates, one row of each group even where ids repeat or are missing."""
+    copies = lambda d: neardup.near_duplicates(d).filter("doc_id != component_id")
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return _without(docs, copies(docs))
+    # ids don't tell rows apart: number the rows in their order, once, so that the numbers stay
+    folder = shared_folder(spark, "numbered")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).orderBy(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
+    rows.select(F.monotonically_increasing_id().alias("doc_id"), "row").write.parquet(folder)
+    numbered = spark.read.parquet(folder)
+    return _without(numbered, copies(numbered.select("doc_id", F.col("row.text").alias("text")))).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,5 +32,15 @@ def test_stages_keep_columns_and_drop_what_they_reject(spark, tmp_path):
     assert C.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_near_duplicates_keeps_one_row_of_a_group_where_ids_repeat(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (None, "a"), (4, "e")]
+    docs = spark.createDataFrame([(i, text[k], "en", k, 1) for i, k in rows] + [(5, None, "en", "x", 1), (5, "", "en", "y", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = C.near_duplicates(spark, docs, SF)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    kept = sorted(((r.doc_id, r.source) for r in out.collect()), key=repr)
+    assert kept == sorted([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (4, "e"), (5, "x"), (5, "y")], key=repr)
+
+
 def test_run_gives_the_last_stages_rows(spark):
     assert C.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
