@@ -4,6 +4,10 @@ A batch's distinct words are put into a trie of symbols. A walk in depth-first o
 of its path: the one token that ends the path and stands next to the last token of the path before it without the two being
 merged otherwise. A prefix that many words share is thus encoded once, and a word's ids are read back from its end, token by token.
 
+The tokens that end a path are known from its longest end that begins a token; these ends are states, and a state's steps are
+remembered. Whether two tokens stand side by side is read off the merges along the edges that face each other, taken back from the
+last one: the two stay apart if no merge of the tokens that meet there came before the merge that took one of them in.
+
 Words, symbols and merge ranks are those of a vocabulary file; normalising and cutting follow it too. Strings of special tokens
 in a text are those tokens, as in the library.
 
@@ -14,7 +18,9 @@ are cut by bytes of text, and what a worker remembers of words is bounded); repe
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,111 +29,156 @@ from pyspark.sql import DataFrame
 
 from wayline.llm.bytetext import slices
 from wayline.llm.common import small_batches
-from wayline.llm.pieces import PLAIN, library, sent
+from wayline.llm.pieces import PLAIN, Remembered, byte_symbols, in_symbols, library, plain_pattern, sent
 
-#: Words whose ids, and pairs of tokens whose stand, a worker remembers from one batch to the next.
+#: Words whose ids, pairs of tokens whose stand, and steps of states, a worker remembers from one batch to the next.
 REMEMBERED = 200_000
 #: Bytes of text whose words are in memory at once.
-BATCH_BYTES = 1 << 18
+BATCH_BYTES = 1 << 20
+#: Stands for the end of a word inside this module, in symbols and tokens; no byte has it as its symbol.
+END = "\0"
+
 
+class State:
+    """The longest end of a path that begins a token: the tokens that end there, longest first, with their lengths in symbols, and the steps known so far."""
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+    __slots__ = ("ends", "steps", "text")
+
+    def __init__(self, text: str, ends: tuple[tuple[int, int], ...]):
+        self.text, self.ends = text, ends
+        self.steps: dict[str, State] = {}
 
 
 class Merges:
     """A vocabulary with its merges, and what is known about pairs of tokens."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.ids, self.suffix = vocabulary, suffix
-        self.rank = {(vocabulary[a], vocabulary[b]): (k, vocabulary[a + b]) for k, (a, b) in enumerate(merges)}
-        self.parts = {new: pair for pair, (_, new) in self.rank.items()}
-        bare = lambda t: len(t) - len(suffix) * t.endswith(suffix) if suffix else len(t)
-        self.longest = max(bare(t) for t in vocabulary)
-        self.known: dict[tuple[int, int], bool] = {}
-
-    def merged(self, ids: list[int]) -> list[int]:
-        """Plain BPE: the first pair of lowest rank is merged until none is left."""
-        ids = list(ids)
-        while len(ids) > 1:
-            rank, at = min((self.rank.get(pair, (1 << 60,))[0], k) for k, pair in enumerate(zip(ids, ids[1:])))
-            if rank == 1 << 60:
-                break
-            ids[at : at + 2] = [self.rank[ids[at], ids[at + 1]][1]]
-        return ids
-
-    def symbols(self, token: int) -> list[int]:
-        out, todo = [], [token]
-        while todo:
-            pair = self.parts.get(todo[-1])
-            if pair is None:
-                out.append(todo.pop())
+        marked = lambda t: t[: len(t) - len(suffix)] + END if suffix and t.endswith(suffix) else t
+        self.ids = {marked(t): i for t, i in vocabulary.items()}
+        self.end = END if suffix else ""
+        self.shift = max(vocabulary.values()).bit_length()
+        size = 1 << self.shift
+        self.made, self.first, self.second = [-1] * size, [0] * size, [0] * size
+        self.rank: dict[int, int] = {}
+        for k, (a, b) in enumerate(merges):
+            x, y = vocabulary[a], vocabulary[b]
+            new = vocabulary[a[: len(a) - len(suffix)] + b if suffix and a.endswith(suffix) else a + b]
+            if self.made[new] >= 0 or self.made[x] >= k or self.made[y] >= k:
+                raise ValueError("a token with two ways to make it, or made before its parts")
+            self.rank[x << self.shift | y] = k
+            self.made[new], self.first[new], self.second[new] = k, x, y
+        self.sorted = sorted(self.ids)
+        self.known: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.states: dict[str, State] = {}
+        self.start = State("", ())
+
+    def apart(self, left: int, right: int, before: int = 1 << 60) -> bool:
+        """Whether no merge ranked under `before` joins symbols of two tokens side by side, each of which is what BPE makes of its symbols."""
+        rank, made = self.rank, self.made
+        while True:
+            if rank.get(left << self.shift | right, before) < before:
+                return False
+            if made[left] > made[right]:
+                before, left = made[left], self.second[left]
+            elif made[right] >= 0:
+                # of equal pairs the one further left is merged first, so the token on the left may take what the right one wants
+                before, right = made[right] + 1, self.first[right]
             else:
-                todo[-1:] = pair[::-1]
-        return out
+                return True
 
     def stand(self, left: int, right: int) -> bool:
         """Whether two tokens side by side are what BPE makes of their symbols."""
-        pair = (left, right)
-        if pair not in self.known:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[pair] = pair not in self.rank and self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
-        return self.known[pair]
-
-
-class Node:
-    """A prefix: its last token, how many symbols that spans, the word that ends here if one does, and the prefixes one symbol longer."""
-
-    __slots__ = ("children", "length", "token", "word")
-
-    def __init__(self):
-        self.children: dict[str, Node] = {}
-        self.token: int | None = None
-        self.length = 0
-        self.word: str | None = None
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        yes = self.known[left << self.shift | right] = self.apart(left, right)
+        return yes
+
+    def reached(self, token: int) -> bool:
+        """Whether a token is what BPE makes of its own symbols."""
+        yes = self.whole.get(token)
+        if yes is None:
+            a, b, k = self.first[token], self.second[token], self.made[token]
+            yes = self.whole[token] = k < 0 or self.reached(a) and self.reached(b) and self.apart(a, b, k)
+        return yes
+
+    def begins(self, text: str) -> bool:
+        at = bisect_left(self.sorted, text)
+        return at < len(self.sorted) and self.sorted[at].startswith(text)
+
+    def step(self, state: State, symbol: str) -> State:
+        """The state after one more symbol."""
+        text, over = state.text + symbol, 0
+        while not self.begins(text[over:]):
+            over += 1
+        text = text[over:]
+        new = self.states.get(text)
+        if new is None:
+            if len(self.states) >= REMEMBERED:
+                self.states, self.start.steps = {}, {}
+            tokens = [(self.ids.get(text[k:]), len(text) - k - text.endswith(END)) for k in range(len(text) - text.endswith(END))]
+            new = self.states[text] = State(text, tuple((t, n) for t, n in tokens if t is not None and self.reached(t)))
+        state.steps[symbol] = new
+        return new
+
+
+def symbols_of(word: str, start: int, end: str) -> list[str]:
+    """The symbols of a word from a place on; the last one holds the mark of the word's end, or is that mark where the vocabulary has none."""
+    return [*word[start:-1], word[-1] + END] if end and start < len(word) else [*word[start:]] if end else [*word[start:], END]
+
+
+def trie_of(words: Iterable[str], end: str) -> dict:
+    """The words' trie: a node maps a symbol to the node one symbol longer, or to a word where no other goes the same way."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for depth, symbol in enumerate(symbols_of(word, 0, end), 1):
+            below = node.get(symbol)
+            if below is None:
+                node[symbol] = word
+                break
+            if type(below) is str:
+                below = node[symbol] = {symbols_of(below, depth, end)[0]: below}
+            node = below
+    return root
 
 
-def encode_words(words: Iterable[str], merges: Merges) -> dict[str, list[int]]:
+def encode_words(words: Collection[str], merges: Merges) -> dict[str, bytes]:
     """The ids of distinct words in byte symbols, by a depth-first walk over the trie of their symbols."""
-    root = Node()
-    for word in words:
-        node = root
-        for symbol in (*word[:-1], word[-1] + merges.suffix):
-            child = node.children.get(symbol)
-            if child is None:
-                child = node.children[symbol] = Node()
-            node = child
-        node.word = word
-    out: dict[str, list[int]] = {}
-    way: list[Node] = [root]
-    todo = [(symbol, child, 1) for symbol, child in root.children.items()]
-    letters: list[str] = []
+    out: dict[str, bytes] = {}
+    known, shift, end = merges.known, merges.shift, merges.end
+    todo = [iter(trie_of(words, end).items())]
+    # by depth on the current path: the state, the last token and how many symbols that spans
+    longest = max(map(len, words), default=0) + 1
+    states, tokens, spans = [merges.start] * longest, [0] * longest, [0] * longest
     while todo:
-        symbol, node, depth = todo.pop()
-        del way[depth:], letters[depth - 1 :]
-        letters.append(symbol)
-        tail = "".join(letters[-merges.longest :])
-        spans = min(depth, merges.longest)
-        for span in range(spans, 0, -1):
-            token = merges.ids.get(tail[spans - span :])
-            if token is not None:
-                before = way[depth - span]
-                if before is root or (before.token is not None and merges.stand(before.token, token)):
-                    if span == 1 or before is not root or merges.merged(merges.symbols(token)) == [token]:
-                        node.token, node.length = token, span
+        for symbol, below in todo[-1]:
+            depth, alone = len(todo) - 1, type(below) is str
+            for symbol in (symbol, *symbols_of(below, depth + 1, end)) if alone else (symbol,):
+                if symbol == END:
+                    break
+                state = states[depth].steps.get(symbol)
+                if state is None:
+                    state = merges.step(states[depth], symbol)
+                depth += 1
+                for token, span in state.ends:
+                    if span == depth:
+                        break
+                    left = tokens[depth - span]
+                    yes = known.get(left << shift | token)
+                    if yes or yes is None and merges.stand(left, token):
                         break
-        way.append(node)
-        if node.word is not None:
-            ids, at = [], depth
-            while at:
-                ids.append(way[at].token)
-                at -= way[at].length
-            out[node.word] = ids[::-1]
-        todo.extend((s, child, depth + 1) for s, child in node.children.items())
+                states[depth], tokens[depth], spans[depth] = state, token, span
+            if not alone:
+                todo.append(iter(below.items()))
+                break
+            ids = array("I")
+            while depth:
+                ids.append(tokens[depth])
+                depth -= spans[depth]
+            out[below] = ids[::-1].tobytes()
+        else:
+            todo.pop()
     return out
 
 
@@ -142,11 +193,10 @@ class WordEncoder:
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.is_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.cut = regex.compile(split["pattern"]["Regex"]).findall
+        self.cut = plain_pattern(split["pattern"]["Regex"]).findall
         self.library = library(file_json)
-        self.symbol = byte_symbols()
-        self.byte = {s: b for b, s in enumerate(self.symbol)}
-        self.ids: dict[str, bytes] = {}
+        self.byte = {s: b for b, s in enumerate(byte_symbols())}
+        self.ids: Remembered[str, bytes] = Remembered(REMEMBERED)
 
     def words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
@@ -160,16 +210,15 @@ class WordEncoder:
             return [(False, self.words(text))]
         return [(True, [x]) if x in self.special else (False, self.words(x)) for x in self.is_special.split(text) if x]
 
+    def made(self, words: set[str]) -> dict[str, bytes]:
+        shown = {in_symbols(w): w for w in words}
+        return {shown[s]: ids for s, ids in encode_words(shown, self.merges).items()}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         cut = [self.parts(t or "") for t in texts]
-        new = {w for runs in cut for special, words in runs if not special for w in words}.difference(self.ids)
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids = {w: self.ids[w] for runs in cut for special, words in runs if not special for w in words if w in self.ids}
-        shown = {"".join(self.symbol[b] for b in w.encode()): w for w in new}
-        for symbols, ids in encode_words(shown.keys(), self.merges).items():
-            self.ids[shown[symbols]] = np.array(ids, "<u4").tobytes()
-        return [b"".join(self.special[w[0]] if special else b"".join(map(self.ids.__getitem__, w)) for special, w in runs) for runs in cut]
+        ids = self.ids.of({w for runs in cut for special, words in runs if not special for w in words}, self.made).__getitem__
+        return [b"".join(self.special[w[0]] if special else b"".join(map(ids, w)) for special, w in runs) for runs in cut]
 
 
 def encode(docs: DataFrame, file: str) -> DataFrame:
