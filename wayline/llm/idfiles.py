@@ -16,19 +16,19 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from wayline.llm.bytetext import slices
 from wayline.llm.common import shared_folder, small_batches
-from wayline.llm.pieces import PLAIN, library, sent
+from wayline.llm.pieces import PLAIN, Remembered, in_symbols, library, plain_pattern, sent
 
 MAGIC, VERSION, BLOCK = b"WIDS", 1, 1 << 16
 _TRAILER = struct.Struct("<QQQQII4s")
@@ -39,14 +39,29 @@ READ_AHEAD = 1 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    planes = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]
-    return np.packbits(planes).tobytes()
+    """Ids side by side, each in so many bits, highest bit first: eight ids fill as many bytes as one has bits."""
+    groups = np.zeros((8, -(-len(ids) // 8)), np.uint32)
+    whole = len(ids) // 8
+    groups[:, :whole] = ids[: 8 * whole].reshape(-1, 8).T
+    groups[: len(ids) - 8 * whole, whole:] = ids[8 * whole :].reshape(-1, 1)
+    out = np.zeros((groups.shape[1], bits), np.uint8)
+    for byte in range(bits):
+        for k in range(8 * byte // bits, (8 * byte + 7) // bits + 1):
+            beyond = (k + 1) * bits - 8 * (byte + 1)
+            out[:, byte] |= (groups[k] >> beyond if beyond >= 0 else groups[k] << -beyond).astype(np.uint8)
+    return out.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
-    planes = np.zeros((count, 32), np.uint8)
-    planes[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits).reshape(count, bits)
-    return np.packbits(planes, axis=1).view(">u4").ravel().astype("<u4")
+    raw = np.zeros(-(-count // 8) * bits, np.uint8)
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
+    planes = raw.reshape(-1, bits).T.astype(np.uint32)
+    out = np.zeros((8, planes.shape[1]), np.uint32)
+    for k in range(8):
+        for byte in range(k * bits // 8, ((k + 1) * bits - 1) // 8 + 1):
+            beyond = (k + 1) * bits - 8 * (byte + 1)
+            out[k] |= planes[byte] << beyond if beyond >= 0 else planes[byte] >> -beyond
+    return (out.T.ravel()[:count] & np.uint32((1 << bits) - 1)).astype("<u4")
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -129,23 +144,25 @@ class Reader:
 
 
 class PieceEncoder:
-    """The tokenizers library over the distinct pieces of a batch; texts beyond plain Latin, or with special tokens, go to it whole."""
+    """The tokenizers library's BPE over the distinct pieces of a batch; texts beyond plain Latin, or with special tokens, go to the library whole."""
 
     def __init__(self, file_json: str, pattern: str):
-        self.library, self.cut = library(file_json), regex.compile(pattern).findall
+        self.library, self.cut = library(file_json), plain_pattern(pattern).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
-        self.ids: dict[str, bytes] = {}
+        self.ids: Remembered[str, bytes] = Remembered(REMEMBERED)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def made(self, pieces: set[str]) -> dict[str, bytes]:
+        tokens = self.library.model.tokenize
+        return {x: array("I", [t.id for t in tokens(in_symbols(x))]).tobytes() for x in pieces}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         plain = [t is None or PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         cut = [self.cut(t or "") if p else None for t, p in zip(texts, plain, strict=True)]
-        new = sorted({x for pieces in cut if pieces for x in pieces}.difference(self.ids))
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids = {x: self.ids[x] for pieces in cut if pieces for x in pieces if x in self.ids}
-        self.ids.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        ids = self.ids.of({x for pieces in cut if pieces for x in pieces}, self.made).__getitem__
         whole = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4") if pieces is None else np.frombuffer(b"".join(map(self.ids.__getitem__, pieces)), "<u4") for pieces in cut]
+        return [array("I", next(whole).ids).tobytes() if pieces is None else b"".join(map(ids, pieces)) for pieces in cut]
 
 
 #: How the byte-level vocabularies cut texts; a fixed value of their format.
@@ -162,7 +179,7 @@ def write(docs: DataFrame, file: str, end_id: int, folder: str, pattern: str = B
     vocabulary = sent(docs.sparkSession, file)
 
     def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, name = None, None, f"{folder}/ids-{uuid.uuid4().hex}.bin"
+        encoder, writer, name, end = None, None, f"{folder}/ids-{uuid.uuid4().hex}.bin", array("I", [end_id]).tobytes()
         for batch in slices(batches):
             if writer is None:
                 encoder = PieceEncoder(vocabulary.value, pattern)
@@ -170,7 +187,7 @@ def write(docs: DataFrame, file: str, end_id: int, folder: str, pattern: str = B
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 writer = Writer(fs.open_output_stream(path), encoder.bits)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
+                writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "n_docs": [len(writer.ends)], "n_ids": [writer.n_ids]})
