@@ -7,8 +7,8 @@ A block unpacks with a few numpy calls, and any document is found by one look at
 Documents are dealt to tasks by ranges of doc_id; each task writes one file under a name of its own, and only the files of attempts
 that succeeded are in the manifest, so a lost or repeated task leaves no trace in the result.
 
-Defined cases: null text is empty; an empty text has the end id alone; rows that repeat an id stand in order of their text, null ids
-come first; an empty table gives an empty manifest and no rows; very long texts pass through in blocks; other columns are ignored.
+Defined cases: null text is empty; an empty text has the end id alone; rows that repeat an id stand in order of a hash of their text, null
+ids come first; an empty table gives an empty manifest and no rows; very long texts pass through in blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,18 +192,18 @@ def write(docs: DataFrame, file: str, end_id: int, folder: str, pattern: str = B
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "n_docs": [len(writer.ends)], "n_ids": [writer.n_ids]})
 
-    ordered = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "xxhash64(cast(text as string)) as hashed").repartitionByRange("doc_id", "hashed").sortWithinPartitions("doc_id", "hashed", "text")
     ordered.mapInArrow(written, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; one task per file or so.
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; a task for each file.
 
     The running sum of ids before each file goes over the manifest, a row per file.
     """
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("file", before.cast("long").alias("base"))
+    files = manifest.select("part", "file", before.cast("long").alias("base"))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +217,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return files.repartition(max(1, manifest.count()), "file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
