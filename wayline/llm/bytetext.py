@@ -13,7 +13,6 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 #: Letters, digits and every byte of a character beyond ASCII.
 WORD_BYTE = np.array([48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 or b >= 128 for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(64, _BASE, dtype=np.uint64))
 
 
 def joined(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +58,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = W
         return np.zeros(0, np.uint64), bounds
     place = np.arange(len(data), dtype=np.int64)
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = (LOWER[data].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63]
+    place[~inside] = 0
+    # a power of its own for every place in a word, and each product mixed before the sum: no exchange of bytes leaves the sum as it was
+    value = LOWER[data].astype(np.uint64)
+    value += np.uint64(1)
+    value *= np.cumprod(np.full(int(place.max()) + 1, _BASE))[place]
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    value ^= value >> np.uint64(32)
     value[~inside] = 0
     return mixed(np.add.reduceat(value, starts)), bounds
 
