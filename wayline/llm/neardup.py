@@ -5,15 +5,17 @@ exponential variable and truncated to a step of a scale of base BASE: registers
 equal registers are as likely as sets are alike. Bands of registers name buckets; registers of two sets and the sets' sizes
 give their likeness by maximum likelihood; what that leaves is verified on the full sets.
 
-Equal sets are one class. In a first round every class is compared with one other, the least class that it meets in most bands, which
-joins large groups of copies at a cost that grows with their size only. The second round looks at every bucket whose classes are
-not yet all of one component and compares its classes from different components block by block: those with a likely partner there
-meet again with their full sets, and each leaves with one class that its links reach. Pairs never leave a block, and no link between
-components is lost that the bands can show (with 32 bands of 4, sets with 80 of 100 shingles in common share none in one case of 10**7).
-
-Defined cases: null and empty text, and text without words, has the empty set and links with nothing; a text of fewer than WIDTH
-words has one shingle, the whole of it; rows that repeat an id are one document with several texts; null ids link with nothing; an
-empty table gives an empty result; very long texts are taken whole; other columns are ignored.
+Equal sets are one class; equality is told by their size and two 64-bit sums of their elements' hashes. In a first round every class is
+compared with one other, the least class that it meets in most bands, which joins large groups of copies at a cost that grows with
+their size only; a class and those that it leads so are a group. The second round looks at every bucket whose classes are not all of
+one group and compares its classes from different groups block by block: those with a likely partner there meet again with their
+full sets, and each leaves with one class that its links reach. Pairs never leave a block, and no link between groups is lost that
+the bands can show (with 32 bands of 4, sets with 80 of 100 shingles in common share none in one case of 10**7).
+
+Defined cases: null and empty text, and text without words, has the empty set and links with nothing, even where its id repeats; a
+text of fewer than WIDTH words has one shingle, the whole of it; rows that repeat an id are one document with several texts, so all that
+any of them links with is one component; null ids link with nothing; an empty table gives an empty result; very long texts are taken
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
 from wayline.llm.common import settle, shared_folder, small_batches
-from wayline.llm.graph import blocks, components, map_groups, matrix, roots
+from wayline.llm.graph import blocks, components, map_groups, matrix, of_one_id, roots
 
 WIDTH, REGISTERS, BAND, BASE = 4, 128, 4, 1.001
 #: A word of the contract: anything but blank, tab, LF, VT, FF, CR.
@@ -37,6 +39,8 @@ _FLIP = _RNG.integers(1 << 32, size=REGISTERS, dtype=np.uint32)
 _TIMES = _RNG.integers(1 << 31, size=REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Ids that may be broadcast, of 8 bytes each.
 MOST_BROADCAST = 1_000_000
+#: Weight of a part of a bucket that is compared with other parts at once.
+MOST_OF_BLOCK = 1024
 #: A set of more shingles counts as several members when a bucket is cut into blocks, which bounds a block's bytes.
 LONG = 1024
 
@@ -123,13 +127,13 @@ def alike_enough(above: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.
 
 
 def _likely_members(table: pa.Table, percent: int, least: float) -> pa.Table | None:
-    """The members of a block that have a likely partner in it, of another component, and no earlier band in common with it."""
-    reps, comps, sizes, part = (table.column(c).to_numpy() for c in ("rep", "component", "n", "part"))
+    """The members of a block that have a likely partner in it, of another group, and no earlier band in common with it."""
+    reps, group, sizes, part = (table.column(c).to_numpy() for c in ("rep", "group", "n", "part"))
     first, second, band = (table.column(c)[0].as_py() for c in ("first", "second", "band"))
     left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
     registers, hit = matrix(table.column("registers"), "<u2"), np.zeros(len(reps), bool)
     for i in left:
-        j = right[(comps[right] != comps[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
+        j = right[(group[right] != group[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
         if first == second:
             j = j[reps[j] > reps[i]]
         same = registers[j] == registers[i]
@@ -200,7 +204,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 yes.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    met = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+    # the many members of one leader bring their sets to it: the leader's set is copied in the join, never in a shuffle
+    met = pairs.join(whole.toDF("b", "y"), "b").join(whole.toDF("a", "x"), "a")
     return settle(met.select("a", "b", "x", "y").mapInArrow(kept, "a bigint, b bigint").distinct())
 
 
@@ -214,12 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, least_estimate: float =
     some = sketched.filter("n > 0 and doc_id is not null")
     classes = settle(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")))
 
-    bands, width = REGISTERS // BAND, 2 * BAND
-    key = lambda b: F.xxhash64(b, F.substring("registers", b * width + 1, F.lit(width)))
-    members = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
-    met = settle(members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1"))
-    led = members.join(met, "key").filter("rep != leader").groupBy("rep", "leader").agg(F.count("*").alias("bands"))
-    led = led.groupBy("rep").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
+    width = 2 * BAND
+    keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * width + 1, F.lit(width))))
+    members = classes.select("rep", F.explode(keys).alias("key"))
+    met = settle(members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select("key", "leader"))
+    led = members.join(met, "key").filter("rep != leader").groupBy("rep").agg(F.mode("leader", True).alias("leader"))
     ours, theirs = classes.select("rep", "n", "registers"), classes.select(F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("registers").alias("leader_registers"))
     sized = led.join(ours, "rep").join(theirs, "leader").filter(100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
 
@@ -231,18 +235,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, least_estimate: float =
                 yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("rep")], names=["a", "b"]).filter(pa.array(like >= least_estimate))
 
     first = _verified(plain, settle(sized.mapInArrow(likely, "a bigint, b bigint")), percent)
-    parts = components(first)
-    placed = settle(classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "registers", F.coalesce("component", "rep").alias("component")))
-    spread = placed.select("component", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"), F.greatest(F.lit(1.0), F.col("n") / LONG).alias("weight"))
-    mixed_ = spread.groupBy("key").agg(F.sum("weight").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "size")
-    narrow = placed.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("band", "key"))
-    dealt = blocks(narrow, settle(mixed_), "rep").join(placed, "rep")
+    placed = settle(classes.join(first.select(F.col("b").alias("rep"), F.col("a").alias("group")), "rep", "left").select("rep", "n", "registers", F.coalesce("group", "rep").alias("group")))
+    spread = placed.select("rep", "group", F.greatest(F.lit(1.0), F.col("n") / LONG).alias("weight"), F.posexplode(keys).alias("band", "key"))
+    of_groups = spread.groupBy("key", "group").agg(F.sum("weight").alias("weight")).groupBy("key").agg(F.sum("weight").alias("size"), F.max(F.struct("weight", "group")).alias("top"), F.count("*").alias("groups"))
+    sizes = settle(of_groups.filter("groups > 1").select("key", "size", F.col("top.group").alias("main"), F.col("top.weight").alias("main_size")))
+    dealt = blocks(spread.drop("weight"), sizes, "rep", MOST_OF_BLOCK).join(placed.drop("group"), "rep")
     of_blocks = settle(map_groups(dealt, lambda t: _likely_members(t, percent, least_estimate), "key bigint, first int, second int, part int, rep bigint", MEMBER))
     whole = _full_sets(plain, of_blocks.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     second = map_groups(of_blocks.join(whole, "rep"), lambda t: _links_of_block(t, percent), "a bigint, b bigint", links)
-    parts = components(first.union(second))
+    shared = of_one_id(some, "doc_id", ["s1", "s2", "n"], classes)
+    parts = components(first.union(second) if shared is None else first.union(second).union(shared))
 
     of_class = classes.select("s1", "s2", "n", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    whole = sketched.filter("n > 0 and doc_id is not null").select("doc_id", "s1", "s2", "n").join(of_class, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    whole = some.select("doc_id", "s1", "s2", "n").join(of_class, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return whole.union(sketched.filter("n = 0 or doc_id is null").select("doc_id", "n", "doc_id"))
