@@ -1,19 +1,27 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
 A vector is turned by three rounds of random signs and fast Hadamard transforms; the largest coordinate and its sign name its cell
-of the polytope. HASHES cells together are a bucket, in each of TABLES tables; multiprobe adds the buckets that swap one cell
-for its second best. Vectors that share a bucket and a label are compared by their cosine in double precision.
+of the polytope. A bucket is named by some cells together, the last of them perhaps by its remainder only, in each of several
+tables; multiprobe adds the buckets that swap one cell for its second best. Vectors that share a bucket and a label are compared by
+their cosine in double precision.
+
+How many cells name a bucket follows from the number of vectors, so that a bucket holds about LOAD of them at any size; the number of
+tables from a trial with random pairs of just the least cosine, all but MISSED of which share a bucket. Pairs of a higher cosine, which
+is all others that count, are missed less.
 
 Equal vectors are one class and compared once. Of a bucket's pairs only sums leave a task: a vector's number of links, where a pair
-counts in the first bucket it shares, and the least vector of its part of the bucket, which is enough for the components.
+counts in the first bucket it shares, and one vector that stands for its part of the bucket, which is enough for the components.
 
 Defined cases: vectors that are null, empty, all zero, or that hold null or non-finite components, and those without label or id,
-link with nothing and are their own component; vectors of different lengths don't link; rows that repeat an id count as one vector
-with several values; an empty table gives an empty result; other columns are ignored.
+link with nothing and are their own component; vectors of different lengths don't link; equal rows count as one vector; rows that
+repeat an id with another value or label have one component together, and each has the links of its own value, where another value
+of the same id counts as another vector; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +29,12 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bytetext import mixed
 from wayline.llm.common import settle
-from wayline.llm.graph import blocks, components, map_groups, matrix, roots
+from wayline.llm.graph import blocks, components, map_runs, matrix, of_one_id, roots
 
-TABLES, HASHES = 8, 2
+#: Vectors of a bucket, and share of pairs of the least cosine that no table may bring together.
+LOAD, MISSED = 4, 0.002
+#: Rows of a bucket that are compared at once; buckets up to SMALL are compared many together.
+MOST_OF_BLOCK, SMALL = 1024, 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -37,17 +48,50 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(n, width) / np.sqrt(width)
 
 
-def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES) -> np.ndarray:
-    """Bucket numbers of each row, (rows, tables, 1 + hashes): its own, then those with one cell swapped for its second best."""
+@dataclass(frozen=True)
+class Hashing:
+    """Cells that name a bucket, how many remainders the last of them is told by (0: all its cells), and tables."""
+
+    cells: int
+    remainders: int
+    tables: int
+
+
+def _width(dim: int) -> int:
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+def hashing(n: int, dim: int, least: float, most_tables: int = 96, trial: int = 3000) -> Hashing:
+    """The hashing for n vectors: as many buckets as make LOAD vectors each, as many tables as the trial asks for."""
+    wanted, each = max(2.0, n / LOAD), 2 * _width(dim)
+    full = int(np.log(wanted) / np.log(each))
+    rest = int(np.ceil(wanted / each**full))
+    shape = (full + (rest > 1), rest if rest > 1 else 0)
+    rng = np.random.default_rng(31)
+    x, y = rng.normal(size=(2, trial, max(2, dim)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y *= np.sqrt(1 - least * least) / np.linalg.norm(y, axis=1, keepdims=True)
+    tables = 4
+    while True:
+        a, b = (buckets(z, Hashing(*shape, tables)) for z in (x, least * x + y))
+        met = np.logical_or.accumulate((a[:, :, :, None] == b[:, :, None, :]).any((2, 3)), axis=1).mean(0)
+        if met[-1] >= 1 - MISSED or tables == most_tables:
+            return Hashing(*shape, min(tables, int(np.searchsorted(met, 1 - MISSED)) + 1))
+        tables = min(2 * tables, most_tables)
+
+
+def buckets(x: np.ndarray, how: Hashing) -> np.ndarray:
+    """Bucket numbers of each row, (rows, tables, 1 + cells): its own, then those with one cell swapped for its second best."""
     n, dim = x.shape
-    width = 1 << max(1, (dim - 1).bit_length())
+    width = _width(dim)
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - dim)))
     rng = np.random.default_rng(29)
-    out = np.zeros((n, tables, 1 + hashes), np.int64)
+    out = np.zeros((n, how.tables, 1 + how.cells), np.int64)
     rows = np.arange(n)
-    for t in range(tables):
+    for t in range(how.tables):
         cells = []
-        for _ in range(hashes):
+        for k in range(how.cells):
             y = x
             for signs in rng.choice([-1.0, 1.0], (3, width)):
                 y = hadamard(y * signs)
@@ -55,50 +99,72 @@ def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES) -> np.nda
             best = size.argmax(1)
             size[rows, best] = -1
             second = size.argmax(1)
-            cells.append([2 * c + (y[rows, c] < 0) for c in (best, second)])
-        for probe in range(1 + hashes):
+            named = [2 * c + (y[rows, c] < 0) for c in (best, second)]
+            cells.append([c % how.remainders for c in named] if how.remainders and k == how.cells - 1 else named)
+        for probe in range(1 + how.cells):
             key = np.full(n, t, np.int64)
-            for k in range(hashes):
+            for k in range(how.cells):
                 key = key * (2 * width) + cells[k][1 if probe == k + 1 else 0]
             out[:, t, probe] = key
     return out
 
 
-def linked(table: pa.Table, least: float) -> pa.Table | None:
-    """The links of a group: per vector the links that count here, and the least vector of its part."""
-    ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-    x = matrix(table.column("vector"), "<f8")
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    part, keys = table.column("part").to_numpy(), matrix(table.column("keys"), "<i8")
-    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-    left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
-    if not len(left) or not len(right):
-        return None
-    close = x[left] @ x[right].T >= least
-    a, b = np.nonzero(close)
-    a, b = left[a], right[b]
-    some = ids[a] < ids[b] if first == second else ids[a] != ids[b]
-    a, b = a[some], b[some]
+def close_pairs(x: np.ndarray, starts: np.ndarray, least: float, chunk: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a < b of one group whose cosine is least or more; groups of rows begin at starts, rows have length 1."""
+    sizes = np.diff(np.append(starts, len(x)))
+    found = []
+    for at in np.flatnonzero(sizes > SMALL):
+        some = slice(starts[at], starts[at] + sizes[at])
+        a, b = np.nonzero(np.triu(x[some] @ x[some].T >= least, 1))
+        found.append(np.stack([a, b]) + starts[at])
+    end = np.repeat(starts + sizes, sizes)
+    after = np.where(np.repeat(sizes <= SMALL, sizes), end - np.arange(len(x)) - 1, 0)
+    upto = np.cumsum(after)
+    row = 0
+    while row < len(x):
+        last = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + chunk, side="right")))
+        many = after[row:last]
+        a = np.repeat(np.arange(row, last), many)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+        yes = np.einsum("ij,ij->i", x[a], x[b]) >= least
+        found.append(np.stack([a[yes], b[yes]]))
+        row = last
+    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return a, b
+
+
+def linked(table: pa.Table, starts: np.ndarray, least: float, probes: int) -> pa.Table | None:
+    """The links of some groups: per vector the links that count here, and the vector that stands for its part of the group."""
+    width = np.array([len(v) for v in table.column("vector").to_pylist()])
+    node, rep, copies, key, part, first, second = (table.column(c).to_numpy() for c in ("node", "rep", "copies", "key", "part", "first", "second"))
+    keys, pairs = matrix(table.column("keys"), "<i8"), []
+    for size in np.unique(width):
+        some = np.flatnonzero(width == size)
+        x = np.frombuffer(b"".join(table.column("vector").take(pa.array(some)).to_pylist()), "<f8").reshape(len(some), -1)
+        group = np.searchsorted(starts, some, side="right")
+        a, b = close_pairs(x, np.flatnonzero(np.diff(group, prepend=-1)), least)
+        pairs.append(np.stack([some[a], some[b]]))
+    a, b = np.concatenate(pairs, axis=1)
+    met = (node[a] != node[b]) & ((first[a] == second[a]) | (part[a] != part[b]))
+    a, b = a[met], b[met]
     if not len(a):
         return None
-    order = np.argsort(ids, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    root = ids[order][roots(len(ids), place[a], place[b])][place]
-    key, here = table.column("key")[0].as_py(), np.zeros(len(ids), np.int64)
-    tables, probes = TABLES, keys.shape[1] // TABLES
+    root, here = roots(len(node), a, b), np.zeros(len(node), np.int64)
+    none = np.iinfo(np.int64).max
     for at in range(0, len(a), 20_000):
         p, q = a[at : at + 20_000], b[at : at + 20_000]
-        shared = np.full(len(p), np.iinfo(np.int64).max)
-        for t in range(tables):
-            u, v = keys[p, t * probes : (t + 1) * probes], keys[q, t * probes : (t + 1) * probes]
-            same = np.where(u[:, :, None] == v[:, None, :], u[:, :, None], np.iinfo(np.int64).max)
-            shared = np.minimum(shared, same.min((1, 2)))
-        own = shared == key
+        shared = np.full(len(p), none)
+        for t in range(0, keys.shape[1], probes):
+            u, v = keys[p, t : t + probes], keys[q, t : t + probes]
+            shared = np.minimum(shared, np.where(u[:, :, None] == v[:, None, :], u[:, :, None], none).min((1, 2)))
+        own = shared == key[p]
         np.add.at(here, p[own], copies[q[own]])
         np.add.at(here, q[own], copies[p[own]])
-    some = np.flatnonzero((here > 0) | (root != ids))
-    return pa.table({"rep": ids[some], "links": here[some], "root": root[some]})
+    some = np.flatnonzero((here > 0) | (root != np.arange(len(root))))
+    return pa.table({"node": node[some], "links": here[some], "a": rep[some], "b": rep[root[some]]})
+
+
+LINKED = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -106,35 +172,44 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label"))
     wrong = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~wrong & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    classes = settle(rows.filter(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    values = rows.filter(good).select("vec_id", "label", "embedding")
+    classes = settle(values.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    n, dim = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    how = hashing(n, dim or 1, least)
 
     def coded(batches):
         for batch in batches:
             lists = batch.column("embedding")
-            sizes = np.array([len(v) for v in lists.to_pylist()])
-            keys: list = [None] * len(sizes)
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+            begin = np.append(0, np.cumsum(sizes))
+            keys = np.zeros((len(sizes), how.tables * (1 + how.cells)), np.int64)
             data: list = [None] * len(sizes)
             for width in np.unique(sizes):
                 some = np.flatnonzero(sizes == width)
-                x = np.stack([np.asarray(lists[int(i)].values) for i in some])
+                x = flat[begin[some][:, None] + np.arange(width)]
                 x = x / np.abs(x).max(1, keepdims=True)
-                for i, row, key in zip(some, x, buckets(x), strict=True):
-                    data[i], keys[i] = row.astype("<f8").tobytes(), key
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                keys[some] = buckets(x, how).reshape(len(some), -1)
+                for i, row in zip(some, x, strict=True):
+                    data[i] = row.astype("<f8").tobytes()
             salt = mixed(batch.column("label").to_numpy().view(np.uint64) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            found = [mixed(np.ravel(k).astype(np.uint64) ^ s).view(np.int64) for k, s in zip(keys, salt, strict=True)]
+            found = mixed(keys.view(np.uint64) ^ salt[:, None]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("copies"), pa.array(data, pa.binary()), pa.array([f.astype("<i8").tobytes() for f in found], pa.binary()), pa.array([np.unique(f).tolist() for f in found], pa.list_(pa.int64()))],
-                names=["rep", "copies", "vector", "keys", "in_buckets"],
+                [batch.column("node"), batch.column("rep"), batch.column("copies"), pa.array(data, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * keys.shape[1], pa.int32()), pa.array(found.ravel()))],
+                names=["node", "rep", "copies", "vector", "keys", "in_buckets"],
             )
 
-    codes = settle(classes.withColumn("label", F.xxhash64("label")).select("rep", "copies", "embedding", "label").mapInArrow(coded, "rep bigint, copies bigint, vector binary, keys binary, in_buckets array<bigint>"))
-    members = codes.select(F.explode("in_buckets").alias("key"), "rep")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = blocks(members, sizes, "rep").join(codes.select("rep", "copies", "vector", "keys"), "rep")
-    found = settle(map_groups(dealt, lambda t: linked(t, least), "rep bigint, links bigint, root bigint", pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])))
-    parts = components(found.filter("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counted, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = classes.withColumn("label", F.xxhash64("label")).select("node", "rep", "copies", "embedding", "label")
+    codes = settle(labelled.mapInArrow(coded, "node bigint, rep bigint, copies bigint, vector binary, keys binary, in_buckets array<bigint>"))
+    members = codes.select(F.explode(F.array_distinct("in_buckets")).alias("key"), "node", F.lit(0).alias("group"))
+    # no group is known to be linked among itself, so a large bucket's parts all meet
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumns({"main": F.lit(1), "main_size": F.lit(0)})
+    dealt = blocks(members, sizes, "node", MOST_OF_BLOCK).join(codes.select("node", "rep", "copies", "vector", "keys"), "node")
+    found = settle(map_runs(dealt, lambda t, starts: linked(t, starts, least, 1 + how.cells), "node bigint, links bigint, a bigint, b bigint", LINKED))
+    joined_up, shared = found.filter("a != b").select("a", "b"), of_one_id(values, "vec_id", ["label", "embedding"], classes)
+    parts = components(joined_up if shared is None else joined_up.union(shared))
+    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
+    per_class = classes.join(counted, "node", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     alone = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return rows.filter(good).join(per_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id").union(alone)
+    return values.join(per_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id").union(alone)
