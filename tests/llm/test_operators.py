@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from wayline.llm import bpe, fingerprints, idfiles, language, licenses, mixing, neardup, queries, quality, toxicity, vectors
+from wayline.llm.bytetext import word_hashes
 from wayline.llm.pieces import path, text_of
 
 SF = "/root/testdata/sf0.001"
@@ -148,6 +149,38 @@ def test_license_finds_are_the_same_without_gates():
                 assert found == want, x
 
 
+def brute_scan(text, rules):
+    """Every rule on every text, every find against every kept one, words counted one by one."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    line = " " + " ".join(words) + " "
+    base = [(i, i + len(p.split()) - 1, label) for p, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    finds = []
+    for k, rule in enumerate(rules):
+        for m in re.finditer(rule.pattern.pattern.decode(), line):
+            first = len(line[: m.start()].split())
+            finds.append((rule.priority, -len(m[0]), first, k, first + len(m[0].split()) - 1))
+    kept = [(first, last) for first, last, _ in base]
+    out = []
+    for _, _, first, k, last in sorted(finds):
+        if not any(a <= first and last <= b for a, b in kept):
+            kept.append((first, last))
+            out.append((first, last, rules[k].label))
+    return sorted(base), sorted(out)
+
+
+def test_license_scan_by_brute_force():
+    rules = licenses.rules()
+    gates = frozenset().union(*(r.gates for r in rules))
+    rng = np.random.default_rng(12)
+    pool = [x for r in rules for x in sentences(re._parser.parse(r.pattern.pattern.decode()))[:3]] + list(licenses.BASE) * 40
+    for n in rng.integers(0, 14, 60):
+        text = " ".join(" ".join(rng.choice(["the", "license", "Under", "MIT", "apache,", "of"], rng.integers(0, 4))) + " " + str(x) + "." for x in rng.choice(pool, n))
+        n_words, base, finds = licenses.find_all(text.encode(), rules, gates)
+        want_base, want = brute_scan(text, rules)
+        assert sorted((b["first_word"], b["last_word"], b["label"]) for b in base) == want_base
+        assert sorted((f["first_word"], f["last_word"], f["label"]) for f in finds if f["rule"] >= 0) == want
+
+
 # 3
 
 
@@ -179,6 +212,61 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert len(toxicity.learn(docs, labels.limit(0), F.lit(True)).at) == 0
 
 
+def plain_features(text):
+    """A text's words, neighbours and pairs with one word between, as strings."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return [*w, *(f"{a} {b}" for a, b in zip(w, w[1:])), *(f"{a} ? {b}" for a, b in zip(w, w[2:]))]
+
+
+def test_toxicity_features_are_plain_ones():
+    rng = np.random.default_rng(2)
+    pool = ["Aa", "aa", "bé", "c1", "d" * 70, "日本", "e"]
+    texts = [rng.choice([" ", ", ", "-"]).join(rng.choice(pool, n)) for n in (0, 1, 2, 3, 9, 40)] + ["", "...", "x" * 200]
+    data = "".join(texts).encode()
+    text, at = toxicity.features(np.frombuffer(data, np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts])))
+    place = {}
+    for k, t in enumerate(texts):
+        want, got = Counter(plain_features(t)), Counter(at[text == k].tolist())
+        assert sorted(want.values()) == sorted(got.values())
+        for f in want:
+            (alone,) = {int(x) for x in toxicity.features(np.frombuffer(f.encode(), np.uint8), np.array([0, len(f.encode())]))[1]} if " " not in f else (None,)
+            assert alone is None or place.setdefault(f, alone) == alone and got[alone] == want[f]
+    assert len(set(place.values())) == len(place) > 5
+
+
+def test_toxicity_fit_is_plain_ftrl():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(40, size=8)) for _ in range(120)]
+    labels = np.array([float(3 in r or 5 in r) for r in rows])
+    got = toxicity.fit(rows, labels, epochs=3, alpha=0.5, beta=1.0, l1=0.6, l2=0.3)
+    size, z, n = 1 << toxicity.BITS, Counter(), Counter()
+
+    def weight(i):
+        lasso = 0.0 if i == size else 0.6
+        return 0.0 if abs(z[i]) <= lasso else -(z[i] - np.copysign(lasso, z[i])) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.3)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for r in order.permutation(len(rows)):
+            at = [*rows[r].tolist(), size]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[r]
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert dict(zip(got.at.tolist(), got.weight.tolist(), strict=True)) == pytest.approx(want) and got.bias == pytest.approx(weight(size)) and len(want) < 40
+
+
+def test_scores_are_the_weights_of_distinct_features(spark):
+    docs = spark.createDataFrame([(1, "Bad bad word"), (2, "word"), (3, None), (4, "good " * 3000)], "doc_id bigint, text string")
+    of = {f: int(toxicity.features(np.frombuffer(f.encode(), np.uint8), np.array([0, len(f)]))[1][0]) for f in ("bad", "word", "good")}
+    at = np.sort(list(of.values()))
+    model = toxicity.Weights(at, np.array([{of["bad"]: 2.0, of["word"]: -0.5, of["good"]: -3.0}[i] for i in at.tolist()]), -1.0)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got == pytest.approx({i: 1 / (1 + np.exp(-z)) for i, z in ((1, 0.5), (2, -1.5), (3, -1.0), (4, -4.0))})
+
+
 # 4
 
 
@@ -230,6 +318,18 @@ def test_id_files_round_trip(spark, odd, none, tmp_path):
         assert (reader.document(k) == whole[k][2]).all()
 
 
+def test_ids_of_one_document_stand_in_one_order_over_files(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(300)] + [(8, "last"), (3, "first")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = idfiles.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), path("byte_bpe_50k.json"), 2, f"file://{tmp_path}/ids")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1
+    got = [(r.doc_id, r.ids_crc32) for r in sorted(idfiles.read_back(manifest).collect(), key=lambda r: r.start)]
+    tok = idfiles.library(text_of(path("byte_bpe_50k.json")))
+    order = sorted(rows, key=lambda x: (x[0], signed(spark_hash(x[1]))))
+    assert got == [(i, zlib.crc32(np.array([*tok.encode(t).ids, 2], "<u4").tobytes())) for i, t in order]
+
+
 # 6
 
 
@@ -263,17 +363,62 @@ def test_vectors_by_brute_force(spark):
     labels = [i % 3 for i in range(60)] * 2 + [0] * 5
     rows = [(i, x[i].tolist(), labels[i]) for i in range(len(x))]
     bad = [(1000, None, 1), (1001, [0.0] * 64, 1), (1002, [float("nan")] * 64, 1), (1003, [None, 1.0], 1), (1004, x[0].tolist(), None), (1005, [], 0), (1006, [1.0, 2.0], 0)]
-    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<double>, label int")).collect()}
+    frame = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<double>, label int")
+    clashing = frame.withColumns({c: F.lit("x") for c in ("node", "rep", "key", "copies", "links", "part", "group", "component")})
+    got = {r.vec_id: r for r in vectors.near_duplicates(clashing).collect()}
     n, root = brute_links(list(range(len(x))), x, labels, 0.93)
-    found = sum(got[i].n_links for i in range(len(x)))
-    assert len(got) == len(rows + bad) and all(got[i].n_links <= n[i] for i in range(len(x)))
-    assert found >= 0.95 * sum(n.values())
-    assert all(got[i].component_id == root[i] for i in range(len(x)) if got[i].n_links == n[i] and got[root[i]].n_links == n[root[i]])
+    assert len(got) == len(rows + bad)
+    assert {i: (got[i].n_links, got[i].component_id) for i in range(len(x))} == {i: (n[i], root[i]) for i in range(len(x))}
     assert all((got[b[0]].n_links, got[b[0]].component_id) == (0, b[0]) for b in bad)
+    again = {r.vec_id: r for r in vectors.near_duplicates(frame.orderBy(F.desc("vec_id")).repartition(5)).collect()}
+    assert got == again
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<double>, label int")
     assert vectors.near_duplicates(empty).count() == 0
 
 
+def test_vectors_of_one_id_and_of_other_lengths(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (15, [0.0, 1.0], 0), (10, [0.0, 2.0], 0), (15, [1.0, 1.0], 0), (20, [2.0, 2.0], 0), (20, [2.0, 2.0], 0), (7, [1.0, 0.0, 0.0], 0), (8, [2.0, 0.0, 0.0], 0), (9, [0.0, 2.0], 1)]
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect())
+    assert got == Counter([(1, 0, 1)] * 2 + [(15, 1, 10), (10, 1, 10), (15, 1, 10)] + [(20, 1, 10)] * 2 + [(7, 1, 7), (8, 1, 7), (9, 0, 9)])
+
+
+@pytest.mark.parametrize("cut", [4, 1024])
+def test_crowded_buckets_of_vectors(spark, monkeypatch, cut):
+    """Parts of one bucket meet each other once, whatever a part's size."""
+    monkeypatch.setattr(vectors, "MOST_OF_BLOCK", cut)
+    rng = np.random.default_rng(5)
+    x = np.ones(16) + 0.25 * rng.normal(size=(90, 16))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")).collect()}
+    n, root = brute_links(list(range(90)), x, [3] * 90, 0.93)
+    missed = sum(n.values()) - sum(v[0] for v in got.values())
+    assert sum(n.values()) > 400 and 0 <= missed <= 0.01 * sum(n.values())
+
+
+@pytest.mark.parametrize("n", [3000, 100_000, 10_000_000])
+def test_recall_of_planted_vectors(n):
+    """Pairs of cosine 0.93 and a little more, by the hashing that a table of n vectors gets."""
+    rng = np.random.default_rng(n)
+    how = vectors.hashing(n, 64, 0.93)
+    x, y = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.9301, 0.94, (1500, 1))
+    a, b = vectors.buckets(x, how), vectors.buckets(cos * x + np.sqrt(1 - cos**2) * y, how)
+    assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.99
+
+
+def test_pairs_of_groups_agree_with_plain_ones(monkeypatch):
+    monkeypatch.setattr(vectors, "SMALL", 5)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    starts = np.array([0, 1, 4, 9, 30, 33])
+    group = np.searchsorted(starts, np.arange(60), side="right")
+    a, b = vectors.close_pairs(x, starts, 0.5, chunk=7)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, j) for i in range(60) for j in range(i + 1, 60) if group[i] == group[j] and x[i] @ x[j] >= 0.5]
+
+
 # 7
 
 
@@ -289,6 +434,55 @@ def test_language_on_held_out_rows(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.learn(none, F.lit(True))).collect()} == {"und"}
 
 
+def plain_reading(net, window):
+    """One window byte by byte, from both ends."""
+    size = net.inner.shape[2]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    seen = np.zeros((len(window), 2 * size))
+    for way in (0, 1):
+        state = np.zeros(size)
+        for t in range(len(window)) if way == 0 else reversed(range(len(window))):
+            x, a = net.table[way][:, window[t]].astype(float), net.inner[way].astype(float) @ state
+            z, r = sig(x[:size] + a[:size]), sig(x[size : 2 * size] + a[size : 2 * size])
+            n = np.tanh(x[2 * size :] + r * a[2 * size :])
+            state = (1 - z) * n + z * state
+            seen[t, way * size : (way + 1) * size] = state
+    e = np.exp(seen @ net.out.T + net.bias)
+    return e / e.sum(1, keepdims=True)
+
+
+def some_network(rng, kind=np.float32):
+    return [x.astype(kind) for x in (rng.normal(size=(2, 12, 256)), 0.5 * rng.normal(size=(2, 12, 4)), rng.normal(size=(3, 8)), rng.normal(size=3))]
+
+
+def test_language_reading_by_plain_loops():
+    rng = np.random.default_rng(1)
+    net = language.Network(["a", "b", "c"], *some_network(rng))
+    text = [rng.integers(256, size=n).astype(np.uint8) for n in (5, 0, 3 * language.WINDOW // 2, 1)]
+    prob, counts = language.pooled(net, np.concatenate(text), np.append(0, np.cumsum([len(t) for t in text])))
+    for k, t in enumerate(text):
+        # a short last window is filled up with blanks, which the reading from the end begins with
+        at = range(0, len(t), language.WINDOW)
+        whole = [plain_reading(net, np.pad(t[a : a + language.WINDOW], (0, max(0, language.WINDOW - len(t[a:]))), constant_values=32))[: len(t[a:])] for a in at]
+        want = np.concatenate(whole) if whole else np.zeros((0, 3))
+        assert prob[k] == pytest.approx(want.sum(0) / max(len(t), 1), abs=1e-4)
+        assert np.abs(counts[k] - np.bincount(want.argmax(1), minlength=3)).sum() <= 2 and counts[k].sum() == len(t)
+
+
+def test_language_slopes_by_differences():
+    rng = np.random.default_rng(4)
+    w, x, truth = some_network(rng, float), rng.integers(97, 103, size=(7, 5)).astype(np.uint8), rng.integers(3, size=5)
+    _, grads = language.slopes(w, x, truth)
+    for k, g in enumerate(grads):
+        for at in [tuple(rng.integers(n) for n in g.shape) for _ in range(12)] + [np.unravel_index(np.abs(g).argmax(), g.shape)]:
+            moved = []
+            for step in (1e-5, -1e-5):
+                v = [y.copy() for y in w]
+                v[k][at] += step
+                moved.append(language.slopes(v, x, truth)[0])
+            assert g[at] == pytest.approx((moved[0] - moved[1]) / 2e-5, abs=1e-7)
+
+
 def test_language_gradient_reads_both_ways():
     rng = np.random.default_rng(0)
     net = language.Network(["a", "b"], rng.normal(size=(2, 12, 256)).astype(np.float32), rng.normal(size=(2, 12, 4)).astype(np.float32), rng.normal(size=(2, 8)).astype(np.float32), np.zeros(2, np.float32))
@@ -341,11 +535,44 @@ def test_near_duplicates_by_brute_force(spark):
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
-    got = neardup.near_duplicates(odd).collect()
-    assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 1} == {1}
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(odd).collect())
+    want = brute_near([x[:2] for x in ODD if x[0] is not None])
+    assert got == Counter([(x[0], want[x[0]][0], want[x[0]][1]) for x in ODD if x[0] is not None] + [(None, 1, None)])
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_words_that_swap_their_bytes_are_different_words(spark):
+    a, b, c = "a" * 64, "b" * 64, "漢字仮名" * 40
+    rows = [(1, f"{a}{b} q w e"), (2, f"{b}{a} q w e"), (3, f"{c}x{c}y q w e"), (4, f"{c}y{c}x q w e"), (5, f"{a}{b} q w e")]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    words = [bytes(w) for w in np.random.default_rng(3).permuted(np.tile(np.arange(97, 123, dtype=np.uint8), (2000, 12)), axis=1)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    assert len(set(word_hashes(data, np.array([0, len(data)]))[0].tolist())) == len(set(words)) == 2000
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(10, "a"), (15, "a"), (15, "b"), (20, "b"), (15, "c"), (30, "c"), (5, "d"), (40, "d"), (40, None)]
+    got = neardup.near_duplicates(spark.createDataFrame([(i, text.get(k)) for i, k in rows], "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(10, 10), (15, 10), (15, 10), (15, 10), (20, 10), (30, 10), (5, 5), (40, 5), (40, 40)])
+
+
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch):
+    """Many versions of one text, some of them too far from the first for a link with it, cut into many blocks."""
+    monkeypatch.setattr(neardup, "MOST_OF_BLOCK", 8)
+    rng = np.random.default_rng(8)
+    text, rows = [f"w{i}" for i in range(130)], []
+    for k in range(90):
+        edited = list(text)
+        for at in rng.choice(130, 3 + k % 5, replace=False):
+            edited[at] = f"x{rng.integers(1000)}"
+        rows.append((k, " ".join(edited)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_near(rows)
+    again = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows[::-1], "doc_id bigint, text string").repartition(7)).collect()}
+    assert got == again
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(9)
     pool = np.unique(rng.integers(1 << 63, size=3000, dtype=np.uint64))
@@ -382,6 +609,57 @@ def test_quality_on_held_out_rows(spark, odd, none):
     assert {r.score for r in quality.score(odd, quality.learn(none, labels.limit(0), F.lit(True))).collect()} == {0.5}
 
 
+def plain_measures(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    raw, n, d = text.encode(), len(words), len(set(words))
+    has = lambda f: sum(map(f, raw))
+    upper, lower, far = has(lambda b: 65 <= b <= 90), has(lambda b: 97 <= b <= 122), has(lambda b: b >= 128)
+    digit, blank, line = has(lambda b: 48 <= b <= 57), has(lambda b: b in (9, 11, 12, 13, 32)), raw.count(b"\n")
+    stop, shout, bar = has(lambda b: b in b".,;:?'\"-"), raw.count(b"!"), raw.count(b"|")
+    letters, rest = upper + lower + far, len(raw) - upper - lower - far - digit - blank - line - stop - shout - bar
+    per = lambda a, b: a / max(b, 1)
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    return [np.log1p(n), per(upper, letters), per(digit, len(raw)), per(blank, n), per(line, n), per(stop, n), per(shout, n), per(bar, n), per(far, len(raw)), per(rest, n), per(letters, n) / 10, per(d, n), per(again, n), d / max(n**0.5, 1) / 10, float(n == 0)]
+
+
+def test_quality_measures_are_plain_ones():
+    texts = ["Plain words, plain WORDS stand here!", "", "1 2 2 2 | | é日本 ###\n\nend.", "...", "a " * 500, "x" * 100]
+    data = "".join(texts).encode()
+    got = quality.measures(np.frombuffer(data, np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts])))
+    assert got == pytest.approx(np.array([plain_measures(t) for t in texts]))
+
+
+@pytest.mark.parametrize("prior, below", [(0.3, False), (0.9, True)])
+def test_quality_risk_slopes_by_differences(prior, below):
+    rng = np.random.default_rng(6)
+    gp, gu = rng.normal(1.0, 1, 9), rng.normal(0.0 if not below else -1.0, 1, 11)
+    cost = lambda v: np.mean(np.log1p(np.exp(v)))
+    negative = lambda p, u: cost(u) - prior * cost(p)
+    assert (negative(gp, gu) < 0) == below
+    # below 0 the step goes against the negatives' share, else down the whole risk
+    loss = (lambda p, u: -negative(p, u)) if below else (lambda p, u: prior * cost(-p) + negative(p, u))
+    for got, which in zip(quality.risk_slope(gp, gu, prior), (0, 1), strict=True):
+        for i in range(len(got)):
+            both = [[gp.copy(), gu.copy()] for _ in range(2)]
+            both[0][which][i] += 1e-6
+            both[1][which][i] -= 1e-6
+            assert got[i] == pytest.approx((loss(*both[0]) - loss(*both[1])) / 2e-6, abs=1e-8)
+
+
+def test_quality_network_slopes_by_differences():
+    rng = np.random.default_rng(7)
+    w = [rng.normal(size=(5, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+    x, c = rng.normal(size=(8, 5)), rng.normal(size=8)
+    a, _ = quality.outputs(w, x)
+    loss = lambda v: (c * quality.outputs(v, x)[1]).sum() + 0.05 * ((v[0] ** 2).sum() + (v[2] ** 2).sum())
+    for k, g in enumerate(quality.back(w, x, a, c, 0.1)):
+        for at in np.ndindex(g.shape):
+            both = [[y.copy() for y in w] for _ in range(2)]
+            both[0][k][at] += 1e-6
+            both[1][k][at] -= 1e-6
+            assert g[at] == pytest.approx((loss(both[0]) - loss(both[1])) / 2e-6, abs=1e-6)
+
+
 # 10
 
 
