@@ -13,9 +13,9 @@ repeated results; other columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -162,6 +162,99 @@ ofl-1.1 | font | this font software is licensed under the sil open font license
 openssl | openssl | this product includes software developed by the openssl project
 php-3 | php | this product includes php software
 artistic | perl, artistic | you may distribute (?:this|it) under the (?:same )?terms (?:as perl itself|of (?:either )?the artistic license)
+gpl | reciprocal, copyleft | (?:strong |weak )?(?:copyleft|reciprocal) licen[cs]e terms apply
+gpl | gnu | this program is free software you can redistribute it and or modify it under the terms of the gnu
+gpl | foundation | as published by the free software foundation either version [123](?: of the license)?
+gpl | franklin | free software foundation inc 51 franklin st(?:reet)?
+gpl | verbatim | everyone is permitted to copy and distribute verbatim copies of this license document
+lgpl | linking | combine or link a covered work with the library without linking exceptions
+gpl-classpath | exception | as a special exception the copyright holders of this library give you permission to link
+gpl-linking | linking | linking this library statically or dynamically with other modules is making a combined work
+agpl | network | interacting with it remotely through a computer network
+bsd | advertisement, advertisements | the name of the (?:author|copyright holder|university) may not be used in advertisements?
+bsd | disclaimer | this list of conditions and the following disclaimer(?: in the documentation)?
+bsd | contributors | provided by the copyright holders and contributors as is
+bsd | regents | (?:copyright )?(?:c )?(?:19|20)[0-9][0-9] the regents of the university of california
+bsd-4-clause | acknowledgement | must display the following acknowledgement this product includes software developed by
+apache-2 | unless | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2 | prominent | you must cause any modified files to carry prominent notices stating that you changed the files
+apache-2 | foundation | licensed to the apache software foundation asf under one or more contributor license agreements
+apache-2 | asf | the asf licenses this file to you under the apache license
+mit | sublicense | to use copy modify merge publish distribute sublicense and or sell copies of the software
+mit | liability | in no event shall the authors or copyright holders be liable for any claim damages or other liability
+mit-0 | attribution | without the above copyright notice or attribution being required
+x11 | consortium | except as contained in this notice the name of the x consortium shall not be used in advertising
+isc | disclaims | the author disclaims all warranties with regard to this software
+zlib | arising | in no event will the authors be held liable for any damages arising from the use of this software
+boost | machine | solely in the form of machine executable object code generated by a source language processor
+mpl | exhibit | exhibit [ab](?: source code form license notice| incompatible with secondary licenses notice)
+mpl-2.0 | incompatible | this source code form is incompatible with secondary licenses
+epl | accompanying | this program and the accompanying materials are made available under the terms of the eclipse
+cddl | cddl | the contents of this file are subject to the terms of the common development and distribution license (?:\S+ ){0,3}cddl
+eupl | eupl | licensed under the eupl(?: version)?(?: 1)?(?: [12])?
+artistic | standard | you may otherwise modify your copy of this package (?:\S+ ){0,4}standard version
+artistic | package | the intent of this document is to state the conditions under which a package may be copied
+perl | perl | (?:you can redistribute it and or modify it )?under the same terms as perl(?: 5)?(?: itself)?
+python-2.0 | beopen | beopen python open source license agreement
+python-2.0 | cnri | cnri (?:open source )?license agreement
+ruby | ruby | ruby is copyrighted free software by yukihiro matsumoto
+tcl | tcl | this software is copyrighted by the regents (?:\S+ ){0,20}tcl
+vim | charityware, uganda | (?:vim is charityware|help poor children in uganda)
+postgresql | postgres | postgresql database management system formerly known as postgres
+openssl | openssl | the names openssl toolkit and openssl project must not be used to endorse
+ssleay | ssleay | this package is an ssl implementation written by eric young (?:\S+ ){0,6}ssleay
+curl | retain | permission to use copy modify and distribute (?:\S+ ){0,12}retain the copyright notice
+icu | unicode | unicode inc licen[cs]e agreement data files and software
+unicode | unicode | distributed under the terms of use in (?:http |https )?www unicode org copyright html
+w3c | w3c | by obtaining using and or copying this work you (?:\S+ ){0,12}w3c
+ofl-1.1 | reserved | copyright (?:\S+ ){1,12}with reserved font name
+gust | lppl | gust font license(?: lppl)? (?:is )?based on the lppl
+lppl-1.3 | lppl | this work may be distributed and or modified under the conditions of the lppl
+cc0-1.0 | waives, waived, waive | (?:affirmer|author|creator) (?:hereby )?(?:overtly fully permanently irrevocably and unconditionally )?waive[sd]?(?: all of)?(?: their| the)? (?:copyright|related)
+cc0-1.0 | rights | no rights reserved
+cc | appropriate | you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by-sa | remix | if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e(?: as the original)?(?: share alike)?
+cc-by-nc | commercial | you may not use the material for commercial purposes
+cc-by-nd | remix | if you remix transform or build upon the material you may not distribute the modified material
+cc | legalcode | creativecommons org licenses \S+ [1-4] [05] legalcode
+odbl-1.0 | database | made available under the open database license
+ogl-uk | crown | crown copyright (?:and database rights? )?(?:c )?(?:19|20)[0-9][0-9]
+ogl-uk | sector | contains public sector information licensed under the open government licen[cs]e
+us-gov | government | (?:is )?a work of the (?:united states|us|u s) government(?: and is not subject to copyright)?
+us-gov | title | pursuant to title 17 section 105 of the united states code
+public-domain | domain | this (?:work|file|text|code|program|image) (?:is|has been) (?:placed |released |dedicated )?(?:in|into|to) the public domain
+public-domain | expired | copyright (?:has|term has|protection has) expired
+public-domain | gutenberg | project gutenberg(?: tm)? (?:e ?book|e ?text|licen[cs]e)
+busl-1.1 | change | change date (?:\S+ ){1,10}change licen[cs]e
+sspl-1 | service | making the functionality of the program available to third parties as a service
+elastic-2 | managed | you may not provide the software to third parties as a hosted or managed service
+commons-clause | sell | the license does not grant to you the right to sell the software
+polyform-nc | noncommercial | any noncommercial purpose is a permitted purpose
+openrail | restrictions | use based restrictions as referenced in paragraph 5
+llama | monthly | greater than 700 million monthly active users
+llama | llama | (?:built with |copyright c meta platforms inc (?:\S+ ){0,6})(?:meta )?llama(?: [0-9])?
+json | evil | the software shall be used for good not evil
+beerware | beer | if we meet some day and you think this stuff is worth it you can buy me a beer
+hippocratic | human | the software (?:may|shall) not be used (?:\S+ ){0,8}human rights
+proprietary | trade | (?:contains|constitutes) (?:\S+ ){0,4}trade secrets?(?: of)?
+proprietary | disclosure | unauthori[sz]ed disclosure (?:or use )?(?:is )?(?:strictly )?prohibited
+proprietary | reverse | you (?:may|shall|agree) not (?:to )?reverse engineer(?: decompile or disassemble)?
+proprietary | transferable | (?:a )?(?:limited |personal |revocable )*non exclusive (?:and )?non transferable (?:\S+ ){0,3}licen[cs]e
+proprietary | internal | for (?:your|its|the licensee s) internal (?:business )?(?:use|purposes) only
+proprietary | evaluation | for evaluation (?:use|purposes) only
+proprietary | sold | this software is licensed not sold
+proprietary | subscription | a valid subscription is required
+no-ai-training | scraping, mining | text and data mining (?:is |rights are )?(?:expressly )?(?:reserved|prohibited|forbidden)
+no-ai-training | ai, artificial, machine | (?:may|must|shall) not be used (?:\S+ ){0,6}(?:ai|artificial intelligence|machine learning)(?: models?| systems?| training)?
+research-only | research | (?:solely|exclusively|only) for (?:non commercial |academic |scientific )*research(?: and \S+)? purposes
+non-commercial | profit | (?:not for|non) profit (?:use|purposes|organi[sz]ations) only
+personal-use | personal | (?:for )?(?:your )?personal (?:and )?(?:non ?commercial )?use only
+attribution | credit | (?:please |must )?(?:give|provide) (?:proper |appropriate )?credit to the (?:author|original author|photographer|source)
+permission | reprinted | reprinted (?:with|by) (?:kind )?permission(?: of| from)
+permission | reproduced | reproduced (?:with|by) (?:kind )?permission(?: of| from)
+copyright | trademarks | (?:all )?trademarks (?:are|remain) (?:the )?property of their respective owners
+copyright | copyrights | all copyrights (?:are )?(?:owned|held|retained) by
+copyright | broadcast | this material may not be published broadcast rewritten or (?:re ?distributed|syndicated)
 ms-pl | accompanying | this license governs use of the accompanying software
 ncsa | deal | to deal with the software without restriction
 public-domain | domain | (?:is|are|been|placed|released|dedicated) (?:in|into|to) the public domain
@@ -250,11 +343,12 @@ def find_all(text: bytes, signatures: list[Rule], gate_words: frozenset[bytes])
     """Number of words, places of base phrases, and what is left of the rules' finds."""
     words = text.translate(_LINE).split()
     line = b" " + b" ".join(words) + b" "
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     base = []
     for needle, n, label in _BASE:
         at = line.find(needle)
         while at >= 0:
-            first = line.count(b" ", 0, at)
+            first = int(np.searchsorted(blanks, at))
             base.append({"label": label, "first_word": first, "last_word": first + n - 1, "confidence": 0.9, "rule": -1})
             at = line.find(needle, at + 1)
     there = gate_words.intersection(words)
@@ -263,33 +357,36 @@ def find_all(text: bytes, signatures: list[Rule], gate_words: frozenset[bytes])
         for k, rule in enumerate(signatures):
             if rule.gates & there:
                 for m in rule.pattern.finditer(line):
-                    first = line.count(b" ", 0, m.start()) - 1
-                    raw.append((rule.priority, m.start() - m.end(), first, k, first + m[0].count(b" ")))
+                    first, end = np.searchsorted(blanks, m.span()).tolist()
+                    raw.append((rule.priority, m.start() - m.end(), first - 1, k, end - 1))
     return len(words), base, resolve(base, raw, signatures)
 
 
 def resolve(base: list[dict], raw: list[tuple], signatures: list[Rule]) -> list[dict]:
     """Base places, then finds by priority, length and place that lie inside nothing kept before them.
 
-    Kept intervals that aren't inside each other rise in both ends, so one bisection tells whether some kept one holds a new one.
+    A find lies inside a kept one if the furthest end of those that begin no later is not before its own: a tree of maxima over the
+    places where finds begin gives that end.
     """
     kept = list(base)
-    firsts: list[int] = []
-    lasts: dict[int, int] = {}
+    begins = sorted({x["first_word"] for x in base} | {x[2] for x in raw})
+    place = {first: i for i, first in enumerate(begins, 1)}
+    furthest = [-1] * (len(begins) + 1)
 
     def holds(first: int, last: int) -> bool:
-        i = bisect_right(firsts, first)
-        return i > 0 and lasts[firsts[i - 1]] >= last
+        i = place[first]
+        while i and furthest[i] < last:
+            i &= i - 1
+        return i > 0
 
     def keep(first: int, last: int) -> None:
-        while (i := bisect_left(firsts, first)) < len(firsts) and lasts[firsts[i]] <= last:
-            del lasts[firsts.pop(i)]
-        insort(firsts, first)
-        lasts[first] = last
-
-    for x in sorted(base, key=lambda x: (x["first_word"], -x["last_word"])):
-        if not holds(x["first_word"], x["last_word"]):
-            keep(x["first_word"], x["last_word"])
+        i = place[first]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], last)
+            i += i & -i
+
+    for x in base:
+        keep(x["first_word"], x["last_word"])
     for _, _, first, k, last in sorted(raw):
         if not holds(first, last):
             keep(first, last)
