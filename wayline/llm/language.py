@@ -22,11 +22,11 @@ from pyspark.sql import types as T
 
 from wayline.llm.bytetext import joined, slices
 from wayline.llm.common import carrying, small_batches, with_text
-from wayline.llm.samples import some_rows
+from wayline.llm.samples import some_rows, texts_of
 
 UND = "und"
 HIDDEN, WINDOW, BATCH = 8, 192, 2048
-#: Bounds of the fitting sample: documents, and characters of one of their texts.
+#: Bounds of the fitting sample: documents, and characters of the window that is read of a longer text.
 MOST_ROWS, LONGEST = 3000, 40_000
 
 
@@ -80,6 +80,43 @@ def read_windows(net: Network, windows: np.ndarray) -> np.ndarray:
     return logits
 
 
+def slopes(w: list[np.ndarray], x: np.ndarray, truth: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean loss over all bytes of windows x (T, B), whose languages are truth, and its slope in each of a network's arrays, back through time."""
+    table, inner, out, bias = w
+    (length, many), h, eye = x.shape, inner.shape[2], np.eye(256, dtype=inner.dtype)
+    state, kept, seen = np.zeros((2, h, many), inner.dtype), [], np.empty((length, 2 * h, many), inner.dtype)
+    for t in range(length):
+        a = inner @ state
+        xt = np.stack([table[0][:, x[t]], table[1][:, x[length - 1 - t]]])
+        zr = _sigmoid(xt[:, : 2 * h] + a[:, : 2 * h])
+        z, r = zr[:, :h], zr[:, h:]
+        n = np.tanh(xt[:, 2 * h :] + r * a[:, 2 * h :])
+        kept.append((state, z, r, n, a[:, 2 * h :]))
+        state = n + z * (state - n)
+        seen[t, :h], seen[length - 1 - t, h:] = state[0], state[1]
+    logits = out @ seen + bias[:, None]
+    prob = np.exp(logits - logits.max(1, keepdims=True))
+    prob /= prob.sum(1, keepdims=True)
+    loss = -float(np.mean(np.log(prob[:, truth, np.arange(many)])))
+    prob[:, truth, np.arange(many)] -= 1
+    prob /= many * length
+    grads = [np.zeros_like(table), np.zeros_like(inner), np.einsum("tlb,thb->lh", prob, seen), prob.sum((0, 2))]
+    back = out.T @ prob
+    slope = np.zeros((2, h, many), inner.dtype)
+    for t in range(length - 1, -1, -1):
+        before, z, r, n, an = kept[t]
+        slope = slope + np.stack([back[t, :h], back[length - 1 - t, h:]])
+        dn = slope * (1 - z) * (1 - n * n)
+        dz, dr = slope * (before - n) * z * (1 - z), dn * an * r * (1 - r)
+        da = np.concatenate([dz, dr, dn * r], 1)
+        dx = np.concatenate([dz, dr, dn], 1)
+        grads[1] += da @ before.transpose(0, 2, 1)
+        grads[0][0] += dx[0] @ eye[x[t]]
+        grads[0][1] += dx[1] @ eye[x[length - 1 - t]]
+        slope = slope * z + inner.transpose(0, 2, 1) @ da
+    return loss, grads
+
+
 def train(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: int = 350, many: int = 96, length: int = 72, rate: float = 0.02) -> Network:
     """Adam over random windows; every byte of a window is to be labelled with its document's language."""
     rng = np.random.default_rng(5)
@@ -87,7 +124,6 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: i
     w = [rng.normal(0, 0.4, (2, 3 * h, 256)), rng.normal(0, 0.3, (2, 3 * h, h)), rng.normal(0, 0.3, (kinds, 2 * h)), np.zeros(kinds)]
     w = [x.astype(np.float32) for x in w]
     m, s = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
-    eye = np.eye(256, dtype=np.float32)
     by_language = [np.flatnonzero(labels == k) for k in range(kinds)]
     for step in range(1, steps + 1):
         truth = rng.integers(kinds, size=many)
@@ -97,36 +133,7 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: i
             at = rng.integers(max(1, len(row) - length + 1))
             part = np.frombuffer(row[at : at + length], np.uint8)
             x[: len(part), i] = part
-        table, inner, out, bias = w
-        state, kept, seen = np.zeros((2, h, many), np.float32), [], np.empty((length, 2 * h, many), np.float32)
-        for t in range(length):
-            a = inner @ state
-            xt = np.stack([table[0][:, x[t]], table[1][:, x[length - 1 - t]]])
-            zr = _sigmoid(xt[:, : 2 * h] + a[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(xt[:, 2 * h :] + r * a[:, 2 * h :])
-            kept.append((state, z, r, n, a[:, 2 * h :]))
-            state = n + z * (state - n)
-            seen[t, :h], seen[length - 1 - t, h:] = state[0], state[1]
-        logits = out @ seen + bias[:, None]
-        prob = np.exp(logits - logits.max(1, keepdims=True))
-        prob /= prob.sum(1, keepdims=True)
-        prob[:, truth, np.arange(many)] -= 1
-        prob /= many * length
-        grads = [np.zeros_like(table), np.zeros_like(inner), np.einsum("tlb,thb->lh", prob, seen), prob.sum((0, 2))]
-        back = out.T @ prob
-        slope = np.zeros((2, h, many), np.float32)
-        for t in range(length - 1, -1, -1):
-            before, z, r, n, an = kept[t]
-            slope = slope + np.stack([back[t, :h], back[length - 1 - t, h:]])
-            dn = slope * (1 - z) * (1 - n * n)
-            dz, dr = slope * (before - n) * z * (1 - z), dn * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], 1)
-            dx = np.concatenate([dz, dr, dn], 1)
-            grads[1] += da @ before.transpose(0, 2, 1)
-            grads[0][0] += dx[0] @ eye[x[t]]
-            grads[0][1] += dx[1] @ eye[x[length - 1 - t]]
-            slope = slope * z + inner.transpose(0, 2, 1) @ da
+        _, grads = slopes(w, x, truth)
         pace = rate * (1 - step / (steps + 1)) + 1e-3
         for k, g in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -138,8 +145,7 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: i
 def learn(docs: DataFrame, allowed: Column, most: int = MOST_ROWS, longest: int = LONGEST, **how) -> Network | None:
     """Trains on at most `most` documents with a language that `allowed` admits, chosen by a hash of their ids."""
     chosen = some_rows(docs.select("doc_id", "lang").filter(allowed & F.col("lang").isNotNull()).distinct(), most, "doc_id", "lang")
-    near = docs.select("doc_id", "text").filter(allowed & F.col("text").isNotNull() & (F.char_length("text") <= longest))
-    got = near.join(F.broadcast(chosen), "doc_id").limit(2 * most).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    got = texts_of(docs.filter(allowed & F.col("text").isNotNull()), chosen, longest).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     rows = [(t, k) for t, k in zip(got.column("text").cast(pa.binary()).to_pylist(), got.column("lang").to_pylist(), strict=True) if t]
     if not rows:
         return None

@@ -5,7 +5,7 @@ coordinates. Fitting goes through a bounded sample of labelled rows once per epo
 most coordinates at exactly 0, so the weights that scoring broadcasts are a short list.
 
 Defined cases: null or empty text, and text without words, scores as the bias alone; very long texts are scored whole (only the
-fitting sample leaves out texts over LONGEST characters); an empty or one-sided set of labels gives the bias of what it has;
+fit reads a window of LONGEST characters of them, at a place that a hash chooses); an empty or one-sided set of labels gives the bias of what it has;
 repeated rows are scored alike; other columns are ignored.
 """
 
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
@@ -66,9 +67,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 5, alpha: floa
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-    w = weights(np.arange(size + 1))
-    at = np.flatnonzero(w[:size])
-    return Weights(at, w[at], float(w[size]))
+    # a coordinate within the lasso has no weight
+    at = np.flatnonzero(np.abs(z[:size]) > l1)
+    return Weights(at, weights(at), float(weights(np.array([size]))[0]))
 
 
 def _featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +85,9 @@ def _featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = MOST_ROWS, longest: int = LONGEST, **how) -> Weights:
     """Fits on at most `most` labelled rows that `allowed` admits; tasks make their features, the driver gets coordinates only."""
     sample = labelled(docs, labels, "toxic", allowed, most, longest).selectExpr("cast(doc_id as bigint) as doc_id", "label", "text")
-    got = sample.mapInArrow(_featurise, "doc_id bigint, label int, at array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return fit([x.values.to_numpy() for x in got.column("at")], got.column("label").to_numpy().astype(float), **how)
+    got = sample.mapInArrow(_featurise, "doc_id bigint, label int, at array<int>").toArrow()
+    order, rows = pc.sort_indices(got, [("doc_id", "ascending"), ("label", "ascending")]).to_numpy(), got.column("at")
+    return fit([rows[i].values.to_numpy() for i in order], got.column("label").to_numpy()[order].astype(float), **how)
 
 
 def score(docs: DataFrame, model: Weights) -> DataFrame:
