@@ -6,11 +6,13 @@ tracks, its routes), never the stream. Streams are the unit of parallel work, as
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
+from math import hypot
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +24,27 @@ def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The groups of equal keys in sorted batches, whole even where a batch ends inside one."""
-    held: list[pd.DataFrame] = []
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The groups of equal keys in sorted batches, whole even where a batch ends inside one: their key and a matrix of their values, null as nan."""
+    now, held = None, []
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
-        values = batch[keys].to_numpy(dtype=object)
-        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
-        for piece in np.split(np.arange(len(batch)), cuts):
-            part = batch.iloc[piece]
-            if held and tuple(held[0][keys].iloc[0]) != tuple(part[keys].iloc[0]):
-                yield tuple(held[0][keys].iloc[0]), pd.concat(held)
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        matrix = np.column_stack([batch.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False) for v in values])
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != now:
+                yield now, held[0] if len(held) == 1 else np.concatenate(held)
                 held = []
-            held.append(part)
+            now = key
+            held.append(matrix[a:b])
     if held:
-        yield tuple(held[0][keys].iloc[0]), pd.concat(held)
+        yield now, held[0] if len(held) == 1 else np.concatenate(held)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,79 +95,109 @@ def matched(cost: np.ndarray, iou: np.ndarray, least: float) -> tuple[list[tuple
     return pairs, [i for i in range(cost.shape[0]) if i not in rows], [j for j in range(cost.shape[1]) if j not in cols]
 
 
+ASSIGNED = "stream_id string, frame_id bigint, track_idx int, det_idx int, iou double"
+
+
 def assigned(pairs: DataFrame, least: float) -> DataFrame:
     """Optimal one-to-one matches of each frame's pairs (track_idx, det_idx, iou, cost); pairs that aren't there cost 1."""
 
-    def solve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (stream, frame), g in runs(batches, ["stream_id", "frame_id"]):
-            tracks, i = np.unique(g.track_idx, return_inverse=True)
-            dets, j = np.unique(g.det_idx, return_inverse=True)
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (stream, frame), g in runs(batches, ["stream_id", "frame_id"], ["track_idx", "det_idx", "iou", "cost"]):
+            tracks, i = np.unique(g[:, 0], return_inverse=True)
+            dets, j = np.unique(g[:, 1], return_inverse=True)
             cost, iou = np.ones((len(tracks), len(dets))), np.zeros((len(tracks), len(dets)))
-            cost[i, j], iou[i, j] = g.cost, g.iou
-            found = matched(cost, iou, least)[0]
-            yield pd.DataFrame({"stream_id": stream, "frame_id": frame, "track_idx": [tracks[a] for a, _ in found], "det_idx": [dets[b] for _, b in found], "iou": [iou[p] for p in found]})
+            cost[i, j], iou[i, j] = g[:, 3], g[:, 2]
+            out += [(stream, int(frame), int(tracks[a]), int(dets[b]), float(iou[a, b])) for a, b in matched(cost, iou, least)[0]]
+            if len(out) > 10_000:
+                yield _batch(out, ASSIGNED)
+                out = []
+        yield _batch(out, ASSIGNED)
+
+    return in_order(pairs, ["stream_id", "frame_id"], "track_idx", "det_idx").mapInArrow(solve, ASSIGNED)
+
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
 
-    ordered = in_order(pairs, ["stream_id", "frame_id"], "track_idx", "det_idx")
-    return ordered.mapInPandas(solve, "stream_id string, frame_id bigint, track_idx int, det_idx int, iou double")
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of plain values as a batch of a schema of plain types."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
 #: Weights of a box's height in the motion model's uncertainty of place and speed; fixed values.
 PLACE, SPEED = 1 / 20, 1 / 160
 _MOVE = np.eye(8) + np.eye(8, k=4)
-_SEE = np.eye(4, 8)
 
 
-def _spread(h: float, place: float, speed: float) -> np.ndarray:
-    p, v = place * PLACE * h, speed * SPEED * h
-    return np.diag(np.square([p, p, 1e-2, p, v, v, 1e-5, v]))
+def _diagonal(h: np.ndarray, place: float, speed: float) -> np.ndarray:
+    p, v, one = place * PLACE * h, speed * SPEED * h, np.ones_like(h)
+    return np.square(np.stack([p, p, 1e-2 * one, p, v, v, 1e-5 * one, v], axis=-1))
 
 
 def to_centre(box: np.ndarray) -> np.ndarray:
     """(x, y, w, h) to centre, aspect and height; sizes are a pixel at least."""
-    w, h = max(box[2], 1.0), max(box[3], 1.0)
-    return np.array([box[0] + w / 2, box[1] + h / 2, w / h, h])
+    w, h = np.maximum(box[..., 2], 1.0), np.maximum(box[..., 3], 1.0)
+    return np.stack([box[..., 0] + w / 2, box[..., 1] + h / 2, w / h, h], axis=-1)
 
 
 @dataclass
 class Moving:
-    """A track with constant velocity under noise that grows with its height."""
+    """A track with constant velocity under noise that grows with its height; or many tracks, each field then with an axis before its own."""
 
-    id: int
+    id: np.ndarray
     box: np.ndarray
-    score: float
-    start: int
-    seen: int
-    lost: bool = False
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(8))
-    spread: np.ndarray = field(default_factory=lambda: np.eye(8))
-
-    def begin(self) -> Moving:
-        self.mean = np.append(to_centre(self.box), np.zeros(4))
-        self.spread = _spread(self.mean[3], 2, 10)
-        return self
+    score: np.ndarray
+    start: np.ndarray
+    seen: np.ndarray
+    lost: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+
+    @classmethod
+    def begin(cls, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, frame: int) -> Moving:
+        n = len(ids)
+        mean = np.concatenate([to_centre(boxes), np.zeros((n, 4))], axis=1)
+        spread = np.zeros((n, 8, 8))
+        spread[:, range(8), range(8)] = _diagonal(mean[:, 3], 2, 10)
+        return cls(ids, boxes.astype(float), scores.astype(float), np.full(n, frame), np.full(n, frame), np.zeros(n, bool), mean, spread)
+
+    def __len__(self) -> int:
+        return len(self.id)
+
+    def __getitem__(self, some) -> Moving:
+        return Moving(*(getattr(self, f.name)[some] for f in fields(self)))
+
+    def joined(self, other: Moving) -> Moving:
+        return Moving(*(np.concatenate([getattr(self, f.name), getattr(other, f.name)]) for f in fields(self)))
 
     def predict(self) -> None:
-        if self.lost:
-            self.mean[4:] = 0
-        h = max(self.mean[3], 1.0)
-        self.mean = _MOVE @ self.mean
-        self.spread = _MOVE @ self.spread @ _MOVE.T + _spread(h, 1, 1)
-        self._show()
-
-    def update(self, box: np.ndarray, score: float, frame: int) -> None:
-        h = max(self.mean[3], 1.0)
-        noise = np.diag(np.square([PLACE * h, PLACE * h, 1e-1, PLACE * h]))
-        gain = self.spread @ _SEE.T @ np.linalg.pinv(_SEE @ self.spread @ _SEE.T + noise)
-        self.mean = self.mean + gain @ (to_centre(box) - _SEE @ self.mean)
-        self.spread = self.spread - gain @ _SEE @ self.spread
-        self.score, self.seen, self.lost = score, frame, False
-        self._show()
-
-    def _show(self) -> None:
-        cx, cy, aspect, h = self.mean[:4]
-        h = max(h, 1.0)
-        w = max(aspect * h, 1.0)
-        self.box = np.array([cx - w / 2, cy - h / 2, w, h])
+        self.mean[..., 4:] *= ~np.asarray(self.lost, bool)[..., None]
+        h = np.maximum(self.mean[..., 3], 1.0)
+        self.mean = self.mean @ _MOVE.T
+        self.spread = _MOVE @ self.spread @ _MOVE.T
+        self.spread[..., range(8), range(8)] += _diagonal(h, 1, 1)
+        self.box = self.shown(self.mean)
+
+    def update(self, some: np.ndarray, boxes: np.ndarray, scores: np.ndarray, frame: int) -> None:
+        """Brings some of many tracks to what was detected."""
+        mean, spread = self.mean[some], self.spread[some]
+        h = np.maximum(mean[:, 3], 1.0)
+        expected = spread[:, :4, :4].copy()
+        expected[:, range(4), range(4)] += np.square(np.stack([PLACE * h, PLACE * h, np.full_like(h, 1e-1), PLACE * h], axis=1))
+        gain = np.linalg.solve(expected, spread[:, :4]).transpose(0, 2, 1)
+        self.mean[some] = mean + (gain @ (to_centre(boxes) - mean[:, :4])[..., None])[..., 0]
+        self.spread[some] = spread - gain @ spread[:, :4]
+        self.score[some], self.seen[some], self.lost[some] = scores, frame, False
+        self.box[some] = self.shown(self.mean[some])
+
+    @staticmethod
+    def shown(mean: np.ndarray) -> np.ndarray:
+        h = np.maximum(mean[..., 3], 1.0)
+        w = np.maximum(mean[..., 2] * h, 1.0)
+        return np.stack([mean[..., 0] - w / 2, mean[..., 1] - h / 2, w, h], axis=-1)
 
 
 @dataclass
@@ -221,7 +258,8 @@ class SceneGrid:
 class ByteTracker:
     """Two rounds of matching: sure detections with all tracks, unsure ones with the tracks that are left and were seen in the last frame.
 
-    The grid adds to the cost of a match in both rounds; without it (None), or in frames without area, overlap and score decide alone.
+    The grid adds to the cost of a match in both rounds; without it (None), or in frames without area, overlap and score decide alone,
+    and without fuse_score overlap alone. Thresholds are held within their ranges. The defaults are fixed values.
     """
 
     high: float = 0.45
@@ -233,13 +271,19 @@ class ByteTracker:
     buffer: int = 100
     least_area: float = 0.0
     grid: SceneGrid | None = field(default_factory=SceneGrid)
-    tracks: list[Moving] = field(default_factory=list)
+    fuse_score: bool = True
+    tracks: Moving = field(default_factory=lambda: Moving.begin(np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0), 0))
     frame: int = 0
     next_id: int = 1
 
     def __post_init__(self) -> None:
         """Takes the grid's settings with counts of its own."""
         self.grid = self.grid and replace(self.grid)
+        held = lambda v, least, most: min(max(v, least), most)
+        self.high = held(self.high, 0.01, 0.99)
+        self.low, self.new = held(self.low, 0.0, self.high), held(self.new, self.high, 0.999)
+        self.iou, self.low_iou, self.duplicate_iou = (held(v, 0.01, 0.99) for v in (self.iou, self.low_iou, self.duplicate_iou))
+        self.buffer = max(self.buffer, 1)
 
     def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray, width: int = 0, height: int = 0) -> list[tuple[int, np.ndarray, float, bool]]:
         self.frame = frame_id if frame_id > 0 else self.frame + 1
@@ -247,52 +291,51 @@ class ByteTracker:
             self.grid.begin_frame()
         fit = (boxes[:, 2] > 1) & (boxes[:, 3] > 1) & (boxes[:, 2] * boxes[:, 3] >= self.least_area)
         sure, unsure = np.flatnonzero(fit & (scores >= self.high)), np.flatnonzero(fit & (scores >= self.low) & (scores < self.high))
-        for t in self.tracks:
-            t.predict()
-        pool = sorted(self.tracks, key=lambda t: t.lost)
-        rest, left = self._round(pool, sure, boxes, scores, self.iou, width, height)
-        again = [t for t in rest if not t.lost]
-        missed, _ = self._round(again, unsure, boxes, scores, self.low_iou, width, height)
-        for t in missed:
-            t.lost = True
+        tracks = self.tracks
+        tracks.predict()
+        rest, left = self._round(np.argsort(tracks.lost, kind="stable"), sure, boxes, scores, self.iou, width, height)
+        missed, _ = self._round(rest[~tracks.lost[rest]], unsure, boxes, scores, self.low_iou, width, height)
+        tracks.lost[missed] = True
         new = left[scores[left] >= self.new]
-        for d in new:
-            self.tracks.append(Moving(self.next_id, boxes[d].astype(float), float(scores[d]), self.frame, self.frame).begin())
-            self.next_id += 1
+        if len(new):
+            tracks = tracks.joined(Moving.begin(np.arange(self.next_id, self.next_id + len(new)), boxes[new], scores[new], self.frame))
+            self.next_id += len(new)
         if self.grid:
             self.grid.observe(boxes[new], width, height)
-        self.tracks = [t for t in self.tracks if not t.lost or self.frame - t.seen <= self.buffer]
-        self._without_duplicates()
-        return [(t.id, t.box, t.score, False) for t in self.tracks if not t.lost]
-
-    def _round(self, tracks: list[Moving], dets: np.ndarray, boxes: np.ndarray, scores: np.ndarray, least: float, width: int, height: int) -> tuple[list[Moving], np.ndarray]:
-        if not tracks or not len(dets):
-            return tracks, dets
-        before = np.array([t.box for t in tracks])
+        stay = ~tracks.lost | (self.frame - tracks.seen <= self.buffer)
+        stay[self._duplicates(tracks, np.flatnonzero(stay))] = False
+        self.tracks = tracks if stay.all() else tracks[stay]
+        live = self.tracks[~self.tracks.lost]
+        return [(i, box, score, False) for i, box, score in zip(live.id.tolist(), live.box, live.score.tolist(), strict=True)]
+
+    def _round(self, some: np.ndarray, dets: np.ndarray, boxes: np.ndarray, scores: np.ndarray, least: float, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matches some of the tracks with detections; gives what is left of both."""
+        if not len(some) or not len(dets):
+            return some, dets
+        before = self.tracks.box[some]
         iou = overlap(before, boxes[dets])
         extra = self.grid.extra_cost(before, boxes[dets], width, height) if self.grid else 0.0
-        pairs, rows, cols = matched(1 - iou * np.clip(scores[dets], 0, 1) + extra, iou, least)
-        if self.grid and pairs:
+        pairs, rows, cols = matched(1 - iou * (np.clip(scores[dets], 0, 1) if self.fuse_score else 1.0) + extra, iou, least)
+        if pairs:
             i, j = np.array(pairs).T
-            self.grid.observe(boxes[dets[j]], width, height, before[i])
-        for i, j in pairs:
-            tracks[i].update(boxes[dets[j]], float(scores[dets[j]]), self.frame)
-        return [tracks[i] for i in rows], dets[cols]
+            if self.grid:
+                self.grid.observe(boxes[dets[j]], width, height, before[i])
+            self.tracks.update(some[i], boxes[dets[j]], scores[dets[j]], self.frame)
+        return some[rows], dets[cols]
 
-    def _without_duplicates(self) -> None:
+    def _duplicates(self, tracks: Moving, some: np.ndarray) -> list[int]:
         """Of a seen and a lost track on one place, the one that lived longer stays; a tie keeps the lost one."""
-        seen, lost = [t for t in self.tracks if not t.lost], [t for t in self.tracks if t.lost]
-        if seen and lost:
-            gone = set()
-            for i, j in zip(*np.nonzero(overlap(np.array([t.box for t in seen]), np.array([t.box for t in lost])) >= self.duplicate_iou), strict=True):
-                life = lambda t: t.seen - t.start
-                gone.add(id(lost[j]) if life(seen[i]) > life(lost[j]) else id(seen[i]))
-            self.tracks = [t for t in self.tracks if id(t) not in gone]
+        seen, lost = some[~tracks.lost[some]], some[tracks.lost[some]]
+        if not len(seen) or not len(lost):
+            return []
+        life = tracks.seen - tracks.start
+        on_one_place = zip(*np.nonzero(overlap(tracks.box[seen], tracks.box[lost]) >= self.duplicate_iou), strict=True)
+        return [lost[j] if life[seen[i]] > life[lost[j]] else seen[i] for i, j in on_one_place]
 
 
 @dataclass
 class DemoTracker:
-    """Boxes that drift with a damped speed and take the detection that overlaps them most, sure ones first."""
+    """Boxes that drift with a damped speed and take the detection that overlaps them most, sure ones first. The defaults, and the weights of speed, are fixed values."""
 
     high: float = 0.6
     low: float = 0.2
@@ -339,11 +382,15 @@ TRACKERS = {"bytetrack": ByteTracker, "demo": DemoTracker}
 TRACKED = "stream_id string, frame_id bigint, track_id bigint, x double, y double, w double, h double, score double, occluded boolean"
 
 
-def tracked_rows(tracker, stream: str, frame: int, g: pd.DataFrame) -> list[tuple]:
-    values = g[["x", "y", "w", "h", "score", "width", "height"]].to_numpy(float)
+#: What a tracker reads of a detection.
+SEEN = ["x", "y", "w", "h", "score", "width", "height"]
+
+
+def tracked_rows(tracker, stream: str, frame: int, values: np.ndarray) -> list[tuple]:
+    """What a tracker shows of a frame; values has a row of SEEN for each detection."""
     width, height = np.nan_to_num(values[:, 5:]).max(0)
     out = tracker.update(int(frame), values[:, :4], values[:, 4], int(width), int(height))
-    return [(stream, int(frame), i, *map(float, box), score, hidden) for i, box, score, hidden in out]
+    return [(stream, int(frame), int(i), *map(float, box), score, hidden) for i, box, score, hidden in out]
 
 
 def track(detections: DataFrame, kind: str = "bytetrack", **how) -> DataFrame:
@@ -352,19 +399,18 @@ def track(detections: DataFrame, kind: str = "bytetrack", **how) -> DataFrame:
     A frame without any row is not seen; ids count from 1 in each stream.
     """
 
-    def follow(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tracker, rows = None, None, []
-        for (stream, frame), g in runs(batches, ["stream_id", "frame_id"]):
+        for (stream, frame), values in runs(batches, ["stream_id", "frame_id"], SEEN):
             if stream != now:
                 now, tracker = stream, TRACKERS[kind](**how)
-            rows += tracked_rows(tracker, stream, frame, g)
+            rows += tracked_rows(tracker, stream, frame, values)
             if len(rows) > 10_000:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACKED.split(", ")])
+                yield _batch(rows, TRACKED)
                 rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACKED.split(", ")])
+        yield _batch(rows, TRACKED)
 
-    return in_order(detections, ["stream_id"], "frame_id", "det_idx").mapInPandas(follow, TRACKED)
+    return in_order(detections, ["stream_id"], "frame_id", "det_idx").mapInArrow(follow, TRACKED)
 
 
 def simplified(points: np.ndarray, eps: float) -> np.ndarray:
@@ -389,42 +435,93 @@ def simplified(points: np.ndarray, eps: float) -> np.ndarray:
 
 
 ROUTES = "stream_id string, profile string, route_id string, support bigint, last_seen_ms bigint, n_points int, points array<struct<x: double, y: double>>"
+_POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+
+class Routes:
+    """The routes of one stream, in the order in which they began, and those that begin or end in each square of the side `near`."""
+
+    def __init__(self, near: float):
+        self.near = near
+        self.ends: list[tuple[float, float, float, float]] = []
+        self.points: list[np.ndarray] = []
+        self.support: list[int] = []
+        self.seen: list[int] = []
+        self.squares: tuple[dict, dict] = ({}, {})
+
+    def first_near(self, x1: float, y1: float, x2: float, y2: float) -> int | None:
+        """The first route whose ends lie within near of these, both distances together, either way round."""
+        best = None
+        col, row = int(x1 // self.near), int(y1 // self.near)
+        for turned, squares in enumerate(self.squares):
+            for square in itertools.product((col - 1, col, col + 1), (row - 1, row, row + 1)):
+                for k in squares.get(square, ()):
+                    if best is not None and k >= best:
+                        break
+                    a, b, c, d = self.ends[k]
+                    if (hypot(c - x1, d - y1) + hypot(a - x2, b - y2) if turned else hypot(a - x1, b - y1) + hypot(c - x2, d - y2)) <= self.near:
+                        best = k
+                        break
+        return best
+
+    def add(self, points: np.ndarray, ts: int) -> None:
+        ends = (*points[0].tolist(), *points[-1].tolist())
+        k = self.first_near(*ends)
+        if k is not None:
+            self.support[k] += 1
+            self.seen[k] = ts
+            return
+        for squares, x, y in zip(self.squares, ends[::2], ends[1::2], strict=True):
+            squares.setdefault((int(x // self.near), int(y // self.near)), []).append(len(self.ends))
+        self.ends.append(ends)
+        self.points.append(points)
+        self.support.append(1)
+        self.seen.append(ts)
+
+    def shown(self, stream: str, profile: str) -> pa.RecordBatch:
+        n = len(self.ends)
+        flat = np.concatenate(self.points) if n else np.zeros((0, 2))
+        upto = np.append(0, np.cumsum([len(p) for p in self.points])).astype(np.int32)
+        points = pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], names=["x", "y"]))
+        columns = [pa.array([stream] * n, pa.string()), pa.array([profile] * n, pa.string()), pa.array([f"route-{k}" for k in range(1, n + 1)], pa.string()), pa.array(self.support, pa.int64()), pa.array(self.seen, pa.int64()), pa.array(np.diff(upto), pa.int32()), points.cast(_POINTS)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROUTES.split(", ")[:6]] + ["points"])
+
+
+def _lines(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The points of each row's way, as a matrix of two columns."""
+    points = batch.column("points")
+    flat, bounds = points.flatten(), points.offsets.to_numpy()
+    xy = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xy"])
+    for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True):
+        yield xy[a:b]
 
 
 def routes(ways: DataFrame, eps: float = 3.0) -> DataFrame:
     """Routes of each stream: a finished way joins the first route whose ends lie near its own, either way round, else begins one."""
     near = max(20.0, 10 * eps)
     done = ways.filter(F.col("lost_frame_id").isNotNull() & (F.size("points") >= 2))
-    flat = done.select("stream_id", "profile", "lost_frame_id", "track_id", "lost_ts_ms", F.col("points")["x"].alias("xs"), F.col("points")["y"].alias("ys"))
-
-    def thin(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lines = [simplified(np.column_stack([x, y]), eps) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)]
-            yield pdf.assign(xs=[p[:, 0] for p in lines], ys=[p[:, 1] for p in lines])
-
-    def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, known, ends = None, [], np.zeros((64, 4))
-        for (stream, profile, _, _), g in runs(batches, ["stream_id", "profile", "lost_frame_id", "track_id"]):
-            if (stream, profile) != now:
-                yield shown(now, known)
-                now, known = (stream, profile), []
-            for xs, ys, ts in zip(g["xs"], g["ys"], g["lost_ts_ms"], strict=True):
-                there, back = np.array([xs[0], ys[0], xs[-1], ys[-1]]), np.array([xs[-1], ys[-1], xs[0], ys[0]])
-                off = lambda e: np.hypot(*(ends[: len(known), :2] - e[:2]).T) + np.hypot(*(ends[: len(known), 2:] - e[2:]).T)
-                hits = np.flatnonzero(np.minimum(off(there), off(back)) <= near)
-                if len(hits):
-                    known[hits[0]]["support"] += 1
-                    known[hits[0]]["seen"] = int(ts)
-                else:
-                    if len(known) == len(ends):
-                        ends = np.concatenate([ends, np.zeros_like(ends)])
-                    ends[len(known)] = there
-                    known.append({"points": list(zip(xs, ys, strict=True)), "support": 1, "seen": int(ts)})
-        yield shown(now, known)
-
-    def shown(now: tuple | None, known: list[dict]) -> pd.DataFrame:
-        rows = [(*now, f"route-{k}", r["support"], r["seen"], len(r["points"]), [{"x": float(x), "y": float(y)} for x, y in r["points"]]) for k, r in enumerate(known, 1)] if now else []
-        return pd.DataFrame(rows, columns=["stream_id", "profile", "route_id", "support", "last_seen_ms", "n_points", "points"])
-
-    thinned = flat.mapInPandas(thin, flat.schema)
-    return in_order(thinned, ["stream_id", "profile"], "lost_frame_id", "track_id").mapInPandas(learn, ROUTES)
+    flat = done.select("stream_id", "profile", "lost_frame_id", "track_id", "lost_ts_ms", F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("points"))
+
+    def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [simplified(p, eps) for p in _lines(batch)]
+            xy = np.concatenate(lines) if lines else np.zeros((0, 2))
+            upto = pa.array(np.append(0, np.cumsum([len(p) for p in lines])), pa.int32())
+            points = pa.ListArray.from_arrays(upto, pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], names=["x", "y"]))
+            yield batch.set_column(batch.schema.get_field_index("points"), "points", points.cast(_POINTS))
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, None
+        for batch in batches:
+            of = zip(batch.column("stream_id").to_pylist(), batch.column("profile").to_pylist(), strict=True)
+            for key, line, ts in zip(of, _lines(batch), batch.column("lost_ts_ms").to_pylist(), strict=True):
+                if key != now:
+                    if known is not None:
+                        yield known.shown(*now)
+                    now, known = key, Routes(near)
+                known.add(line, ts)
+        if known is not None:
+            yield known.shown(*now)
+
+    thinned = flat.mapInArrow(thin, flat.schema)
+    return in_order(thinned, ["stream_id", "profile"], "lost_frame_id", "track_id").mapInArrow(learn, ROUTES)

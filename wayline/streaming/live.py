@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wayline.operators.tracking import TRACKED, TRACKERS, tracked_rows
+from wayline.operators.tracking import SEEN, TRACKED, TRACKERS, tracked_rows
 
 #: State of a key that brings nothing for so long is dropped.
 IDLE_MS = 3_600_000
@@ -36,7 +36,7 @@ def tracked(detections: DataFrame, kind: str = "bytetrack", idle_ms: int | None
         tracker = pickle.loads(state.get[0]) if state.exists else TRACKERS[kind]()
         rows: list[tuple] = []
         for frame, g in pd.concat(list(batches)).sort_values(["frame_id", "det_idx"], kind="stable").groupby("frame_id"):
-            rows += tracked_rows(tracker, key[0], frame, g)
+            rows += tracked_rows(tracker, key[0], frame, g[SEEN].to_numpy(float))
         state.update((pickle.dumps(tracker),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
