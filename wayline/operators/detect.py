@@ -93,31 +93,44 @@ def letterbox(width: Column, height: Column, in_w: int, in_h: int) -> tuple[Colu
     return scale, pad(width, in_w), pad(height, in_h)
 
 
-def head_places(in_w: int, in_h: int, strides: tuple[int, ...] = STRIDES) -> Column:
-    """Every anchor of a head in order: (stride, gx, gy), level by level, row by row."""
-    level = lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(in_h // s - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(in_w // s - 1)), lambda x: F.struct(F.lit(s).alias("stride"), x.alias("gx"), y.alias("gy")))))
+def head_places(in_w: int, in_h: int, strides: tuple[int, ...] = STRIDES, anchors: int = 1) -> Column:
+    """Every anchor of a head in order: (stride, gx, gy), level by level, row by row, a place as often as it has anchors."""
+    place = lambda s, x, y: F.array_repeat(F.struct(F.lit(s).alias("stride"), x.alias("gx"), y.alias("gy")), anchors)
+    level = lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(in_h // s - 1)), lambda y: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(in_w // s - 1)), lambda x: place(s, x, y)))))
     return F.concat(*[level(s) for s in strides])
 
 
 def decode_yolox(rows: DataFrame) -> DataFrame:
-    """(stride, gx, gy, rx, ry, rw, rh, obj, cls) to a centred box in input pixels with the product of both scores."""
+    """(stride, gx, gy, rx, ry, rw, rh, obj, cls) to a centred box in input pixels with the product of both scores; rows past the last level, without a stride, hold such a box already."""
     one = lambda v: F.least(F.greatest(F.col(v), F.lit(0.0)), F.lit(1.0))
-    s = F.col("stride")
-    w, h = F.exp("rw") * s, F.exp("rh") * s
-    return rows.withColumns({"w": w, "h": h, "x": (F.col("rx") + F.col("gx")) * s - w / 2, "y": (F.col("ry") + F.col("gy")) * s - h / 2, "score": one("obj") * one("cls")})
+    s, bare = F.col("stride"), F.col("stride").isNull()
+    of_place = lambda raw, decoded: F.when(bare, F.col(raw)).otherwise(decoded)
+    w, h = of_place("rw", F.exp("rw") * s), of_place("rh", F.exp("rh") * s)
+    cx, cy = of_place("rx", (F.col("rx") + F.col("gx")) * s), of_place("ry", (F.col("ry") + F.col("gy")) * s)
+    return rows.withColumns({"w": w, "h": h, "x": cx - w / 2, "y": cy - h / 2, "score": one("obj") * one("cls")})
 
 
-def decode_yunet(rows: DataFrame) -> DataFrame:
-    """Like decode_yolox, with the geometric mean of the scores."""
-    one = lambda v: F.least(F.greatest(F.col(v), F.lit(0.0)), F.lit(1.0))
-    return decode_yolox(rows).withColumn("score", F.sqrt(one("obj") * one("cls")))
+def in_frame(boxes: DataFrame, in_w: int, in_h: int) -> DataFrame:
+    """Boxes in a detector's input, which shows the frame stretched to its size, in frame pixels and cut at the frame; those without area go."""
+    clip = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most.cast("double"))
+    sx, sy = F.col("width") / F.lit(float(in_w)), F.col("height") / F.lit(float(in_h))
+    x1, y1 = clip(F.col("x") * sx, F.col("width")), clip(F.col("y") * sy, F.col("height"))
+    x2, y2 = clip((F.col("x") + F.col("w")) * sx, F.col("width")), clip((F.col("y") + F.col("h")) * sy, F.col("height"))
+    return boxes.withColumns({"x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1}).filter("w > 0 and h > 0")
+
+
+def decode_yunet(rows: DataFrame, in_w: int, in_h: int, least_score: float = 0.35) -> DataFrame:
+    """Places as in decode_yolox, scored by the geometric mean of both scores as they are; boxes under least_score go, the rest stand in the frame (width, height)."""
+    scored = decode_yolox(rows).withColumn("score", F.sqrt(F.col("obj") * F.col("cls")))
+    return in_frame(scored.filter(F.col("score") >= least_score), in_w, in_h)
 
 
-def decode_scrfd(rows: DataFrame) -> DataFrame:
-    """(stride, gx, gy, l, t, r, b) distances from a cell's corner to a box's edges, in strides."""
+def decode_scrfd(rows: DataFrame, in_w: int, in_h: int, least_score: float = 0.35) -> DataFrame:
+    """(stride, gx, gy, l, t, r, b, score): distances, in strides, from the centre of a place to a box's edges. Boxes under least_score go, the rest stand in the frame (width, height)."""
     s = F.col("stride")
-    x, y = (F.col("gx") - F.col("l")) * s, (F.col("gy") - F.col("t")) * s
-    return rows.withColumns({"x": x, "y": y, "w": (F.col("gx") + F.col("r")) * s - x, "h": (F.col("gy") + F.col("b")) * s - y})
+    x, y = (F.col("gx") + 0.5 - F.col("l")) * s, (F.col("gy") + 0.5 - F.col("t")) * s
+    boxes = rows.withColumns({"x": x, "y": y, "w": (F.col("l") + F.col("r")) * s, "h": (F.col("t") + F.col("b")) * s})
+    return in_frame(boxes.filter(F.col("score") >= least_score), in_w, in_h)
 
 
 def unboxed(boxes: DataFrame, in_w: int, in_h: int) -> DataFrame:

@@ -270,8 +270,17 @@ ORACLE: dict[str, str] = {
     "ui_affine": f"{_with(_OBS)} SELECT {_T}, frame_id, round(x * CAST(1.5 AS DOUBLE) + 4, 6) AS x, round(y * CAST(1.5 AS DOUBLE) - 2, 6) AS y, round(w * CAST(1.5 AS DOUBLE), 6) AS w, round(h * CAST(1.5 AS DOUBLE), 6) AS h FROM obs",
     "yolox_decode": f"""{_with(_HEAD)}, u AS (SELECT event_id, obj * cls AS score, LEAST(GREATEST(x * 8, 0), 1280) AS x1, LEAST(GREATEST((y - 3) * 8, 0), 720) AS y1, LEAST(GREATEST((x + w) * 8, 0), 1280) AS x2, LEAST(GREATEST((y + h - 3) * 8, 0), 720) AS y2 FROM yolo WHERE obj * cls >= 0.3)
        SELECT event_id, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round(score, 6) AS score FROM u WHERE x2 > x1 AND y2 > y1""",
-    "yunet_decode": f"{_with(_HEAD)} SELECT event_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(sqrt(obj * cls), 6) AS score FROM yolo",
-    "scrfd_decode": f"{_with(_HEAD)} SELECT event_id, round((gx - l) * stride, 6) AS x, round((gy - t) * stride, 6) AS y, round((l + r) * stride, 6) AS w, round((t + b) * stride, 6) AS h FROM head",
+    "yunet_decode": f"""{_with(_HEAD)},
+       u AS (SELECT event_id, GREATEST(x * 8, 0) AS x1, GREATEST(y * CAST(7.5 AS DOUBLE), 0) AS y1, LEAST((x + w) * 8, 1280) AS x2, LEAST((y + h) * CAST(7.5 AS DOUBLE), 720) AS y2,
+                    sqrt((event_id * 19 % 130) / CAST(100 AS DOUBLE) * ((event_id * 23 % 110) / CAST(100 AS DOUBLE))) AS score FROM yolo)
+       SELECT event_id, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round(score, 6) AS score FROM u WHERE score >= 0.35 AND x2 > x1 AND y2 > y1""",
+    "scrfd_decode": f"""{_with(_HEAD)},
+       a AS (SELECT event_id, (gx + CAST(0.5 AS DOUBLE)) * stride AS cx, (gy + CAST(0.5 AS DOUBLE)) * stride AS cy, stride * ((event_id * 7 % 40) / CAST(10 AS DOUBLE)) AS l, stride * ((event_id * 11 % 40) / CAST(10 AS DOUBLE)) AS t,
+                    stride * ((event_id * 13 % 40) / CAST(10 AS DOUBLE)) AS r, stride * ((event_id * 17 % 40) / CAST(10 AS DOUBLE)) AS b, (event_id * 23 % 110) / CAST(100 AS DOUBLE) AS score
+             FROM events JOIN places ON anchor = (event_id % (SELECT 2 * COUNT(*) FROM places)) // 2),
+       u AS (SELECT event_id, score, LEAST(GREATEST((cx - l) * 8, 0), 1280) AS x1, LEAST(GREATEST((cy - t) * CAST(7.5 AS DOUBLE), 0), 720) AS y1, LEAST(GREATEST((cx + r) * 8, 0), 1280) AS x2, LEAST(GREATEST((cy + b) * CAST(7.5 AS DOUBLE), 0), 720) AS y2
+             FROM a WHERE score >= 0.35)
+       SELECT event_id, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round(score, 6) AS score FROM u WHERE x2 > x1 AND y2 > y1""",
     "layer_alpha": f"""{_with(_OBS, _HEAT)}, m AS (SELECT stream_id, profile, max(value) AS most FROM heat GROUP BY ALL)
        SELECT stream_id, profile, cell, round(LEAST(0.55, 0.08 + 0.47 * value / most), 6) AS heat_alpha, round(LEAST(0.45, 0.10 + 0.35 * value / most), 6) AS density_alpha FROM heat JOIN m USING (stream_id, profile)""",
     "canvas_fit": f"{_with(_OBS)} SELECT {_T}, frame_id, round(foot_x * CAST(0.625 AS DOUBLE), 6) AS canvas_x, round(foot_y * CAST(0.625 AS DOUBLE) + 75, 6) AS canvas_y FROM f",

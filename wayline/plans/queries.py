@@ -372,11 +372,11 @@ def ui_affine(spark, d):
     return _to6(boxes.select(*T, "frame_id", *"xywh"), *"xywh")
 
 
-def _head(spark, d) -> DataFrame:
+def _head(spark, d, anchors: int = 1) -> DataFrame:
     """Raw rows of a detector's head, one per event, on the anchors of a 160 x 96 input in turn."""
-    n = sum((160 // s) * (96 // s) for s in detect.STRIDES)
+    n = sum((160 // s) * (96 // s) for s in detect.STRIDES) * anchors
     e = X.events(spark, d).select("event_id", (F.col("event_id") % n).cast("int").alias("anchor"))
-    at = e.withColumn("p", F.get(detect.head_places(160, 96), "anchor"))
+    at = e.withColumn("p", F.get(detect.head_places(160, 96, anchors=anchors), "anchor"))
     part = lambda k, m: (F.col("event_id") * k % m).cast("double")
     return at.select(
         "event_id", F.lit(1280).alias("width"), F.lit(720).alias("height"), "p.*", (part(7, 100) / 100).alias("rx"), (part(11, 100) / 100).alias("ry"), (part(13, 30) / 10).alias("rw"), (part(17, 30) / 10).alias("rh"),
@@ -392,12 +392,13 @@ def yolox_decode(spark, d):
 
 @query
 def yunet_decode(spark, d):
-    return _to6(detect.decode_yunet(_head(spark, d)).select("event_id", *"xywh", "score"), *"xywh", "score")
+    return _to6(detect.decode_yunet(_head(spark, d), 160, 96).select("event_id", *"xywh", "score"), *"xywh", "score")
 
 
 @query
 def scrfd_decode(spark, d):
-    return _to6(detect.decode_scrfd(_head(spark, d)).select("event_id", *"xywh"), *"xywh")
+    head = _head(spark, d, anchors=2).withColumn("score", F.col("cls"))
+    return _to6(detect.decode_scrfd(head, 160, 96).select("event_id", *"xywh", "score"), *"xywh", "score")
 
 
 @query
