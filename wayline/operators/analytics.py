@@ -5,27 +5,16 @@ Every function takes and returns DataFrames. Observations are unique per (stream
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geometry as G
 from wayline.functions import rule_json as R
-from wayline.operators.sequence import SPAN, gated, with_running_sum
+from wayline.operators.sequence import SPAN, gated, with_previous, with_running_sum
 
 P = ["stream_id", "profile"]
 T = [*P, "track_id"]
 ROWS, COLS, HALF_LIFE_S = 36, 64, 900.0
-#: Rules that may be broadcast; a larger table is joined by shuffle.
-MOST_RULES = 100_000
-
-
-def track_order() -> WindowSpec:
-    """The observations of a track in order: a track lives for a while only, so it is what windows work on."""
-    return Window.partitionBy(*T).orderBy("frame_id")
-
-
-def broadcast_if_small(small: DataFrame, most: int = MOST_RULES) -> DataFrame:
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
 def frames(obs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -71,7 +60,7 @@ def with_foot(obs: DataFrame) -> DataFrame:
 def observations(obs: DataFrame) -> DataFrame:
     """Observations with foot, the frame's delta_s, and the same track's observation before (prev_*)."""
     timed = with_foot(obs).join(frames(obs).select(*P, "frame_id", "delta_s"), [*P, "frame_id"])
-    return timed.withColumns({f"prev_{c}": F.lag(c).over(track_order()) for c in ("foot_x", "foot_y", "ts_ms")})
+    return with_previous(timed, T, "frame_id", ["foot_x", "foot_y", "ts_ms"])
 
 
 def segments(obs: DataFrame) -> DataFrame:
@@ -102,7 +91,7 @@ def area_rules(rules: DataFrame) -> DataFrame:
 
 def line_candidates(obs: DataFrame, rules: DataFrame) -> DataFrame:
     """Segments that meet a line of their stream and change its side."""
-    lines = broadcast_if_small(line_rules(rules))
+    lines = line_rules(rules)
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     a, b = F.col("a"), F.col("b")
     line = [a["x"], a["y"], b["x"], b["y"]]
@@ -115,16 +104,15 @@ def line_candidates(obs: DataFrame, rules: DataFrame) -> DataFrame:
 def line_events(obs: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates that stand at least the rule's gap after the last event of the same rule, track and direction."""
     keys = [*T, "rule_id", "direction"]
-    grouped = line_candidates(obs, rules).groupBy(*keys).agg(F.array_sort(F.collect_list("ts_ms")).alias("at"), F.max("gap_ms").alias("gap_ms"))
-    return grouped.select(*keys, F.explode(gated(F.col("at"), F.col("gap_ms"))).alias("ts_ms"))
+    return gated(line_candidates(obs, rules), keys, "ts_ms", F.col("gap_ms"))
 
 
 def numbered(obs: DataFrame) -> DataFrame:
     """Observations with the frame's number in its stream, the frame after (next_*), the foot before (prev_*) and the number of the track's episode."""
     placed = with_foot(obs).join(frames(obs).select(*P, "frame_id", "frame_no", "next_frame_id", "next_ts_ms"), [*P, "frame_id"])
-    met = placed.withColumns({f"prev_{c}": F.lag(c).over(track_order()) for c in ("foot_x", "foot_y", "frame_no")})
+    met = with_previous(placed, T, "frame_id", ["foot_x", "foot_y", "frame_no"])
     opens = F.when(F.col("prev_frame_no").isNull() | (F.col("frame_no") - F.col("prev_frame_no") > 1), 1).otherwise(0)
-    return met.withColumn("opens", opens).withColumn("episode", F.sum("opens").over(track_order()))
+    return with_running_sum(met.withColumn("opens", opens), T, "frame_id", F.col("opens"), "episode")
 
 
 def episodes(obs: DataFrame) -> DataFrame:
@@ -137,7 +125,7 @@ def episodes(obs: DataFrame) -> DataFrame:
 
 def area_inside(obs: DataFrame, rules: DataFrame) -> DataFrame:
     """Every observation against every area of its stream."""
-    met = numbered(obs).join(broadcast_if_small(area_rules(rules)), P)
+    met = numbered(obs).join(area_rules(rules), P)
     return met.withColumn("inside", G.in_polygon(F.col("corners"), F.col("foot_x"), F.col("foot_y")))
 
 
@@ -180,9 +168,11 @@ def heatmap(obs: DataFrame, rows: int = ROWS, cols: int = COLS, half_life_s: flo
     ends = clock.groupBy(*P).agg(F.max("clock_s").alias("end_s"))
     cell = G.grid_cell(F.col("foot_x"), F.col("foot_y"), F.col("width"), F.col("height"), rows, cols)
     placed = with_foot(obs).select(*P, "frame_id", cell.alias("cell")).join(clock.select(*P, "frame_id", "delta_s", "clock_s"), [*P, "frame_id"]).filter("cell is not null and delta_s > 0")
-    # the decay to the stream's end is a factor of its own, so the sum is partial before any shuffle and small afterwards
-    local = placed.join(broadcast_if_small(ends), P)
-    return local.groupBy(*P, "cell").agg(F.sum(F.col("delta_s") * F.pow(F.lit(0.5), (F.col("end_s") - F.col("clock_s")) / half_life_s)).alias("value"))
+    # summed within each half-life as at its end, so that only a row per cell and half-life has to meet the stream's end
+    life = F.floor(F.col("clock_s") / half_life_s) + 1
+    local = placed.groupBy(*P, "cell", life.alias("_life")).agg(F.sum(F.col("delta_s") * F.pow(F.lit(0.5), life - F.col("clock_s") / half_life_s)).alias("_value"))
+    decayed = F.col("_value") * F.pow(F.lit(0.5), F.col("end_s") / half_life_s - F.col("_life"))
+    return local.join(ends, P).groupBy(*P, "cell").agg(F.sum(decayed).alias("value"))
 
 
 def density(obs: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFrame:
@@ -208,10 +198,9 @@ def counts(obs: DataFrame) -> DataFrame:
 def snapshot_times(obs: DataFrame, interval_ms: int = 500) -> DataFrame:
     """The frames after which a snapshot is kept: the first, then each that comes at least interval_ms after the last kept.
 
-    What is kept depends on what was kept before, so this folds over the distinct times of a stream.
+    What is kept depends on what was kept before, so the distinct times of a stream are read in order.
     """
-    times = obs.select(*P, "ts_ms").distinct().groupBy(*P).agg(F.array_sort(F.collect_list("ts_ms")).alias("at"))
-    return times.select(*P, F.explode(gated(F.col("at"), F.lit(interval_ms))).alias("ts_ms"))
+    return gated(obs.select(*P, "ts_ms").distinct(), P, "ts_ms", F.lit(interval_ms))
 
 
 def recent_events(events: DataFrame, most: int = 25) -> DataFrame:

@@ -23,11 +23,16 @@ def moves(boxes: DataFrame, track: str = "det_idx") -> DataFrame:
     return with_previous(cells(boxes), ["stream_id", track], "frame_id", ["cell"]).filter("prev_cell is not null").withColumnRenamed("prev_cell", "from_cell")
 
 
-def _recent(rows: DataFrame, boxes: DataFrame, decay: float) -> DataFrame:
-    """Adds what a row still counts at its stream's last frame: less by decay for each frame since."""
+def _recent(rows: DataFrame, boxes: DataFrame, by: list[str], decay: float, span: int = 256) -> DataFrame:
+    """n, the rows of each key, and recent, what they still count at their stream's last frame: less by decay for each frame since.
+
+    Summed within spans of frames as at a span's end, so that only a row per key and span has to meet the stream's last frame.
+    """
     last = boxes.groupBy("stream_id").agg(F.max("frame_id").alias("end"))
-    met = rows.join(F.broadcast(last) if last.limit(100_001).count() <= 100_000 else last, "stream_id")
-    return met.withColumn("recent", F.pow(F.lit(decay), F.col("end") - F.col("frame_id")))
+    upto = (F.floor(F.col("frame_id") / span) + 1) * span
+    local = rows.groupBy(*by, upto.alias("_upto")).agg(F.count("*").alias("_n"), F.sum(F.pow(F.lit(decay), (upto - F.col("frame_id")).cast("double"))).alias("_recent"))
+    late = F.col("_recent") * F.pow(F.lit(decay), (F.col("end") - F.col("_upto")).cast("double"))
+    return local.join(last, "stream_id").groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(late).alias("recent"))
 
 
 def _part(of: str, whole: Column) -> Column:
@@ -36,13 +41,13 @@ def _part(of: str, whole: Column) -> Column:
 
 def occupancy(boxes: DataFrame, decay: float = 0.92, first: bool = True) -> DataFrame:
     """How much each cell is used: every box in it counts (without first, only moves into it), less by decay for each frame since. A sum of powers by frame number."""
-    used = _recent(cells(boxes) if first else moves(boxes), boxes, decay).groupBy("stream_id", "cell").agg(F.sum("recent").alias("used"))
+    used = _recent(cells(boxes) if first else moves(boxes), boxes, ["stream_id", "cell"], decay).select("stream_id", "cell", F.col("recent").alias("used"))
     return used.withColumn("share", _part("used", F.max("used").over(Window.partitionBy("stream_id"))))
 
 
 def transitions(boxes: DataFrame, decay: float = 0.98) -> DataFrame:
     """How often tracks went from one cell to another, what of that still counts, and its share among all ways out of the first."""
-    met = _recent(moves(boxes), boxes, decay).groupBy("stream_id", "from_cell", "cell").agg(F.count("*").alias("n"), F.sum("recent").alias("recent"))
+    met = _recent(moves(boxes), boxes, ["stream_id", "from_cell", "cell"], decay)
     return met.withColumn("probability", _part("recent", F.sum("recent").over(Window.partitionBy("stream_id", "from_cell"))))
 
 

@@ -6,6 +6,10 @@ those before it. A key that holds a third of all rows thus takes as many tasks a
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +32,54 @@ def with_previous(df: DataFrame, keys: list[str], order: str, columns: list[str]
     return met.select(*df.columns, *[before[c].alias(prefix + c) for c in columns])
 
 
-def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, span: int = SPAN) -> DataFrame:
-    """Adds the sum of value over the rows of equal keys up to and with this one."""
+def with_running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, of=F.sum, none: object = 0, span: int = SPAN) -> DataFrame:
+    """Adds `of` (a sum, a maximum) over the rows of equal keys up to and with this one; `none` is what a key has before its first span."""
     spanned = _spanned(df.withColumn("_value", value), order, span)
-    sums = spanned.groupBy(*keys, "_span").agg(F.sum("_value").alias("_sum"))
+    parts = spanned.groupBy(*keys, "_span").agg(of("_value").alias("_part"))
     over = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, "_span", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_carried"))
+    carried = parts.select(*keys, "_span", F.coalesce(of("_part").over(over), F.lit(none)).alias("_carried"))
     within = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    met = spanned.withColumn("_run", F.sum("_value").over(within)).join(carried, [*keys, "_span"])
-    return met.select(*df.columns, (F.col("_run") + F.col("_carried")).alias(name))
+    met = spanned.withColumn("_run", of("_value").over(within)).join(carried, [*keys, "_span"])
+    both = F.greatest("_run", "_carried") if of is F.max else F.col("_run") + F.col("_carried")
+    return met.select(*df.columns, both.alias(name))
+
+
+def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, span: int = SPAN) -> DataFrame:
+    """Adds the sum of value over the rows of equal keys up to and with this one."""
+    return with_running(df, keys, order, value, name, span=span)
+
 
+def gated(rows: DataFrame, keys: list[str], time: str, gap: Column) -> DataFrame:
+    """Of each key's times in ascending order, those that stand at least the key's gap after the last one kept: (keys, time).
 
-def gated(times: Column, gap: Column) -> Column:
-    """Of an ascending array, the elements that stand at least gap after the last element kept."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    What is kept depends on what was kept before, so a key's sorted rows are read as a stream; only the last time kept is held.
+    """
+    given = rows.select(*keys, F.col(time).cast("bigint").alias(time), gap.cast("bigint").alias("_gap"))
+    schema = given.drop("_gap").schema
 
-    def step(s: Column, t: Column) -> Column:
-        keep = s["last"].isNull() | (t - s["last"] >= gap)
-        return F.when(keep, F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s)
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            times, gaps = batch.column(time).to_numpy(), batch.column("_gap").to_numpy()
+            new = np.zeros(batch.num_rows - 1, bool)
+            for c in columns:
+                new |= c[1:] != c[:-1]
+            bounds, some = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows], []
+            for a, b in zip(bounds, bounds[1:]):
+                key = tuple(c[a] for c in columns)
+                if key != now:
+                    now, last = key, None
+                at = a
+                while at < b:
+                    if last is not None:
+                        at = a + int(np.searchsorted(times[a:b], last + gaps[a]))
+                    if at < b:
+                        some.append(at)
+                        last = times[at]
+                        at += 1
+            yield batch.select([*keys, time]).take(pa.array(some, pa.int64()))
 
-    return F.aggregate(times, start, step, lambda s: s["kept"])
+    return given.repartition(*keys).sortWithinPartitions(*keys, time).mapInArrow(kept, schema)
