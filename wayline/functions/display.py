@@ -22,6 +22,18 @@ def fitted(frame_w: Column, frame_h: Column, rect_w: Column, rect_h: Column) ->
     return scale, (rect_w - frame_w * scale) / 2, (rect_h - frame_h * scale) / 2
 
 
+def to_frame(x: Column, y: Column, frame_w: Column, frame_h: Column, rect_w: Column, rect_h: Column) -> Column:
+    """The frame's point that is shown at a point of the rectangle; null beside the frame."""
+    scale, left, top = fitted(frame_w, frame_h, rect_w, rect_h)
+    fx, fy = x - left, y - top
+    return F.when((fx >= 0) & (fy >= 0) & (fx <= frame_w * scale) & (fy <= frame_h * scale), F.struct((fx / scale).alias("x"), (fy / scale).alias("y")))
+
+
+def socket_target(address: Column) -> Column:
+    """An address as a client of local sockets wants it: without the slashes after its scheme."""
+    return F.regexp_replace(address, "^unix://", "unix:")
+
+
 def heat_alpha(value: Column, most: Column) -> Column:
     return F.when(value > 0, F.least(F.lit(0.55), 0.08 + 0.47 * value / most))
 

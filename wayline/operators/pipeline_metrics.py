@@ -30,6 +30,16 @@ def stage_percentiles(stages: DataFrame, percents: tuple[int, ...] = (50, 95, 99
     return run.groupBy("stage").agg(*[reached(p).alias(f"p{p}_ms") for p in percents])
 
 
+#: The stages in the order in which they are told; fixed values of the format are the fields and their order.
+FIELDS = ("count", "errors", "fps", "avg_ms", "p50_ms", "p95_ms", "p99_ms", "min_ms", "max_ms")
+
+
+def stage_json(metrics: DataFrame, percentiles: DataFrame) -> DataFrame:
+    """(stage, json) of each stage over all streams: its metrics and percentiles as one object, numbers to three places."""
+    met = metrics.filter("stream_id is null").drop("stream_id").withColumnRenamed("n", "count").join(percentiles, "stage")
+    return met.select("stage", F.to_json(F.struct(*[F.round(c, 3).alias(c) if c not in ("count", "errors") else F.col(c) for c in FIELDS])).alias("json"))
+
+
 def busy_queues(queues: DataFrame, percent: int = 80) -> DataFrame:
     """Queues filled to percent of their capacity or more, by whole percents; those without capacity are left out."""
     fill = F.floor(F.col("size") * 100 / F.col("capacity"))

@@ -57,6 +57,40 @@ def with_retention(rows: DataFrame, days: int | None, now_ms: int) -> DataFrame:
     return rows if days is None else rows.filter(F.col("ts_ms") >= now_ms - days * 86_400_000)
 
 
-def numbered_events(events: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Ids in emission order within each stream, as an append would give them. Each stream counts on its own, so no order is global."""
-    return events.withColumn("id", (F.row_number().over(Window.partitionBy(*P).orderBy(*order)) + start).cast("bigint"))
+def numbered_events(events: DataFrame, order: list[str], start: int = 0, span: int = 600_000) -> DataFrame:
+    """Ids in emission order within each stream, as an append would give them; order begins with a time.
+
+    A stream's events are cut into spans of that time: rows are numbered within a span, and a row per span carries over the number
+    of those before it.
+    """
+    spanned = events.withColumn("_span", F.floor(F.col(order[0]) / span))
+    sizes = spanned.groupBy(*P, "_span").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*P).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sizes.select(*P, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = spanned.withColumn("_place", F.row_number().over(Window.partitionBy(*P, "_span").orderBy(*order)))
+    return placed.join(carried, [*P, "_span"]).select(*events.columns, (F.col("_place") + F.col("_before") + start).cast("bigint").alias("id"))
+
+
+def upserted(rules: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
+    """Rules with those in new (all fields of a rule but its times) put in: a known id of a stream takes the new fields and keeps its
+    time of creation, any other begins now; one without an id gets a random one."""
+    named = new.withColumn("id", F.coalesce("id", F.expr("uuid()")))
+    known = rules.select(*P, "id", F.col("created_at_ms").alias("_created"))
+    put = named.join(known, [*P, "id"], "left").withColumns({"created_at_ms": F.coalesce("_created", F.lit(now_ms)), "updated_at_ms": F.lit(now_ms)})
+    return rules.join(named.select(*P, "id"), [*P, "id"], "left_anti").select(*rules.columns).union(put.select(*rules.columns))
+
+
+def with_persisted(recent: DataFrame, persisted: DataFrame, most: int = 50) -> DataFrame:
+    """The newest events that a stream shows (recent: events, newest first) after some of its own were stored: those, with their ids, in
+    the order in which they came out, then what recent holds beyond as many."""
+    stored = persisted.groupBy(*P).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "kind"))), lambda e: F.struct(e["id"].alias("id"), e["kind"].alias("kind"))).alias("_stored"))
+    older = F.slice("events", F.size("_stored") + 1, F.lit(most))
+    return recent.join(stored, P, "left").withColumn("events", F.when(F.col("_stored").isNull(), F.col("events")).otherwise(F.concat("_stored", older))).drop("_stored")
+
+
+def snapshots_shown(streams: DataFrame, latest_: DataFrame, rules: DataFrame, rows: int = 36, cols: int = 64) -> DataFrame:
+    """Each stream's latest snapshot (heat: its grid), or an empty one with all cells 0 where it has none; with the names of its rules."""
+    names = rules.groupBy(*P).agg(F.array_sort(F.collect_list("id")).alias("rules"))
+    met = streams.join(latest_, P, "left").join(names, P, "left")
+    none = F.array().cast("array<string>")
+    return met.withColumns({"empty": F.col("ts_ms").isNull(), "heat": F.coalesce("heat", F.array_repeat(F.lit(0.0), rows * cols)), "active": F.coalesce("active", F.lit(0)), "rules": F.coalesce("rules", none)})

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.sequence import SPAN, with_running
+
 
 def subscribed(events: DataFrame, streams: list[str], frames: bool = True, metrics: bool = True, logs: bool = True) -> DataFrame:
     """What a subscriber asked for: frames of its streams (all, if it names none), metrics, logs; status always."""
@@ -23,20 +29,25 @@ def coalesced(events: DataFrame, batch: str, capacity: int) -> DataFrame:
 
 def kept_of_queue(items: DataFrame, keys: list[str], order: str, capacity: int, drop_oldest: bool = True) -> DataFrame:
     """What a full queue holds when nothing is taken: the newest items, or the first ones; with how many were dropped."""
-    by = Window.partitionBy(*keys)
-    place = F.row_number().over(by.orderBy(F.col(order).desc() if drop_oldest else F.col(order)))
-    counted = items.withColumn("_n", place).withColumn("dropped", F.greatest(F.count("*").over(by) - capacity, F.lit(0)))
-    return counted.filter(F.col("_n") <= capacity).drop("_n")
+    top = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc() if drop_oldest else F.col(order)))
+    kept = items.withColumn("_n", top).filter(F.col("_n") <= capacity).drop("_n")
+    counted = items.groupBy(*keys).agg(F.greatest(F.count("*") - capacity, F.lit(0)).alias("dropped"))
+    return kept.join(counted, keys)
 
 
 def paired(inference: DataFrame, ui: DataFrame) -> DataFrame:
-    """Frames of two sides of a stream that show the same moment: by equal positive pts, and those without pts by their order."""
-    timed = inference.filter("pts_ns > 0").join(ui.filter("pts_ns > 0").select("stream_id", "pts_ns", F.col("frame_id").alias("ui_frame_id")), ["stream_id", "pts_ns"])
-    turn = F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_id"))
-    bare = inference.filter("pts_ns <= 0").withColumn("_turn", turn)
-    other = ui.filter("pts_ns <= 0").withColumn("_turn", turn).select("stream_id", "_turn", F.col("frame_id").alias("ui_frame_id"), F.col("pts_ns").alias("_pts"))
-    met = bare.join(other, ["stream_id", "_turn"])
-    return timed.select("stream_id", "frame_id", "ui_frame_id", "pts_ns").union(met.select("stream_id", "frame_id", "ui_frame_id", F.when(F.col("pts_ns") > 0, F.col("pts_ns")).otherwise(F.col("_pts"))))
+    """Frames of two sides of a stream that show the same moment: by equal positive pts, and those without pts by their order.
+
+    Of several frames with one pts each side's first meet, then their second ones; a frame has one partner at most.
+    """
+    of_moment = F.row_number().over(Window.partitionBy("stream_id", "pts_ns").orderBy("frame_id"))
+    timed = lambda side: side.filter("pts_ns > 0").withColumn("_turn", of_moment)
+    other = timed(ui).select("stream_id", "pts_ns", "_turn", F.col("frame_id").alias("ui_frame_id"))
+    met = timed(inference).join(other, ["stream_id", "pts_ns", "_turn"]).select("stream_id", "frame_id", "ui_frame_id", "pts_ns")
+    bare = lambda side: with_running(side.filter("pts_ns <= 0"), ["stream_id"], "frame_id", F.lit(1), "_turn")
+    other = bare(ui).select("stream_id", "_turn", F.col("frame_id").alias("ui_frame_id"), F.col("pts_ns").alias("_pts"))
+    in_turn = bare(inference).join(other, ["stream_id", "_turn"])
+    return met.union(in_turn.select("stream_id", "frame_id", "ui_frame_id", F.when(F.col("pts_ns") > 0, F.col("pts_ns")).otherwise(F.col("_pts"))))
 
 
 def frames_with_detections(frames: DataFrame, detections: DataFrame) -> DataFrame:
@@ -45,8 +56,39 @@ def frames_with_detections(frames: DataFrame, detections: DataFrame) -> DataFram
     return frames.join(boxes, ["stream_id", "frame_id"], "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)))
 
 
-def committed(arrivals: DataFrame, window: int = 5) -> DataFrame:
-    """Frames in the order of their ids, as far as they come in time: one that arrives after a frame more than window ahead is late and dropped."""
-    before = Window.partitionBy("stream_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.max("frame_id").over(before), F.lit(-1))
-    return arrivals.withColumn("late", F.col("frame_id") < ahead - window)
+def committed(arrivals: DataFrame, window: int = 5, span: int = SPAN) -> DataFrame:
+    """Flags frames that arrive after one of more than window ids ahead: they are late. span: of arrival, see operators.sequence."""
+    ahead = with_running(arrivals, ["stream_id"], "arrival", F.col("frame_id"), "_ahead", F.max, -1, span)
+    return ahead.withColumn("late", F.col("frame_id") < F.col("_ahead") - window).drop("_ahead")
+
+
+def in_frame_order(arrivals: DataFrame, window: int = 5, most_pending: int = 500) -> DataFrame:
+    """Frames as they come out in the order of their ids: (stream_id, frame_id, arrival of the frame that let it out).
+
+    A frame waits for those before it, until one of more than window ids beyond the missing one has come, which is then given up; what
+    comes after its turn is dropped. Of more than most_pending waiting frames the first are dropped. What waits at the end stays in.
+    """
+
+    def out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, turn, newest, waiting = None, 0, 0, []
+        for batch in batches:
+            rows: list[tuple] = []
+            for stream, frame, arrival in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "frame_id", "arrival")), strict=True):
+                if stream != now:
+                    now, turn, newest, waiting = stream, frame, frame, []
+                newest = max(newest, frame)
+                if frame < turn:
+                    continue
+                if frame not in waiting:
+                    insort(waiting, frame)
+                while waiting and (waiting[0] == turn or newest - turn > window):
+                    if waiting[0] == turn:
+                        rows.append((stream, waiting.pop(0), arrival))
+                        turn += 1
+                    else:
+                        turn = min(waiting[0], newest - window)
+                del waiting[: max(0, len(waiting) - most_pending)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["stream_id", "frame_id", "arrival"])
+
+    given = arrivals.select("stream_id", F.col("frame_id").cast("bigint").alias("frame_id"), F.col("arrival").cast("bigint").alias("arrival"))
+    return given.repartition("stream_id").sortWithinPartitions("stream_id", "arrival").mapInArrow(out, "stream_id string, frame_id bigint, arrival bigint")

@@ -205,6 +205,13 @@ ORACLE: dict[str, str] = {
        SELECT r.stream_id, r.id, COALESCE(ch.name, r.name) AS name, COALESCE(ch.enabled, r.enabled) AS enabled, r.created_at_ms, CASE WHEN ch.id IS NULL THEN r.updated_at_ms ELSE 1704067300000 END AS updated_at_ms
        FROM rules r LEFT JOIN ch USING (stream_id, id)""",
     "rule_delete": f"{_with(_RULES)} SELECT stream_id, id FROM rules WHERE NOT (stream_id = 'cam0' AND id = 'line-off')",
+    "rule_upsert": f"""{_with(_RULES)} SELECT stream_id, id, CASE WHEN hit THEN 'moved' ELSE name END AS name, enabled AND NOT hit AS enabled, created_at_ms, CASE WHEN hit THEN 1704067300000 ELSE updated_at_ms END AS updated_at_ms
+       FROM (SELECT *, stream_id = 'cam0' AND id = 'line-mid' AS hit FROM rules) UNION ALL SELECT 'cam2', 'line-new', 'new', true, 1704067300000, 1704067300000""",
+    "events_persisted": f"""{_with(_OBS, _LINES, recursive=True)}, top AS (SELECT *, row_number() OVER (PARTITION BY stream_id, profile ORDER BY id DESC) AS place FROM ev QUALIFY place <= 50)
+       SELECT stream_id, profile, array_to_string(list_concat(list(id ORDER BY id) FILTER (place <= 30), COALESCE(list(id ORDER BY id DESC) FILTER (place > 30), [])), ',') AS ids FROM top GROUP BY ALL""",
+    "snapshots_shown": f"""{_with(_OBS, _LINES, _SNAPS, _HEAT, recursive=True)} SELECT last.stream_id, last.profile, false AS empty, ts_ms, active, 2304 AS n_cells,
+       (SELECT round(max(round(value, 6)), 6) FROM heat h WHERE h.stream_id = last.stream_id) AS heat_max, 'area-bad,area-rect,area-tri,line-diag,line-mid,line-off' AS rules FROM last
+       UNION ALL SELECT 'cam9', 'ui', true, NULL, 0, 2304, 0, ''""",
     "events_filter_topn": f"{_with(_OBS, _LINES, recursive=True)} SELECT id, track_id, direction, ts_ms FROM ev WHERE stream_id = 'cam1' AND profile = 'ui' AND rule_id = 'line-mid' ORDER BY ts_ms DESC, id DESC LIMIT 20",
     "events_count_since": f"{_with(_OBS, _LINES, recursive=True)} SELECT stream_id, profile, COUNT(*) AS n_events FROM ev WHERE ts_ms >= 1704067260000 GROUP BY ALL",
     "latest_snapshot": f"{_with(_OBS, _SNAPS, recursive=True)} SELECT stream_id, profile, frame_id, ts_ms, active, unique_tracks FROM last",
@@ -222,6 +229,12 @@ ORACLE: dict[str, str] = {
        v AS (SELECT stage, bucket, upto, total, CASE WHEN bucket < 17 THEN bounds[CAST(bucket + 1 AS INT)] / CAST(1000 AS DOUBLE) ELSE most END AS bound FROM r, b)
        SELECT stage, round(arg_min(bound, bucket) FILTER (upto * 100 >= total * 50), 3) AS p50_ms, round(arg_min(bound, bucket) FILTER (upto * 100 >= total * 95), 3) AS p95_ms,
               round(arg_min(bound, bucket) FILTER (upto * 100 >= total * 99), 3) AS p99_ms FROM v GROUP BY ALL""",
+    "stage_json": f"""{_with(_TELE)}, m AS (SELECT stage, COUNT(*) AS count, CAST(SUM(CAST(failed AS INT)) AS BIGINT) AS errors, round(avg(duration_ms), 3) AS avg_ms, round(max(duration_ms), 3) AS max_ms FROM stages GROUP BY ALL),
+       b AS (SELECT [50, 100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000, 100000, 250000, 500000, 1000000, 2500000, 5000000, 10000000] AS bounds),
+       h AS (SELECT stage, len(list_filter(bounds, lambda x: x < floor(duration_ms * 1000))) AS bucket, COUNT(*) AS n FROM stages, b GROUP BY ALL),
+       r AS (SELECT stage, bucket, SUM(n) OVER (PARTITION BY stage ORDER BY bucket) AS upto, SUM(n) OVER (PARTITION BY stage) AS total FROM h),
+       p AS (SELECT stage, min(bucket) AS bucket FROM r WHERE upto * 100 >= total * 95 GROUP BY ALL)
+       SELECT stage, count, errors, avg_ms, round(CASE WHEN bucket < 17 THEN bounds[CAST(bucket + 1 AS INT)] / CAST(1000 AS DOUBLE) ELSE max_ms END, 3) AS p95_ms, max_ms FROM m JOIN p USING (stage), b""",
     "queue_watermark": f"{_with(_OBS)} SELECT stream_id, frame_id, track_id, track_id * 10 AS size, 50 AS capacity, track_id * 10 * 100 // 50 AS fill_percent FROM obs WHERE track_id * 1000 // 50 >= 80",
     "metrics_history": """SELECT user_id, event_id, COUNT(*) OVER h AS n_samples, round(avg(value) OVER h, 9) AS mean_value FROM events
        WINDOW h AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)""",
@@ -284,6 +297,9 @@ ORACLE: dict[str, str] = {
     "layer_alpha": f"""{_with(_OBS, _HEAT)}, m AS (SELECT stream_id, profile, max(value) AS most FROM heat GROUP BY ALL)
        SELECT stream_id, profile, cell, round(LEAST(0.55, 0.08 + 0.47 * value / most), 6) AS heat_alpha, round(LEAST(0.45, 0.10 + 0.35 * value / most), 6) AS density_alpha FROM heat JOIN m USING (stream_id, profile)""",
     "canvas_fit": f"{_with(_OBS)} SELECT {_T}, frame_id, round(foot_x * CAST(0.625 AS DOUBLE), 6) AS canvas_x, round(foot_y * CAST(0.625 AS DOUBLE) + 75, 6) AS canvas_y FROM f",
+    "client_to_frame": """SELECT event_id, CASE WHEN x BETWEEN 0 AND 800 AND y BETWEEN 75 AND 525 THEN round(x / CAST(0.625 AS DOUBLE), 6) END AS x, CASE WHEN x BETWEEN 0 AND 800 AND y BETWEEN 75 AND 525 THEN round((y - 75) / CAST(0.625 AS DOUBLE), 6) END AS y
+       FROM (SELECT event_id, event_id % 900 - 50 AS x, event_id * 7 % 700 - 50 AS y FROM events)""",
+    "socket_targets": "SELECT * FROM (VALUES ('unix:///run/a.sock', 'unix:/run/a.sock'), ('unix:/run/b.sock', 'unix:/run/b.sock'), ('localhost:50051', 'localhost:50051')) t(address, target)",
     "stream_urls": f"""{_with(_OBS)} SELECT stream_id, profile, concat('http://runner:8080/streams/', stream_id, '/', profile, '/snapshot.jpg') AS snapshot_url, concat('http://runner:8080/streams/', stream_id, '/', profile, '/mjpeg') AS mjpeg_url,
        concat('http://runner:8080/webrtc/', stream_id, '/', profile, '/offer') AS offer_url, concat('http://runner:8080/streams/', stream_id, '/', profile, '/meta.json') AS meta_url, stream_id <> 'cam1' AS webrtc_available
        FROM (SELECT DISTINCT stream_id, profile FROM obs)""",

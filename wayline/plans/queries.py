@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import display as D
@@ -161,6 +161,34 @@ def rule_delete(spark, d):
     return store.deleted(X.rules(spark), gone).select("stream_id", "id")
 
 
+@query
+def rule_upsert(spark, d):
+    new = spark.createDataFrame([("line-mid", "cam0", "ui", "line", "moved", False), ("line-new", "cam2", "ui", "line", "new", True)], "id string, stream_id string, profile string, kind string, name string, enabled boolean")
+    put = store.upserted(X.rules(spark), new.withColumns({"geometry": F.lit("{}"), "settings": F.lit("{}")}), 1_704_067_300_000)
+    return put.select("stream_id", "id", "name", "enabled", "created_at_ms", "updated_at_ms")
+
+
+@query
+def events_persisted(spark, d):
+    """Each stream's newest fifty events, of which the newest thirty have just been stored."""
+    found = _events(spark, d)
+    newest = F.row_number().over(Window.partitionBy(*P).orderBy(F.col("id").desc()))
+    top = found.withColumn("place", newest).filter("place <= 50")
+    recent = top.groupBy(*P).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "kind"))), lambda e: F.struct(F.when(e["place"] > 30, e["id"]).alias("id"), e["kind"].alias("kind"))).alias("events"))
+    merged = store.with_persisted(recent, top.filter("place <= 30").select(*P, "id", "kind"))
+    return merged.select(*P, F.array_join(F.transform("events", lambda e: e["id"].cast("string")), ",").alias("ids"))
+
+
+@query
+def snapshots_shown(spark, d):
+    """Latest snapshots of the streams that have any, and an empty one for a stream that has none."""
+    last = store.latest(_snapshots(spark, d), P, "ts_ms", "frame_id").select(*P, "ts_ms", "active")
+    heat = A.dense(A.heatmap(X.track_obs(spark, d)), P).select(*P, F.col("values").alias("heat"))
+    streams = X.rules(spark).select(*P).union(spark.createDataFrame([("cam9", "ui")], "stream_id string, profile string")).distinct()
+    shown = store.snapshots_shown(streams, last.join(heat, P), X.rules(spark))
+    return shown.select(*P, "empty", "ts_ms", "active", F.size("heat").alias("n_cells"), F.round(F.array_max("heat"), 6).alias("heat_max"), F.concat_ws(",", "rules").alias("rules"))
+
+
 @query
 def events_filter_topn(spark, d):
     return store.newest_events(_events(spark, d), 20, stream_id="cam1", profile="ui", rule_id="line-mid").select("id", "track_id", "direction", "ts_ms")
@@ -215,6 +243,13 @@ def stage_percentiles(spark, d):
     return pipeline_metrics.stage_percentiles(X.stages(spark, d))
 
 
+@query
+def stage_json(spark, d):
+    told = pipeline_metrics.stage_json(pipeline_metrics.stage_metrics(X.stages(spark, d), 100.0), pipeline_metrics.stage_percentiles(X.stages(spark, d)))
+    field = lambda name, kind: F.get_json_object("json", f"$.{name}").cast(kind).alias(name)
+    return told.select("stage", field("count", "bigint"), field("errors", "bigint"), field("avg_ms", "double"), field("p95_ms", "double"), field("max_ms", "double"))
+
+
 @query
 def queue_watermark(spark, d):
     queues = X.track_obs(spark, d).select("stream_id", "frame_id", "track_id", (F.col("track_id") * 10).alias("size"), F.lit(50).alias("capacity"))
@@ -269,7 +304,13 @@ def frame_detection_left(spark, d):
 @query
 def reorder_commit(spark, d):
     f = A.frames(X.track_obs(spark, d)).select("stream_id", "frame_id", (F.col("frame_id") + F.when(F.col("frame_id") % 13 == 0, 9).otherwise(0)).alias("arrival"))
-    return telemetry.committed(f.withColumn("arrival", F.col("arrival") * 1_000_000 + F.col("frame_id"))).select("stream_id", "frame_id", "late")
+    return telemetry.committed(f.withColumn("arrival", F.col("arrival") * 1_000_000 + F.col("frame_id")), span=4096 * 1_000_000).select("stream_id", "frame_id", "late")
+
+
+@query
+def frame_order_commit(spark, d):
+    f = A.frames(X.track_obs(spark, d)).select("stream_id", "frame_id", ((F.col("frame_id") + F.when(F.col("frame_id") % 13 == 0, 9).when(F.col("frame_id") % 5 == 0, 2).otherwise(0)) * 1_000_000 + F.col("frame_id")).alias("arrival"))
+    return telemetry.in_frame_order(f)
 
 
 @query
@@ -415,6 +456,18 @@ def canvas_fit(spark, d):
     return _to6(s.select(*T, "frame_id", (F.col("foot_x") * scale + left).alias("canvas_x"), (F.col("foot_y") * scale + top).alias("canvas_y")), "canvas_x", "canvas_y")
 
 
+@query
+def client_to_frame(spark, d):
+    at = D.to_frame((F.col("event_id") % 900).cast("double") - 50, (F.col("event_id") * 7 % 700).cast("double") - 50, F.lit(1280.0), F.lit(720.0), F.lit(800.0), F.lit(600.0))
+    return _to6(X.events(spark, d).select("event_id", at.alias("p")).select("event_id", "p.x", "p.y"), "x", "y")
+
+
+@query
+def socket_targets(spark, d):
+    rows = [("unix:///run/a.sock",), ("unix:/run/b.sock",), ("localhost:50051",)]
+    return spark.createDataFrame(rows, "address string").select("address", D.socket_target(F.col("address")).alias("target"))
+
+
 @query
 def stream_urls(spark, d):
     base = X.track_obs(spark, d).select(*P).distinct().withColumn("base_url", F.lit("http://runner:8080//")).withColumn("webrtc", F.when(F.col("stream_id") == "cam1", F.lit(False)))
