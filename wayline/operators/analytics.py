@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import geometry as G
 from wayline.functions import rule_json as R
-from wayline.operators.sequence import SPAN, gated, with_previous, with_running_sum
+from wayline.operators.sequence import SPAN, gated, with_previous, with_running, with_running_sum
 
 P = ["stream_id", "profile"]
 T = [*P, "track_id"]
@@ -52,6 +52,19 @@ def frames(obs: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
+def normalised(rows: DataFrame) -> DataFrame:
+    """Telemetry rows with what they lack: no stream is "", no profile "ui", no number 0; a frame without width or height takes those of
+    the last frame before it that has them."""
+    numbers = [c for c in ("pts_ns", "x", "y", "w", "h", "score") if c in rows.columns]
+    plain = rows.withColumns({"stream_id": F.coalesce("stream_id", F.lit("")), "profile": F.coalesce("profile", F.lit("ui")), **{c: F.coalesce(c, F.lit(0)) for c in numbers}})
+    sizes = plain.groupBy(*P, "frame_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    for side in ("width", "height"):
+        known = F.when(F.col(side) > 0, F.struct("frame_id", side))
+        sizes = with_running(sizes, P, "frame_id", known, f"_{side}", F.max, None)
+    carried = sizes.select(*P, "frame_id", *[F.coalesce(F.col(f"_{side}")[side], F.lit(0)).alias(side) for side in ("width", "height")])
+    return plain.drop("width", "height").join(carried, [*P, "frame_id"]).select(*rows.columns)
+
+
 def with_foot(obs: DataFrame) -> DataFrame:
     x, y = G.foot(*[F.col(c) for c in "xywh"])
     return obs.withColumn("foot_x", x).withColumn("foot_y", y)

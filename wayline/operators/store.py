@@ -42,6 +42,11 @@ def newest_events(events: DataFrame, limit: int = 100, **wanted: object) -> Data
     return matching(events, **wanted).orderBy(F.col("ts_ms").desc(), F.col("id").desc()).limit(min(max(limit, 1), 1000))
 
 
+def since(now_ms: Column, window_s: int) -> Column:
+    """Where a trailing window begins; its length is held within a second and a day."""
+    return now_ms - min(max(window_s, 1), 86_400) * 1000
+
+
 def count_since(events: DataFrame, since_ms: Column, **wanted: object) -> DataFrame:
     return matching(events, **wanted).filter(F.col("ts_ms") >= since_ms).groupBy(*P).agg(F.count("*").alias("n_events"))
 

@@ -174,6 +174,9 @@ def _with(*parts: str, recursive: bool = False) -> str:
 
 ORACLE: dict[str, str] = {
     "samples_foot": f"{_with(_OBS)} SELECT {_T}, frame_id, ts_ms, round(foot_x, 6) AS foot_x, round(foot_y, 6) AS foot_y, score FROM f",
+    "frame_sizes": f"""{_with(_OBS)}, s AS (SELECT stream_id, profile, frame_id, CASE WHEN frame_id % 3 = 0 THEN 1280 + frame_id % 2 END AS w, CASE WHEN frame_id % 3 = 0 THEN 720 END AS h FROM fr),
+       c AS (SELECT stream_id, frame_id, CAST(COALESCE(last_value(w IGNORE NULLS) OVER o, 0) AS BIGINT) AS width, COALESCE(last_value(h IGNORE NULLS) OVER o, 0) AS height FROM s WINDOW o AS (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+       SELECT stream_id, 'ui' AS profile, track_id, frame_id, c.width, c.height FROM obs JOIN c USING (stream_id, frame_id)""",
     "frame_delta": f"{_with(_OBS)} SELECT stream_id, profile, frame_id, round(delta_s, 6) AS delta_s FROM fr",
     "track_segments": f"{_with(_OBS)} SELECT {_T}, frame_id, from_ts_ms, to_ts_ms, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(speed_px_s, 6) AS speed_px_s FROM seg",
     "directions": f"{_with(_OBS)} SELECT {_T}, frame_id, round(x2 - x1, 6) AS dx, round(y2 - y1, 6) AS dy FROM seg WHERE delta_s > 0",

@@ -31,6 +31,14 @@ def samples_foot(spark, d):
     return _to6(A.with_foot(X.track_obs(spark, d)).select(*T, "frame_id", "ts_ms", "foot_x", "foot_y", "score"), "foot_x", "foot_y")
 
 
+@query
+def frame_sizes(spark, d):
+    """Frames of which only every third tells its size, and rows without a profile."""
+    told = F.col("frame_id") % 3 == 0
+    bare = X.track_obs(spark, d).withColumns({"width": F.when(told, F.col("width") + F.col("frame_id") % 2), "height": F.when(told, F.col("height")).otherwise(0), "profile": F.lit(None).cast("string")})
+    return A.normalised(bare).select(*T, "frame_id", "width", "height")
+
+
 @query
 def frame_delta(spark, d):
     return _to6(A.frames(X.track_obs(spark, d)).select(*P, "frame_id", "delta_s"), "delta_s")
@@ -213,7 +221,7 @@ def latest_snapshot(spark, d):
 @query
 def summary(spark, d):
     last = store.latest(_snapshots(spark, d), P, "ts_ms", "frame_id").select(*P, "ts_ms", "active")
-    counted = store.count_since(_events(spark, d).join(last.select(*P, F.col("ts_ms").alias("now_ms")), P), F.col("now_ms") - 300_000)
+    counted = store.count_since(_events(spark, d).join(last.select(*P, F.col("ts_ms").alias("now_ms")), P), store.since(F.col("now_ms"), 300))
     return last.join(counted, P, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
 
 

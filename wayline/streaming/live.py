@@ -16,9 +16,12 @@ from wayline.operators.tracking import SEEN, TRACKED, TRACKERS, tracked_rows
 IDLE_MS = 3_600_000
 
 
-def read(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
-    """A folder of Parquet files as a stream; a bounded number of files a batch takes the place of a dropping queue."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100, kind: str = "parquet") -> DataFrame:
+    """A folder of files (parquet, json) as a stream; a bounded number of files a batch takes the place of a dropping queue.
+
+    64-bit numbers that telemetry writes as JSON strings are read with a schema of strings and cast.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(folder)
 
 
 def _limit(idle_ms: int | None) -> str:
