@@ -104,6 +104,21 @@ def map_groups(dealt: DataFrame, work: Callable[[pa.Table], pa.Table | None], sc
     return map_runs(dealt, each, schema, arrow)
 
 
+def pairs_within(starts: np.ndarray, n: int, largest: int | None = None, chunk: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs a < b of n rows that stand in one group, about `chunk` at a time; groups begin at starts, those of more than `largest` rows are left out."""
+    sizes = np.diff(np.append(starts, n))
+    after = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
+    if largest is not None:
+        after[np.repeat(sizes > largest, sizes)] = 0
+    upto, row = np.cumsum(after), 0
+    while row < n:
+        last = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + chunk, side="right")))
+        many = after[row:last]
+        a = np.repeat(np.arange(row, last), many)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+        row = last
+
+
 def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     """A binary column of rows of equal length as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
 from wayline.llm.common import settle, shared_folder, small_batches
-from wayline.llm.graph import blocks, components, map_groups, matrix, of_one_id, roots
+from wayline.llm.graph import blocks, components, map_groups, map_runs, matrix, of_one_id, pairs_within, roots
 
 WIDTH, REGISTERS, BAND, BASE = 4, 128, 4, 1.001
 #: A word of the contract: anything but blank, tab, LF, VT, FF, CR.
@@ -40,7 +40,7 @@ _TIMES = _RNG.integers(1 << 31, size=REGISTERS, dtype=np.uint32) * np.uint32(2)
 #: Ids that may be broadcast, of 8 bytes each.
 MOST_BROADCAST = 1_000_000
 #: Weight of a part of a bucket that is compared with other parts at once.
-MOST_OF_BLOCK = 1024
+MOST_OF_BLOCK = 256
 #: A set of more shingles counts as several members when a bucket is cut into blocks, which bounds a block's bytes.
 LONG = 1024
 
@@ -126,22 +126,20 @@ def alike_enough(above: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.
     return _log_likelihood(least, above, below, equal, u) >= _log_likelihood(least - 0.01, above, below, equal, u)
 
 
-def _likely_members(table: pa.Table, percent: int, least: float) -> pa.Table | None:
-    """The members of a block that have a likely partner in it, of another group, and no earlier band in common with it."""
-    reps, group, sizes, part = (table.column(c).to_numpy() for c in ("rep", "group", "n", "part"))
-    first, second, band = (table.column(c)[0].as_py() for c in ("first", "second", "band"))
-    left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
-    registers, hit = matrix(table.column("registers"), "<u2"), np.zeros(len(reps), bool)
-    for i in left:
-        j = right[(group[right] != group[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
-        if first == second:
-            j = j[reps[j] > reps[i]]
-        same = registers[j] == registers[i]
-        ours = same.reshape(len(j), REGISTERS // BAND, BAND).all(2).argmax(1) == band
-        j, equal = j[ours], same[ours].sum(1)
-        j = j[alike_enough((registers[i] > registers[j]).sum(1), equal, sizes[i], sizes[j], least)]
-        hit[j] = True
-        hit[i] |= len(j) > 0
+def _likely_members(table: pa.Table, starts: np.ndarray, percent: int, least: float) -> pa.Table | None:
+    """The members of some blocks that have a likely partner in theirs, of another group, and no earlier band in common with it."""
+    rep, group, sizes, part, first, second, band = (table.column(c).to_numpy() for c in ("rep", "group", "n", "part", "first", "second", "band"))
+    registers, hit = matrix(table.column("registers"), "<u2"), np.zeros(len(rep), bool)
+    for a, b in pairs_within(starts, len(rep)):
+        met = (group[a] != group[b]) & (rep[a] != rep[b]) & ((first[a] == second[a]) | (part[a] != part[b]))
+        met &= 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+        a, b = a[met], b[met]
+        x, y = registers[a], registers[b]
+        same = x == y
+        ours = same.reshape(len(a), REGISTERS // BAND, BAND).all(2).argmax(1) == band[a]
+        a, b, equal, above = a[ours], b[ours], same[ours].sum(1), (x[ours] > y[ours]).sum(1)
+        likely = alike_enough(above, equal, sizes[a], sizes[b], least)
+        hit[a[likely]] = hit[b[likely]] = True
     return table.select(MEMBER.names).filter(pa.array(hit))
 
 
@@ -240,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, least_estimate: float =
     of_groups = spread.groupBy("key", "group").agg(F.sum("weight").alias("weight")).groupBy("key").agg(F.sum("weight").alias("size"), F.max(F.struct("weight", "group")).alias("top"), F.count("*").alias("groups"))
     sizes = settle(of_groups.filter("groups > 1").select("key", "size", F.col("top.group").alias("main"), F.col("top.weight").alias("main_size")))
     dealt = blocks(spread.drop("weight"), sizes, "rep", MOST_OF_BLOCK).join(placed.drop("group"), "rep")
-    of_blocks = settle(map_groups(dealt, lambda t: _likely_members(t, percent, least_estimate), "key bigint, first int, second int, part int, rep bigint", MEMBER))
+    of_blocks = settle(map_runs(dealt, lambda t, starts: _likely_members(t, starts, percent, least_estimate), "key bigint, first int, second int, part int, rep bigint", MEMBER))
     whole = _full_sets(plain, of_blocks.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     second = map_groups(of_blocks.join(whole, "rep"), lambda t: _links_of_block(t, percent), "a bigint, b bigint", links)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bytetext import mixed
 from wayline.llm.common import settle
-from wayline.llm.graph import blocks, components, map_runs, matrix, of_one_id, roots
+from wayline.llm.graph import blocks, components, map_runs, matrix, of_one_id, pairs_within, roots
 
 #: Vectors of a bucket, and share of pairs of the least cosine that no table may bring together.
 LOAD, MISSED = 4, 0.002
@@ -117,18 +117,9 @@ def close_pairs(x: np.ndarray, starts: np.ndarray, least: float, chunk: int = 50
         some = slice(starts[at], starts[at] + sizes[at])
         a, b = np.nonzero(np.triu(x[some] @ x[some].T >= least, 1))
         found.append(np.stack([a, b]) + starts[at])
-    end = np.repeat(starts + sizes, sizes)
-    after = np.where(np.repeat(sizes <= SMALL, sizes), end - np.arange(len(x)) - 1, 0)
-    upto = np.cumsum(after)
-    row = 0
-    while row < len(x):
-        last = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + chunk, side="right")))
-        many = after[row:last]
-        a = np.repeat(np.arange(row, last), many)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+    for a, b in pairs_within(starts, len(x), SMALL, chunk):
         yes = np.einsum("ij,ij->i", x[a], x[b]) >= least
         found.append(np.stack([a[yes], b[yes]]))
-        row = last
     a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return a, b
 
