@@ -237,6 +237,18 @@ def test_streamed_debounce_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_streamed_area_events_equal_batch(spark, tmp_path):
+    obs = X.track_obs(spark, SF)
+    for k, cut in enumerate(("frame_id < 20", "frame_id >= 20")):
+        obs.filter(cut).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in obs.schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = run_stream(live.area_events(stream, X.rules(spark), idle_ms=None), "area_events")
+    want = A.area_events(obs, X.rules(spark))
+    rows = lambda df: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*want.columns).collect()), key=repr)
+    assert rows(got) == rows(want) and len(rows(want)) > 50
+
+
 def test_streamed_windows_and_tables(spark, tmp_path):
     obs = X.track_obs(spark, SF)
     obs.coalesce(1).write.parquet(f"{tmp_path}/in")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayline.functions.geometry import in_polygon
+from wayline.operators.analytics import area_rules, with_foot
 from wayline.operators.tracking import SEEN, TRACKED, TRACKERS, tracked_rows
 
 #: State of a key that brings nothing for so long is dropped.
@@ -71,6 +74,73 @@ def debounced(candidates: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame
     return candidates.groupBy(*keys).applyInPandasWithState(step, "stream_id string, rule_id string, track_id bigint, direction string, ts_ms bigint", "last bigint", "append", _limit(idle_ms))
 
 
+AREA_EVENTS = "stream_id string, profile string, track_id bigint, rule_id string, kind string, frame_id bigint, ts_ms bigint, foot_x double, foot_y double, dwell_s double, total_dwell_s double"
+
+
+@dataclass
+class Stays:
+    """What a stream's areas hold: by (rule, track) when the stay began, whether its threshold has been told, and the seconds of stays that ended."""
+
+    frame: dict[int, list[tuple]] = field(default_factory=dict)
+    entered: dict[tuple, int] = field(default_factory=dict)
+    told: set[tuple] = field(default_factory=set)
+    total: dict[tuple, float] = field(default_factory=dict)
+
+    def exit(self, key: tuple, frame: int, ts: int, x: float, y: float) -> tuple:
+        spent = max(0.0, (ts - self.entered.pop(key)) / 1000)
+        self.told.discard(key)
+        self.total[key] = self.total.get(key, 0.0) + spent
+        return (key[1], key[0], "area_exit", frame, ts, x, y, round(spent, 3), round(self.total[key], 3))
+
+    def next_frame(self, frame: int, rows: list[tuple]) -> Iterator[tuple]:
+        """Events of a frame's rows (ts_ms, track_id, rule_id, inside, threshold_s, foot_x, foot_y)."""
+        ts, here = max(r[0] for r in rows), {r[1] for r in rows}
+        for track in [t for t in self.frame if t not in here]:
+            for _, _, rule, inside, _, x, y in self.frame[track]:
+                if inside:
+                    yield self.exit((rule, track), frame, ts, x, y)
+        self.frame = {}
+        for row in rows:
+            at, track, rule, inside, threshold, x, y = row
+            self.frame.setdefault(track, []).append(row)
+            key = (rule, track)
+            if inside and key not in self.entered:
+                self.entered[key] = at
+                yield (track, rule, "area_enter", frame, at, x, y, None, None)
+            elif inside:
+                spent = max(0.0, (at - self.entered[key]) / 1000)
+                if threshold is not None and spent >= threshold and key not in self.told:
+                    self.told.add(key)
+                    yield (track, rule, "area_dwell_threshold", frame, at, x, y, round(spent, 3), None)
+            elif key in self.entered:
+                yield self.exit(key, frame, at, x, y)
+
+
+def area_events(observations: DataFrame, rules: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Enter, dwell-threshold and exit events of areas, as operators.analytics.area_events gives them; a stream's stays are its key's state.
+
+    A batch's frames are taken in order, later batches come after; the rows of one frame come in one batch.
+    """
+    seen = with_foot(observations).join(area_rules(rules), ["stream_id", "profile"])
+    given = seen.select("stream_id", "profile", "frame_id", "ts_ms", "track_id", "rule_id", in_polygon(F.col("corners"), F.col("foot_x"), F.col("foot_y")).alias("inside"), "threshold_s", "foot_x", "foot_y")
+
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stays, events = pickle.loads(state.get[0]) if state.exists else Stays(), []
+        rows = pd.concat(list(batches)).sort_values(["frame_id", "track_id", "rule_id"], kind="stable")
+        for frame, g in rows.groupby("frame_id"):
+            plain = zip(g.ts_ms.tolist(), g.track_id.tolist(), g.rule_id, g.inside.tolist(), [None if pd.isna(v) else float(v) for v in g.threshold_s], g.foot_x.tolist(), g.foot_y.tolist(), strict=True)
+            events += [(*key, *e) for e in stays.next_frame(int(frame), list(plain))]
+        state.update((pickle.dumps(stays),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(events, columns=[c.split()[0] for c in AREA_EVENTS.split(", ")])
+
+    return given.groupBy("stream_id", "profile").applyInPandasWithState(step, AREA_EVENTS, "stays binary", "append", _limit(idle_ms))
+
+
 def occupancy(observations: DataFrame, width: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
     """Boxes and distinct tracks of each stream in windows of media time; rows later than the watermark are left out."""
     timed = observations.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
