@@ -1,6 +1,13 @@
 """The corpus pipeline: toxicity, language, near-duplicates, mixing and tokenisation, one after the other over documents.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
+
+Defined cases: null and empty text, and text without words, scores as the toxicity model's bias, and goes with all other text without
+a letter in the language stage; very long texts are read whole by every stage; of rows that repeat an id or have none, equal ones
+among them, near-duplicates keep the first of each group by id and a hash of the text; rows that tie in order of mixing follow
+id and size; a document without words has no row after mixing; an empty table gives empty tables with the same columns; other
+columns, whatever their names, are carried up to the last stage. Without labels or languages to learn from, toxicity keeps all that its
+bias keeps, and the language stage rejects all.
 """
 
 from __future__ import annotations
