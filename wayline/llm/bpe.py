@@ -21,6 +21,7 @@ import json
 from array import array
 from bisect import bisect_left
 from collections.abc import Collection, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -194,10 +195,15 @@ class WordEncoder:
         self.is_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.cut = plain_pattern(split["pattern"]["Regex"]).findall
-        self.library = library(file_json)
+        self.file_json = file_json
         self.byte = {s: b for b, s in enumerate(byte_symbols())}
         self.ids: Remembered[str, bytes] = Remembered(REMEMBERED)
 
+    @cached_property
+    def library(self):
+        """Needed for texts beyond plain Latin only; it takes some tens of MB."""
+        return library(self.file_json)
+
     def words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
             return self.cut(text.lower())
