@@ -21,7 +21,9 @@ from wayline.operators.scene_grid import COLS, ROWS
 
 
 def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """Each key's rows in one partition, in order; as many partitions as shuffles have, since a key's work doesn't show in its bytes, by which adaptive execution would put keys together."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
@@ -231,7 +233,7 @@ class SceneGrid:
         self.moved *= self.moved_decay
 
     def cells(self, boxes: np.ndarray, width: int, height: int) -> np.ndarray:
-        place = lambda v, size, n: np.clip(np.floor(np.clip(v, 0, size - 1) / size * n), 0, n - 1).astype(int)
+        place = lambda v, size, n: np.minimum((np.minimum(np.maximum(v, 0), size - 1) / size * n).astype(int), n - 1)
         return place(boxes[:, 1] + boxes[:, 3] * FOOT_SHARE, height, self.rows) * self.cols + place(boxes[:, 0] + boxes[:, 2] / 2, width, self.cols)
 
     def observe(self, boxes: np.ndarray, width: int, height: int, before: np.ndarray | None = None) -> None:
