@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, fingerprints, idfiles, language, licenses, mixing, neardup, quality, toxicity, vectors
+from wayline.llm import bpe, clusters, fingerprints, idfiles, language, licenses, maxent, mixing, neardup, quality, resampling, toxicity, vectors
 from wayline.llm.common import id_remainder, read
 from wayline.llm.pieces import path
 
@@ -80,7 +80,42 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_idfiles": op5_idfiles, "op6_vectors": op6_vectors, "op7_language": op7_language, "op8_neardup": op8_neardup, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digest(spark, clusters.cluster(read(spark, sf_dir, "embeddings")))
+
+
+def op12_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out")
+    scored = maxent.scores(maxent.learn(docs, id_remainder(F.col("doc_id"), 7) != 2))
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_toxicity, op4_bpe, op5_idfiles, op6_vectors, op7_language, op8_neardup, op9_quality, op10_fingerprints, op11_clusters, op12_maxent, op13_resampling)}
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Each round in turn: distances to all centroids, the least, and floored means, of which an empty cluster has none."""
+    parts = [
+        f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INT) AS cluster, v AS c FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (SELECT vec_id, v, (m).cluster AS cluster, (m).d AS distance FROM (
+  SELECT vec_id, v, min({{'d': CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'cluster': cluster}}) AS m FROM v, c{r} GROUP BY ALL))""")
+        if r < rounds:
+            parts.append(f"""e{r} AS (SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, {dim + 1}) t(i) GROUP BY ALL),
+c{r + 1} AS (SELECT c{r}.cluster, COALESCE(m, c) AS c FROM c{r} LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM e{r} GROUP BY cluster) USING (cluster))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a{rounds}.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a{rounds}.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
 
 ORACLE = {
     "op1_mixing": r"""
@@ -107,5 +142,24 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0
             ELSE size * (budget // source_size) + LEAST(size, GREATEST(0, budget - (budget // source_size) * source_size - before)) END AS BIGINT) AS taken
 FROM p
+""",
+    "op11_clusters": _clusters_sql(),
+    # DuckDB has no crc32: a table by eight shifts a byte, then a fold over each distinct word's bytes
+    "op13_resampling": r"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+wd AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+wb AS (SELECT regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT n, w, count(*) AS k FROM (SELECT n, unnest(ws) AS w FROM wd) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS k FROM (SELECT unnest(ws) AS w FROM wb) GROUP BY ALL),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+bk AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(h) // 2), lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM hexed, tab),
+s AS (SELECT b, sum(k) AS s FROM dw JOIN bk USING (w) GROUP BY ALL), t AS (SELECT b, sum(k) AS t FROM bw JOIN bk USING (w) GROUP BY ALL),
+g AS (SELECT b, CAST(floor(1000 * ln((COALESCE(t, 0) + CAST(1 AS DOUBLE)) * ((SELECT sum(s) FROM s) + CAST(10000 AS DOUBLE)) / ((s + CAST(1 AS DOUBLE)) * (COALESCE((SELECT sum(t) FROM t), 0) + CAST(10000 AS DOUBLE))))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+f AS (SELECT n, CAST(sum(k) AS BIGINT) AS n_features, CAST(sum(k * gain) AS BIGINT) AS total FROM dw JOIN bk USING (w) JOIN g USING (b) GROUP BY n),
+x AS (SELECT doc_id, COALESCE(n_features, 0) AS n_features, COALESCE((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight, substr(sha256('2024:' || doc_id), 1, 8) AS h FROM wd LEFT JOIN f USING (n)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || h AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 THEN place END AS rank FROM r
 """,
 }
