@@ -39,4 +39,4 @@ def test_agrees_with_sql(spark, tables, name):
 
 def test_every_query_has_rows_or_sql():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"routes_clustered", "assoc_optimal", "bytetrack", "demo_track", "frame_order_commit"}
+    assert set(QUERIES) - set(ORACLE) == {"routes_clustered", "assoc_optimal", "bytetrack", "demo_track", "frame_order_commit", "frame_detection_in_turn", "pts_pairing_in_turn", "line_events_versions"}

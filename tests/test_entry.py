@@ -28,7 +28,7 @@ def without_folders(tmp_path, code):
     shutil.copytree(ROOT / "wayline", tmp_path / "wayline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, *code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": os.environ["PATH"]}, timeout=300)
+    said = subprocess.run([sys.executable, *code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, timeout=1500)
     assert said.returncode == 0, said.stdout + said.stderr
     return said.stdout
 
@@ -39,12 +39,13 @@ def test_imports_without_the_training_data_folders(tmp_path):
 
 
 def test_the_rests_tests_pass_without_the_training_data_folders(tmp_path):
-    assert " passed" in without_folders(tmp_path, ["-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_catalogue.py", "tests/test_tracking.py", "-k", "rules or frame_delta or crossed or simplified"])
+    said = without_folders(tmp_path, ["-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests", "--ignore", "tests/test_entry.py"])
+    assert " passed" in said and "failed" not in said
 
 
 def test_the_rest_works_where_the_training_data_cannot_be_imported(tmp_path):
     broken = tmp_path / "broken"
     broken.mkdir()
     (broken / "corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=broken, capture_output=True, text=True, env={"PATH": os.environ["PATH"], "PYTHONPATH": f"{broken}:{ROOT}"}, timeout=60)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=broken, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": f"{broken}:{ROOT}"}, timeout=60)
     assert said.returncode == 0 and int(said.stdout) == len(QUERIES), said.stderr

@@ -173,25 +173,42 @@ def observed(spark, rows):
     return spark.createDataFrame([("cam0", "ui", f, f * 1_000_000_000, ts, 120, 100, t, float(x), 20.0, 10.0, 20.0, 0.9) for f, ts, t, x in rows], OBS)
 
 
-def test_line_directions_and_debounce(spark):
-    rule = spark.createDataFrame([("r", "cam0", "ui", "line", "r", True, '{"points":[{"x":50,"y":0},{"x":50,"y":100}]}', '{"min_gap_ms":5000}', 1, 1)], RULE)
-    seen = observed(spark, [(1, 1000, 7, 35), (2, 2000, 7, 55), (3, 2500, 7, 35), (4, 3000, 7, 55)])
-    got = [(r.direction, r.ts_ms) for r in A.line_events(seen, rule).orderBy("ts_ms").collect()]
-    assert got == [("positive_to_negative", 2000), ("negative_to_positive", 2500)]
-
-
-def test_area_enter_threshold_exit(spark):
-    corners = '{"points":[{"x":0,"y":0},{"x":100,"y":0},{"x":100,"y":100},{"x":0,"y":100}]}'
-    rule = spark.createDataFrame([("r", "cam0", "ui", "area", "r", True, corners, '{"dwell_threshold_s":1}', 1, 1)], RULE)
-    seen = observed(spark, [(1, 0, 7, 125), (2, 1000, 7, 20), (3, 2500, 7, 22), (4, 3000, 7, 125)])
-    got = [(r.kind, r.dwell_s, r.total_dwell_s) for r in A.area_events(seen, rule).orderBy("ts_ms").collect()]
-    assert got == [("area_enter", None, None), ("area_dwell_threshold", 1.5, None), ("area_exit", 2.0, 2.0)]
-
-
-def test_two_ways_make_one_route(spark):
-    seen = observed(spark, [(1, 0, 1, 5), (2, 1000, 1, 85), (4, 3000, 2, 6), (5, 4000, 2, 84), (7, 6000, 3, 50)])
-    (route,) = K.routes(A.route_points(seen, eps=1.0), eps=1.0).collect()
-    assert (route.support, route.n_points) == (2, 2)
+def test_crossings_of_two_lines_by_two_tracks(spark):
+    """A slanted line with a short gap and a short one that is only touched; one track goes to and fro, one slips past the short line's end."""
+    rules = spark.createDataFrame([
+        ("slant", "cam0", "ui", "line", "slant", True, '{"start":[0,0],"end":[120,100]}', '{"debounce_ms":700}', 1, 1), ("short", "cam0", "ui", "line", "short", True, '{"p1":{"x":90,"y":30},"p2":{"x":90,"y":39}}', "{}", 2, 2),
+    ], RULE)
+    to_and_fro = [(k, 250 * k, 3, 20 if k % 2 else 75) for k in range(1, 9)]
+    seen = observed(spark, to_and_fro + [(k, 250 * k, 4, 60 + 5 * k) for k in range(1, 9)])
+    got = sorted((r.rule_id, r.track_id, r.ts_ms, r.direction) for r in A.line_events(seen, rules).collect())
+    slant = [g for g in got if g[0] == "slant"]
+    ways = {d: [t for _, track, t, way in slant if track == 3 and way == d] for d in ("negative_to_positive", "positive_to_negative")}
+    # each way comes every 500 ms, of which those 700 ms apart or more stay
+    assert sorted(ways.values()) == [[500, 1500], [750, 1750]]
+    assert not [g for g in slant if g[1] == 4]
+    touched = [g for g in got if g[0] == "short"]
+    assert touched == [("short", 4, 1250, "on_line")]
+
+
+def test_stays_of_two_tracks_in_a_triangle(spark):
+    """One track walks through, is told once and lost inside on its second visit; the other is inside from its first frame and stays."""
+    corners = '{"polygon":[[30,0],[100,0],[65,100]]}'
+    rule = spark.createDataFrame([("tri", "cam0", "ui", "area", "tri", True, corners, '{"dwell_threshold_s":0.75}', 1, 1)], RULE)
+    first = [(1, 100, 1, 0), (2, 600, 1, 50), (3, 1100, 1, 55), (4, 1600, 1, 60), (5, 2100, 1, 110), (6, 2600, 1, 52), (7, 3100, 1, 56)]
+    second = [(k, 500 * k - 400, 2, 58) for k in range(1, 9)]
+    got = {1: [], 2: []}
+    for r in A.area_events(observed(spark, first + second), rule).orderBy("frame_id").collect():
+        got[r.track_id].append((r.kind.removeprefix("area_"), r.frame_id, r.dwell_s, r.total_dwell_s))
+    assert got[1] == [("enter", 2, None, None), ("dwell_threshold", 4, 1.0, None), ("exit", 5, 1.5, 1.5), ("enter", 6, None, None), ("exit", 8, 1.0, 2.5)]
+    assert got[2] == [("enter", 1, None, None), ("dwell_threshold", 3, 1.0, None)]
+
+
+def test_ways_there_and_back_are_one_route(spark):
+    """Two there, one back, one elsewhere, and one that is still under way."""
+    walk = lambda start, track, xs: [(start + k, 1000 * (start + k), track, x) for k, x in enumerate(xs)]
+    seen = observed(spark, walk(1, 1, (10, 40, 90)) + walk(5, 2, (12, 92)) + walk(9, 3, (91, 50, 11)) + walk(14, 4, (10, 30)) + walk(20, 5, (10, 90)))
+    routes = [(r.n_points, r.support) for r in K.routes(A.route_points(seen, eps=2.0), eps=2.0).collect()]
+    assert sorted(routes) == [(2, 1), (2, 3)]
 
 
 def test_polygon_of_two_corners_holds_nothing(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayline.functions import geometry as G
 from wayline.functions import rule_json as R
 from wayline.operators.sequence import SPAN, gated, with_previous, with_running, with_running_sum
+from wayline.operators.stays import stay_events
 
 P = ["stream_id", "profile"]
 T = [*P, "track_id"]
@@ -93,25 +94,31 @@ def track_dwell(obs: DataFrame) -> DataFrame:
     return sums.select(*T, "n_obs", F.round(F.col("all") - F.col("first"), 3).alias("dwell_s"))
 
 
-def line_rules(rules: DataFrame) -> DataFrame:
+def line_rules(rules: DataFrame, *more: str) -> DataFrame:
+    """The enabled lines with both ends, their gap, and more columns of the rules."""
     start, end = R.line(F.col("geometry"))
-    return rules.filter("kind = 'line' and enabled").select(*P, F.col("id").alias("rule_id"), start.alias("a"), end.alias("b"), R.gap_ms(F.col("settings")).alias("gap_ms")).filter("a is not null and b is not null")
+    lines = rules.filter("kind = 'line' and enabled").select(*P, F.col("id").alias("rule_id"), start.alias("a"), end.alias("b"), R.gap_ms(F.col("settings")).alias("gap_ms"), *more)
+    return lines.filter("a is not null and b is not null")
 
 
 def area_rules(rules: DataFrame) -> DataFrame:
     return rules.filter("kind = 'area' and enabled").select(*P, F.col("id").alias("rule_id"), R.polygon(F.col("geometry")).alias("corners"), R.dwell_threshold(F.col("settings")).alias("threshold_s"))
 
 
-def line_candidates(obs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Segments that meet a line of their stream and change its side."""
-    lines = line_rules(rules)
+def crossings(met: DataFrame, *more: str) -> DataFrame:
+    """Of segments beside lines (a, b, rule_id, gap_ms) those that meet their line and change its side."""
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     a, b = F.col("a"), F.col("b")
     line = [a["x"], a["y"], b["x"], b["y"]]
-    met = segments(obs).join(lines, P).filter(G.boxes_near(*ends, *line)).filter(G.segments_meet(*ends, *line))
+    near = met.filter(G.boxes_near(*ends, *line)).filter(G.segments_meet(*ends, *line))
     side = lambda x, y: G.side_of_line(*line, F.col(x), F.col(y))
-    found = met.withColumn("direction", G.direction(side("x1", "y1"), side("x2", "y2"))).filter("direction is not null")
-    return found.select(*T, "rule_id", "direction", "frame_id", F.col("to_ts_ms").alias("ts_ms"), F.col("x2").alias("x"), F.col("y2").alias("y"), "gap_ms")
+    found = near.withColumn("direction", G.direction(side("x1", "y1"), side("x2", "y2"))).filter("direction is not null")
+    return found.select(*T, "rule_id", "direction", "frame_id", F.col("to_ts_ms").alias("ts_ms"), F.col("x2").alias("x"), F.col("y2").alias("y"), "gap_ms", *more)
+
+
+def line_candidates(obs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Segments that meet a line of their stream and change its side."""
+    return crossings(segments(obs).join(line_rules(rules), P))
 
 
 def line_events(obs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -142,37 +149,21 @@ def area_inside(obs: DataFrame, rules: DataFrame) -> DataFrame:
     return met.withColumn("inside", G.in_polygon(F.col("corners"), F.col("foot_x"), F.col("foot_y")))
 
 
-def area_events(obs: DataFrame, rules: DataFrame) -> DataFrame:
+def area_events(obs: DataFrame, rules: DataFrame, span: int = SPAN) -> DataFrame:
     """Enter, dwell-threshold and exit events of areas, with the stay's seconds and, at exits, those of all stays so far.
 
     A stay begins with the first observation inside in its episode, and ends with the first one outside or with the frame after the
-    episode; a stay that is open at the end of the data has no exit.
+    episode; a stay that is open at the end of the data has no exit. Whether a track was inside before is told by its foot in the frame
+    before, beside which it stands already, so that only stays have a state: operators.stays.
     """
-    keys = [*T, "rule_id"]
-    episode = Window.partitionBy(*keys, "episode").orderBy("frame_id")
-    seen = area_inside(obs, rules).withColumns({"was": F.coalesce(F.lag("inside").over(episode), F.lit(False)), "is_last": F.lead("frame_id").over(episode).isNull()})
-    enters = F.col("inside") & ~F.col("was")
-    seen = seen.withColumn("stay", F.sum(enters.cast("int")).over(Window.partitionBy(*keys).orderBy("frame_id")))
-    stay = Window.partitionBy(*keys, "stay")
-    inside = seen.filter(F.col("inside") | F.col("was")).withColumn("entered", F.min(F.when(enters, F.col("ts_ms"))).over(stay))
-    spent = lambda ts: F.greatest(F.lit(0.0), (F.col(ts) - F.col("entered")).cast("double") / 1000)
-    long = F.col("inside") & F.col("was") & (spent("ts_ms") >= F.col("threshold_s"))
-    left, lost = F.col("was") & ~F.col("inside"), F.col("inside") & F.col("is_last") & F.col("next_frame_id").isNotNull()
-    inside = inside.withColumns({"long_before": F.coalesce(F.max(long.cast("int")).over(stay.orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "exit_s": F.when(left, spent("ts_ms")).when(lost, spent("next_ts_ms"))})
-    inside = inside.withColumn("total", F.sum("exit_s").over(Window.partitionBy(*keys).orderBy("frame_id")))
-    none = F.lit(None).cast("double")
-
-    def event(when: Column, kind: str, frame: str, ts: str, dwell: Column, total: Column) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(frame).alias("frame_id"), F.col(ts).alias("ts_ms"), F.round(dwell, 3).alias("dwell_s"), F.round(total, 3).alias("total_dwell_s")))
-
-    found = F.array(
-        event(enters, "area_enter", "frame_id", "ts_ms", none, none),
-        event(long & (F.col("long_before") == 0), "area_dwell_threshold", "frame_id", "ts_ms", spent("ts_ms"), none),
-        event(left, "area_exit", "frame_id", "ts_ms", F.col("exit_s"), F.col("total")),
-        event(lost, "area_exit", "next_frame_id", "next_ts_ms", F.col("exit_s"), F.col("total")),
-    )
-    out = inside.select(*keys, "foot_x", "foot_y", F.explode(F.array_compact(found)).alias("e"))
-    return out.select(*keys, "e.kind", "e.frame_id", "e.ts_ms", "foot_x", "foot_y", "e.dwell_s", "e.total_dwell_s")
+    placed = with_foot(obs).join(frames(obs, span).select(*P, "frame_id", "frame_no", "next_frame_id", "next_ts_ms"), [*P, "frame_id"])
+    near = with_previous(placed, T, "frame_id", ["foot_x", "foot_y", "frame_no"], span=span, following=("frame_no",))
+    met = near.join(area_rules(rules), P)
+    within = lambda x, y: G.in_polygon(F.col("corners"), F.col(x), F.col(y))
+    was = (F.col("prev_frame_no") == F.col("frame_no") - 1) & within("prev_foot_x", "prev_foot_y")
+    last = F.coalesce(F.col("next_frame_no") > F.col("frame_no") + 1, F.lit(True))
+    seen = met.withColumns({"inside": within("foot_x", "foot_y"), "was": F.coalesce(was, F.lit(False))}).withColumn("lost", F.col("inside") & last & F.col("next_frame_id").isNotNull())
+    return stay_events(seen, [*T, "rule_id"], span)
 
 
 def heatmap(obs: DataFrame, rows: int = ROWS, cols: int = COLS, half_life_s: float = HALF_LIFE_S) -> DataFrame:
@@ -211,7 +202,7 @@ def counts(obs: DataFrame) -> DataFrame:
 def snapshot_times(obs: DataFrame, interval_ms: int = 500) -> DataFrame:
     """The frames after which a snapshot is kept: the first, then each that comes at least interval_ms after the last kept.
 
-    What is kept depends on what was kept before, so the distinct times of a stream are read in order.
+    What is kept depends on what was kept before; sequence.gated runs that in spans.
     """
     return gated(obs.select(*P, "ts_ms").distinct(), P, "ts_ms", F.lit(interval_ms))
 

@@ -100,6 +100,25 @@ def head_places(in_w: int, in_h: int, strides: tuple[int, ...] = STRIDES, anchor
     return F.concat(*[level(s) for s in strides])
 
 
+def head_rows(tensors: DataFrame, values: int = 6) -> DataFrame:
+    """Adds rows, an array of arrays of `values` floats, to flat outputs of a head (data array<float>, dims, w, h, c int), told apart by their shape.
+
+    Rows of a matrix that is `values` wide; columns of one that is `values` high; the rows of all channels, one after the other, where each is `values` wide
+    (channel_step: floats from one channel to the next, as channels may be padded; null: w x h); of any other shape, runs of `values`
+    floats, what is left over dropped. Outputs of fewer than `values` floats have no rows.
+    """
+    data, dims, w, h, c = (F.col(n) for n in ("data", "dims", "w", "h", "c"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    run = lambda at: F.slice(data, at + 1, values)
+    step = F.coalesce(F.col("channel_step"), w * h) if "channel_step" in tensors.columns else w * h
+    across = F.transform(upto(w), lambda x: F.transform(F.sequence(F.lit(0), F.lit(values - 1)), lambda k: F.get(data, k * w + x)))
+    channels = F.flatten(F.transform(upto(c), lambda q: F.transform(upto(h), lambda y: run(q * step + y * values))))
+    of_shape = F.when((dims == 2) & (w == values), F.transform(upto(h), lambda y: run(y * values))).when((dims == 2) & (h == values), across).when((dims == 3) & (w == values), channels)
+    flat = F.transform(upto(F.floor(F.size(data) / values).cast("int")), lambda i: run(i * values))
+    none = F.array().cast("array<array<float>>")
+    return tensors.withColumn("rows", F.when(F.coalesce(F.size(data), F.lit(0)) < values, none).otherwise(F.coalesce(of_shape, flat)))
+
+
 def decode_yolox(rows: DataFrame) -> DataFrame:
     """(stride, gx, gy, rx, ry, rw, rh, obj, cls) to a centred box in input pixels with the product of both scores; rows past the last level, without a stride, hold such a box already."""
     one = lambda v: F.least(F.greatest(F.col(v), F.lit(0.0)), F.lit(1.0))

@@ -20,16 +20,18 @@ def _spanned(df: DataFrame, order: str, span: int) -> DataFrame:
     return df.withColumn("_span", F.floor(F.col(order) / span))
 
 
-def with_previous(df: DataFrame, keys: list[str], order: str, columns: list[str], prefix: str = "prev_", span: int = SPAN) -> DataFrame:
-    """Adds prev_<c>: column c of the row before, by order, among rows of equal keys; null for a key's first row."""
+def with_previous(df: DataFrame, keys: list[str], order: str, columns: list[str], prefix: str = "prev_", span: int = SPAN, following: tuple[str, ...] = ()) -> DataFrame:
+    """Adds prev_<c>: column c of the row before, by order, among rows of equal keys, and next_<c> of the row after; null where there is none."""
     spanned = _spanned(df, order, span)
-    row = F.struct(*columns)
+    row, after = F.struct(*columns), F.struct(*following)
     within = Window.partitionBy(*keys, "_span").orderBy(order)
-    last = spanned.groupBy(*keys, "_span").agg(F.max_by(row, F.col(order)).alias("_last"))
-    carried = last.select(*keys, "_span", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_span")).alias("_carried"))
-    met = spanned.withColumn("_before", F.lag(row).over(within)).join(carried, [*keys, "_span"])
-    before = F.coalesce("_before", "_carried")
-    return met.select(*df.columns, *[before[c].alias(prefix + c) for c in columns])
+    ends = spanned.groupBy(*keys, "_span").agg(F.max_by(row, F.col(order)).alias("_last"), *([F.min_by(after, F.col(order)).alias("_first")] if following else []))
+    across = Window.partitionBy(*keys).orderBy("_span")
+    carried = ends.select(*keys, "_span", F.lag("_last").over(across).alias("_carried"), *([F.lead("_first").over(across).alias("_coming")] if following else []))
+    near = {"_before": F.lag(row).over(within)} | ({"_after": F.lead(after).over(within)} if following else {})
+    met = spanned.withColumns(near).join(carried, [*keys, "_span"])
+    before, then = F.coalesce("_before", "_carried"), F.coalesce("_after", "_coming") if following else None
+    return met.select(*df.columns, *[before[c].alias(prefix + c) for c in columns], *[then[c].alias("next_" + c) for c in following])
 
 
 def with_running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, of=F.sum, none: object = 0, span: int = SPAN) -> DataFrame:
@@ -49,37 +51,117 @@ def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column,
     return with_running(df, keys, order, value, name, span=span)
 
 
-def gated(rows: DataFrame, keys: list[str], time: str, gap: Column) -> DataFrame:
-    """Of each key's times in ascending order, those that stand at least the key's gap after the last one kept: (keys, time).
-
-    What is kept depends on what was kept before, so a key's sorted rows are read as a stream; only the last time kept is held.
+def with_last(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], inclusive: bool = True, span: int = SPAN) -> DataFrame:
+    """Adds, by name, the last value that isn't null among the rows of equal keys up to this one (with it, if inclusive); a name may be that of a column."""
+    spanned = _spanned(df.select(*[F.col(c) if c not in values else F.col(c).alias(f"_own_{c}") for c in df.columns], *[v.alias(f"_v_{c}") for c, v in values.items()]), order, span)
+    ends = spanned.groupBy(*keys, "_span").agg(*[F.max_by(F.col(f"_v_{c}"), F.when(F.col(f"_v_{c}").isNotNull(), F.col(order))).alias(f"_e_{c}") for c in values])
+    over = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_span", *[F.last(f"_e_{c}", ignorenulls=True).over(over).alias(f"_c_{c}") for c in values])
+    within = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    near = spanned.withColumns({f"_l_{c}": F.last(f"_v_{c}", ignorenulls=True).over(within) for c in values}).join(carried, [*keys, "_span"])
+    return near.select(*[c for c in df.columns if c not in values], *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(c) for c in values])
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables that hold whole runs of equal keys, about so many rows each, with the rows at which runs begin."""
+    held: list[pa.RecordBatch] = []
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            c = table.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = begins(table)
+            if len(starts) > 1:
+                yield table.slice(0, starts[-1]).combine_chunks(), starts[:-1]
+            held = table.slice(starts[-1]).to_batches()
+    if held and sum(b.num_rows for b in held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, begins(table)
+
+
+def _next_kept(times: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Of each time, were it kept, the place of the one that is kept next: the first after it that stands its own gap beyond. The number of times if none does."""
+    after = np.full(len(times), len(times))
+    for gap in np.unique(gaps):
+        some = np.flatnonzero(gaps == gap)
+        # the first of this gap that stands far enough, and the first that comes later in the order
+        at = np.maximum(np.searchsorted(times[some], times + gap), np.searchsorted(some, np.arange(len(times)), side="right"))
+        after = np.minimum(after, np.append(some, len(times))[at])
+    return after
+
+
+def gate_table(times: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a span of ascending times makes of any gate that reaches it.
+
+    A time is kept first if it is the first that stands its gap beyond the last time kept before: the first of times - gaps to reach that one, so only records of it
+    come into question, and as the last time before is below the span's first, none after the first record that reaches that. Ascending, with the time
+    that is kept last if it is the first.
     """
-    given = rows.select(*keys, F.col(time).cast("bigint").alias(time), gap.cast("bigint").alias("_gap"))
-    schema = given.drop("_gap").schema
+    n, after, far = len(times), _next_kept(times, gaps), times - gaps
+    last = np.where(after == n, np.arange(n), np.minimum(after, n - 1))
+    while not np.array_equal(jumped := last[last], last):
+        last = jumped
+    records = np.flatnonzero(far > np.append(np.iinfo(np.int64).min, np.maximum.accumulate(far)[:-1]))
+    records = records[: int(np.searchsorted(far[records], times[0])) + 1]
+    return far[records], times[last[records]]
 
-    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def gated(rows: DataFrame, keys: list[str], time: str, gap: Column, span: int = 600_000) -> DataFrame:
+    """Of each key's times in ascending order, those that stand at least their gap after the last one kept: (keys, time).
+
+    What is kept depends on what was kept before, and still no key is one task: its times are cut into spans of `span`, and each span
+    says what it makes of every last kept time that may reach it, which is a short table. These tables, a row a span, are
+    composed in order; then each span keeps its own from the time that does reach it.
+    """
+    given = rows.select(*keys, F.col(time).cast("bigint").alias(time), gap.cast("bigint").alias("_gap"), F.floor(F.col(time) / span).alias("_span"))
+    by = [*keys, "_span"]
+    cut = given.repartition(*by).sortWithinPartitions(*by, time, "_gap")
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*by).schema)
+
+    def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_runs(batches, by):
+            times, gaps, ends = table.column(time).to_numpy(), table.column("_gap").to_numpy(), np.append(starts[1:], table.num_rows)
+            made = [gate_table(times[a:b], gaps[a:b]) for a, b in zip(starts, ends, strict=True)]
+            heads = table.select(by).take(pa.array(starts))
+            arrays = [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)]
+            yield from heads.append_column("_reached", arrays[0]).append_column("_kept_last", arrays[1]).combine_chunks().to_batches()
+
+    def composed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            times, gaps = batch.column(time).to_numpy(), batch.column("_gap").to_numpy()
-            new = np.zeros(batch.num_rows - 1, bool)
-            for c in columns:
-                new |= c[1:] != c[:-1]
-            bounds, some = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows], []
-            for a, b in zip(bounds, bounds[1:]):
-                key = tuple(c[a] for c in columns)
+            entry = []
+            for key, reached, then in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column("_reached"), batch.column("_kept_last"), strict=True):
                 if key != now:
                     now, last = key, None
-                at = a
-                while at < b:
-                    if last is not None:
-                        at = a + int(np.searchsorted(times[a:b], last + gaps[a]))
-                    if at < b:
-                        some.append(at)
-                        last = times[at]
-                        at += 1
-            yield batch.select([*keys, time]).take(pa.array(some, pa.int64()))
-
-    return given.repartition(*keys).sortWithinPartitions(*keys, time).mapInArrow(kept, schema)
+                entry.append(last)
+                at = 0 if last is None else int(np.searchsorted(reached.values.to_numpy(), last))
+                if at < len(reached):
+                    last = then.values[at].as_py()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in by), pa.array(entry, pa.int64())], names=[*by, "_entry"])
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_runs(batches, by):
+            times, gaps, entry, some = table.column(time).to_numpy(), table.column("_gap").to_numpy(), table.column("_entry").to_pylist(), []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                after = _next_kept(times[a:b], gaps[a:b]).tolist()
+                at = 0
+                if entry[a] is not None:
+                    far = times[a:b] - gaps[a:b] >= entry[a]
+                    at = int(far.argmax()) if far.any() else b - a
+                while at < b - a:
+                    some.append(a + at)
+                    at = after[at]
+            yield from table.select([*keys, time]).take(pa.array(some, pa.int64())).combine_chunks().to_batches()
+
+    spans = cut.mapInArrow(tables, f"{named}, _reached array<bigint>, _kept_last array<bigint>")
+    entries = spans.repartition(*keys).sortWithinPartitions(*by).mapInArrow(composed, f"{named}, _entry bigint")
+    met = cut.join(entries, by)
+    return met.sortWithinPartitions(*by, time, "_gap").mapInArrow(kept, given.select(*keys, time).schema)

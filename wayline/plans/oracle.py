@@ -29,21 +29,23 @@ seg AS (
          CASE WHEN delta_s > 0 THEN sqrt((foot_x - px) * (foot_x - px) + (foot_y - py) * (foot_y - py)) / delta_s ELSE CAST(0 AS DOUBLE) END AS speed_px_s
   FROM o WHERE prev_ts IS NOT NULL)
 """
+_DIRECTION = "CASE WHEN s1 = 0 OR s2 = 0 THEN 'on_line' WHEN s1 < 0 AND s2 > 0 THEN 'negative_to_positive' WHEN s1 > 0 AND s2 < 0 THEN 'positive_to_negative' END"
+_CROSSED = """
+met AS (
+  SELECT * FROM sides
+  WHERE (sign(o1) * sign(o2) < 0 AND sign(s1) * sign(s2) < 0)
+     OR (abs(o1) <= 1e-9 AND ax BETWEEN LEAST(x1, x2) - 1e-9 AND GREATEST(x1, x2) + 1e-9 AND ay BETWEEN LEAST(y1, y2) - 1e-9 AND GREATEST(y1, y2) + 1e-9)
+     OR (abs(o2) <= 1e-9 AND bx BETWEEN LEAST(x1, x2) - 1e-9 AND GREATEST(x1, x2) + 1e-9 AND b_y BETWEEN LEAST(y1, y2) - 1e-9 AND GREATEST(y1, y2) + 1e-9)
+     OR (abs(s1) <= 1e-9 AND x1 BETWEEN LEAST(ax, bx) - 1e-9 AND GREATEST(ax, bx) + 1e-9 AND y1 BETWEEN LEAST(ay, b_y) - 1e-9 AND GREATEST(ay, b_y) + 1e-9)
+     OR (abs(s2) <= 1e-9 AND x2 BETWEEN LEAST(ax, bx) - 1e-9 AND GREATEST(ax, bx) + 1e-9 AND y2 BETWEEN LEAST(ay, b_y) - 1e-9 AND GREATEST(ay, b_y) + 1e-9))
+"""
 _LINES = """
 lines(rule_id, ax, ay, bx, b_y) AS (VALUES ('line-mid', CAST(640 AS DOUBLE), CAST(0 AS DOUBLE), CAST(640 AS DOUBLE), CAST(720 AS DOUBLE)), ('line-diag', 0, 0, 1280, 720)),
 sides AS (
   SELECT seg.*, rule_id, (bx - ax) * (y1 - ay) - (b_y - ay) * (x1 - ax) AS s1, (bx - ax) * (y2 - ay) - (b_y - ay) * (x2 - ax) AS s2,
          (x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1) AS o1, (x2 - x1) * (b_y - y1) - (y2 - y1) * (bx - x1) AS o2, ax, ay, bx, b_y
-  FROM seg, lines),
-cand AS (
-  SELECT stream_id, profile, track_id, rule_id, frame_id, to_ts_ms AS ts_ms, x2 AS x, y2 AS y,
-         CASE WHEN s1 = 0 OR s2 = 0 THEN 'on_line' WHEN s1 < 0 AND s2 > 0 THEN 'negative_to_positive' WHEN s1 > 0 AND s2 < 0 THEN 'positive_to_negative' END AS direction
-  FROM sides
-  WHERE (sign(o1) * sign(o2) < 0 AND sign(s1) * sign(s2) < 0)
-     OR (abs(o1) <= 1e-9 AND ax BETWEEN LEAST(x1, x2) - 1e-9 AND GREATEST(x1, x2) + 1e-9 AND ay BETWEEN LEAST(y1, y2) - 1e-9 AND GREATEST(y1, y2) + 1e-9)
-     OR (abs(o2) <= 1e-9 AND bx BETWEEN LEAST(x1, x2) - 1e-9 AND GREATEST(x1, x2) + 1e-9 AND b_y BETWEEN LEAST(y1, y2) - 1e-9 AND GREATEST(y1, y2) + 1e-9)
-     OR (abs(s1) <= 1e-9 AND x1 BETWEEN LEAST(ax, bx) - 1e-9 AND GREATEST(ax, bx) + 1e-9 AND y1 BETWEEN LEAST(ay, b_y) - 1e-9 AND GREATEST(ay, b_y) + 1e-9)
-     OR (abs(s2) <= 1e-9 AND x2 BETWEEN LEAST(ax, bx) - 1e-9 AND GREATEST(ax, bx) + 1e-9 AND y2 BETWEEN LEAST(ay, b_y) - 1e-9 AND GREATEST(ay, b_y) + 1e-9)),
+  FROM seg, lines),""" + _CROSSED + f""",
+cand AS (SELECT stream_id, profile, track_id, rule_id, frame_id, to_ts_ms AS ts_ms, x2 AS x, y2 AS y, {_DIRECTION} AS direction FROM met),
 crossed AS (SELECT * FROM cand WHERE direction IS NOT NULL),
 timed AS (
   SELECT stream_id, profile, track_id, rule_id, direction, list_sort(list(ts_ms)) AS ats FROM crossed GROUP BY ALL),
@@ -131,11 +133,6 @@ _GRID = """
 cells AS (
   SELECT *, CAST(GREATEST(0, LEAST(floor(LEAST(GREATEST(y + h * CAST(0.95 AS DOUBLE), 0), height - 1) / height * 6), 5)) * 8 + GREATEST(0, LEAST(floor(LEAST(GREATEST(x + w / 2, 0), width - 1) / width * 8), 7)) AS BIGINT) AS cell FROM det),
 mv AS (SELECT * FROM (SELECT *, lag(cell) OVER (PARTITION BY stream_id, det_idx ORDER BY frame_id) AS from_cell FROM cells) WHERE from_cell IS NOT NULL),
-occ0 AS (SELECT stream_id, cell, SUM(pow(CAST(0.92 AS DOUBLE), e - frame_id)) AS used FROM mv JOIN (SELECT stream_id, max(frame_id) AS e FROM det GROUP BY ALL) USING (stream_id) GROUP BY ALL),
-occ AS (SELECT *, used / max(used) OVER (PARTITION BY stream_id) AS share FROM occ0),
-tr AS (SELECT *, n / SUM(n) OVER (PARTITION BY stream_id, from_cell) AS probability FROM (SELECT stream_id, from_cell, cell, COUNT(*) AS n FROM mv GROUP BY ALL))
-"""
-_DECAYED = """
 ends AS (SELECT stream_id, max(frame_id) AS e FROM det GROUP BY ALL),
 occd0 AS (SELECT stream_id, cell, SUM(pow(CAST(0.92 AS DOUBLE), e - frame_id)) AS used FROM cells JOIN ends USING (stream_id) GROUP BY ALL),
 occd AS (SELECT *, used / max(used) OVER (PARTITION BY stream_id) AS share FROM occd0),
@@ -147,11 +144,32 @@ tele AS (SELECT concat('cam', CAST(user_id % 3 AS STRING)) AS stream_id, ['frame
 stages AS (
   SELECT concat('cam', CAST(user_id % 3 AS STRING)) AS stream_id, event_type AS stage, value * CASE WHEN event_id % 100 = 0 THEN 100 ELSE 1 END AS duration_ms, event_type = 'error' AS failed FROM events)
 """
-_RULES = """
-rules AS (
-  SELECT id, concat('cam', CAST(s AS STRING)) AS stream_id, 'ui' AS profile, kind, id AS name, enabled, 1704067200000 + nth AS created_at_ms, 1704067200000 + nth AS updated_at_ms
-  FROM (VALUES ('line-mid', 'line', true, 1), ('line-diag', 'line', true, 2), ('line-off', 'line', false, 3), ('area-rect', 'area', true, 4), ('area-tri', 'area', true, 5), ('area-bad', 'area', true, 6)) r(id, kind, enabled, nth),
-       (VALUES (0), (1), (2)) v(s))
+_CHANGES = """
+raw AS (SELECT o_orderkey AS k, o_orderstatus, o_custkey % 4 <> 0 AS is_line, o_custkey % 40 AS r, o_orderstatus = 'O' AS put, substr(o_orderpriority, 1, 1) AS pr FROM orders),
+pts AS (SELECT *, k * 37 % 1280 AS x1, k * 53 % 720 AS y1, (k * 37 % 1280 + 600) % 1280 AS x2, (k * 53 % 720 + 400) % 720 AS y2 FROM raw),
+ch AS (
+  SELECT concat('cam', CAST(k % 3 AS STRING)) AS stream_id, concat('r', CAST(r AS STRING)) AS id, k AS seq, 1704067200000 + k * 9 AS at_ms, CASE o_orderstatus WHEN 'O' THEN 'put' WHEN 'F' THEN 'patch' ELSE 'delete' END AS op,
+         CASE WHEN put THEN CASE WHEN is_line THEN 'line' ELSE 'area' END END AS kind, CASE WHEN put OR pr = '2' THEN concat('n', CAST(k AS STRING)) END AS name, CASE WHEN put OR pr = '1' THEN k % 5 <> 0 END AS enabled,
+         CASE WHEN put OR pr = '3' THEN CASE WHEN NOT is_line THEN format('{{"polygon":[[{},{}],[{},{}],[{},{}]]}}', x1, y1, x2, y2, x2, y1) WHEN k % 2 = 0 THEN format('{{"points":[{{"x":{},"y":{}}},{{"x":{},"y":{}}}]}}', x1, y1, x2, y2)
+           ELSE format('{{"from":[{},{}],"to":[{},{}]}}', x1, y1, x2, y2) END END AS geometry,
+         CASE WHEN put OR pr = '4' THEN format('{{"min_gap_ms":{},"dwell_threshold_s":{}}}', k % 4 * 500, k % 3) END AS settings FROM pts),
+lf AS (SELECT *, COALESCE(last_value(CASE WHEN op <> 'patch' THEN op END IGNORE NULLS) OVER (PARTITION BY stream_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'put', false) AS live FROM ch),
+ef AS (SELECT * FROM lf WHERE live OR op = 'put'),
+ver AS (
+  SELECT stream_id, id, seq, op, last_value(kind IGNORE NULLS) OVER u AS kind, last_value(name IGNORE NULLS) OVER u AS name, last_value(enabled IGNORE NULLS) OVER u AS enabled, last_value(geometry IGNORE NULLS) OVER u AS geometry,
+         last_value(settings IGNORE NULLS) OVER u AS settings, last_value(CASE WHEN op = 'put' AND NOT live THEN at_ms END IGNORE NULLS) OVER u AS created_at_ms, at_ms AS updated_at_ms, at_ms AS valid_from_ms, lead(at_ms) OVER (PARTITION BY stream_id, id ORDER BY seq) AS valid_to_ms,
+         last_value(CASE WHEN geometry IS NOT NULL THEN seq END IGNORE NULLS) OVER u AS g, last_value(CASE WHEN settings IS NOT NULL THEN seq END IGNORE NULLS) OVER u AS z
+  FROM ef WINDOW u AS (PARTITION BY stream_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cur AS (SELECT * FROM ver WHERE op <> 'delete' AND valid_from_ms <= 1704067209000 AND (valid_to_ms IS NULL OR valid_to_ms > 1704067209000)),
+fst AS (SELECT * FROM ch WHERE at_ms > 1704067209000 QUALIFY row_number() OVER (PARTITION BY stream_id, id ORDER BY seq) = 1)
+"""
+_VERSION_LINES = """
+vl AS (SELECT *, CAST(g * 37 % 1280 AS DOUBLE) AS ax, CAST(g * 53 % 720 AS DOUBLE) AS ay, CAST((g * 37 % 1280 + 600) % 1280 AS DOUBLE) AS bx, CAST((g * 53 % 720 + 400) % 720 AS DOUBLE) AS b_y, CASE WHEN z % 4 = 0 THEN 1000 ELSE z % 4 * 500 END AS gap_ms
+  FROM ver WHERE op <> 'delete' AND kind = 'line' AND enabled),
+sides AS (
+  SELECT seg.*, vl.id AS rule_id, gap_ms, valid_from_ms, (bx - ax) * (y1 - ay) - (b_y - ay) * (x1 - ax) AS s1, (bx - ax) * (y2 - ay) - (b_y - ay) * (x2 - ax) AS s2,
+         (x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1) AS o1, (x2 - x1) * (b_y - y1) - (y2 - y1) * (bx - x1) AS o2, ax, ay, bx, b_y
+  FROM seg JOIN vl ON seg.stream_id = vl.stream_id AND to_ts_ms >= valid_from_ms AND (valid_to_ms IS NULL OR to_ts_ms < valid_to_ms))
 """
 _HEAD = """
 places AS (
@@ -201,15 +219,18 @@ ORACLE: dict[str, str] = {
        UNION ALL SELECT {_T}, episode, frame_id * 2 + 1, foot_x, foot_y FROM ep WHERE sqrt((foot_x - px) * (foot_x - px) + (foot_y - py) * (foot_y - py)) >= 3)
        SELECT {_T}, CAST(episode AS BIGINT) AS episode, CAST(COUNT(*) AS INT) AS n_points, round(SUM(x + y), 3) AS sum_xy
        FROM (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY {_T}, episode ORDER BY ats DESC) <= 256) GROUP BY ALL""",
-    "rules_list": f"{_with(_RULES)} SELECT id, kind, enabled, created_at_ms FROM rules WHERE stream_id = 'cam0' AND profile = 'ui'",
-    "rules_parsed": f"""{_with(_RULES)} SELECT stream_id, profile, id AS rule_id, CASE id WHEN 'area-rect' THEN 4 WHEN 'area-tri' THEN 3 ELSE 2 END AS n_points,
-       CASE WHEN kind = 'line' THEN CAST(1000 AS BIGINT) END AS gap_ms, CASE WHEN id = 'area-rect' THEN CAST(0.4 AS DOUBLE) END AS threshold_s FROM rules WHERE enabled""",
-    "rule_patch": f"""{_with(_RULES)}, ch(stream_id, id, name, enabled) AS (VALUES ('cam0', 'line-off', NULL, true), ('cam1', 'area-tri', 'renamed', NULL))
-       SELECT r.stream_id, r.id, COALESCE(ch.name, r.name) AS name, COALESCE(ch.enabled, r.enabled) AS enabled, r.created_at_ms, CASE WHEN ch.id IS NULL THEN r.updated_at_ms ELSE 1704067300000 END AS updated_at_ms
-       FROM rules r LEFT JOIN ch USING (stream_id, id)""",
-    "rule_delete": f"{_with(_RULES)} SELECT stream_id, id FROM rules WHERE NOT (stream_id = 'cam0' AND id = 'line-off')",
-    "rule_upsert": f"""{_with(_RULES)} SELECT stream_id, id, CASE WHEN hit THEN 'moved' ELSE name END AS name, enabled AND NOT hit AS enabled, created_at_ms, CASE WHEN hit THEN 1704067300000 ELSE updated_at_ms END AS updated_at_ms
-       FROM (SELECT *, stream_id = 'cam0' AND id = 'line-mid' AS hit FROM rules) UNION ALL SELECT 'cam2', 'line-new', 'new', true, 1704067300000, 1704067300000""",
+    "rule_versions": f"{_with(_CHANGES)} SELECT stream_id, id, seq, op, kind, name, enabled, geometry, settings, created_at_ms, updated_at_ms, valid_from_ms, valid_to_ms FROM ver WHERE op <> 'delete'",
+    "rules_list": f"{_with(_CHANGES)} SELECT id, kind, enabled, created_at_ms FROM ver WHERE op <> 'delete' AND valid_to_ms IS NULL AND stream_id = 'cam0'",
+    "rules_parsed": f"""{_with(_CHANGES)} SELECT stream_id, 'ui' AS profile, concat(id, '@', CAST(seq AS STRING)) AS rule_id, CASE kind WHEN 'line' THEN 2 ELSE 3 END AS n_points,
+       CAST(CASE kind WHEN 'line' THEN g * 37 % 1280 + (g * 53 % 720 + 400) % 720 ELSE g * 37 % 1280 + 2 * (g * 53 % 720) + 2 * ((g * 37 % 1280 + 600) % 1280) + (g * 53 % 720 + 400) % 720 END AS DOUBLE) AS sum_xy,
+       CASE WHEN kind = 'line' THEN CASE WHEN z % 4 = 0 THEN 1000 ELSE z % 4 * 500 END END AS gap_ms, CASE WHEN kind = 'area' THEN CAST(z % 3 AS DOUBLE) END AS threshold_s FROM ver WHERE op <> 'delete'""",
+    "rule_patch": f"""{_with(_CHANGES)} SELECT cur.stream_id, cur.id, cur.kind, COALESCE(p.name, cur.name) AS name, COALESCE(p.enabled, cur.enabled) AS enabled, COALESCE(p.geometry, cur.geometry) AS geometry, COALESCE(p.settings, cur.settings) AS settings,
+       cur.created_at_ms, CASE WHEN p.id IS NULL THEN cur.updated_at_ms ELSE 1704067209001 END AS updated_at_ms FROM cur LEFT JOIN (SELECT * FROM fst WHERE op = 'patch') p USING (stream_id, id)""",
+    "rule_delete": f"{_with(_CHANGES)} SELECT stream_id, id FROM cur WHERE NOT EXISTS (SELECT 1 FROM fst WHERE fst.op = 'delete' AND fst.stream_id = cur.stream_id AND fst.id = cur.id)",
+    "rule_upsert": f"""{_with(_CHANGES)} SELECT stream_id, id, COALESCE(p.kind, c.kind) AS kind, COALESCE(p.name, c.name) AS name, COALESCE(p.enabled, c.enabled) AS enabled, COALESCE(p.geometry, c.geometry) AS geometry, COALESCE(p.settings, c.settings) AS settings,
+       COALESCE(c.created_at_ms, 1704067209001) AS created_at_ms, CASE WHEN p.op IS NULL THEN c.updated_at_ms ELSE 1704067209001 END AS updated_at_ms FROM cur c FULL JOIN (SELECT * FROM fst WHERE op = 'put') p USING (stream_id, id)""",
+    "line_cross_versions": f"""{_with(_OBS, _CHANGES, _VERSION_LINES, _CROSSED, recursive=True)} SELECT {_T}, rule_id, direction, frame_id, ts_ms, gap_ms, valid_from_ms
+       FROM (SELECT *, to_ts_ms AS ts_ms, {_DIRECTION} AS direction FROM met) WHERE direction IS NOT NULL""",
     "events_persisted": f"""{_with(_OBS, _LINES, recursive=True)}, top AS (SELECT *, row_number() OVER (PARTITION BY stream_id, profile ORDER BY id DESC) AS place FROM ev QUALIFY place <= 50)
        SELECT stream_id, profile, array_to_string(list_concat(list(id ORDER BY id) FILTER (place <= 30), COALESCE(list(id ORDER BY id DESC) FILTER (place > 30), [])), ',') AS ids FROM top GROUP BY ALL""",
     "snapshots_shown": f"""{_with(_OBS, _LINES, _SNAPS, _HEAT, recursive=True)} SELECT last.stream_id, last.profile, false AS empty, ts_ms, active, 2304 AS n_cells,
@@ -247,11 +268,11 @@ ORACLE: dict[str, str] = {
     "telemetry_filter": f"{_with(_TELE)} SELECT stream_id, kind, COUNT(*) AS n FROM tele WHERE kind = 'status' OR kind = 'metrics' OR (kind = 'frame' AND stream_id = 'cam0') GROUP BY ALL",
     "queue_drop_oldest": f"""{_with(_TELE)} SELECT stream_id, seq, GREATEST(COUNT(*) OVER (PARTITION BY stream_id) - 512, 0) AS dropped FROM tele
        QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) <= 512""",
-    "pts_pairing": f"""{_with(_OBS)}, bare AS (SELECT stream_id, frame_id, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM fr WHERE frame_id % 10 = 3),
-       inf AS (SELECT stream_id, frame_id, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM bare WHERE frame_id % 4 <> 0)
-       SELECT stream_id, frame_id, frame_id AS ui_frame_id, pts_ns FROM fr WHERE frame_id % 7 <> 0 AND frame_id % 5 <> 0 AND pts_ns > 0
-       UNION ALL SELECT stream_id, inf.frame_id, bare.frame_id, 0 FROM inf JOIN bare USING (stream_id, n)
-       UNION ALL SELECT stream_id, frame_id, frame_id, pts_ns FROM fr WHERE false""",
+    "pts_pairing": f"""{_with(_OBS)}, one AS (SELECT stream_id, frame_id, CASE WHEN frame_id % 10 = 3 THEN 0 ELSE pts_ns + CASE WHEN frame_id % 7 = 0 THEN 1 ELSE 0 END END AS pts FROM fr),
+       two AS (SELECT stream_id, frame_id, CASE WHEN frame_id % 10 = 4 THEN 0 ELSE pts_ns + CASE WHEN frame_id % 5 = 0 THEN 2 ELSE 0 END END AS pts FROM fr),
+       bare AS (SELECT stream_id, frame_id, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM one WHERE pts <= 0), bare2 AS (SELECT stream_id, frame_id, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM two WHERE pts <= 0)
+       SELECT one.stream_id, one.frame_id, two.frame_id AS ui_frame_id, one.pts AS pts_ns FROM one JOIN two ON one.stream_id = two.stream_id AND one.pts = two.pts AND one.pts > 0
+       UNION ALL SELECT bare.stream_id, bare.frame_id, bare2.frame_id, 0 FROM bare JOIN bare2 USING (stream_id, n)""",
     "frame_detection_left": f"""{_with(_OBS, _DET)} SELECT fr.stream_id, fr.frame_id, CAST(COUNT(det_idx) AS INT) AS n_boxes, COALESCE(SUM(x), 0) AS sum_x
        FROM fr LEFT JOIN (SELECT * FROM det WHERE frame_id % 3 <> 0) d USING (stream_id, frame_id) GROUP BY ALL""",
     "reorder_commit": f"""{_with(_OBS)}, a AS (SELECT stream_id, frame_id, (frame_id + CASE WHEN frame_id % 13 = 0 THEN 9 ELSE 0 END) * 1000000 + frame_id AS arrival FROM fr)
@@ -272,18 +293,16 @@ ORACLE: dict[str, str] = {
     "track_dedup": f"""{_with(_DET)}, c AS (SELECT *, (frame_id * 7 + det_idx * 3) % 11 AS life FROM crowd),
        m AS (SELECT a.stream_id, a.frame_id, CASE WHEN a.life > b.life THEN b.det_idx ELSE a.det_idx END AS gone FROM c a JOIN c b ON a.stream_id = b.stream_id AND a.frame_id = b.frame_id AND a.det_idx < 100 AND b.det_idx >= 100 WHERE {_IOU} >= 0.5)
        SELECT stream_id, frame_id, det_idx AS track_id FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.stream_id = c.stream_id AND m.frame_id = c.frame_id AND m.gone = c.det_idx)""",
-    "scene_grid_occupancy": f"{_with(_DET, _GRID)} SELECT stream_id, cell, round(used, 6) AS used, round(share, 6) AS share FROM occ",
-    "scene_transition_prob": f"{_with(_DET, _GRID)} SELECT stream_id, from_cell, cell, n, round(probability, 6) AS probability FROM tr",
+    "scene_grid_occupancy": f"{_with(_DET, _GRID)} SELECT stream_id, cell, round(used, 6) AS used, round(share, 6) AS share FROM occd",
+    "scene_transition_prob": f"{_with(_DET, _GRID)} SELECT stream_id, from_cell, cell, n, round(recent, 6) AS recent, round(probability, 6) AS probability FROM trd",
     "grid_cost": f"""{_with(_DET, _GRID)} SELECT stream_id, from_cell, cell, round(LEAST(GREATEST(CAST(0.15 AS DOUBLE) * (CAST(0.65 AS DOUBLE) * LEAST(sqrt(pow(cell // 8 - from_cell // 8, 2) + pow(cell % 8 - from_cell % 8, 2)) / sqrt(74), 1)
-       + CAST(0.15 AS DOUBLE) * (1 - share) + CAST(0.2 AS DOUBLE) * (1 - probability)), 0), 0.25), 6) AS grid_cost FROM tr JOIN occ USING (stream_id, cell)""",
-    "scene_grid_occupancy_decayed": f"{_with(_DET, _GRID, _DECAYED)} SELECT stream_id, cell, round(used, 6) AS used, round(share, 6) AS share FROM occd",
-    "scene_transition_prob_decayed": f"{_with(_DET, _GRID, _DECAYED)} SELECT stream_id, from_cell, cell, n, round(recent, 6) AS recent, round(probability, 6) AS probability FROM trd",
-    "grid_cost_decayed": f"""{_with(_DET, _GRID, _DECAYED)} SELECT stream_id, from_cell, cell, round(LEAST(GREATEST(CAST(0.15 AS DOUBLE) * (CAST(0.65 AS DOUBLE) * LEAST(sqrt(pow(cell // 8 - from_cell // 8, 2) + pow(cell % 8 - from_cell % 8, 2)) / sqrt(74), 1)
        + CAST(0.15 AS DOUBLE) * (1 - share) + CAST(0.2 AS DOUBLE) * (1 - probability)), 0), CAST(0.3 AS DOUBLE)), 6) AS grid_cost FROM trd JOIN occd USING (stream_id, cell)""",
     "anonymize_regions": f"""{_with(_OBS)}, g AS (SELECT *, w * k AS gw, h * k AS gh FROM (SELECT *, CASE WHEN track_id % 2 = 0 THEN CAST(1.55 AS DOUBLE) ELSE CAST(1.3 AS DOUBLE) END AS k FROM obs WHERE w > 1 AND h > 1)),
        r AS (SELECT *, CAST(round(x + w / 2 - gw / 2) AS BIGINT) AS l, CAST(round(y + h / 2 - gh / 2) AS BIGINT) AS t, CAST(round(gw) AS BIGINT) AS rw0, CAST(round(gh) AS BIGINT) AS rh0 FROM g)
        SELECT * FROM (SELECT {_T}, frame_id, GREATEST(l, 0) AS rx, GREATEST(t, 0) AS ry, LEAST(l + rw0, 1280) - GREATEST(l, 0) AS rw, LEAST(t + rh0, 720) - GREATEST(t, 0) AS rh FROM r) WHERE rw >= 2 AND rh >= 2""",
     "ui_affine": f"{_with(_OBS)} SELECT {_T}, frame_id, round(x * CAST(1.5 AS DOUBLE) + 4, 6) AS x, round(y * CAST(1.5 AS DOUBLE) - 2, 6) AS y, round(w * CAST(1.5 AS DOUBLE), 6) AS w, round(h * CAST(1.5 AS DOUBLE), 6) AS h FROM obs",
+    "tensor_rows": """SELECT event_id, (event_id * 7 % 100) / CAST(100 AS DOUBLE) AS rx, (event_id * 11 % 100) / CAST(100 AS DOUBLE) AS ry, (event_id * 13 % 30) / CAST(10 AS DOUBLE) AS rw, (event_id * 17 % 30) / CAST(10 AS DOUBLE) AS rh,
+       (event_id * 19 % 130) / CAST(100 AS DOUBLE) AS obj, (event_id * 23 % 110) / CAST(100 AS DOUBLE) AS cls FROM events""",
     "yolox_decode": f"""{_with(_HEAD)}, u AS (SELECT event_id, obj * cls AS score, LEAST(GREATEST(x * 8, 0), 1280) AS x1, LEAST(GREATEST((y - 3) * 8, 0), 720) AS y1, LEAST(GREATEST((x + w) * 8, 0), 1280) AS x2, LEAST(GREATEST((y + h - 3) * 8, 0), 720) AS y2 FROM yolo WHERE obj * cls >= 0.3)
        SELECT event_id, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round(score, 6) AS score FROM u WHERE x2 > x1 AND y2 > y1""",
     "yunet_decode": f"""{_with(_HEAD)},

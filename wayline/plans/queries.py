@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayline.functions import display as D
 from wayline.functions import geometry as G
 from wayline.operators import analytics as A
-from wayline.operators import detect, pipeline_metrics, scene_grid, store, telemetry, tracking
+from wayline.operators import arrivals, detect, pipeline_metrics, rule_history, scene_grid, store, telemetry, tracking
 from wayline.sources import fixtures as X
 
 P, T = A.P, A.T
@@ -145,35 +145,65 @@ def routes_clustered(spark, d):
     return routes.withColumn("shown", F.col("support") >= 3)
 
 
+#: A time within the changes of rules.
+SOME_TIME = 1_704_067_200_000 + 9_000
+
+
+def _versions(spark, d) -> DataFrame:
+    return rule_history.versions(X.rule_changes(spark, d))
+
+
+@query
+def rule_versions(spark, d):
+    return _versions(spark, d).drop("profile")
+
+
 @query
 def rules_list(spark, d):
-    return store.rules_of(X.rules(spark), "cam0").select("id", "kind", "enabled", "created_at_ms")
+    return store.rules_of(rule_history.in_force(_versions(spark, d)), "cam0").select("id", "kind", "enabled", "created_at_ms")
 
 
 @query
 def rules_parsed(spark, d):
-    lines = A.line_rules(X.rules(spark)).select(*P, "rule_id", F.lit(2).alias("n_points"), "gap_ms", F.lit(None).cast("double").alias("threshold_s"))
-    areas = A.area_rules(X.rules(spark)).select(*P, "rule_id", F.size("corners").alias("n_points"), F.lit(None).cast("bigint").alias("gap_ms"), "threshold_s")
+    """Lines and areas of all versions, as far as their geometry can be read."""
+    past = _versions(spark, d).withColumns({"enabled": F.lit(True), "id": F.concat_ws("@", "id", "seq")})
+    lines = A.line_rules(past).select(*P, "rule_id", F.lit(2).alias("n_points"), (F.col("a.x") + F.col("b.y")).alias("sum_xy"), "gap_ms", F.lit(None).cast("double").alias("threshold_s"))
+    corners = F.aggregate("corners", F.lit(0.0), lambda n, p: n + p["x"] + p["y"])
+    areas = A.area_rules(past).select(*P, "rule_id", F.size("corners").alias("n_points"), corners.alias("sum_xy"), F.lit(None).cast("bigint").alias("gap_ms"), "threshold_s")
     return lines.union(areas)
 
 
 @query
 def rule_patch(spark, d):
-    changes = spark.createDataFrame([("cam0", "ui", "line-off", None, True), ("cam1", "ui", "area-tri", "renamed", None)], "stream_id string, profile string, id string, name string, enabled boolean")
-    return store.patched(X.rules(spark), changes, 1_704_067_300_000).select("stream_id", "id", "name", "enabled", "created_at_ms", "updated_at_ms")
+    """The rules of a time, those changed whose next change is a patch."""
+    changes = X.rule_changes(spark, d)
+    rules = rule_history.in_force(rule_history.versions(changes), SOME_TIME)
+    return store.patched(rules, rule_history.changes_after(changes, SOME_TIME, "patch"), SOME_TIME + 1).drop("profile")
 
 
 @query
 def rule_delete(spark, d):
-    gone = spark.createDataFrame([("cam0", "line-off")], "stream_id string, id string")
-    return store.deleted(X.rules(spark), gone).select("stream_id", "id")
+    changes = X.rule_changes(spark, d)
+    rules = rule_history.in_force(rule_history.versions(changes), SOME_TIME)
+    return store.deleted(rules, rule_history.changes_after(changes, SOME_TIME, "delete").select(*P, "id")).select("stream_id", "id")
 
 
 @query
 def rule_upsert(spark, d):
-    new = spark.createDataFrame([("line-mid", "cam0", "ui", "line", "moved", False), ("line-new", "cam2", "ui", "line", "new", True)], "id string, stream_id string, profile string, kind string, name string, enabled boolean")
-    put = store.upserted(X.rules(spark), new.withColumns({"geometry": F.lit("{}"), "settings": F.lit("{}")}), 1_704_067_300_000)
-    return put.select("stream_id", "id", "name", "enabled", "created_at_ms", "updated_at_ms")
+    changes = X.rule_changes(spark, d)
+    rules = rule_history.in_force(rule_history.versions(changes), SOME_TIME)
+    return store.upserted(rules, rule_history.changes_after(changes, SOME_TIME, "put"), SOME_TIME + 1).drop("profile")
+
+
+@query
+def line_cross_versions(spark, d):
+    """Crossings of lines as they were when they were crossed."""
+    return rule_history.line_candidates(X.track_obs(spark, d), _versions(spark, d)).select(*T, "rule_id", "direction", "frame_id", "ts_ms", "gap_ms", "valid_from_ms")
+
+
+@query
+def line_events_versions(spark, d):
+    return rule_history.line_events(X.track_obs(spark, d), _versions(spark, d))
 
 
 @query
@@ -297,18 +327,34 @@ def queue_drop_oldest(spark, d):
 
 @query
 def pts_pairing(spark, d):
+    """Both sides see every frame; some without pts, and some at a moment that the other side lacks."""
     f = A.frames(X.track_obs(spark, d)).select("stream_id", "frame_id", "pts_ns")
-    bare = f.filter("frame_id % 10 = 3").withColumn("pts_ns", F.lit(0).cast("bigint"))
-    return telemetry.paired(f.filter("frame_id % 7 <> 0").union(bare.filter("frame_id % 4 <> 0")), f.filter("frame_id % 5 <> 0").union(bare))
+    seen = lambda bare, odd, off: f.withColumn("pts_ns", F.when(F.col("frame_id") % 10 == bare, 0).otherwise(F.col("pts_ns") + F.when(F.col("frame_id") % odd == 0, off).otherwise(0)))
+    return telemetry.paired(seen(3, 7, 1), seen(4, 5, 2))
+
+
+@query
+def pts_pairing_in_turn(spark, d):
+    return arrivals.paired_in_turn(X.sides(spark, d))
 
 
 @query
 def frame_detection_left(spark, d):
+    """Detections of every third frame come under an id that no frame has."""
     f = A.frames(X.track_obs(spark, d)).select("stream_id", "frame_id")
-    met = telemetry.frames_with_detections(f, X.detections(spark, d).filter("frame_id % 3 <> 0"))
+    met = telemetry.frames_with_detections(f, X.detections(spark, d).withColumn("frame_id", F.when(F.col("frame_id") % 3 == 0, -F.col("frame_id") - 1).otherwise(F.col("frame_id"))))
     return met.select("stream_id", "frame_id", F.size("boxes").alias("n_boxes"), F.coalesce(F.aggregate("boxes", F.lit(0.0), lambda n, b: n + b["x"]), F.lit(0.0)).alias("sum_x"))
 
 
+@query
+def frame_detection_in_turn(spark, d):
+    """Frames as they come out with the boxes that reached them in time."""
+    came = X.arrivals(spark, d)
+    boxes = X.detections(spark, d).join(came.filter("not is_frame").select("stream_id", "frame_id", "arrival"), ["stream_id", "frame_id"])
+    framed = arrivals.with_boxes(arrivals.frames_in_turn(came), boxes)
+    return framed.select("stream_id", "frame_id", "arrival", "boxes_arrival", "out_at", F.size("boxes").alias("n_boxes"))
+
+
 @query
 def reorder_commit(spark, d):
     f = A.frames(X.track_obs(spark, d)).select("stream_id", "frame_id", (F.col("frame_id") + F.when(F.col("frame_id") % 13 == 0, 9).otherwise(0)).alias("arrival"))
@@ -374,39 +420,20 @@ def track_dedup(spark, d):
     return tracked.select("stream_id", "frame_id", "track_id").union(lost.select("stream_id", "frame_id", "track_id"))
 
 
-# The first three give what their SQL says: moves only, and plain counts of transitions. Those named _decayed are the tracker's own grid.
 @query
 def scene_grid_occupancy(spark, d):
-    return _to6(scene_grid.occupancy(X.detections(spark, d), first=False), "used", "share")
-
-
-@query
-def scene_transition_prob(spark, d):
-    return _to6(scene_grid.transitions(X.detections(spark, d), decay=1.0), "probability").drop("recent")
-
-
-def _grid_cost(transitions: DataFrame, occupancy: DataFrame) -> DataFrame:
-    return _to6(scene_grid.extra_cost(transitions.join(occupancy, ["stream_id", "cell"])), "grid_cost").select("stream_id", "from_cell", "cell", "grid_cost")
-
-
-@query
-def grid_cost(spark, d):
-    return _grid_cost(scene_grid.transitions(X.detections(spark, d), decay=1.0), scene_grid.occupancy(X.detections(spark, d), first=False))
-
-
-@query
-def scene_grid_occupancy_decayed(spark, d):
     return _to6(scene_grid.occupancy(X.detections(spark, d)), "used", "share")
 
 
 @query
-def scene_transition_prob_decayed(spark, d):
+def scene_transition_prob(spark, d):
     return _to6(scene_grid.transitions(X.detections(spark, d)), "recent", "probability")
 
 
 @query
-def grid_cost_decayed(spark, d):
-    return _grid_cost(scene_grid.transitions(X.detections(spark, d)), scene_grid.occupancy(X.detections(spark, d)))
+def grid_cost(spark, d):
+    moved = scene_grid.transitions(X.detections(spark, d)).join(scene_grid.occupancy(X.detections(spark, d)), ["stream_id", "cell"])
+    return _to6(scene_grid.extra_cost(moved), "grid_cost").select("stream_id", "from_cell", "cell", "grid_cost")
 
 
 @query
@@ -433,9 +460,22 @@ def _head(spark, d, anchors: int = 1) -> DataFrame:
     )
 
 
+def _tensor_rows(spark, d) -> DataFrame:
+    told = detect.head_rows(X.tensors(spark, d)).select("event_ids", F.posexplode("rows").alias("place", "v"))
+    return told.select(F.get("event_ids", "place").alias("event_id"), *[F.get("v", k).cast("double").alias(n) for k, n in enumerate(("rx", "ry", "rw", "rh", "obj", "cls"))])
+
+
+@query
+def tensor_rows(spark, d):
+    return _to6(_tensor_rows(spark, d), "rx", "ry", "rw", "rh", "obj", "cls")
+
+
 @query
 def yolox_decode(spark, d):
-    boxes = detect.unboxed(detect.decode_yolox(_head(spark, d)).filter("score >= 0.3"), 160, 96)
+    """Boxes out of a head's flat outputs, whatever their layout."""
+    raw = ("rx", "ry", "rw", "rh", "obj", "cls")
+    exact = _tensor_rows(spark, d).select("event_id", *[F.round(c, 3).alias(c) for c in raw])
+    boxes = detect.unboxed(detect.decode_yolox(_head(spark, d).drop(*raw).join(exact, "event_id")).filter("score >= 0.3"), 160, 96)
     return _to6(boxes.select("event_id", *"xywh", "score"), *"xywh", "score")
 
 

@@ -68,6 +68,62 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id string, stream_id string, profile string, kind string, name string, enabled boolean, geometry string, settings string, created_at_ms bigint, updated_at_ms bigint")
 
 
+def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of forty rules a stream, one for each of the driver's orders: put, patch or delete by the order's status; what a patch sets by its priority."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, put = F.col("o_orderkey"), F.col("o_orderstatus") == "O"
+    sets = lambda priority, value: F.when(put | (F.col("o_orderpriority").substr(1, 1) == priority), value)
+    x, y, text = k * 37 % 1280, k * 53 % 720, lambda c: c.cast("string")
+    ends = [text(x), text(y), text((x + 600) % 1280), text((y + 400) % 720)]
+    line = F.when(k % 2 == 0, F.format_string('{"points":[{"x":%s,"y":%s},{"x":%s,"y":%s}]}', *ends)).otherwise(F.format_string('{"from":[%s,%s],"to":[%s,%s]}', *ends))
+    area = F.format_string('{"polygon":[[%s,%s],[%s,%s],[%s,%s]]}', *ends, ends[2], ends[1])
+    is_line = F.col("o_custkey") % 4 != 0
+    return o.select(
+        F.concat(F.lit("cam"), text(k % STREAMS)).alias("stream_id"), F.lit("ui").alias("profile"), F.format_string("r%s", text(F.col("o_custkey") % 40)).alias("id"), k.alias("seq"), (F.lit(1_704_067_200_000) + k * 9).alias("at_ms"),
+        F.when(put, "put").when(F.col("o_orderstatus") == "F", "patch").otherwise("delete").alias("op"), F.when(put, F.when(is_line, "line").otherwise("area")).alias("kind"), sets("2", F.format_string("n%s", text(k))).alias("name"),
+        sets("1", k % 5 != 0).alias("enabled"), sets("3", F.when(is_line, line).otherwise(area)).alias("geometry"), sets("4", F.format_string('{"min_gap_ms":%s,"dwell_threshold_s":%s}', text(k % 4 * 500), text(k % 3))).alias("settings"),
+    )
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and their detections as they reach a stream: some frames late within their turn, some detections twelve frames late, some under an id that no frame has."""
+    d = detections(spark, sf_dir)
+    late = lambda by: F.col("frame_id") * 1000 + by
+    f = d.select("stream_id", "frame_id").distinct()
+    frames = f.select("stream_id", F.lit(True).alias("is_frame"), "frame_id", late(F.when(F.col("frame_id") % 5 == 1, 700).otherwise(0)).alias("arrival"))
+    boxed = f.select("stream_id", F.lit(False).alias("is_frame"), F.when(F.col("frame_id") % 11 == 7, -F.col("frame_id") - 1).otherwise(F.col("frame_id")).alias("frame_id"), late(F.when(F.col("frame_id") % 7 == 2, 12_351).otherwise(1301)).alias("arrival"))
+    return frames.union(boxed)
+
+
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of both sides of a stream: some frames of one side come late, without pts, or at a moment that the other lacks."""
+    f = events(spark, sf_dir).select(F.explode(F.array(*[F.lit(f"cam{s}") for s in range(STREAMS)])).alias("stream_id"), F.floor(F.col("event_id") / 20).alias("frame_id")).distinct()
+
+    def side(n: int, bare: int, odd: int, late: int) -> DataFrame:
+        k = F.col("frame_id")
+        pts = F.when(k % 10 == bare, 0).otherwise((k + 1) * 1000 + F.when(k % odd == 0, n + 1).otherwise(0))
+        return f.select("stream_id", F.lit(n).cast("bigint").alias("side"), pts.cast("bigint").alias("pts_ns"), "frame_id", (k * 100 + n + F.when(k % 17 == 3, late).otherwise(0)).alias("arrival"))
+
+    return side(0, 3, 7, 330).union(side(1, 4, 5, 1010))
+
+
+def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat outputs of a detector's head, one for each twenty events in turn, in four layouts: (tensor, data, dims, w, h, c, channel_step, event_ids)."""
+    e = events(spark, sf_dir)
+    part = lambda k, m, by: ((F.col("event_id") * k % m).cast("double") / by).cast("float")
+    row = F.struct("event_id", F.array(part(7, 100, 100), part(11, 100, 100), part(13, 30, 10), part(17, 30, 10), part(19, 130, 100), part(23, 110, 100)).alias("v"))
+    rows = e.groupBy(F.floor(F.col("event_id") / 20).alias("tensor")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    n, v, layout = F.size("rows"), F.col("rows")["v"], F.col("tensor") % 4
+    columns = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.transform(v, lambda x: F.get(x, k))))
+    # two channels of half the rows each, padded by four floats
+    half = F.ceil(n / 2).cast("int")
+    padding = lambda m: F.array_repeat(F.lit(0.0).cast("float"), m)
+    channels = F.concat(F.flatten(F.slice(v, F.lit(1), half)), padding(4), F.flatten(F.slice(v, half + 1, half)), padding(4 + half * 12 - n * 6))
+    data = F.when(layout == 1, columns).when(layout == 2, channels).otherwise(F.flatten(v))
+    pick = lambda *of: F.element_at(F.array(*[x if not isinstance(x, int) else F.lit(x) for x in of]), (layout + 1).cast("int")).cast("int")
+    return rows.select("tensor", data.alias("data"), pick(2, 2, 3, 1).alias("dims"), pick(F.lit(6), n, F.lit(6), n * 6).alias("w"), pick(n, F.lit(6), half, F.lit(1)).alias("h"), pick(1, 1, 2, 1).alias("c"), F.when(layout == 2, half * 6 + 4).alias("channel_step"), F.col("rows")["event_id"].alias("event_ids"))
+
+
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Durations of pipeline stages in ms; every hundredth is scaled up past the last bucket."""
     slow = F.when(F.col("event_id") % 100 == 0, 100.0).otherwise(1.0)
