@@ -239,7 +239,7 @@ hippocratic | human | the software (?:may|shall) not be used (?:\S+ ){0,8}human
 proprietary | trade | (?:contains|constitutes) (?:\S+ ){0,4}trade secrets?(?: of)?
 proprietary | disclosure | unauthori[sz]ed disclosure (?:or use )?(?:is )?(?:strictly )?prohibited
 proprietary | reverse | you (?:may|shall|agree) not (?:to )?reverse engineer(?: decompile or disassemble)?
-proprietary | transferable | (?:a )?(?:limited |personal |revocable )*non exclusive (?:and )?non transferable (?:\S+ ){0,3}licen[cs]e
+proprietary | transferable | non exclusive (?:and )?non transferable (?:\S+ ){0,3}licen[cs]e
 proprietary | internal | for (?:your|its|the licensee s) internal (?:business )?(?:use|purposes) only
 proprietary | evaluation | for evaluation (?:use|purposes) only
 proprietary | sold | this software is licensed not sold
