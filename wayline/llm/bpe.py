@@ -1,6 +1,6 @@
 """BPE encoding and decoding with prefix sharing.
 
-A batch's distinct words are put into a trie of symbols. A walk in depth-first order gives every node the last token of the encoding
+A batch's distinct words are put into a trie of symbols, whose runs without a branch are kept as one. A walk in depth-first order gives every place the last token of the encoding
 of its path: the one token that ends the path and stands next to the last token of the path before it without the two being
 merged otherwise. A prefix that many words share is thus encoded once, and a word's ids are read back from its end, token by token.
 
@@ -123,63 +123,58 @@ class Merges:
         return new
 
 
-def symbols_of(word: str, start: int, end: str) -> list[str]:
-    """The symbols of a word from a place on; the last one holds the mark of the word's end, or is that mark where the vocabulary has none."""
-    return [*word[start:-1], word[-1] + END] if end and start < len(word) else [*word[start:]] if end else [*word[start:], END]
+def shared(a: str, b: str) -> int:
+    """How many symbols two strings have in common at their beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
 
+def trie_of(words: Iterable[str], end: str) -> Iterator[tuple[str, int]]:
+    """The words' trie, depth first: each word in order with the depth at which it leaves the path of the one before.
 
-def trie_of(words: Iterable[str], end: str) -> dict:
-    """The words' trie: a node maps a symbol to the node one symbol longer, or to a word where no other goes the same way."""
-    root: dict = {}
-    for word in words:
-        node = root
-        for depth, symbol in enumerate(symbols_of(word, 0, end), 1):
-            below = node.get(symbol)
-            if below is None:
-                node[symbol] = word
-                break
-            if type(below) is str:
-                below = node[symbol] = {symbols_of(below, depth, end)[0]: below}
-            node = below
-    return root
+    Runs without a branch are no nodes of their own, so a prefix that words share takes no more room than one word, whatever its length. Where a word's last symbol
+    holds the mark of its end, it is no symbol of a longer word's path.
+    """
+    before = ""
+    for word in sorted(words):
+        yield word, min(shared(before, word), len(before) - 1, len(word) - 1) if end and before else shared(before, word)
+        before = word
 
 
 def encode_words(words: Collection[str], merges: Merges) -> dict[str, bytes]:
     """The ids of distinct words in byte symbols, by a depth-first walk over the trie of their symbols."""
     out: dict[str, bytes] = {}
     known, shift, end = merges.known, merges.shift, merges.end
-    todo = [iter(trie_of(words, end).items())]
     # by depth on the current path: the state, the last token and how many symbols that spans
     longest = max(map(len, words), default=0) + 1
     states, tokens, spans = [merges.start] * longest, [0] * longest, [0] * longest
-    while todo:
-        for symbol, below in todo[-1]:
-            depth, alone = len(todo) - 1, type(below) is str
-            for symbol in (symbol, *symbols_of(below, depth + 1, end)) if alone else (symbol,):
-                if symbol == END:
+    for word, depth in trie_of(words, end):
+        last = len(word) - 1 if end else -1
+        while depth < len(word):
+            symbol = word[depth] + END if depth == last else word[depth]
+            state = states[depth].steps.get(symbol)
+            if state is None:
+                state = merges.step(states[depth], symbol)
+            depth += 1
+            for token, span in state.ends:
+                if span == depth:
                     break
-                state = states[depth].steps.get(symbol)
-                if state is None:
-                    state = merges.step(states[depth], symbol)
-                depth += 1
-                for token, span in state.ends:
-                    if span == depth:
-                        break
-                    left = tokens[depth - span]
-                    yes = known.get(left << shift | token)
-                    if yes or yes is None and merges.stand(left, token):
-                        break
-                states[depth], tokens[depth], spans[depth] = state, token, span
-            if not alone:
-                todo.append(iter(below.items()))
-                break
-            ids = array("I")
-            while depth:
-                ids.append(tokens[depth])
-                depth -= spans[depth]
-            out[below] = ids[::-1].tobytes()
-        else:
-            todo.pop()
+                left = tokens[depth - span]
+                yes = known.get(left << shift | token)
+                if yes or yes is None and merges.stand(left, token):
+                    break
+            states[depth], tokens[depth], spans[depth] = state, token, span
+        ids = array("I")
+        while depth:
+            ids.append(tokens[depth])
+            depth -= spans[depth]
+        out[word] = ids[::-1].tobytes()
     return out
 
 
