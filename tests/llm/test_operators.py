@@ -168,6 +168,48 @@ def brute_scan(text, rules):
     return sorted(base), sorted(out)
 
 
+def test_no_license_rule_repeats_without_end_before_its_first_fixed_word():
+    """Each place that such a repeat may begin at would read it to its end: time would grow with the square of a text."""
+    from re import _parser
+
+    def opens(parsed):
+        for op, arg in parsed:
+            name = str(op)
+            if name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                if str(high) == "MAXREPEAT" and any(str(o) in ("SUBPATTERN", "BRANCH", "LITERAL") for o, _ in inner):
+                    return True
+                if low and not opens(inner):
+                    return False
+            elif name == "SUBPATTERN":
+                if opens(arg[-1]):
+                    return True
+                return False
+            elif name == "BRANCH":
+                return any(opens(branch) for branch in arg[1])
+            elif name in ("LITERAL", "IN"):
+                return False
+        return False
+
+    assert opens(_parser.parse("(?:a )?(?:limited |personal )*non")) and not opens(_parser.parse("only (?:a |b )*c"))
+    assert not [r.label for r in licenses.rules() if opens(_parser.parse(r.pattern.pattern.decode().removeprefix("(?<= )")))]
+
+
+@pytest.mark.parametrize("words", ["transferable limited", "transferable non exclusive and", "only for academic research", "license licensed under the terms", "copyright c 2020 all rights reserved", "may not be used", "spdx license identifier mit or later only", "permission"])
+def test_license_time_grows_with_the_text(words):
+    import time
+
+    rules = licenses.rules()
+    gates = frozenset().union(*(r.gates for r in rules))
+    taken = []
+    for n in (20_000, 80_000):
+        text = (words.split()[0] + " " + (words.split(" ", 1)[-1] + " ") * n).encode()
+        began = time.time()
+        licenses.find_all(text, rules, gates)
+        taken.append(time.time() - began)
+    assert taken[1] < 10 * taken[0] + 1
+
+
 def test_license_scan_by_brute_force():
     rules = licenses.rules()
     gates = frozenset().union(*(r.gates for r in rules))
@@ -291,6 +333,27 @@ def test_bpe_of_the_table_equals_the_library(spark):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
+def test_bpe_of_words_that_share_a_long_beginning():
+    """Time and room grow with the words, not with the square of what they share; ids are the library's."""
+    import time
+
+    encoder, tok = bpe.WordEncoder(text_of(path("word_bpe_49k.json"))), bpe.library(text_of(path("word_bpe_49k.json")))
+    rng = np.random.default_rng(1)
+    long = "".join(rng.choice(list("etaoinshrdlu"), 300_000))
+    short = long[:3000]
+    texts = [f"{short}a {short}b {short[:1500]} {short} {short[:1501]}x aa a aaa", f"{short}"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    began = time.time()
+    a, b = encoder.encode([long + "ka", long + "kb"])
+    assert time.time() - began < 20 and a[:-40] == b[: len(a) - 40]
+
+
+def test_trie_lists_words_depth_first():
+    words = ["abc", "ab", "abd", "b", "abcde", "ba"]
+    assert list(bpe.trie_of(words, "")) == [("ab", 0), ("abc", 2), ("abcde", 3), ("abd", 2), ("b", 0), ("ba", 1)]
+    assert list(bpe.trie_of(words, bpe.END)) == [("ab", 0), ("abc", 1), ("abcde", 2), ("abd", 2), ("b", 0), ("ba", 0)]
+
+
 # 5
 
 
@@ -408,6 +471,47 @@ def test_recall_of_planted_vectors(n):
     assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.99
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 8])
+def test_vectors_of_few_dimensions_by_brute_force(spark, dim):
+    """Crowds in a few directions and strays: every link is found up to four dimensions, and nearly all at eight."""
+    rng = np.random.default_rng(dim)
+    x = np.concatenate([c + 0.15 * rng.normal(size=(40, dim)) for c in rng.normal(size=(6, dim))] + [rng.normal(size=(40, dim))])
+    labels = [i % 2 for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, labels, strict=True))], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    n, root = brute_links(list(range(len(x))), x, labels, 0.93)
+    if dim <= vectors.EXACT:
+        assert got == {i: (n[i], root[i]) for i in range(len(x))}
+    assert sum(n.values()) > 300 and sum(n.values()) - sum(v[0] for v in got.values()) <= 0.004 * sum(n.values())
+
+
+@pytest.mark.parametrize("dim", [6, 8, 16, 100, 768])
+@pytest.mark.parametrize("n", [1000, 1_000_000])
+def test_recall_and_time_of_the_plan_by_dimensions(dim, n):
+    import time
+
+    began = time.time()
+    how = vectors.hashing(n, dim, 0.93)
+    assert time.time() - began < 20
+    if how is not None:
+        rng = np.random.default_rng(dim)
+        x, y = rng.normal(size=(2, 600, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        assert vectors.met(how, x, 0.93 * x + np.sqrt(1 - 0.93**2) * y).any(1).mean() >= 0.985
+
+
+def test_all_are_compared_where_tables_are_too_few(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "hashing", lambda *_: None)
+    monkeypatch.setattr(vectors, "MOST_OF_BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5, 10))[rng.integers(0, 5, 120)] + 0.2 * rng.normal(size=(120, 10))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")).collect()}
+    n, root = brute_links(list(range(120)), x, [3] * 120, 0.93)
+    assert sum(n.values()) > 100 and got == {i: (n[i], root[i]) for i in range(120)}
+
+
 def test_pairs_of_groups_agree_with_plain_ones(monkeypatch):
     monkeypatch.setattr(vectors, "SMALL", 5)
     rng = np.random.default_rng(3)

@@ -5,9 +5,10 @@ of the polytope. A bucket is named by some cells together, the last of them perh
 tables; multiprobe adds the buckets that swap one cell for its second best. Vectors that share a bucket and a label are compared by
 their cosine in double precision.
 
-How many cells name a bucket follows from the number of vectors, so that a bucket holds about LOAD of them at any size; the number of
-tables from a trial with random pairs of just the least cosine, all but MISSED of which share a bucket. Pairs of a higher cosine, which
-is all others that count, are missed less.
+How many cells name a bucket follows from the number of vectors of a length, so that a bucket holds about LOAD of them at any size; the number of
+tables from trials with random pairs of just the least cosine, all but MISSED of which are to share a bucket. Pairs of a higher cosine, which
+is all others that count, are missed less. Vectors of up to EXACT dimensions turn too little for that: they stand in all cells of a grid that a link
+may reach, and none is missed. Where no number of tables is enough, all vectors of a length and label are compared, in blocks.
 
 Equal vectors are one class and compared once. Of a bucket's pairs only sums leave a task: a vector's number of links, where a pair
 counts in the first bucket it shares, and one vector that stands for its part of the bucket, which is enough for the components.
@@ -20,7 +21,9 @@ of the same id counts as another vector; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from wayline.llm.graph import blocks, components, map_runs, matrix, of_one_id, p
 
 #: Vectors of a bucket, and share of pairs of the least cosine that no table may bring together.
 LOAD, MISSED = 4, 0.002
+#: Up to so many dimensions a grid finds all pairs; below TRIED the number of tables is tried.
+EXACT, TRIED = 4, 48
 #: Rows of a bucket that are compared at once; buckets up to SMALL are compared many together.
 MOST_OF_BLOCK, SMALL = 1024, 64
 
@@ -61,24 +66,62 @@ def _width(dim: int) -> int:
     return 1 << max(1, (dim - 1).bit_length())
 
 
-def hashing(n: int, dim: int, least: float, most_tables: int = 96, trial: int = 3000) -> Hashing:
-    """The hashing for n vectors: as many buckets as make LOAD vectors each, as many tables as the trial asks for."""
-    wanted, each = max(2.0, n / LOAD), 2 * _width(dim)
-    full = int(np.log(wanted) / np.log(each))
-    rest = int(np.ceil(wanted / each**full))
-    shape = (full + (rest > 1), rest if rest > 1 else 0)
+def trial_pairs(dim: int, least: float, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of just the least cosine."""
     rng = np.random.default_rng(31)
-    x, y = rng.normal(size=(2, trial, max(2, dim)))
+    x, y = rng.normal(size=(2, many, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
     y *= np.sqrt(1 - least * least) / np.linalg.norm(y, axis=1, keepdims=True)
-    tables = 4
-    while True:
-        a, b = (buckets(z, Hashing(*shape, tables)) for z in (x, least * x + y))
-        met = np.logical_or.accumulate((a[:, :, :, None] == b[:, :, None, :]).any((2, 3)), axis=1).mean(0)
-        if met[-1] >= 1 - MISSED or tables == most_tables:
-            return Hashing(*shape, min(tables, int(np.searchsorted(met, 1 - MISSED)) + 1))
-        tables = min(2 * tables, most_tables)
+    return x, least * x + y
+
+
+def met(how: Hashing, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which tables bring a pair together: (pairs, tables)."""
+    a, b = buckets(x, how), buckets(y, how)
+    return (a[:, :, :, None] == b[:, :, None, :]).any((2, 3))
+
+
+@cache
+def hashing(n: int, dim: int, least: float, most_tables: int = 96) -> Hashing | None:
+    """The hashing for n vectors: as many buckets as make LOAD vectors each, and tables enough that all but MISSED of the pairs of the least cosine meet.
+
+    How often one table brings a pair together is measured over a few tables and many pairs; tables are independent, which gives their number. Below TRIED dimensions a
+    turn has few ways to go, so that number is tried too, and raised. None if most_tables are too few: then all vectors are to be compared.
+    """
+    wanted, each = max(2.0, n / LOAD), 2 * _width(dim)
+    full = int(np.log(wanted) / np.log(each))
+    rest = int(np.ceil(wanted / each**full))
+    shape = (full + (rest > 1), rest if rest > 1 else 0)
+    some = met(Hashing(*shape, 4), *trial_pairs(dim, least, 400 if dim >= TRIED else 1500)).mean(0)
+    chance = min(float(some.mean()) - 2 * float(some.std()) / 2, 1 - 1e-9)
+    if chance <= 0:
+        return None
+    tables = max(1, int(np.ceil(np.log(MISSED) / np.log(1 - chance))))
+    while dim < TRIED and tables <= most_tables and met(Hashing(*shape, tables), *trial_pairs(dim, least, 3000)).any(1).mean() < 1 - MISSED:
+        tables = int(np.ceil(1.3 * tables)) + 1
+    return Hashing(*shape, tables) if tables <= most_tables else None
+
+
+def near_cells(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors of few dimensions: rows, and the cells of a grid as wide as a link is long that lie within a link of them; each row's own cell comes first.
+
+    Of two vectors that link, each has the other's own cell, so none is missed.
+    """
+    reach = np.sqrt(2 - 2 * least) * (1 + 1e-9) + 1e-9
+    n, dim = x.shape
+    own = np.floor(x / reach)
+    steps = np.array(sorted(itertools.product((-1, 0, 1), repeat=dim), key=lambda s: any(s)))
+    off = np.stack([x - own * reach, np.zeros_like(x), (own + 1) * reach - x])  # to the cell below, this one, the one above
+    far = np.zeros((n, len(steps)))
+    for d in range(dim):
+        far += off[:, :, d].T[:, steps[:, d] + 1] ** 2
+    rows, step = np.nonzero(far <= reach * reach)
+    cells = own[rows].astype(np.int64) + steps[step]
+    key = np.zeros(len(rows), np.int64)
+    for d in range(dim):
+        key = key * 1_000_003 + cells[:, d]
+    return rows, key
 
 
 def buckets(x: np.ndarray, how: Hashing) -> np.ndarray:
@@ -124,33 +167,39 @@ def close_pairs(x: np.ndarray, starts: np.ndarray, least: float, chunk: int = 50
     return a, b
 
 
-def linked(table: pa.Table, starts: np.ndarray, least: float, probes: int) -> pa.Table | None:
+def linked(table: pa.Table, starts: np.ndarray, least: float, hows: dict[int, Hashing | None]) -> pa.Table | None:
     """The links of some groups: per vector the links that count here, and the vector that stands for its part of the group."""
     width = np.array([len(v) for v in table.column("vector").to_pylist()])
     node, rep, copies, key, part, first, second = (table.column(c).to_numpy() for c in ("node", "rep", "copies", "key", "part", "first", "second"))
-    keys, pairs = matrix(table.column("keys"), "<i8"), []
+    here, none, pairs = np.zeros(len(node), np.int64), np.iinfo(np.int64).max, []
     for size in np.unique(width):
         some = np.flatnonzero(width == size)
-        x = np.frombuffer(b"".join(table.column("vector").take(pa.array(some)).to_pylist()), "<f8").reshape(len(some), -1)
+        x = matrix(table.column("vector").take(pa.array(some)), "<f8")
         group = np.searchsorted(starts, some, side="right")
         a, b = close_pairs(x, np.flatnonzero(np.diff(group, prepend=-1)), least)
-        pairs.append(np.stack([some[a], some[b]]))
+        u, v = some[a], some[b]
+        keep = (node[u] != node[v]) & ((first[u] == second[u]) | (part[u] != part[v]))
+        a, b, u, v = a[keep], b[keep], u[keep], v[keep]
+        pairs.append(np.stack([u, v]))
+        keys, how = matrix(table.column("keys").take(pa.array(some)), "<i8"), hows[int(size) // 8]
+        probes = 1 + how.cells if how else 1
+        for at in range(0, len(a), 20_000):
+            p, q = a[at : at + 20_000], b[at : at + 20_000]
+            if how is None:
+                # both vectors have both own cells
+                least_key = np.minimum(keys[p, 0], keys[q, 0])
+            else:
+                least_key = np.full(len(p), none)
+                for t in range(0, keys.shape[1], probes):
+                    k, m = keys[p, t : t + probes], keys[q, t : t + probes]
+                    least_key = np.minimum(least_key, np.where(k[:, :, None] == m[:, None, :], k[:, :, None], none).min((1, 2)))
+            own = least_key == key[some[p]]
+            np.add.at(here, some[p[own]], copies[some[q[own]]])
+            np.add.at(here, some[q[own]], copies[some[p[own]]])
     a, b = np.concatenate(pairs, axis=1)
-    met = (node[a] != node[b]) & ((first[a] == second[a]) | (part[a] != part[b]))
-    a, b = a[met], b[met]
     if not len(a):
         return None
-    root, here = roots(len(node), a, b), np.zeros(len(node), np.int64)
-    none = np.iinfo(np.int64).max
-    for at in range(0, len(a), 20_000):
-        p, q = a[at : at + 20_000], b[at : at + 20_000]
-        shared = np.full(len(p), none)
-        for t in range(0, keys.shape[1], probes):
-            u, v = keys[p, t : t + probes], keys[q, t : t + probes]
-            shared = np.minimum(shared, np.where(u[:, :, None] == v[:, None, :], u[:, :, None], none).min((1, 2)))
-        own = shared == key[p]
-        np.add.at(here, p[own], copies[q[own]])
-        np.add.at(here, q[own], copies[p[own]])
+    root = roots(len(node), a, b)
     some = np.flatnonzero((here > 0) | (root != np.arange(len(root))))
     return pa.table({"node": node[some], "links": here[some], "a": rep[some], "b": rep[root[some]]})
 
@@ -165,28 +214,42 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~wrong & F.exists("embedding", lambda v: v != 0), F.lit(False))
     values = rows.filter(good).select("vec_id", "label", "embedding")
     classes = settle(values.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    n, dim = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    how = hashing(n, dim or 1, least)
+    # a row for each length that vectors have
+    hows = {r.dim: None if r.dim <= EXACT else hashing(r.n, r.dim, least) for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+
+    def keys_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, bucket keys) of unit vectors of one length, and for each the keys by which a pair's first common bucket is told."""
+        dim, n = x.shape[1], len(x)
+        if dim <= EXACT:
+            at, key = near_cells(x, least)
+            begins = np.flatnonzero(np.diff(at, prepend=-1))
+            return at, key, key[begins][:, None]
+        how = hows[dim]
+        if how is None:
+            return np.arange(n), np.zeros(n, np.int64), np.zeros((n, 1), np.int64)
+        keys = buckets(x, how).reshape(n, -1)
+        return np.repeat(np.arange(n), keys.shape[1]), keys.ravel(), keys
 
     def coded(batches):
         for batch in batches:
             lists = batch.column("embedding")
             sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
             begin = np.append(0, np.cumsum(sizes))
-            keys = np.zeros((len(sizes), how.tables * (1 + how.cells)), np.int64)
-            data: list = [None] * len(sizes)
+            data, told, found = ([None] * len(sizes) for _ in range(3))
+            salt = mixed(batch.column("label").to_numpy().view(np.uint64) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             for width in np.unique(sizes):
                 some = np.flatnonzero(sizes == width)
                 x = flat[begin[some][:, None] + np.arange(width)]
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                keys[some] = buckets(x, how).reshape(len(some), -1)
-                for i, row in zip(some, x, strict=True):
-                    data[i] = row.astype("<f8").tobytes()
-            salt = mixed(batch.column("label").to_numpy().view(np.uint64) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            found = mixed(keys.view(np.uint64) ^ salt[:, None]).view(np.int64)
+                at, key, names = keys_of(x)
+                key = mixed(key.view(np.uint64) ^ salt[some[at]]).view(np.int64)
+                names = mixed(names.view(np.uint64) ^ salt[some][:, None]).view(np.int64)
+                for i, row, name, mine in zip(some, x, names, np.split(key, np.flatnonzero(np.diff(at)) + 1), strict=True):
+                    data[i], told[i], found[i] = row.astype("<f8").tobytes(), name.tobytes(), mine
+            ends = np.append(0, np.cumsum([len(f) for f in found]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("rep"), batch.column("copies"), pa.array(data, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * keys.shape[1], pa.int32()), pa.array(found.ravel()))],
+                [batch.column("node"), batch.column("rep"), batch.column("copies"), pa.array(data, pa.binary()), pa.array(told, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))],
                 names=["node", "rep", "copies", "vector", "keys", "in_buckets"],
             )
 
@@ -196,7 +259,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     # no group is known to be linked among itself, so a large bucket's parts all meet
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumns({"main": F.lit(1), "main_size": F.lit(0)})
     dealt = blocks(members, sizes, "node", MOST_OF_BLOCK).join(codes.select("node", "rep", "copies", "vector", "keys"), "node")
-    found = settle(map_runs(dealt, lambda t, starts: linked(t, starts, least, 1 + how.cells), "node bigint, links bigint, a bigint, b bigint", LINKED))
+    found = settle(map_runs(dealt, lambda t, starts: linked(t, starts, least, hows), "node bigint, links bigint, a bigint, b bigint", LINKED))
     joined_up, shared = found.filter("a != b").select("a", "b"), of_one_id(values, "vec_id", ["label", "embedding"], classes)
     parts = components(joined_up if shared is None else joined_up.union(shared))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
