@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes are cut into windows of WINDOW bytes, each of which the network reads from both ends; at every byte it gives a
 probability for every language. A document's probabilities are the mean over all its bytes. The network is trained in numpy by
-back-propagation through time on windows of a bounded sample of documents.
+back-propagation through time on windows, drawn from the whole texts of a bounded sample of documents by the tasks that hold them.
 
 Defined cases: null text and text without any letter is `und` with score 0; very long texts are read whole, window by window, in
 bounded memory; languages are those of the sample; without any sample all documents are `und`; repeated rows are labelled alike;
@@ -26,8 +26,8 @@ from wayline.llm.samples import some_rows, texts_of
 
 UND = "und"
 HIDDEN, WINDOW, BATCH = 8, 192, 2048
-#: Bounds of the fitting sample: documents, and characters of the window that is read of a longer text.
-MOST_ROWS, LONGEST = 3000, 40_000
+#: Bound of the fitting sample: documents. Of each, so many windows of so many bytes train the network, drawn from all over its text.
+MOST_ROWS, DRAWN, LENGTH = 3000, 16, 72
 
 
 @dataclass
@@ -117,8 +117,8 @@ def slopes(w: list[np.ndarray], x: np.ndarray, truth: np.ndarray) -> tuple[float
     return loss, grads
 
 
-def train(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: int = 350, many: int = 96, length: int = 72, rate: float = 0.02) -> Network:
-    """Adam over random windows; every byte of a window is to be labelled with its document's language."""
+def train(windows: list[list[bytes]], labels: np.ndarray, languages: list[str], steps: int = 350, many: int = 96, length: int = LENGTH, rate: float = 0.02) -> Network:
+    """Adam over the windows of texts; every byte of a window is to be labelled with its text's language."""
     rng = np.random.default_rng(5)
     h, kinds = HIDDEN, len(languages)
     w = [rng.normal(0, 0.4, (2, 3 * h, 256)), rng.normal(0, 0.3, (2, 3 * h, h)), rng.normal(0, 0.3, (kinds, 2 * h)), np.zeros(kinds)]
@@ -127,11 +127,10 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: i
     by_language = [np.flatnonzero(labels == k) for k in range(kinds)]
     for step in range(1, steps + 1):
         truth = rng.integers(kinds, size=many)
-        rows = [texts[rng.choice(by_language[k])] for k in truth]
         x = np.full((length, many), 32, np.uint8)
-        for i, row in enumerate(rows):
-            at = rng.integers(max(1, len(row) - length + 1))
-            part = np.frombuffer(row[at : at + length], np.uint8)
+        for i, k in enumerate(truth):
+            some = windows[rng.choice(by_language[k])]
+            part = np.frombuffer(some[rng.integers(len(some))][:length], np.uint8)
             x[: len(part), i] = part
         _, grads = slopes(w, x, truth)
         pace = rate * (1 - step / (steps + 1)) + 1e-3
@@ -142,15 +141,30 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str], steps: i
     return Network(languages, *w)
 
 
-def learn(docs: DataFrame, allowed: Column, most: int = MOST_ROWS, longest: int = LONGEST, **how) -> Network | None:
-    """Trains on at most `most` documents with a language that `allowed` admits, chosen by a hash of their ids."""
+def drawn(text: bytes, seed: int, many: int = DRAWN, length: int = LENGTH) -> list[bytes]:
+    """Windows from anywhere in a text; a text that is no longer than one is its only window."""
+    if len(text) <= length:
+        return [text] if text else []
+    return [text[at : at + length] for at in np.random.default_rng(seed).integers(len(text) - length + 1, size=many).tolist()]
+
+
+def _draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        windows = [drawn(t, seed & (2**63 - 1)) for t, seed in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("seed").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(windows, pa.list_(pa.binary()))], names=["doc_id", "lang", "windows"])
+
+
+def learn(docs: DataFrame, allowed: Column, most: int = MOST_ROWS, **how) -> Network | None:
+    """Trains on at most `most` documents with a language that `allowed` admits, chosen by a hash of their ids; the driver gets their windows."""
+    small_batches(docs.sparkSession)
     chosen = some_rows(docs.select("doc_id", "lang").filter(allowed & F.col("lang").isNotNull()).distinct(), most, "doc_id", "lang")
-    got = texts_of(docs.filter(allowed & F.col("text").isNotNull()), chosen, longest).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    rows = [(t, k) for t, k in zip(got.column("text").cast(pa.binary()).to_pylist(), got.column("lang").to_pylist(), strict=True) if t]
+    sample = texts_of(docs.filter(allowed & F.col("text").isNotNull()), chosen).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "lang").alias("seed"), "text")
+    got = sample.mapInArrow(_draw, "doc_id bigint, lang string, windows array<binary>").toArrow().to_pylist()
+    rows = sorted(((r["doc_id"], r["lang"], r["windows"]) for r in got if r["windows"]), key=repr)
     if not rows:
         return None
-    languages = sorted({k for _, k in rows})
-    return train([t for t, _ in rows], np.array([languages.index(k) for _, k in rows]), languages, **how)
+    languages = sorted({k for _, k, _ in rows})
+    return train([w for _, _, w in rows], np.array([languages.index(k) for _, k, _ in rows]), languages, **how)
 
 
 def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,24 +11,19 @@ def some_rows(rows: DataFrame, most: int, *by: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(*by), *by).limit(most)
 
 
-def texts_of(docs: DataFrame, chosen: DataFrame, longest: int | None = None) -> DataFrame:
-    """chosen (doc_id, ...), a bounded list that is broadcast, with text: one row for each of its rows that documents hold.
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen (doc_id, ...), a bounded list that is broadcast, with whole texts: one row for each of its rows that documents hold.
 
-    Of several texts of one id the one of least hash counts. Of a text of over `longest` characters a window of that length counts,
-    at a place that a hash of the id gives.
+    Of several texts of one id the one of least hash counts.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    if longest is not None:
-        start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.char_length(text) - longest + 1, F.lit(1)).cast("long")).cast("int")
-        text = F.when(F.char_length(text) > longest, F.substring(text, start + 1, F.lit(longest))).otherwise(text)
-    met = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return met.groupBy(*chosen.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, longest: int | None = None) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
     """(doc_id, label, text) of at most `most` labelled rows that learn allows.
 
     The rows are chosen among the labels, which hold no text, so only that bounded list is broadcast to the documents.
     """
     chosen = some_rows(labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(learn & F.col("label").isin(0, 1)).distinct(), most, "doc_id", "label")
-    return texts_of(docs.filter(learn), chosen, longest)
+    return texts_of(docs.filter(learn), chosen)

@@ -4,8 +4,7 @@ A text's features are its distinct words, pairs of neighbours, and pairs with on
 coordinates. Fitting goes through a bounded sample of labelled rows once per epoch with a learning rate per coordinate; L1 keeps
 most coordinates at exactly 0, so the weights that scoring broadcasts are a short list.
 
-Defined cases: null or empty text, and text without words, scores as the bias alone; very long texts are scored whole (only the
-fit reads a window of LONGEST characters of them, at a place that a hash chooses); an empty or one-sided set of labels gives the bias of what it has;
+Defined cases: null or empty text, and text without words, scores as the bias alone; very long texts are read whole in fit and score; an empty or one-sided set of labels gives the bias of what it has;
 repeated rows are scored alike; other columns are ignored.
 """
 
@@ -24,8 +23,8 @@ from wayline.llm.common import carrying, small_batches, with_text
 from wayline.llm.samples import labelled
 
 BITS = 20
-#: Bounds of the fitting sample: labelled rows, and characters of one of their texts.
-MOST_ROWS, LONGEST = 12_000, 40_000
+#: Bound of the fitting sample: labelled rows, whose texts are read whole.
+MOST_ROWS = 12_000
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -82,9 +81,10 @@ def _featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), rows], names=["doc_id", "label", "at"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = MOST_ROWS, longest: int = LONGEST, **how) -> Weights:
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = MOST_ROWS, **how) -> Weights:
     """Fits on at most `most` labelled rows that `allowed` admits; tasks make their features, the driver gets coordinates only."""
-    sample = labelled(docs, labels, "toxic", allowed, most, longest).selectExpr("cast(doc_id as bigint) as doc_id", "label", "text")
+    small_batches(docs.sparkSession)
+    sample = labelled(docs, labels, "toxic", allowed, most).selectExpr("cast(doc_id as bigint) as doc_id", "label", "text")
     got = sample.mapInArrow(_featurise, "doc_id bigint, label int, at array<int>").toArrow()
     order, rows = pc.sort_indices(got, [("doc_id", "ascending"), ("label", "ascending")]).to_numpy(), got.column("at")
     return fit([rows[i].values.to_numpy() for i in order], got.column("label").to_numpy()[order].astype(float), **how)
