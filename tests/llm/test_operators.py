@@ -726,6 +726,30 @@ def plain_measures(text):
     return [np.log1p(n), per(upper, letters), per(digit, len(raw)), per(blank, n), per(line, n), per(stop, n), per(shout, n), per(bar, n), per(far, len(raw)), per(rest, n), per(letters, n) / 10, per(d, n), per(again, n), d / max(n**0.5, 1) / 10, float(n == 0)]
 
 
+@pytest.mark.parametrize("kept", [1, 3, 1000])
+def test_cells_hold_every_document(spark, odd, kept):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).repartition(3)
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    x = np.array([quality.measures(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts])
+    medians = np.median(x, axis=0)
+    u, n, mean, scale = quality.cells(docs, medians, kept)
+    want = Counter(tuple(row > medians) for row in x)
+    assert np.isclose(n.sum(), len(texts)) and len(u) == sum(min(kept, v) for v in want.values())
+    got = Counter()
+    for row, k in zip(u, n, strict=True):
+        got[tuple(row > medians)] += k
+    assert {k: round(v) for k, v in got.items()} == dict(want)
+    assert {tuple(row) for row in u} <= {tuple(row) for row in x}
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, x.std(0) + 1e-3)
+
+
+def test_windows_come_from_all_over_a_text():
+    text = bytes(range(256)) * 40
+    some = language.drawn(text, 7, many=400)
+    assert all(w in text and len(w) == language.LENGTH for w in some) and len({w[0] for w in some}) > 150
+    assert language.drawn(b"short", 7) == [b"short"] and language.drawn(b"", 7) == [] and some == language.drawn(text, 7, many=400)
+
+
 def test_quality_measures_are_plain_ones():
     texts = ["Plain words, plain WORDS stand here!", "", "1 2 2 2 | | é日本 ###\n\nend.", "...", "a " * 500, "x" * 100]
     data = "".join(texts).encode()
