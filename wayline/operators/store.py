@@ -62,18 +62,18 @@ def with_retention(rows: DataFrame, days: int | None, now_ms: int) -> DataFrame:
     return rows if days is None else rows.filter(F.col("ts_ms") >= now_ms - days * 86_400_000)
 
 
-def numbered_events(events: DataFrame, order: list[str], start: int = 0, span: int = 600_000) -> DataFrame:
-    """Ids in emission order within each stream, as an append would give them; order begins with a time.
+def numbered_events(events: DataFrame, order: list[str], start: int = 0, span: int = 600_000, keys: list[str] = P) -> DataFrame:
+    """Ids in emission order within each stream (or among all, without keys), as an append would give them; order begins with a time.
 
-    A stream's events are cut into spans of that time: rows are numbered within a span, and a row per span carries over the number
+    Events are cut into spans of that time: rows are numbered within a span, and a row per span carries over the number
     of those before it.
     """
     spanned = events.withColumn("_span", F.floor(F.col(order[0]) / span))
-    sizes = spanned.groupBy(*P, "_span").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(*P).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
-    carried = sizes.select(*P, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
-    placed = spanned.withColumn("_place", F.row_number().over(Window.partitionBy(*P, "_span").orderBy(*order)))
-    return placed.join(carried, [*P, "_span"]).select(*events.columns, (F.col("_place") + F.col("_before") + start).cast("bigint").alias("id"))
+    sizes = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sizes.select(*keys, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = spanned.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(*order)))
+    return placed.join(carried, [*keys, "_span"]).select(*events.columns, (F.col("_place") + F.col("_before") + start).cast("bigint").alias("id"))
 
 
 def upserted(rules: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
