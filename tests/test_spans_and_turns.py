@@ -123,6 +123,16 @@ def test_a_busy_track_is_many_tasks(spark):
     assert cut.select(F.spark_partition_id().alias("p")).distinct().count() >= 6
 
 
+@pytest.mark.parametrize("span", [1, 9, 4096])
+def test_last_points_of_ways_whatever_the_span(spark, span):
+    obs = X.track_obs(spark, SF)
+    every = {(r.stream_id, r.track_id, r.episode): (r.lost_frame_id, [tuple(p) for p in r.points]) for r in A.route_points(obs, most=10**6).collect()}
+    assert max(len(p) for _, p in every.values()) > 5
+    for most in (1, 2, 5):
+        got = {(r.stream_id, r.track_id, r.episode): (r.lost_frame_id, [tuple(p) for p in r.points]) for r in A.route_points(obs, most=most, span=span).collect()}
+        assert got == {k: (lost, p[-most:]) for k, (lost, p) in every.items()}
+
+
 def plain_turns(rows, window, most):
     """(frame, arrival, boxes' arrival, out at) by looking at all that waits after every arrival."""
     turn, frames, boxes, out = None, {}, {}, []

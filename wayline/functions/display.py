@@ -22,6 +22,13 @@ def fitted(frame_w: Column, frame_h: Column, rect_w: Column, rect_h: Column) ->
     return scale, (rect_w - frame_w * scale) / 2, (rect_h - frame_h * scale) / 2
 
 
+def shown(box: tuple[Column, Column, Column, Column], frame_w: Column, frame_h: Column, rect_w: Column, rect_h: Column) -> Column:
+    """A box of the frame (x, y, w, h) as the rectangle in which it is shown; null for a frame without size."""
+    scale, left, top = fitted(frame_w, frame_h, rect_w, rect_h)
+    x, y, w, h = box
+    return F.when((frame_w > 0) & (frame_h > 0), F.struct((x * scale + left).alias("x"), (y * scale + top).alias("y"), (w * scale).alias("w"), (h * scale).alias("h")))
+
+
 def to_frame(x: Column, y: Column, frame_w: Column, frame_h: Column, rect_w: Column, rect_h: Column) -> Column:
     """The frame's point that is shown at a point of the rectangle; null beside the frame."""
     scale, left, top = fitted(frame_w, frame_h, rect_w, rect_h)

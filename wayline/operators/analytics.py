@@ -214,16 +214,21 @@ def recent_events(events: DataFrame, most: int = 25) -> DataFrame:
     return top.groupBy(*P).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda e: e["id"]).alias("event_ids"))
 
 
-def route_points(obs: DataFrame, eps: float = 3.0, most: int = 256) -> DataFrame:
-    """The way of each episode: its first foot (or, after a loss, the last one before it), then each foot at least eps from the one before; the last `most`."""
+def route_points(obs: DataFrame, eps: float = 3.0, most: int = 256, span: int = SPAN) -> DataFrame:
+    """The way of each episode: its first foot (or, after a loss, the last one before it), then each foot at least eps from the one before; the last `most`.
+
+    Points are gathered by spans of frames, of which only the last that make up `most` points meet in an episode.
+    """
     met = numbered(obs)
     far = G.distance(F.col("prev_foot_x"), F.col("prev_foot_y"), F.col("foot_x"), F.col("foot_y")) >= max(1.0, eps)
     pt = lambda x, y, at: F.struct(at.alias("at"), F.col(x).alias("x"), F.col(y).alias("y"))
     first = F.when(F.col("opens") == 1, F.when(F.col("prev_foot_x").isNull(), pt("foot_x", "foot_y", F.col("frame_id") * 2)).otherwise(pt("prev_foot_x", "prev_foot_y", F.col("frame_id") * 2)))
     then = F.when(far, pt("foot_x", "foot_y", F.col("frame_id") * 2 + 1))
-    points = met.withColumn("p", F.explode(F.array_compact(F.array(first, then)))).groupBy(*T, "episode").agg(
-        F.array_sort(F.collect_list("p")).alias("p"), F.max_by("next_ts_ms", "frame_id").alias("lost_ts_ms"), F.max_by("next_frame_id", "frame_id").alias("lost_frame_id")
-    )
-    kept = F.when(F.size("p") > most, F.slice("p", -most, most)).otherwise(F.col("p"))
-    return points.select(*T, "episode", "lost_frame_id", "lost_ts_ms", F.transform(kept, lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
-
+    lost = F.struct("frame_id", "next_ts_ms", "next_frame_id")
+    points = met.withColumn("p", F.array_compact(F.array(first, then))).groupBy(*T, "episode", F.floor(F.col("frame_id") / span).alias("_span")).agg(F.flatten(F.collect_list("p")).alias("p"), F.max(lost).alias("_lost"))
+    newest = Window.partitionBy(*T, "episode").orderBy(F.col("_span").desc())
+    later = F.coalesce(F.sum(F.size("p")).over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = lambda p: F.when(F.size(p) > most, F.slice(p, -most, most)).otherwise(p)
+    some = points.withColumn("_later", later).filter(F.col("_later") < most).withColumn("p", last(F.array_sort("p")))
+    whole = some.groupBy(*T, "episode").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"), F.max("_lost").alias("_lost"))
+    return whole.select(*T, "episode", F.col("_lost.next_frame_id").alias("lost_frame_id"), F.col("_lost.next_ts_ms").alias("lost_ts_ms"), F.transform(last(F.col("p")), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))

@@ -19,6 +19,16 @@ def subscribed(events: DataFrame, streams: list[str], frames: bool = True, metri
     return events.filter((kind == "status") | ((kind == "frame") & F.lit(frames) & of_stream) | ((kind == "metrics") & F.lit(metrics)) | ((kind == "log") & F.lit(logs)))
 
 
+def to_analyse(events: DataFrame, enabled: bool = True) -> DataFrame:
+    """The events that analytics takes: those that hold a frame, while it is switched on."""
+    return events.filter(F.lit(enabled) & F.col("frame").isNotNull())
+
+
+def routed(results: DataFrame, pipes: DataFrame) -> DataFrame:
+    """Results beside the pipe of their stream; those of a stream without one are dropped."""
+    return results.join(pipes, "stream_id")
+
+
 def coalesced(events: DataFrame, batch: str, capacity: int) -> DataFrame:
     """A subscriber's queue after each batch: only the newest metrics event stays, and of the rest the newest up to capacity."""
     metrics = events.filter("kind = 'metrics'").groupBy(batch).agg(F.max("seq").alias("seq"))

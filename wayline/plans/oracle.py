@@ -321,14 +321,29 @@ ORACLE: dict[str, str] = {
     "canvas_fit": f"{_with(_OBS)} SELECT {_T}, frame_id, round(foot_x * CAST(0.625 AS DOUBLE), 6) AS canvas_x, round(foot_y * CAST(0.625 AS DOUBLE) + 75, 6) AS canvas_y FROM f",
     "client_to_frame": """SELECT event_id, CASE WHEN x BETWEEN 0 AND 800 AND y BETWEEN 75 AND 525 THEN round(x / CAST(0.625 AS DOUBLE), 6) END AS x, CASE WHEN x BETWEEN 0 AND 800 AND y BETWEEN 75 AND 525 THEN round((y - 75) / CAST(0.625 AS DOUBLE), 6) END AS y
        FROM (SELECT event_id, event_id % 900 - 50 AS x, event_id * 7 % 700 - 50 AS y FROM events)""",
-    "socket_targets": "SELECT * FROM (VALUES ('unix:///run/a.sock', 'unix:/run/a.sock'), ('unix:/run/b.sock', 'unix:/run/b.sock'), ('localhost:50051', 'localhost:50051')) t(address, target)",
+    "socket_targets": """SELECT CASE c_custkey % 3 WHEN 0 THEN concat('unix:///run/', k, '.sock') WHEN 1 THEN concat('unix:/run/', k, '.sock') ELSE concat('host', k, ':50051') END AS address,
+       CASE WHEN c_custkey % 3 < 2 THEN concat('unix:/run/', k, '.sock') ELSE concat('host', k, ':50051') END AS target FROM (SELECT c_custkey, CAST(c_custkey AS STRING) AS k FROM customer)""",
+    "boxes_shown": f"""{_with(_OBS)} SELECT {_T}, frame_id, round(x * CAST(0.625 AS DOUBLE), 6) AS x, round(y * CAST(0.625 AS DOUBLE) + 75, 6) AS y, round(w * CAST(0.625 AS DOUBLE), 6) AS w, round(h * CAST(0.625 AS DOUBLE), 6) AS h FROM obs""",
     "stream_urls": f"""{_with(_OBS)} SELECT stream_id, profile, concat('http://runner:8080/streams/', stream_id, '/', profile, '/snapshot.jpg') AS snapshot_url, concat('http://runner:8080/streams/', stream_id, '/', profile, '/mjpeg') AS mjpeg_url,
        concat('http://runner:8080/webrtc/', stream_id, '/', profile, '/offer') AS offer_url, concat('http://runner:8080/streams/', stream_id, '/', profile, '/meta.json') AS meta_url, stream_id <> 'cam1' AS webrtc_available
        FROM (SELECT DISTINCT stream_id, profile FROM obs)""",
     "frame_meta_json": f"{_with(_OBS)} SELECT stream_id, frame_id, CAST(max(width) AS BIGINT) AS w, COUNT(*) AS tracks FROM obs GROUP BY ALL",
-    "replica_expand": "SELECT * FROM (VALUES ('cam0', 0, 'custom_0'), ('cam0', 1, 'cam0_1'), ('cam0', 2, 'cam0_2'), ('cam1', 0, 'cam1'), ('cam2', 0, 'cam2_0'), ('cam2', 1, 'cam2_1')) t(source_id, replica, stream_id)",
+    "replica_expand": """SELECT concat('s', k) AS source_id, CAST(i AS INT) AS replica, CASE WHEN c_custkey % 5 = 0 AND i = 0 THEN concat('own', k) WHEN c_custkey % 4 <= 1 THEN concat('s', k) ELSE concat('s', k, '_', CAST(i AS STRING)) END AS stream_id
+       FROM (SELECT c_custkey, CAST(c_custkey AS STRING) AS k FROM customer), range(4) r(i) WHERE i < GREATEST(c_custkey % 4, 1)""",
     "thread_budget": """SELECT *, 3 * streams + detectors * detector_threads + recognizers + anonymizers + 1 AS threads, 3 * streams + detectors * detector_threads + recognizers + anonymizers + 1 <= cores AS admitted
-       FROM (VALUES (2, 4, 2, 1, 2, 32), (4, 8, 4, 2, 4, 16)) t(streams, detectors, detector_threads, recognizers, anonymizers, cores)""",
+       FROM (SELECT c_custkey, CAST(c_custkey % 5 + 1 AS INT) AS streams, CAST(c_custkey % 4 + 1 AS INT) AS detectors, CAST(c_custkey % 3 + 1 AS INT) AS detector_threads, CAST(c_custkey % 2 AS INT) AS recognizers, CAST(c_custkey % 7 + 1 AS INT) AS anonymizers, CAST(c_custkey % 61 + 4 AS INT) AS cores FROM customer)""",
+    "streams_sorted": f"{_with(_OBS)} SELECT DISTINCT stream_id, profile FROM obs",
+    "telemetry_guard": f"{_with(_TELE)} SELECT seq, stream_id, value FROM tele WHERE kind = 'frame'",
+    "results_routed": f"""{_with(_OBS)} SELECT stream_id, event_id, first_frame_id FROM (SELECT concat('cam', CAST(event_id % 4 AS STRING)) AS stream_id, event_id FROM events) JOIN (SELECT stream_id, min(frame_id) AS first_frame_id FROM obs GROUP BY ALL) USING (stream_id)""",
+    "stream_stage_json": f"""{_with(_TELE)}, b AS (SELECT [50, 100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000, 100000, 250000, 500000, 1000000, 2500000, 5000000, 10000000] AS bounds),
+       h AS (SELECT stream_id, stage, len(list_filter(bounds, lambda x: x < floor(duration_ms * 1000))) AS bucket, COUNT(*) AS n, max(duration_ms) AS most FROM stages, b GROUP BY ALL),
+       r AS (SELECT stream_id, stage, bucket, SUM(n) OVER (PARTITION BY stream_id, stage ORDER BY bucket) AS upto, SUM(n) OVER (PARTITION BY stream_id, stage) AS total, max(most) OVER (PARTITION BY stream_id, stage) AS most FROM h),
+       v AS (SELECT stream_id, stage, bucket, upto, total, CASE WHEN bucket < 17 THEN bounds[CAST(bucket + 1 AS INT)] / CAST(1000 AS DOUBLE) ELSE most END AS bound FROM r, b),
+       p AS (SELECT stream_id, stage, round(arg_min(bound, bucket) FILTER (upto * 100 >= total * 50), 3) AS p50_ms, round(arg_min(bound, bucket) FILTER (upto * 100 >= total * 95), 3) AS p95_ms, round(arg_min(bound, bucket) FILTER (upto * 100 >= total * 99), 3) AS p99_ms FROM v GROUP BY ALL),
+       m AS (SELECT stream_id, stage, COUNT(*) AS count, CAST(SUM(CAST(failed AS INT)) AS BIGINT) AS errors, round(COUNT(*) / CAST(100 AS DOUBLE), 3) AS fps, round(avg(duration_ms), 3) AS avg_ms, round(min(duration_ms), 3) AS min_ms, round(max(duration_ms), 3) AS max_ms FROM stages GROUP BY ALL)
+       SELECT stream_id, stage, count, errors, fps, avg_ms, p50_ms, p95_ms, p99_ms, min_ms, max_ms FROM m JOIN p USING (stream_id, stage)""",
+    "snapshots_streamed": f"{_with(_OBS, _SNAPS, recursive=True)} SELECT stream_id, profile, frame_id, ts_ms, active, unique_tracks FROM shot",
+    "events_stored": f"{_with(_OBS)} SELECT {_T}, frame_id, ts_ms, row_number() OVER (ORDER BY frame_id % 3, ts_ms, stream_id, track_id) AS id FROM obs",
     "side_and_overlap": f"""{_with(_OBS)} SELECT {_T}, frame_id, round(1280 * foot_y - 720 * foot_x, 3) AS side,
        round(CASE WHEN ov > 0 THEN ov / (w * h + 120000 - ov) ELSE 0 END, 6) AS iou,
        CAST(LEAST(floor(LEAST(GREATEST(foot_y, 0), height - 1e-6) / height * 36), 35) * 64 + LEAST(floor(LEAST(GREATEST(foot_x, 0), width - 1e-6) / width * 64), 63) AS BIGINT) AS cell,

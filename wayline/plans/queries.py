@@ -12,6 +12,8 @@ from wayline.functions import geometry as G
 from wayline.operators import analytics as A
 from wayline.operators import arrivals, detect, pipeline_metrics, rule_history, scene_grid, store, telemetry, tracking
 from wayline.sources import fixtures as X
+from wayline.sources import shared
+from wayline.streaming import sink, stateful
 
 P, T = A.P, A.T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,8 +514,18 @@ def client_to_frame(spark, d):
 
 @query
 def socket_targets(spark, d):
-    rows = [("unix:///run/a.sock",), ("unix:/run/b.sock",), ("localhost:50051",)]
-    return spark.createDataFrame(rows, "address string").select("address", D.socket_target(F.col("address")).alias("target"))
+    """Addresses of three forms, one for each customer."""
+    name = F.col("c_custkey").cast("string")
+    forms = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("unix:///run/"), name, F.lit(".sock"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("unix:/run/"), name, F.lit(".sock"))).otherwise(F.concat(F.lit("host"), name, F.lit(":50051")))
+    return X.customers(spark, d).select(forms.alias("address")).select("address", D.socket_target(F.col("address")).alias("target"))
+
+
+@query
+def boxes_shown(spark, d):
+    """Boxes as rectangles of a canvas."""
+    o = X.track_obs(spark, d)
+    box = D.shown(tuple(F.col(c) for c in "xywh"), F.col("width"), F.col("height"), F.lit(800.0), F.lit(600.0))
+    return _to6(o.select(*T, "frame_id", box.alias("b")).select(*T, "frame_id", "b.*"), *"xywh")
 
 
 @query
@@ -531,14 +543,70 @@ def frame_meta_json(spark, d):
 
 @query
 def replica_expand(spark, d):
-    rows = [("cam0", 3, ["custom_0"]), ("cam1", 1, []), ("cam2", 2, None)]
-    return D.replicas(spark.createDataFrame(rows, "stream_id string, count int, ids array<string>"))
+    """A stream for each customer, with up to three copies, some of them named."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("s"), k.cast("string"))
+    ids = F.when(k % 5 == 0, F.array(F.concat(F.lit("own"), k.cast("string")))).when(k % 5 == 1, F.array().cast("array<string>"))
+    return D.replicas(X.customers(spark, d).select(name.alias("stream_id"), (k % 4).cast("int").alias("count"), ids.alias("ids")))
 
 
 @query
 def thread_budget(spark, d):
-    rows = [(2, 4, 2, 1, 2, 32), (4, 8, 4, 2, 4, 16)]
-    return D.threads_needed(spark.createDataFrame(rows, "streams int, detectors int, detector_threads int, recognizers int, anonymizers int, cores int"))
+    """A set of workers for each customer."""
+    k = F.col("c_custkey")
+    n = lambda m, off: (k % m + off).cast("int")
+    return D.threads_needed(X.customers(spark, d).select("c_custkey", n(5, 1).alias("streams"), n(4, 1).alias("detectors"), n(3, 1).alias("detector_threads"), n(2, 0).alias("recognizers"), n(7, 1).alias("anonymizers"), n(61, 4).alias("cores")))
+
+
+@query
+def streams_sorted(spark, d):
+    return X.track_obs(spark, d).select(*P).distinct().orderBy(*P)
+
+
+@query
+def telemetry_guard(spark, d):
+    """Events that hold a frame, of those that hold one payload of four."""
+    t = _telemetry(spark, d)
+    held = t.select("seq", "stream_id", *[F.when(F.col("kind") == k, F.struct("value")).alias(k) for k in ("frame", "metrics", "status", "log")])
+    return telemetry.to_analyse(held).select("seq", "stream_id", F.col("frame.value").alias("value"))
+
+
+@query
+def results_routed(spark, d):
+    """Results of four streams, of which three have a pipe."""
+    e = X.events(spark, d).select(F.concat(F.lit("cam"), (F.col("event_id") % 4).cast("string")).alias("stream_id"), "event_id")
+    pipes = X.track_obs(spark, d).groupBy("stream_id").agg(F.min("frame_id").alias("first_frame_id"))
+    return telemetry.routed(e, pipes)
+
+
+@query
+def stream_stage_json(spark, d):
+    """Each stream's object of stages, told apart again."""
+    stages = X.stages(spark, d)
+    told = pipeline_metrics.stream_json(pipeline_metrics.stage_metrics(stages, 100.0), pipeline_metrics.stage_percentiles(stages, by=("stage", "stream_id")))
+    field = "struct<" + ", ".join(f"{f}: {'bigint' if f in ('count', 'errors') else 'double'}" for f in pipeline_metrics.FIELDS) + ">"
+    return told.select("stream_id", F.explode(F.from_json("json", f"map<string, {field}>")).alias("stage", "m")).select("stream_id", "stage", "m.*")
+
+
+@query
+def snapshots_streamed(spark, d):
+    """Snapshots by a stream with state over the observations, written as files first."""
+    where = shared.folder(spark, "snapshots")
+    obs = X.track_obs(spark, d)
+    obs.write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(obs.schema).parquet(f"{where}/in")
+    stateful.snapshots(stream).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stateful.SNAPSHOTS).parquet(f"{where}/out").select(*P, "frame_id", "ts_ms", "active", "unique_tracks")
+
+
+@query
+def events_stored(spark, d):
+    """Observations as events in three batches of one sink, the second of them twice: ids run on."""
+    obs = X.track_obs(spark, d).select(*T, "frame_id", "ts_ms")
+    stored = sink.FrameRecords(shared.folder(spark, "records"), {"events": lambda b: b, "sizes": lambda b: b.groupBy(*P).agg(F.count("*").alias("n"))}, order=("ts_ms", "stream_id", "track_id"))
+    for n in (0, 1, 1, 2):
+        stored.write(obs.filter(F.col("frame_id") % 3 == n), n)
+    return stored.table(spark, "events")
 
 
 @query

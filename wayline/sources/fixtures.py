@@ -124,6 +124,10 @@ def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tensor", data.alias("data"), pick(2, 2, 3, 1).alias("dims"), pick(F.lit(6), n, F.lit(6), n * 6).alias("w"), pick(n, F.lit(6), half, F.lit(1)).alias("h"), pick(1, 1, 2, 1).alias("c"), F.when(layout == 2, half * 6 + 4).alias("channel_step"), F.col("rows")["event_id"].alias("event_ids"))
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+
+
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Durations of pipeline stages in ms; every hundredth is scaled up past the last bucket."""
     slow = F.when(F.col("event_id") % 100 == 0, 100.0).otherwise(1.0)
