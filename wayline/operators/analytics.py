@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import geometry as G
 from wayline.functions import rule_json as R
-from wayline.operators.sequence import SPAN, gated, with_previous, with_running, with_running_sum
+from wayline.operators.sequence import SPAN, dealt, gated, with_previous, with_running, with_running_sum
 from wayline.operators.stays import stay_events
 
 P = ["stream_id", "profile"]
@@ -26,15 +26,14 @@ def frames(obs: DataFrame, span: int = SPAN) -> DataFrame:
     ids: windows work within a span, and one row per span carries over what the next one needs, so a busy stream is no busy task.
     """
     seen = obs.groupBy(*P, "frame_id").agg(F.max("pts_ns").alias("pts_ns"), F.max("ts_ms").alias("ts_ms"), F.max("width").alias("width"), F.max("height").alias("height"))
-    spanned = seen.withColumn("_span", F.floor(F.col("frame_id") / span))
+    spanned = dealt(seen.withColumn("id", F.col("frame_id")), P, "frame_id", span)
     order = Window.partitionBy(*P, "_span").orderBy("frame_id")
-    row = F.struct("pts_ns", "ts_ms", "frame_id")
 
     def delta(now: Column, before: Column) -> Column:
         pts, ts = now["pts_ns"] - before["pts_ns"], now["ts_ms"] - before["ts_ms"]
         return F.least(F.when(pts > 0, pts.cast("double") / 1e9).when(ts > 0, ts.cast("double") / 1e3).otherwise(0.0), F.lit(1.0))
 
-    near = spanned.withColumns({"_row": row, "_before": F.lag(row).over(order), "_after": F.lead(row).over(order), "_place": F.row_number().over(order)})
+    near = spanned.withColumns({"_before": F.lag("_row").over(order), "_after": F.lead("_row").over(order), "_place": F.row_number().over(order)})
     near = near.withColumn("_delta", F.when(F.col("_before").isNotNull(), delta(F.col("_row"), F.col("_before"))))
     near = near.withColumn("_run", F.coalesce(F.sum("_delta").over(order), F.lit(0.0)))
     spans = near.groupBy(*P, "_span").agg(F.min_by("_row", "frame_id").alias("_first"), F.max_by("_row", "frame_id").alias("_last"), F.max("_place").alias("_n"), F.max("_run").alias("_sum"))
@@ -46,9 +45,9 @@ def frames(obs: DataFrame, span: int = SPAN) -> DataFrame:
         (F.coalesce(F.sum(F.col("_sum") + F.col("_gap")).over(upto), F.lit(0.0)) + F.col("_gap")).alias("_s0"),
     )
     met = near.join(carried, [*P, "_span"])
-    before, after = F.coalesce("_before", "_ahead"), F.coalesce("_after", "_behind")
+    before, after, row = F.coalesce("_before", "_ahead"), F.coalesce("_after", "_behind"), F.col("_row")
     return met.select(
-        *P, "frame_id", "pts_ns", "ts_ms", "width", "height", before["frame_id"].alias("prev_frame_id"), after["frame_id"].alias("next_frame_id"), after["ts_ms"].alias("next_ts_ms"),
+        *P, "frame_id", *[row[c].alias(c) for c in ("pts_ns", "ts_ms", "width", "height")], before["id"].alias("prev_frame_id"), after["id"].alias("next_frame_id"), after["ts_ms"].alias("next_ts_ms"),
         F.coalesce("_delta", "_gap").alias("delta_s"), (F.col("_run") + F.col("_s0")).alias("clock_s"), (F.col("_place") + F.col("_n0")).alias("frame_no"),
     )
 

@@ -16,34 +16,48 @@ from pyspark.sql import functions as F
 SPAN = 4096
 
 
-def _spanned(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn("_span", F.floor(F.col(order) / span))
+def dealt(df: DataFrame, keys: list[str], order: str, span: int, **values: Column) -> DataFrame:
+    """Rows dealt out by key and span: (keys, order, _span, values, _row), _row being all other columns as one.
+
+    What works within spans and what carries over from span to span read this one exchange: as both take whole rows, Spark plans it once.
+    The span is never null, so that no filter is put under one of the two only.
+    """
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(True).alias("_none"))
+    at = F.coalesce(F.floor(F.col(order) / span), F.lit(0).cast("bigint")).alias("_span")
+    return df.select(*keys, order, at, *[v.alias(k) for k, v in values.items()], row.alias("_row")).repartition(*keys, "_span")
+
+
+def _columns(df: DataFrame, keys: list[str], order: str, but: Iterable[str] = ()) -> list[Column]:
+    """The columns of df out of its dealt rows."""
+    return [F.col(c) if c in keys or c == order else F.col("_row")[c].alias(c) for c in df.columns if c not in but]
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, columns: list[str], prefix: str = "prev_", span: int = SPAN, following: tuple[str, ...] = ()) -> DataFrame:
     """Adds prev_<c>: column c of the row before, by order, among rows of equal keys, and next_<c> of the row after; null where there is none."""
-    spanned = _spanned(df, order, span)
-    row, after = F.struct(*columns), F.struct(*following)
+    spanned = dealt(df, keys, order, span)
+    row = F.struct(order, "_row")
     within = Window.partitionBy(*keys, "_span").orderBy(order)
-    ends = spanned.groupBy(*keys, "_span").agg(F.max_by(row, F.col(order)).alias("_last"), *([F.min_by(after, F.col(order)).alias("_first")] if following else []))
+    ends = spanned.groupBy(*keys, "_span").agg(F.max_by(row, F.col(order)).alias("_last"), *([F.min_by(row, F.col(order)).alias("_first")] if following else []))
     across = Window.partitionBy(*keys).orderBy("_span")
     carried = ends.select(*keys, "_span", F.lag("_last").over(across).alias("_carried"), *([F.lead("_first").over(across).alias("_coming")] if following else []))
-    near = {"_before": F.lag(row).over(within)} | ({"_after": F.lead(after).over(within)} if following else {})
+    near = {"_before": F.lag(row).over(within)} | ({"_after": F.lead(row).over(within)} if following else {})
     met = spanned.withColumns(near).join(carried, [*keys, "_span"])
     before, then = F.coalesce("_before", "_carried"), F.coalesce("_after", "_coming") if following else None
-    return met.select(*df.columns, *[before[c].alias(prefix + c) for c in columns], *[then[c].alias("next_" + c) for c in following])
+    of = lambda side, c: side[c] if c == order else side["_row"][c]
+    return met.select(*_columns(df, keys, order), *[of(before, c).alias(prefix + c) for c in columns], *[of(then, c).alias("next_" + c) for c in following])
 
 
 def with_running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, of=F.sum, none: object = 0, span: int = SPAN) -> DataFrame:
     """Adds `of` (a sum, a maximum) over the rows of equal keys up to and with this one; `none` is what a key has before its first span."""
-    spanned = _spanned(df.withColumn("_value", value), order, span)
-    parts = spanned.groupBy(*keys, "_span").agg(of("_value").alias("_part"))
+    spanned = dealt(df, keys, order, span, _value=value)
+    parts = spanned.groupBy(*keys, "_span").agg(of("_value").alias("_part"), F.max_by("_row", order).alias("_whole"))
     over = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select(*keys, "_span", F.coalesce(of("_part").over(over), F.lit(none)).alias("_carried"))
+    carried = parts.filter("_whole is not null").select(*keys, "_span", F.coalesce(of("_part").over(over), F.lit(none)).alias("_carried"))
     within = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     met = spanned.withColumn("_run", of("_value").over(within)).join(carried, [*keys, "_span"])
     both = F.greatest("_run", "_carried") if of is F.max else F.col("_run") + F.col("_carried")
-    return met.select(*df.columns, both.alias(name))
+    return met.select(*_columns(df, keys, order), both.alias(name))
 
 
 def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, span: int = SPAN) -> DataFrame:
@@ -53,13 +67,13 @@ def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column,
 
 def with_last(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], inclusive: bool = True, span: int = SPAN) -> DataFrame:
     """Adds, by name, the last value that isn't null among the rows of equal keys up to this one (with it, if inclusive); a name may be that of a column."""
-    spanned = _spanned(df.select(*[F.col(c) if c not in values else F.col(c).alias(f"_own_{c}") for c in df.columns], *[v.alias(f"_v_{c}") for c, v in values.items()]), order, span)
-    ends = spanned.groupBy(*keys, "_span").agg(*[F.max_by(F.col(f"_v_{c}"), F.when(F.col(f"_v_{c}").isNotNull(), F.col(order))).alias(f"_e_{c}") for c in values])
+    spanned = dealt(df, keys, order, span, **{f"_v_{c}": v for c, v in values.items()})
+    ends = spanned.groupBy(*keys, "_span").agg(F.max_by("_row", order).alias("_whole"), *[F.max_by(F.col(f"_v_{c}"), F.when(F.col(f"_v_{c}").isNotNull(), F.col(order))).alias(f"_e_{c}") for c in values])
     over = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_span", *[F.last(f"_e_{c}", ignorenulls=True).over(over).alias(f"_c_{c}") for c in values])
+    carried = ends.filter("_whole is not null").select(*keys, "_span", *[F.last(f"_e_{c}", ignorenulls=True).over(over).alias(f"_c_{c}") for c in values])
     within = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     near = spanned.withColumns({f"_l_{c}": F.last(f"_v_{c}", ignorenulls=True).over(within) for c in values}).join(carried, [*keys, "_span"])
-    return near.select(*[c for c in df.columns if c not in values], *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(c) for c in values])
+    return near.select(*_columns(df, keys, order, values), *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(c) for c in values])
 
 
 def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:

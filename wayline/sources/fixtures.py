@@ -26,7 +26,7 @@ def track_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = F.col("frame_id") * 200_000_000 + F.floor(F.col("event_id") / 1000) * 3_000_000_000
     ev = F.col("event_id")
     return last.withColumn("pts_ns", pts).select(
-        "stream_id", F.lit("ui").alias("profile"), "frame_id", "pts_ns", (F.lit(1_704_067_200_000) + F.floor(F.col("pts_ns") / 1_000_000)).alias("ts_ms"),
+        "stream_id", F.when(F.col("event_id").isNotNull(), "ui").alias("profile"), "frame_id", "pts_ns", (F.lit(1_704_067_200_000) + F.floor(F.col("pts_ns") / 1_000_000)).alias("ts_ms"),
         F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "track_id",
         ((ev * 7919) % 1240).cast("double").alias("x"), ((ev * 104729) % 640).cast("double").alias("y"),
         (20 + F.col("user_id") % 60).cast("double").alias("w"), (40 + ev % 120).cast("double").alias("h"), ((30 + ev % 70).cast("double") / 100).alias("score"),
