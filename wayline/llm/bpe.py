@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from wayline.llm.bytetext import slices
-from wayline.llm.common import small_batches
+from wayline.llm.common import giving_back, small_batches
 from wayline.llm.pieces import PLAIN, Remembered, byte_symbols, in_symbols, library, plain_pattern, sent
 
 #: Words whose ids, pairs of tokens whose stand, and steps of states, a worker remembers from one batch to the next.
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
         for batch in slices(batches, BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoder.encode(batch.column("text").to_pylist()), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(encoded, "doc_id bigint, ids binary")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(giving_back(encoded), "doc_id bigint, ids binary")
 
 
 def token_names(file_json: str) -> dict[int, str]:
@@ -269,4 +269,4 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
             ids = encoder.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([text_of_ids(x, names) for x in ids], pa.string())], names=["doc_id", "ids", "text"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(both, "doc_id bigint, ids binary, text string")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(giving_back(both), "doc_id bigint, ids binary, text string")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import settle
+from wayline.llm.common import giving_back, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def map_runs(dealt: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table |
         if table.num_rows > 1 and (made := work(table.combine_chunks(), starts)) is not None and made.num_rows:
             yield from made.cast(arrow).combine_chunks().to_batches()
 
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(grouped, schema)
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(giving_back(grouped), schema)
 
 
 def map_groups(dealt: DataFrame, work: Callable[[pa.Table], pa.Table | None], schema: str, arrow: pa.Schema) -> DataFrame:

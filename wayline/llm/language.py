@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayline.llm.bytetext import joined, slices
-from wayline.llm.common import carrying, small_batches, with_text
+from wayline.llm.common import carrying, giving_back, small_batches, with_text
 from wayline.llm.samples import some_rows, texts_of
 
 UND = "und"
@@ -210,4 +210,4 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             )
 
     given = carrying(docs, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("speaks"))
-    return given.mapInArrow(labels, given.select("row", "doc_id").schema.add("lang_pred", "string").add("score", "double").add("labelled", T.ArrayType(T.LongType())))
+    return given.mapInArrow(giving_back(labels), given.select("row", "doc_id").schema.add("lang_pred", "string").add("score", "double").add("labelled", T.ArrayType(T.LongType())))

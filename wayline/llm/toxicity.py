@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 from wayline.llm.bytetext import joined, mixed, slices, within, word_hashes
-from wayline.llm.common import carrying, small_batches, with_text
+from wayline.llm.common import carrying, giving_back, small_batches, with_text
 from wayline.llm.samples import labelled
 
 BITS = 20
@@ -85,7 +85,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = MOST_
     """Fits on at most `most` labelled rows that `allowed` admits; tasks make their features, the driver gets coordinates only."""
     small_batches(docs.sparkSession)
     sample = labelled(docs, labels, "toxic", allowed, most).selectExpr("cast(doc_id as bigint) as doc_id", "label", "text")
-    got = sample.mapInArrow(_featurise, "doc_id bigint, label int, at array<int>").toArrow()
+    got = sample.mapInArrow(giving_back(_featurise), "doc_id bigint, label int, at array<int>").toArrow()
     order, rows = pc.sort_indices(got, [("doc_id", "ascending"), ("label", "ascending")]).to_numpy(), got.column("at")
     return fit([rows[i].values.to_numpy() for i in order], got.column("label").to_numpy()[order].astype(float), **how)
 
@@ -108,4 +108,4 @@ def score(docs: DataFrame, model: Weights) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["row", "doc_id", "score"])
 
     given = carrying(docs)
-    return given.mapInArrow(scored, given.select("row", "doc_id").schema.add("score", "double"))
+    return given.mapInArrow(giving_back(scored), given.select("row", "doc_id").schema.add("score", "double"))
