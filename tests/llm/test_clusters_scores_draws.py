@@ -164,7 +164,7 @@ def test_counts_by_brute_force_with_few_known_words(spark, odd, monkeypatch):
         assert parts == tokens(t)
         counts.update(maxent.key_of(w) for w in parts)
     known = maxent.lexicon(spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n bigint"))
-    assert known.tokens == sum(counts.values()) and known.types == len(counts) and len(known.known) == 20
+    assert known.tokens == sum(counts.values()) and known.types == len(counts) and 10 < len(known.known) <= 20
     assert known.slot_tokens.sum() == known.tokens and known.slot_types.sum() == known.types
     placer = maxent.Placer(known)
     n, k, base, own, streams, rare = placer.place([(t or "").encode() for _, t in texts])
@@ -176,6 +176,15 @@ def test_counts_by_brute_force_with_few_known_words(spark, odd, monkeypatch):
         assert np.isclose(base[j] + sum(r["n"] * math.log10((counts[r["word"]] + 1) / most) for r in rare[j]), sum(math.log10((counts[w] + 1) / most) for w in want))
 
 
+@pytest.mark.parametrize("most", [0, 3, 40, 10_000])
+def test_frequent_words_are_a_bounded_head(spark, most):
+    counts = Counter({f"w{i}".encode(): 4000 // (i + 1) + 1 for i in range(3000)})
+    got = maxent.frequent(spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n bigint"), most)
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert got == want[: len(got)] and len(got) <= most
+    assert len(got) == len(want) if most >= len(want) else most == 0 or len(got) >= most / 2
+
+
 def test_language_model_of_odd_rows(spark, odd):
     model = maxent.learn(odd, F.col("doc_id") != 7)
     rows = maxent.scores(model).collect()

@@ -13,7 +13,7 @@ gradient steps on their texts from the shared weights; how far they moved a row,
 in a shuffle, and the driver adds the means, 2**ROW_BITS rows at any size of the corpus. Texts are cut into words once for that and for scoring:
 their slots are written as packed 16-bit streams.
 
-Counts of the KNOWN most frequent words are sent to the tasks: a bounded list of words of at most 33 bytes, as longer ones go by their
+Counts of the up to KNOWN most frequent words are sent to the tasks: a bounded list of words of at most 33 bytes, as longer ones go by their
 SHA-256. All other words meet their counts in a join, once for each document that holds them; none of these makes up more than one in KNOWN tokens, so
 no key is hot.
 
@@ -41,7 +41,7 @@ from wayline.llm.common import shared_folder, small_batches
 
 #: Slots of words of their own and shared ones; outputs of a softmax, so that WIDE classes of WIDE slots are all slots.
 OWN, SHARED, WIDE = 768, 256, 32
-#: Words whose counts are sent to the tasks, distinct words that a task counts before it passes them on, and bytes of a text that are cut at once.
+#: At most so many words have their counts sent to the tasks; distinct words that a task counts before it passes them on, and bytes of a text that are cut at once.
 KNOWN, HELD, PIECE = 50_000, 1 << 18, 1 << 22
 #: Rows of weights, and rows that are summed together.
 ROW_BITS, BLOCK = 16, 256
@@ -155,10 +155,27 @@ def slots(contexts: np.ndarray) -> np.ndarray:
     return np.where(contexts < OWN, contexts, OWN + (contexts - OWN) % SHARED)
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, as many as there are at most `most` of down to some frequency; by falling count.
+
+    How many words there are of each frequency, in 64 steps an octave, tells where to cut, so no task and no driver holds more words than that.
+    """
+    step = F.floor(F.log2("n") * 64)
+    cut, upto = None, 0
+    for r in sorted(counts.groupBy(step.alias("at")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.at):
+        upto += r.words
+        if upto > most:
+            break
+        cut = r.at
+    if cut is None:
+        return []
+    return sorted(((bytes(r.word), r.n) for r in counts.filter(step >= cut).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
-    """Totals and the most frequent words: the driver gets KNOWN words, SHARED rows of totals and two numbers."""
+    """Totals and the most frequent words: the driver gets up to KNOWN words, SHARED rows of totals and two numbers."""
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()]
+    top = frequent(counts, KNOWN)
     shared = F.pmod(F.crc32("word"), F.lit(SHARED))
     n, v = np.zeros(OWN + SHARED, np.int64), np.zeros(OWN + SHARED, np.int64)
     for r in counts.groupBy(shared.alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
