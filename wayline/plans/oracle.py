@@ -332,6 +332,10 @@ ORACLE: dict[str, str] = {
        FROM (SELECT c_custkey, CAST(c_custkey AS STRING) AS k FROM customer), range(4) r(i) WHERE i < GREATEST(c_custkey % 4, 1)""",
     "thread_budget": """SELECT *, 3 * streams + detectors * detector_threads + recognizers + anonymizers + 1 AS threads, 3 * streams + detectors * detector_threads + recognizers + anonymizers + 1 <= cores AS admitted
        FROM (SELECT c_custkey, CAST(c_custkey % 5 + 1 AS INT) AS streams, CAST(c_custkey % 4 + 1 AS INT) AS detectors, CAST(c_custkey % 3 + 1 AS INT) AS detector_threads, CAST(c_custkey % 2 AS INT) AS recognizers, CAST(c_custkey % 7 + 1 AS INT) AS anonymizers, CAST(c_custkey % 61 + 4 AS INT) AS cores FROM customer)""",
+    "config_problems": """WITH p AS (SELECT c_custkey, concat_ws(',', CASE WHEN k % 3 = 2 THEN 'primary' END, CASE WHEN k % 4 = 3 THEN 'fallback' END, CASE WHEN k % 5 = 4 THEN 'codec' END, CASE WHEN k % 11 = 0 THEN 'bitrate_kbps' END,
+       CASE WHEN k % 13 = 0 THEN 'keyframe_interval_frames' END, CASE WHEN k % 2 = 0 AND k % 6 = 0 THEN 'max_peers_per_stream' END, CASE WHEN k % 17 = 0 THEN 'session_idle_timeout_s' END,
+       CASE WHEN k * 37 % 12000 NOT BETWEEN 250 AND 10000 THEN 'ice_gathering_timeout_ms' END, CASE WHEN k % 3 = 1 AND k % 4 <> 0 THEN 'url' END, CASE WHEN k % 3 > 0 AND k % 5 = 0 THEN 'fps' END) AS problems FROM (SELECT c_custkey, c_custkey AS k FROM customer))
+       SELECT *, problems = '' AS valid FROM p""",
     "streams_sorted": f"{_with(_OBS)} SELECT DISTINCT stream_id, profile FROM obs",
     "telemetry_guard": f"{_with(_TELE)} SELECT seq, stream_id, value FROM tele WHERE kind = 'frame'",
     "results_routed": f"""{_with(_OBS)} SELECT stream_id, event_id, first_frame_id FROM (SELECT concat('cam', CAST(event_id % 4 AS STRING)) AS stream_id, event_id FROM events) JOIN (SELECT stream_id, min(frame_id) AS first_frame_id FROM obs GROUP BY ALL) USING (stream_id)""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import display as D
 from wayline.functions import geometry as G
+from wayline.functions import settings
 from wayline.operators import analytics as A
 from wayline.operators import arrivals, detect, pipeline_metrics, rule_history, scene_grid, store, telemetry, tracking
 from wayline.sources import fixtures as X
@@ -558,6 +559,19 @@ def thread_budget(spark, d):
     return D.threads_needed(X.customers(spark, d).select("c_custkey", n(5, 1).alias("streams"), n(4, 1).alias("detectors"), n(3, 1).alias("detector_threads"), n(2, 0).alias("recognizers"), n(7, 1).alias("anonymizers"), n(61, 4).alias("cores")))
 
 
+@query
+def config_problems(spark, d):
+    """Settings of a stream for each customer, some of which break their rule or aren't given."""
+    k = F.col("c_custkey")
+    of = lambda m, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % m + 1).cast("int"))
+    streams = X.customers(spark, d).select(
+        "c_custkey", of(3, "webrtc", "mjpeg", "hls").alias("primary"), of(4, "mjpeg", "none", None, "webrtc").alias("fallback"), of(5, "h264", "h264", None, "h264", "av1").alias("codec"), (k % 11 * 500).cast("int").alias("bitrate_kbps"),
+        (k % 13).cast("int").alias("keyframe_interval_frames"), F.when(k % 2 == 0, (k % 6).cast("int")).alias("max_peers_per_stream"), (k * 37 % 12_000).cast("int").alias("ice_gathering_timeout_ms"), (k % 17).cast("int").alias("session_idle_timeout_s"),
+        of(3, "file", "rtsp", "webcam").alias("type"), F.when(k % 4 == 0, "rtsp://camera").alias("url"), (k % 3).cast("int").alias("n_profiles"), F.when(k % 5 > 0, (k % 5).cast("int")).alias("fps"),
+    )
+    return settings.with_problems(streams).select("c_custkey", F.array_join("problems", ",").alias("problems"), "valid")
+
+
 @query
 def streams_sorted(spark, d):
     return X.track_obs(spark, d).select(*P).distinct().orderBy(*P)
