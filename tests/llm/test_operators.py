@@ -853,6 +853,6 @@ def test_fingerprints_of_odd_rows(odd):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_give_a_row_per_document(spark, name):
-    table = "embeddings" if name == "op6_vectors" else "documents"
+    table = "embeddings" if name in ("op6_vectors", "op11_clusters") else "documents"
     assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert Path(SF).exists()
