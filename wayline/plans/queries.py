@@ -604,13 +604,12 @@ def stream_stage_json(spark, d):
 
 @query
 def snapshots_streamed(spark, d):
-    """Snapshots by a stream with state over the observations, written as files first."""
+    """Snapshots by a stream with state over the observations, written as files of some frames a trigger first; the sink stores what is shown."""
     where = shared.folder(spark, "snapshots")
-    obs = X.track_obs(spark, d)
-    obs.write.parquet(f"{where}/in")
-    stream = spark.readStream.schema(obs.schema).parquet(f"{where}/in")
-    stateful.snapshots(stream).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stateful.SNAPSHOTS).parquet(f"{where}/out").select(*P, "frame_id", "ts_ms", "active", "unique_tracks")
+    shown = [*P, "frame_id", "ts_ms", "active", "unique_tracks"]
+    stream = stateful.in_triggers(X.track_obs(spark, d), "frame_id", where)
+    stateful.snapshots(stream).select(*shown).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stateful.SNAPSHOTS).parquet(f"{where}/out").select(*shown)
 
 
 @query
