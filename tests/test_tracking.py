@@ -211,6 +211,26 @@ def test_ways_there_and_back_are_one_route(spark):
     assert sorted(routes) == [(2, 1), (2, 3)]
 
 
+def test_a_way_meets_few_routes_however_many_there_are():
+    """Of 10,000 routes that all begin on one place, a way is compared with those that end near its own end."""
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, k):
+            self.reads += 1
+            return super().__getitem__(k)
+
+    known = K.Routes(30.0)
+    known.ends = Counted()
+    for k in range(10_000):
+        known.add(boxes((5, 5), (100 + k % 100 * 40, 100 + k // 100 * 40)), k)
+    assert len(known.points) == 10_000
+    known.ends.reads = 0
+    assert known.first_near(6, 5, 100 + 77 * 40, 100 + 50 * 40) == known.first_near(100 + 77 * 40, 100 + 50 * 40, 6, 5) == 5077
+    assert known.ends.reads < 40
+
+
 def test_polygon_of_two_corners_holds_nothing(spark):
     df = spark.sql("SELECT array(struct(0.0D AS x, 0.0D AS y), struct(10.0D AS x, 10.0D AS y)) AS p, 5.0D AS x, 5.0D AS y")
     assert df.select(G.in_polygon(df.p, df.x, df.y)).first()[0] is False

@@ -441,7 +441,10 @@ _POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
 
 class Routes:
-    """The routes of one stream, in the order in which they began, and those that begin or end in each square of the side `near`."""
+    """The routes of one stream, in the order in which they began, by the squares of the side `near` in which they begin and end.
+
+    Routes of two equal squares differ by more than near, so that such a pair of squares holds few of them, however many a stream has.
+    """
 
     def __init__(self, near: float):
         self.near = near
@@ -449,21 +452,33 @@ class Routes:
         self.points: list[np.ndarray] = []
         self.support: list[int] = []
         self.seen: list[int] = []
-        self.squares: tuple[dict, dict] = ({}, {})
+        self.squares: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = {}
+
+    def around(self, x: float, y: float) -> list[tuple[float, tuple[int, int]]]:
+        """The squares that hold points within near of this one, nearest first, with their distance from it."""
+        col, row = int(x // self.near), int(y // self.near)
+        left, top = x - col * self.near, y - row * self.near
+        across, down = ((col, 0.0), (col - 1, left), (col + 1, self.near - left)), ((row, 0.0), (row - 1, top), (row + 1, self.near - top))
+        return sorted((hypot(dx, dy), (c, r)) for c, dx in across for r, dy in down if hypot(dx, dy) <= self.near + 1e-6)
 
     def first_near(self, x1: float, y1: float, x2: float, y2: float) -> int | None:
         """The first route whose ends lie within near of these, both distances together, either way round."""
         best = None
-        col, row = int(x1 // self.near), int(y1 // self.near)
-        for turned, squares in enumerate(self.squares):
-            for square in itertools.product((col - 1, col, col + 1), (row - 1, row, row + 1)):
-                for k in squares.get(square, ()):
-                    if best is not None and k >= best:
-                        break
-                    a, b, c, d = self.ends[k]
-                    if (hypot(c - x1, d - y1) + hypot(a - x2, b - y2) if turned else hypot(a - x1, b - y1) + hypot(c - x2, d - y2)) <= self.near:
-                        best = k
+        first, last = self.around(x1, y1), self.around(x2, y2)
+        for turned, (begin, end) in enumerate(((first, last), (last, first))):
+            for far, square in begin:
+                ends = self.squares.get(square, {})
+                for further, other in end:
+                    # a hair of room for rounding
+                    if far + further > self.near + 1e-6:
                         break
+                    for k in ends.get(other, ()):
+                        if best is not None and k >= best:
+                            break
+                        a, b, c, d = self.ends[k]
+                        if (hypot(c - x1, d - y1) + hypot(a - x2, b - y2) if turned else hypot(a - x1, b - y1) + hypot(c - x2, d - y2)) <= self.near:
+                            best = k
+                            break
         return best
 
     def add(self, points: np.ndarray, ts: int) -> None:
@@ -473,8 +488,8 @@ class Routes:
             self.support[k] += 1
             self.seen[k] = ts
             return
-        for squares, x, y in zip(self.squares, ends[::2], ends[1::2], strict=True):
-            squares.setdefault((int(x // self.near), int(y // self.near)), []).append(len(self.ends))
+        begin, end = ((int(x // self.near), int(y // self.near)) for x, y in zip(ends[::2], ends[1::2], strict=True))
+        self.squares.setdefault(begin, {}).setdefault(end, []).append(len(self.ends))
         self.ends.append(ends)
         self.points.append(points)
         self.support.append(1)
