@@ -93,11 +93,16 @@ def letterbox(width: Column, height: Column, in_w: int, in_h: int) -> tuple[Colu
     return scale, pad(width, in_w), pad(height, in_h)
 
 
-def head_places(in_w: int, in_h: int, strides: tuple[int, ...] = STRIDES, anchors: int = 1) -> Column:
-    """Every anchor of a head in order: (stride, gx, gy), level by level, row by row, a place as often as it has anchors."""
-    place = lambda s, x, y: F.array_repeat(F.struct(F.lit(s).alias("stride"), x.alias("gx"), y.alias("gy")), anchors)
-    level = lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(in_h // s - 1)), lambda y: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(in_w // s - 1)), lambda x: place(s, x, y)))))
-    return F.concat(*[level(s) for s in strides])
+def head_place(anchor: Column, in_w: int, in_h: int, strides: tuple[int, ...] = STRIDES, anchors: int = 1) -> Column:
+    """Where an anchor of a head stands: (stride, gx, gy), told from its number, which counts level by level, row by row, a place as often as it has anchors; null past the last."""
+    place, begin = F.lit(None), 0
+    for s in strides:
+        cols, rows = in_w // s, in_h // s
+        at = F.floor((anchor - begin) / anchors)
+        of_level = F.struct(F.lit(s).alias("stride"), (at % cols).cast("int").alias("gx"), F.floor(at / cols).cast("int").alias("gy"))
+        place = F.when(anchor.between(begin, begin + cols * rows * anchors - 1), of_level).otherwise(place)
+        begin += cols * rows * anchors
+    return place
 
 
 def head_rows(tensors: DataFrame, values: int = 6) -> DataFrame:

@@ -455,7 +455,7 @@ def _head(spark, d, anchors: int = 1) -> DataFrame:
     """Raw rows of a detector's head, one per event, on the anchors of a 160 x 96 input in turn."""
     n = sum((160 // s) * (96 // s) for s in detect.STRIDES) * anchors
     e = X.events(spark, d).select("event_id", (F.col("event_id") % n).cast("int").alias("anchor"))
-    at = e.withColumn("p", F.get(detect.head_places(160, 96, anchors=anchors), "anchor"))
+    at = e.withColumn("p", detect.head_place(F.col("anchor"), 160, 96, anchors=anchors))
     part = lambda k, m: (F.col("event_id") * k % m).cast("double")
     return at.select(
         "event_id", F.lit(1280).alias("width"), F.lit(720).alias("height"), "p.*", (part(7, 100) / 100).alias("rx"), (part(11, 100) / 100).alias("ry"), (part(13, 30) / 10).alias("rw"), (part(17, 30) / 10).alias("rh"),
