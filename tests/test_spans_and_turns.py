@@ -340,3 +340,18 @@ def test_layouts_of_a_head(spark):
         assert got[name] == v, name
     assert got["square"] == [[float(6 * r + k) for k in range(6)] for r in range(6)]
     assert got["short"] == got["none"] == got["empty"] == []
+
+
+@pytest.mark.parametrize("anchors", [1, 2])
+def test_places_of_a_head_are_told_from_their_number(spark, anchors):
+    want = [(s, x, y) for s in (8, 16, 32) for y in range(96 // s) for x in range(160 // s) for _ in range(anchors)]
+    at = spark.range(-1, len(want) + 1).select("id", detect.head_place(F.col("id"), 160, 96, anchors=anchors).alias("p")).orderBy("id").collect()
+    assert [r.p and tuple(r.p) for r in at] == [None, *want, None]
+
+
+@pytest.mark.parametrize("name", ["yolox_decode", "yunet_decode", "scrfd_decode", "tensor_rows"])
+def test_decoding_tells_no_list_again_for_each_row(spark, name):
+    """Neither all places of a head for one of them, nor a head's outputs in a filter under their explode."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert "array_repeat(struct(stride" not in plan and not any("lambda" in line for line in filters)

@@ -464,7 +464,8 @@ def _head(spark, d, anchors: int = 1) -> DataFrame:
 
 
 def _tensor_rows(spark, d) -> DataFrame:
-    told = detect.head_rows(X.tensors(spark, d)).select("event_ids", F.posexplode("rows").alias("place", "v"))
+    # an inner explode would filter by size(rows) below it, with the data told anew for each number that rows reads of it
+    told = detect.head_rows(X.tensors(spark, d)).select("event_ids", F.posexplode_outer("rows").alias("place", "v")).filter("place is not null")
     return told.select(F.get("event_ids", "place").alias("event_id"), *[F.get("v", k).cast("double").alias(n) for k, n in enumerate(("rx", "ry", "rw", "rh", "obj", "cls"))])
 
 
