@@ -14,6 +14,8 @@ from wayline.operators import analytics as A
 from wayline.operators.sequence import gated, with_last, with_previous
 
 RULE = ["stream_id", "profile", "id"]
+#: A segment meets the versions of its bucket, those in force throughout and those that begin or end in it; the longer a bucket, the more of the latter.
+BUCKET_MS = 2000
 FIELDS = ["kind", "name", "enabled", "geometry", "settings"]
 
 
@@ -51,7 +53,7 @@ def changes_after(changes: DataFrame, at_ms: int, op: str) -> DataFrame:
     return following.filter(F.col("_c.op") == op).select(*RULE, *[F.col(f"_c.{c}").alias(c) for c in FIELDS])
 
 
-def line_candidates(obs: DataFrame, versions_: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
+def line_candidates(obs: DataFrame, versions_: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Segments that cross a line of their stream as it was at the segment's end.
 
     An as-of join by buckets of time: a version stands in each bucket in which it is in force, up to the last observation, so that
@@ -67,7 +69,7 @@ def line_candidates(obs: DataFrame, versions_: DataFrame, bucket_ms: int = 10_00
     return A.crossings(met.filter(then), "valid_from_ms")
 
 
-def line_events(obs: DataFrame, versions_: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
+def line_events(obs: DataFrame, versions_: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """The candidates that stand the gap of the version then in force after the last event of the same rule, track and direction; a change of the rule keeps that last event."""
     found = line_candidates(obs, versions_, bucket_ms)
     return gated(found, [*A.T, "rule_id", "direction"], "ts_ms", F.col("gap_ms"))
