@@ -355,3 +355,14 @@ def test_decoding_tells_no_list_again_for_each_row(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert "array_repeat(struct(stride" not in plan and not any("lambda" in line for line in filters)
+
+
+def test_segments_meet_few_versions_that_are_not_in_force(spark):
+    where = "/root/testdata/sf0.01"
+    lines = A.line_rules(rule_history.versions(X.rule_changes(spark, where)), "valid_from_ms", "valid_to_ms").collect()
+    ends = A.segments(X.track_obs(spark, where)).select("stream_id", "to_ts_ms").collect()
+    b = getattr(rule_history, "BUCKET_MS", 10_000)
+    spans = [(v.stream_id, v.valid_from_ms, v.valid_to_ms or 2**62) for v in lines]
+    met = sum(s == r.stream_id and a // b <= r.to_ts_ms // b <= (z - 1) // b for r in ends[::20] for s, a, z in spans)
+    live = sum(s == r.stream_id and a <= r.to_ts_ms < z for r in ends[::20] for s, a, z in spans)
+    assert 0 < live <= met < 2 * live
