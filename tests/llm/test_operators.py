@@ -743,6 +743,46 @@ def test_cells_hold_every_document(spark, odd, kept):
     assert np.allclose(mean, x.mean(0)) and np.allclose(scale, x.std(0) + 1e-3)
 
 
+def test_quality_learns_from_every_document_and_label(spark, odd):
+    """More positives than 5000 and hundreds of documents alike: the steps of the fit are those of all rows taken at once."""
+    rows = [(i, " ".join(["word", "And", "more!"][: 1 + i % 3] * (1 + i % 7)), i % 8 != 0) for i in range(100, 7100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").union(odd.select("doc_id", "text")).repartition(3)
+    labels = spark.createDataFrame([(i, int(good), 0) for i, _, good in rows] + [(2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    blocks = quality.points(docs, labels, F.lit(True))
+    texts = [t.encode() for _, t, _ in rows] + [(r[1] or "").encode() for r in ODD]
+    x = quality.measures(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    good = np.array([g for *_, g in rows] + [r[0] == 2 for r in ODD])
+    kind = np.concatenate([np.frombuffer(r.kind, np.uint8) for r in blocks.collect()])
+    assert len(kind) == len(x) and (kind > 0).sum() == good.sum() > 5000 and abs((kind == 1).sum() - (kind == 2).sum()) < 500
+    standard = quality.Standard(x.mean(0), x.std(0) + 1e-3)
+    rng = np.random.default_rng(5)
+    w = [rng.normal(size=(quality.MEASURES, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+    by_sigmoid, by_one, unlabelled, cost_p, cost_u = quality.slopes(blocks, w, standard, (1, 2))
+    a, g = quality.outputs(w, standard(x))
+    seen = set()
+    for prior in (0.05, 0.95):
+        parts = quality.risk_parts(cost_u / len(x) - prior * cost_p / good.sum(), prior)
+        seen.add(parts[2])
+        got = (parts[0] * by_sigmoid + parts[1] * by_one) / good.sum() + parts[2] * unlabelled / len(x)
+        of_p, of_u = quality.risk_slope(g[good], g, prior)
+        of_u[good] += of_p
+        want = quality.back(w, standard(x), a, of_u, 0.0)
+        assert np.allclose(got, np.concatenate([v.ravel() for v in want]))
+    assert len(seen) == (2 if np.mean(np.logaddexp(0, g)) < 0.95 * np.mean(np.logaddexp(0, g[good])) else 1)
+    p, u = quality.score_counts(blocks, w, standard, (1, 2))
+    assert p.sum() == good.sum() and u.sum() == len(x)
+    bins = np.floor(g * 256).astype(int) + 4096
+    assert (u == np.bincount(bins.clip(0, 8191), minlength=8192)).mean() > 0.999
+
+
+def test_quality_prior_is_what_the_counts_allow():
+    """Seven in ten of all documents are positives, which score like the labelled ones; the others score less."""
+    p, u = np.zeros(100), np.zeros(100)
+    p[50:] = 200
+    u[50:], u[:50] = 14_000, 6000
+    assert quality.estimate_prior(p, u) == pytest.approx(0.96 * 0.7, abs=0.003)
+
+
 def test_windows_come_from_all_over_a_text():
     text = bytes(range(256)) * 40
     some = language.drawn(text, 7, many=400)
