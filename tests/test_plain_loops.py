@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import random
 from collections import defaultdict
 from math import hypot, isclose
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from wayline.operators import analytics as A
@@ -192,6 +195,24 @@ def test_trackers_by_plain_loops(spark, kind, plain):
         assert all(isclose(a, b, abs_tol=1e-6) for w, m in zip(want, mine) for a, b in zip(w[2], m[2]))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_crowded_tracker_by_plain_loops(seed):
+    """Boxes that overlap several others, sure and unsure: matches are those of costs over all pairs."""
+    rng, frames = random.Random(seed), {}
+    at = [[rng.uniform(0, 150), rng.uniform(0, 100)] for _ in range(4)]
+    for frame in range(1, 40):
+        at = [[x + rng.uniform(-12, 12), y + rng.uniform(-8, 8)] for x, y in at]
+        frames[frame] = [SimpleNamespace(x=x, y=y, w=90.0, h=120.0, score=rng.choice([0.3, 0.5, 0.9])) for x, y in at if rng.random() > 0.1]
+    frames = {k: v for k, v in frames.items() if v}
+    tracker, got = K.ByteTracker(), []
+    for frame, dets in frames.items():
+        values = np.array([(d.x, d.y, d.w, d.h, d.score, 1280, 720) for d in dets])
+        got += [(r[1], r[2], r[3:7], r[7], r[8]) for r in K.tracked_rows(tracker, "cam", frame, values)]
+    want, got = sorted(plain_bytetrack(frames)), sorted(got)
+    assert [(w[0], w[1], w[3], w[4]) for w in want] == [(g[0], g[1], g[3], g[4]) for g in got] and tracker.next_id > 4
+    assert all(isclose(a, b, abs_tol=1e-6) for w, g in zip(want, got) for a, b in zip(w[2], g[2]))
+
+
 def test_assignment_by_plain_loops(spark):
     pairs = defaultdict(list)
     for r in detect.iou_pairs(*(d for d in (X.crowded(spark, SF).withColumn("frame_id", X.F.col("frame_id") + 1), X.crowded(spark, SF)))).collect():

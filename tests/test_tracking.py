@@ -139,6 +139,28 @@ def test_tracked_table_uses_the_grid_after_its_warm_up(spark, frames, same_cell)
     assert (first.x > 0.01) == same_cell and (first.y > 140.01) != same_cell
 
 
+def test_lanes_need_hardly_any_assignment(monkeypatch):
+    """Boxes that overlap their own track only are matched without costs, also after frames in which they were missing."""
+    calls, plain = [], K.assign
+    monkeypatch.setattr(K, "assign", lambda cost: calls.append(cost.shape) or plain(cost))
+    t = K.ByteTracker()
+    for frame in range(1, 301):
+        seen = [k for k in range(6) if (frame + 5 * k) % 11]
+        shown = t.update(frame, boxes(*((k * 200 + 40 * np.sin(frame / 10), 100 * k, 80, 90) for k in seen)), np.full(len(seen), 0.9), 1280, 720)
+        assert [i for i, *_ in shown] == [t.id for t in t.tracks if not t.lost]
+    assert not calls and t.next_id == 7
+
+
+def test_touching_boxes_are_all_pairs_that_overlap():
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 3), (3, 0), (1, 1), (30, 40)):
+        a, b = (np.column_stack([rng.uniform(0, 300, (k, 2)), rng.uniform(1, 120, (k, 2))]) for k in (n, m))
+        iou = np.zeros((n, m))
+        for i, j, v in K.touching(a.tolist(), b.tolist()):
+            iou[i, j] = v
+        assert np.allclose(iou, K.overlap(a, b))
+
+
 def test_track_grows_with_its_detection():
     t = K.ByteTracker(iou=0.1)
     t.update(1, boxes((100, 100, 80, 180)), np.array([0.9]))

@@ -7,8 +7,10 @@ tracks, its routes), never the stream. Streams are the unit of parallel work, as
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, replace
+from functools import partial
 from math import hypot
 
 import numpy as np
@@ -51,43 +53,71 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str], values: list[str])
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of every box (x, y, w, h) in a with every one in b."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, :2] + a[:, None, 2:], b[None, :, :2] + b[None, :, 2:])
-    both = np.clip(high - low, 0, None).prod(2)
-    area = lambda z: np.clip(z[:, 2:], 0, None).prod(1)
-    either = area(a)[:, None] + area(b)[None, :] - both
-    return np.where((both > 0) & (either > 0), both / np.where(either > 0, either, 1), 0.0)
+    sizes = np.minimum((a[:, :2] + a[:, 2:])[:, None], b[:, :2] + b[:, 2:])
+    sizes -= np.maximum(a[:, None, :2], b[:, :2])
+    np.maximum(sizes, 0, out=sizes)
+    both = sizes[..., 0] * sizes[..., 1]
+    if not both.any():
+        return both
+    of_a, of_b = np.maximum(a[:, 2:], 0), np.maximum(b[:, 2:], 0)
+    either = (of_a[:, 0] * of_a[:, 1])[:, None] + of_b[:, 0] * of_b[:, 1] - both
+    return np.divide(both, either, out=np.zeros(both.shape), where=(both > 0) & (either > 0))
 
 
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """The matching of least total cost of a rectangular matrix: rows join one by one along the shortest alternating path."""
+def cheapest(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matching of least total cost of a rectangular matrix, as rows in ascending order and their columns: rows join one by one along the shortest alternating path.
+
+    As long as each row's cheapest column is free, that path is one step.
+    """
     if cost.shape[0] > cost.shape[1]:
-        return sorted((i, j) for j, i in assign(cost.T))
+        cols, rows = cheapest(cost.T)
+        order = rows.argsort()
+        return rows[order], cols[order]
     n, m = cost.shape
+    first = cost.argmin(1)
+    wanted, taken = first.tolist(), set()
+    for begin, j in enumerate(wanted):
+        if j in taken:
+            break
+        taken.add(j)
+    else:
+        return np.arange(n), first
     price, owner = np.zeros(m), np.full(m, -1)
     gain = np.zeros(n)
-    for row in range(n):
+    owner[first[:begin]], gain[:begin] = np.arange(begin), cost[np.arange(begin), first[:begin]]
+    for row in range(begin, n):
         reach, parent, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
         at, far, via = row, 0.0, -1
         while True:
             way = far + cost[at] - gain[at] - price
             better = ~done & (way < reach)
             reach[better], parent[better] = way[better], via
-            via = int(np.argmin(np.where(done, np.inf, reach)))
+            via = int(np.where(done, np.inf, reach).argmin())
             far = reach[via]
             done[via] = True
             if owner[via] < 0:
                 break
             at = owner[via]
         gain[row] += far
-        for j in np.flatnonzero(done):
-            price[j] += reach[j] - far
-            if owner[j] >= 0:
-                gain[owner[j]] += far - reach[j]
+        some = done.nonzero()[0]
+        back = far - reach[some]
+        price[some] -= back
+        held = owner[some] >= 0
+        gain[owner[some[held]]] += back[held]
         while via >= 0:
             before = parent[via]
             owner[via] = owner[before] if before >= 0 else row
             via = before
-    return sorted((int(owner[j]), int(j)) for j in np.flatnonzero(owner >= 0))
+    cols = (owner >= 0).nonzero()[0]
+    rows = owner[cols]
+    order = rows.argsort()
+    return rows[order], cols[order]
+
+
+def assign(cost: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of the matching of least total cost."""
+    rows, cols = cheapest(cost)
+    return list(zip(rows.tolist(), cols.tolist(), strict=True))
 
 
 def matched(cost: np.ndarray, iou: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
@@ -131,75 +161,81 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 #: Weights of a box's height in the motion model's uncertainty of place and speed; fixed values.
 PLACE, SPEED = 1 / 20, 1 / 160
-_MOVE = np.eye(8) + np.eye(8, k=4)
+#: Variances that the aspect has instead: of its place and speed in a frame, and of a detection's.
+_ASPECT, _ASPECT_SEEN = (1e-2**2, 1e-5**2), 1e-1**2
 
 
-def _diagonal(h: np.ndarray, place: float, speed: float) -> np.ndarray:
-    p, v, one = place * PLACE * h, speed * SPEED * h, np.ones_like(h)
-    return np.square(np.stack([p, p, 1e-2 * one, p, v, v, 1e-5 * one, v], axis=-1))
-
-
-def to_centre(box: np.ndarray) -> np.ndarray:
+def to_centre(box: list[float]) -> tuple[float, float, float, float]:
     """(x, y, w, h) to centre, aspect and height; sizes are a pixel at least."""
-    w, h = np.maximum(box[..., 2], 1.0), np.maximum(box[..., 3], 1.0)
-    return np.stack([box[..., 0] + w / 2, box[..., 1] + h / 2, w / h, h], axis=-1)
+    x, y, w, h = box
+    w, h = max(w, 1.0), max(h, 1.0)
+    return x + w / 2, y + h / 2, w / h, h
 
 
-@dataclass
+@dataclass(slots=True)
 class Moving:
-    """A track with constant velocity under noise that grows with its height; or many tracks, each field then with an axis before its own."""
-
-    id: np.ndarray
-    box: np.ndarray
-    score: np.ndarray
-    start: np.ndarray
-    seen: np.ndarray
-    lost: np.ndarray
-    mean: np.ndarray
-    spread: np.ndarray
-
-    @classmethod
-    def begin(cls, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, frame: int) -> Moving:
-        n = len(ids)
-        mean = np.concatenate([to_centre(boxes), np.zeros((n, 4))], axis=1)
-        spread = np.zeros((n, 8, 8))
-        spread[:, range(8), range(8)] = _diagonal(mean[:, 3], 2, 10)
-        return cls(ids, boxes.astype(float), scores.astype(float), np.full(n, frame), np.full(n, frame), np.zeros(n, bool), mean, spread)
+    """A track with constant velocity under noise that grows with its height.
 
-    def __len__(self) -> int:
-        return len(self.id)
+    mean holds place and speed of centre, aspect and height. Neither noise nor motion ties these four to each other, so that spread holds, for each,
+    its variance of place, covariance of place and speed, and variance of speed. Plain numbers: a frame has too few tracks for arrays to pay.
+    """
 
-    def __getitem__(self, some) -> Moving:
-        return Moving(*(getattr(self, f.name)[some] for f in fields(self)))
+    id: int
+    box: list[float]
+    score: float
+    start: int
+    seen: int
+    lost: bool
+    mean: list[tuple[float, float]]
+    spread: list[tuple[float, float, float]]
 
-    def joined(self, other: Moving) -> Moving:
-        return Moving(*(np.concatenate([getattr(self, f.name), getattr(other, f.name)]) for f in fields(self)))
+    @classmethod
+    def begin(cls, number: int, box: list[float], score: float, frame: int) -> Moving:
+        centre = to_centre(box)
+        by_height = ((2 * PLACE * centre[3]) ** 2, 0.0, (10 * SPEED * centre[3]) ** 2)
+        return cls(number, box, score, frame, frame, False, [(v, 0.0) for v in centre], [by_height, by_height, (_ASPECT[0], 0.0, _ASPECT[1]), by_height])
 
     def predict(self) -> None:
-        self.mean[..., 4:] *= ~np.asarray(self.lost, bool)[..., None]
-        h = np.maximum(self.mean[..., 3], 1.0)
-        self.mean = self.mean @ _MOVE.T
-        self.spread = _MOVE @ self.spread @ _MOVE.T
-        self.spread[..., range(8), range(8)] += _diagonal(h, 1, 1)
-        self.box = self.shown(self.mean)
-
-    def update(self, some: np.ndarray, boxes: np.ndarray, scores: np.ndarray, frame: int) -> None:
-        """Brings some of many tracks to what was detected."""
-        mean, spread = self.mean[some], self.spread[some]
-        h = np.maximum(mean[:, 3], 1.0)
-        expected = spread[:, :4, :4].copy()
-        expected[:, range(4), range(4)] += np.square(np.stack([PLACE * h, PLACE * h, np.full_like(h, 1e-1), PLACE * h], axis=1))
-        gain = np.linalg.solve(expected, spread[:, :4]).transpose(0, 2, 1)
-        self.mean[some] = mean + (gain @ (to_centre(boxes) - mean[:, :4])[..., None])[..., 0]
-        self.spread[some] = spread - gain @ spread[:, :4]
-        self.score[some], self.seen[some], self.lost[some] = scores, frame, False
-        self.box[some] = self.shown(self.mean[some])
-
-    @staticmethod
-    def shown(mean: np.ndarray) -> np.ndarray:
-        h = np.maximum(mean[..., 3], 1.0)
-        w = np.maximum(mean[..., 2] * h, 1.0)
-        return np.stack([mean[..., 0] - w / 2, mean[..., 1] - h / 2, w, h], axis=-1)
+        if self.lost:
+            self.mean = [(at, 0.0) for at, _ in self.mean]
+        h = max(self.mean[3][0], 1.0)
+        by_height = (PLACE * h) ** 2, (SPEED * h) ** 2
+        self.mean = [(at + speed, speed) for at, speed in self.mean]
+        self.spread = [(p + c + (c + v) + place, c + v, v + pace) for (p, c, v), (place, pace) in zip(self.spread, (by_height, by_height, _ASPECT, by_height))]
+        self.show()
+
+    def update(self, box: list[float], score: float, frame: int) -> None:
+        """Brings the track to what was detected."""
+        by_height = (PLACE * max(self.mean[3][0], 1.0)) ** 2
+        mean, spread = [], []
+        for (at, speed), (p, c, v), found, noise in zip(self.mean, self.spread, to_centre(box), (by_height, by_height, _ASPECT_SEEN, by_height)):
+            gain, off = p / (p + noise), found - at
+            pull = c / (p + noise)
+            mean.append((at + gain * off, speed + pull * off))
+            spread.append((p - gain * p, c - gain * c, v - pull * c))
+        self.mean, self.spread = mean, spread
+        self.score, self.seen, self.lost = score, frame, False
+        self.show()
+
+    def show(self) -> None:
+        (x, _), (y, _), (aspect, _), (h, _) = self.mean
+        h = max(h, 1.0)
+        w = max(aspect * h, 1.0)
+        self.box = [x - w / 2, y - h / 2, w, h]
+
+
+def touching(a: list[list[float]], b: list[list[float]]) -> list[tuple[int, int, float]]:
+    """The pairs of boxes of a and b that overlap, with their IoU; all have a size."""
+    out, bounds = [], [(x, y, x + w, y + h, w * h) for x, y, w, h in b]
+    for i, (x, y, w, h) in enumerate(a):
+        right, bottom = x + w, y + h
+        for j, (left, top, end, under, area) in enumerate(bounds):
+            if left < right and x < end and top < bottom and y < under:
+                both = (min(right, end) - max(x, left)) * (min(bottom, under) - max(y, top))
+                either = w * h + area - both
+                if both > 0 and either > 0:
+                    out.append((i, j, both / either))
+    return out
 
 
 @dataclass
@@ -222,10 +258,13 @@ class SceneGrid:
     frames: int = field(default=0, init=False)
     used: np.ndarray = field(init=False)
     moved: np.ndarray = field(init=False)
+    away: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         n = self.rows * self.cols
         self.used, self.moved = np.zeros(n), np.zeros((n, n))
+        row, col = np.divmod(np.arange(n), self.cols)
+        self.away = self.far * np.minimum(np.hypot(row - row[:, None], col - col[:, None]) / max(1.0, np.hypot(self.rows - 1, self.cols - 1)), 1)
 
     def begin_frame(self) -> None:
         self.frames += 1
@@ -233,27 +272,38 @@ class SceneGrid:
         self.moved *= self.moved_decay
 
     def cells(self, boxes: np.ndarray, width: int, height: int) -> np.ndarray:
-        place = lambda v, size, n: np.minimum((np.minimum(np.maximum(v, 0), size - 1) / size * n).astype(int), n - 1)
-        return place(boxes[:, 1] + boxes[:, 3] * FOOT_SHARE, height, self.rows) * self.cols + place(boxes[:, 0] + boxes[:, 2] / 2, width, self.cols)
-
-    def observe(self, boxes: np.ndarray, width: int, height: int, before: np.ndarray | None = None) -> None:
-        """Counts boxes, and the ways to them from where their tracks were expected."""
-        if width > 0 and height > 0 and len(boxes):
-            cells = self.cells(boxes, width, height)
-            np.add.at(self.used, cells, 1)
-            if before is not None:
-                np.add.at(self.moved, (self.cells(before, width, height), cells), 1)
-
-    def extra_cost(self, tracks: np.ndarray, dets: np.ndarray, width: int, height: int) -> np.ndarray | float:
-        if width <= 0 or height <= 0 or self.frames < self.warmup:
+        at = boxes[:, :2] + boxes[:, 2:] * (0.5, FOOT_SHARE)
+        np.maximum(at, 0, out=at)
+        np.minimum(at, (width - 1, height - 1), out=at)
+        at /= (width, height)
+        at *= (self.cols, self.rows)
+        cell = np.minimum(at.astype(int), (self.cols - 1, self.rows - 1))
+        return cell[:, 1] * self.cols + cell[:, 0]
+
+    def cell(self, box: list[float], width: int, height: int) -> int:
+        x, y, w, h = box
+        row = min(int(min(max(y + h * FOOT_SHARE, 0), height - 1) / height * self.rows), self.rows - 1)
+        return row * self.cols + min(int(min(max(x + w / 2, 0), width - 1) / width * self.cols), self.cols - 1)
+
+    def observe(self, cell: int, before: int | None = None) -> None:
+        """Counts a box by its cell, and the way to it from where its track was expected."""
+        self.used[cell] += 1
+        if before is not None:
+            self.moved[before, cell] += 1
+
+    def cost(self, a: np.ndarray, b: np.ndarray) -> np.ndarray | float:
+        """What a way from each of the cells a to each of the cells b adds."""
+        if self.frames < self.warmup:
             return 0.0
-        a, b = self.cells(tracks, width, height)[:, None], self.cells(dets, width, height)[None, :]
-        away = np.hypot(b // self.cols - a // self.cols, b % self.cols - a % self.cols) / max(1.0, np.hypot(self.rows - 1, self.cols - 1))
-        top, ways = self.used.max(), self.moved.sum(1)[a]
+        top, from_a = self.used.max(), self.moved[a]
+        ways = from_a.sum(1)[:, None]
         share = self.used[b] / top if top > 0 else 0.0
-        chance = np.where(ways > 0, self.moved[a, b] / np.where(ways > 0, ways, 1), 0.0)
-        raw = self.far * np.minimum(away, 1) + self.rare * (1 - share) + self.odd * (1 - chance)
-        return np.clip(self.weight * raw, 0, self.most)
+        chance = from_a[:, b] / np.where(ways > 0, ways, 1)
+        raw = self.away[a][:, b] + self.rare * (1 - share) + self.odd * (1 - chance)
+        return np.minimum(np.maximum(self.weight * raw, 0), self.most)
+
+    def extra_cost(self, tracks: np.ndarray, dets: np.ndarray, width: int, height: int) -> np.ndarray | float:
+        return self.cost(self.cells(tracks, width, height), self.cells(dets, width, height)) if width > 0 and height > 0 else 0.0
 
 
 @dataclass
@@ -274,7 +324,7 @@ class ByteTracker:
     least_area: float = 0.0
     grid: SceneGrid | None = field(default_factory=SceneGrid)
     fuse_score: bool = True
-    tracks: Moving = field(default_factory=lambda: Moving.begin(np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0), 0))
+    tracks: list[Moving] = field(default_factory=list)
     frame: int = 0
     next_id: int = 1
 
@@ -287,52 +337,72 @@ class ByteTracker:
         self.iou, self.low_iou, self.duplicate_iou = (held(v, 0.01, 0.99) for v in (self.iou, self.low_iou, self.duplicate_iou))
         self.buffer = max(self.buffer, 1)
 
-    def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray, width: int = 0, height: int = 0) -> list[tuple[int, np.ndarray, float, bool]]:
+    def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray, width: int = 0, height: int = 0) -> list[tuple[int, list[float], float, bool]]:
         self.frame = frame_id if frame_id > 0 else self.frame + 1
         if self.grid:
             self.grid.begin_frame()
-        fit = (boxes[:, 2] > 1) & (boxes[:, 3] > 1) & (boxes[:, 2] * boxes[:, 3] >= self.least_area)
-        sure, unsure = np.flatnonzero(fit & (scores >= self.high)), np.flatnonzero(fit & (scores >= self.low) & (scores < self.high))
-        tracks = self.tracks
-        tracks.predict()
-        rest, left = self._round(np.argsort(tracks.lost, kind="stable"), sure, boxes, scores, self.iou, width, height)
-        missed, _ = self._round(rest[~tracks.lost[rest]], unsure, boxes, scores, self.low_iou, width, height)
-        tracks.lost[missed] = True
-        new = left[scores[left] >= self.new]
-        if len(new):
-            tracks = tracks.joined(Moving.begin(np.arange(self.next_id, self.next_id + len(new)), boxes[new], scores[new], self.frame))
-            self.next_id += len(new)
-        if self.grid:
-            self.grid.observe(boxes[new], width, height)
-        stay = ~tracks.lost | (self.frame - tracks.seen <= self.buffer)
-        stay[self._duplicates(tracks, np.flatnonzero(stay))] = False
-        self.tracks = tracks if stay.all() else tracks[stay]
-        live = self.tracks[~self.tracks.lost]
-        return [(i, box, score, False) for i, box, score in zip(live.id.tolist(), live.box, live.score.tolist(), strict=True)]
-
-    def _round(self, some: np.ndarray, dets: np.ndarray, boxes: np.ndarray, scores: np.ndarray, least: float, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
-        """Matches some of the tracks with detections; gives what is left of both."""
-        if not len(some) or not len(dets):
-            return some, dets
-        before = self.tracks.box[some]
-        iou = overlap(before, boxes[dets])
-        extra = self.grid.extra_cost(before, boxes[dets], width, height) if self.grid else 0.0
-        pairs, rows, cols = matched(1 - iou * (np.clip(scores[dets], 0, 1) if self.fuse_score else 1.0) + extra, iou, least)
-        if pairs:
-            i, j = np.array(pairs).T
-            if self.grid:
-                self.grid.observe(boxes[dets[j]], width, height, before[i])
-            self.tracks.update(some[i], boxes[dets[j]], scores[dets[j]], self.frame)
-        return some[rows], dets[cols]
-
-    def _duplicates(self, tracks: Moving, some: np.ndarray) -> list[int]:
+        fit = [(box, score) for box, score in zip(boxes.tolist(), scores.tolist(), strict=True) if box[2] > 1 and box[3] > 1 and box[2] * box[3] >= self.least_area]
+        sure, unsure = [d for d in fit if d[1] >= self.high], [d for d in fit if self.low <= d[1] < self.high]
+        for t in self.tracks:
+            t.predict()
+        cell = partial(self.grid.cell, width=width, height=height) if self.grid and width > 0 and height > 0 else None
+        rest, left = self._round([*(t for t in self.tracks if not t.lost), *(t for t in self.tracks if t.lost)], sure, self.iou, cell)
+        missed, _ = self._round([t for t in rest if not t.lost], unsure, self.low_iou, cell)
+        for t in missed:
+            t.lost = True
+        for box, score in left:
+            if score >= self.new:
+                self.tracks.append(Moving.begin(self.next_id, box, score, self.frame))
+                self.next_id += 1
+                if cell:
+                    self.grid.observe(cell(box))
+        self.tracks = self._distinct([t for t in self.tracks if not t.lost or self.frame - t.seen <= self.buffer])
+        return [(t.id, t.box, t.score, False) for t in self.tracks if not t.lost]
+
+    def _round(self, some: list[Moving], dets: list[tuple[list[float], float]], least: float, cell) -> tuple[list[Moving], list[tuple[list[float], float]]]:
+        """Matches some of the tracks with detections; gives what is left of both.
+
+        A cost is 1 without overlap and at most grid.most more. A track and a detection that overlap each other only, and whose overlap saves more than
+        twice that, are together in any cheapest assignment: wherever they stood apart, bringing them together would cost less. Only the others are
+        assigned by costs, and only if some of them overlap enough to match.
+        """
+        iou = {(i, j): v for i, j, v in touching([t.box for t in some], [box for box, _ in dets])}
+        weight = [min(max(score, 0.0), 1.0) if self.fuse_score else 1.0 for _, score in dets]
+        by_track, by_det = Counter(i for i, _ in iou), Counter(j for _, j in iou)
+        most = 2 * abs(self.grid.most) if cell else 0.0
+        pairs = [(i, j) for (i, j), v in iou.items() if by_track[i] == by_det[j] == 1 and v * weight[j] > most]
+        rows, cols = {i for i, _ in pairs}, {j for _, j in pairs}
+        open_pairs = {(i, j): v for (i, j), v in iou.items() if i not in rows and j not in cols}
+        if any(v >= least for v in open_pairs.values()):
+            free, found = [i for i in range(len(some)) if i not in rows], [j for j in range(len(dets)) if j not in cols]
+            row, col, still = {i: k for k, i in enumerate(free)}, {j: k for k, j in enumerate(found)}, np.zeros((len(free), len(found)))
+            for (i, j), v in open_pairs.items():
+                still[row[i], col[j]] = v
+            pairs += [(free[i], found[j]) for i, j in self._assigned([some[i].box for i in free], [dets[j][0] for j in found], still * [weight[j] for j in found], cell)]
+        pairs = [(i, j) for i, j in pairs if iou.get((i, j), 0.0) >= least]
+        if cell:
+            for i, j in pairs:
+                self.grid.observe(cell(dets[j][0]), cell(some[i].box))
+        for i, j in pairs:
+            some[i].update(*dets[j], self.frame)
+        rows, cols = {i for i, _ in pairs}, {j for _, j in pairs}
+        return [t for i, t in enumerate(some) if i not in rows], [d for j, d in enumerate(dets) if j not in cols]
+
+    def _assigned(self, tracks: list[list[float]], dets: list[list[float]], saved: np.ndarray, cell) -> list[tuple[int, int]]:
+        """The pairs of the cheapest assignment of boxes, given what the overlap of each pair saves."""
+        if saved.size == 1:
+            return [(0, 0)]
+        return assign(1 - saved + (self.grid.cost(np.array([cell(box) for box in tracks]), np.array([cell(box) for box in dets])) if cell else 0.0))
+
+    def _distinct(self, tracks: list[Moving]) -> list[Moving]:
         """Of a seen and a lost track on one place, the one that lived longer stays; a tie keeps the lost one."""
-        seen, lost = some[~tracks.lost[some]], some[tracks.lost[some]]
-        if not len(seen) or not len(lost):
-            return []
-        life = tracks.seen - tracks.start
-        on_one_place = zip(*np.nonzero(overlap(tracks.box[seen], tracks.box[lost]) >= self.duplicate_iou), strict=True)
-        return [lost[j] if life[seen[i]] > life[lost[j]] else seen[i] for i, j in on_one_place]
+        seen, lost = [t for t in tracks if not t.lost], [t for t in tracks if t.lost]
+        gone = set()
+        for i, j, v in touching([t.box for t in seen], [t.box for t in lost]):
+            if v >= self.duplicate_iou:
+                a, b = seen[i], lost[j]
+                gone.add(b.id if a.seen - a.start > b.seen - b.start else a.id)
+        return [t for t in tracks if t.id not in gone] if gone else tracks
 
 
 @dataclass
@@ -390,9 +460,11 @@ SEEN = ["x", "y", "w", "h", "score", "width", "height"]
 
 def tracked_rows(tracker, stream: str, frame: int, values: np.ndarray) -> list[tuple]:
     """What a tracker shows of a frame; values has a row of SEEN for each detection."""
-    width, height = np.nan_to_num(values[:, 5:]).max(0)
-    out = tracker.update(int(frame), values[:, :4], values[:, 4], int(width), int(height))
-    return [(stream, int(frame), int(i), *map(float, box), score, hidden) for i, box, score, hidden in out]
+    # a size that is null in all of a frame's rows is 0
+    width, height = (int(v) if v == v else 0 for v in np.fmax.reduce(values[:, 5:], axis=0).tolist())
+    out = tracker.update(int(frame), values[:, :4], values[:, 4], width, height)
+    frame = int(frame)
+    return [(stream, frame, int(i), *map(float, box), score, hidden) for i, box, score, hidden in out]
 
 
 def track(detections: DataFrame, kind: str = "bytetrack", **how) -> DataFrame:
